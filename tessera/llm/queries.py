@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, minhash
+from . import bpe, decontaminate, exact_dedup, line_dedup, minhash, sharding
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
     "op2_exact_dedup": exact_dedup.query,
     "op3_minhash_near_dedup": minhash.query,
+    "op6_sharding": sharding.query,
+    "op7_bpe": bpe.query,
+    "op10_decontamination": decontaminate.query,
 }
 
 ORACLES = {
     "op1_line_dedup": line_dedup.ORACLE,
     "op2_exact_dedup": exact_dedup.ORACLE,
+    "op10_decontamination": decontaminate.ORACLE,
 }
