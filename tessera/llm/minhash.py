@@ -10,8 +10,8 @@
    Survivors are verified exactly on their full shingle sets.
 5. Connected components of the links.  In a large group of near copies the star round has found nearly all.
 6. Rest round: in buckets whose classes are still in several components, all pairs across components; in
-   buckets of over ``LARGE`` classes such pairs come from an exact prefix filter in place of enumeration:
-   sets with a similarity of t share one of the rarest n - ceil(t n) + 1 shingles.  No pair is dropped.
+   buckets of over ``LARGE`` classes such pairs come from an exact filter on what sets them apart from the
+   group's common core (``by_difference``), in place of enumeration.  No pair is dropped.
 7. Components again, and from class to documents.
 
 Nothing of the corpus goes to the driver but counts.
@@ -39,6 +39,8 @@ LARGE = 64
 BAND_MISS = 1e-6
 STEP_MISS = 1e-9
 _PROBES = 16
+#: Bins of the excess e between 0 and the core's share of it; see by_difference.
+_BINS_TO_CORE = 6
 
 
 def bands_for(percent: int, rows: int = ROWS, miss: float = BAND_MISS) -> int:
@@ -166,9 +168,7 @@ class NearDedup:
         if table.isEmpty():
             return table.select("a", "b")
         named = table.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        docs = self.docs.select(F.col(f"`{self.doc_id}`").cast("long").alias("id"), F.col(f"`{self.text}`").cast("string").alias("text"))
-        # Rows that repeat an id: the class goes by the one that described it; any row with the same set does.
-        chosen = docs.join(named, "id", "left_semi")
+        chosen = self._texts().join(named, "id", "left_semi")
 
         def work(part, texts):
             hashes = WordHashes()
@@ -252,34 +252,64 @@ class NearDedup:
         return not classes.groupBy("class").count().filter("count > 1").isEmpty()
 
     def across(self, rest: DataFrame) -> DataFrame:
-        """Pairs (a, b, na, nb) across components, of the same bucket; in large buckets by prefix filter."""
+        """Pairs (a, b, na, nb) across components, of the same bucket; in large buckets by ``by_difference``."""
         x = rest.filter(F.col("size") <= LARGE)
         y = x.select("bucket", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("other"))
         pairs = x.select("bucket", F.col("id").alias("a"), F.col("n").alias("na"), "comp", "first").join(y, "bucket").filter("a < b AND comp <> other AND a <> first").select("a", "b", "na", "nb")
         pairs = pairs.distinct()
-        crowd = self.scratch.cut(rest.filter(F.col("size") > LARGE).select("id", "n", "comp").distinct())
+        crowd = self.scratch.cut(rest.filter(F.col("size") > LARGE).select("bucket", "id", "n", "comp", "first"))
         if crowd.isEmpty():
             return pairs
-        return pairs.union(self.by_prefix(crowd)).distinct()
-
-    def by_prefix(self, crowd: DataFrame) -> DataFrame:
-        """Exact for any two of ``crowd`` (id, n, comp) in different components."""
-        docs = self.docs.select(F.col(f"`{self.doc_id}`").cast("long").alias("id"), F.col(f"`{self.text}`").cast("string").alias("text")).join(crowd, "id", "left_semi")
+        return pairs.union(self.by_difference(crowd)).distinct()
+
+    def _texts(self) -> DataFrame:
+        return self.docs.select(F.col(f"`{self.doc_id}`").cast("long").alias("id"), F.col(f"`{self.text}`").cast("string").alias("text"))
+
+    def by_difference(self, crowd: DataFrame) -> DataFrame:
+        """Candidates across components of ``crowd`` (bucket, id, n, comp, first), none missed.
+
+        Buckets that share members are one group.  A group's core is the shingles that most of its members have, and a
+        member x is told by D(x), its symmetric difference to the core.  The difference of two members is that of
+        D(x) and D(y), so with d = |D| and e = d - k n, where k = (1 - t) / (1 + t):
+        x and y are similar enough if and only if e(x) + e(y) <= 2 |D(x) and D(y) shared|.
+        If e(x) + e(y) <= 0 they are so whatever they share, and so is each with the member of smallest e: a star says it all.
+        Otherwise they share c = (e(x) + e(y)) / 2 or more, and so one of the d - c + 1 rarest elements of each.
+        Edits that no other member has come first in that order and meet nothing, which is what keeps
+        large groups of edited copies from meeting in pairs.  Members are dealt by bins of e, so that c is known well enough.
+        """
+        k = (100 - self.percent) / (100 + self.percent)
+        groups = self.labels(crowd.filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))).withColumnRenamed("comp", "grp")
+        members = self.scratch.cut(crowd.select("id", "n", "comp").distinct().join(groups, "id"))
 
         def work(part, texts):
             table = WordHashes()
             sets = [shingles(t, table).view(np.int64) for t in texts]
-            return {"id": part.column(0), "s": pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32), np.concatenate([*sets, np.empty(0, np.int64)]))}
-
-        sets = self.scratch.cut(map_text(docs, work, "id long, s array<long>").select("id", F.explode("s").alias("token")).distinct())
-        rarity = sets.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-        ranked = sets.join(rarity, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("s"))
-        prefix = F.size("s") - F.ceil(F.size("s") * F.lit(self.percent) / 100) + 1
-        heads = ranked.select("id", F.explode(F.slice("s", F.lit(1), prefix.cast("int"))).alias("t")).select("id", "t.token").join(crowd, "id")
-        heads = self.scratch.cut(heads)
-        other = heads.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("other"))
-        near = heads.select("token", F.col("id").alias("a"), F.col("n").alias("na"), "comp").join(other, "token")
-        return near.filter("a < b AND comp <> other").filter(sized(self.percent)).select("a", "b", "na", "nb").distinct()
+            ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+            return {"id": part.column(0), "s": pa.ListArray.from_arrays(ends, np.concatenate([*sets, np.empty(0, np.int64)]))}
+
+        docs = self._texts().join(members.select("id"), "id", "left_semi")
+        sets = map_text(docs, work, "id long, s array<long>").join(members, "id").filter(F.size("s") == F.col("n"))
+        sets = self.scratch.cut(sets.dropDuplicates(["id"]))
+        size = sets.groupBy("grp").agg(F.count(F.lit(1)).alias("members"))
+        held = sets.select("grp", F.explode("s").alias("token")).groupBy("grp", "token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+        core = held.join(size, (held["grp"] == size["grp"]) & (held["df"] * 2 > size["members"])).groupBy(held["grp"]).agg(F.collect_list("token").alias("core"))
+        told = sets.join(core, "grp", "left").withColumn("core", F.coalesce("core", F.array().cast("array<bigint>")))
+        told = told.withColumn("width", F.greatest(F.lit(1.0), F.size("core") * (k / _BINS_TO_CORE))).withColumn("diff", F.concat(F.array_except("s", "core"), F.array_except("core", "s")))
+        told = told.withColumn("d", F.size("diff")).withColumn("e", F.col("d") - F.col("n") * k).withColumn("bin", F.least(F.lit(2 * _BINS_TO_CORE), F.floor(F.col("e") / F.col("width"))).cast("int"))
+        told = self.scratch.cut(told.select("id", "grp", "n", "comp", "d", "e", "width", "bin", "diff"))
+        nearest = told.groupBy("grp").agg(F.min(F.struct("e", "id", "n", "comp")).alias("m"), F.collect_set("bin").alias("bins"))
+        star = told.join(nearest.select("grp", "m"), "grp").filter((F.col("e") + F.col("m.e") <= 1e-6) & (F.col("comp") != F.col("m.comp")))
+        star = star.select(F.least("id", "m.id").alias("a"), F.greatest("id", "m.id").alias("b"), F.when(F.col("id") < F.col("m.id"), F.col("n")).otherwise(F.col("m.n")).alias("na"), F.when(F.col("id") < F.col("m.id"), F.col("m.n")).otherwise(F.col("n")).alias("nb"))
+        elements = told.select("id", "grp", F.explode("diff").alias("token"))
+        shared = elements.groupBy("grp", "token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+        ranked = elements.join(shared, ["grp", "token"]).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("common"))
+        need = F.greatest(F.lit(1), F.ceil((F.col("e") + F.col("other") * F.col("width")) / 2 - 1e-6))
+        head = (F.col("d") - need + 1 - (F.col("d") - F.size("common"))).cast("int")
+        heads = ranked.join(told.drop("diff"), "id").join(nearest.select("grp", "bins"), "grp").withColumn("other", F.explode("bins")).withColumn("head", head).filter("head > 0")
+        heads = self.scratch.cut(heads.select("grp", "id", "n", "comp", "bin", "other", F.explode(F.slice("common", F.lit(1), F.col("head"))).alias("x")).select("grp", "id", "n", "comp", "bin", "other", F.col("x.token").alias("token")))
+        y = heads.select("grp", "token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("comp_b"), F.col("bin").alias("other"), F.col("other").alias("bin"))
+        pairs = heads.withColumnsRenamed({"id": "a", "n": "na"}).join(y, ["grp", "token", "bin", "other"]).filter("a < b AND comp <> comp_b").filter(sized(self.percent))
+        return pairs.select("a", "b", "na", "nb").union(star.filter(sized(self.percent))).distinct()
 
 
 def near_dedup(docs: DataFrame, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
