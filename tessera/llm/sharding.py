@@ -55,7 +55,7 @@ def splitters(keys: DataFrame, shards: int, tolerance: float = 0.001) -> list[in
     below: dict[int, int] = {low: 0}
     brackets = {aim: (low, high) for aim in aims}
     while brackets:
-        probes = sorted({lo + max(1, (hi - lo) * i // PROBES) for lo, hi in brackets.values() for i in range(1, PROBES + 1)} | {hi for _, hi in brackets.values()})
+        probes = sorted({lo + max(1, (hi - lo) * i // PROBES) for lo, hi in brackets.values() for i in range(PROBES + 1)} | {k for lo, hi in brackets.values() for k in (lo, hi, hi + 1) if k < 2**63})
         found = histogram(keys, probes)
         under, bins = 0, []
         for b in range(len(probes) + 1):
