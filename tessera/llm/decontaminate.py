@@ -26,7 +26,7 @@ from .common import WordHashes, map_text, shingles, text_or_empty
 
 BLOCK_BYTES = 8 << 20
 SHORT = 20
-_GATE = 18
+_GATE = 16
 _PARTITIONS = 32
 
 
