@@ -22,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_text
+from .common import CHUNK_BYTES, map_text
 
-#: White-space delimited pieces whose ids a Python worker remembers, and the longest of them in characters.
+#: White-space delimited chunks, and pieces, whose ids a Python worker remembers, and the longest of them in characters.
 REMEMBERED, REMEMBERED_CHARS = 300_000, 64
 
 
@@ -41,54 +41,99 @@ def byte_symbols() -> list[str]:
     return out
 
 
-def merge_by_occurrence(words: list[list[int]], ranks: dict[tuple[int, int], tuple[int, int]]) -> list[list[int]]:
-    """The symbols of each word after all merges.  ranks: pair -> (rank, merged symbol)."""
-    sym: list[int] = []
-    after: list[int] = []
-    before: list[int] = []
-    starts = []
-    for w in words:
-        at = len(sym)
-        starts.append(at if w else -1)
-        sym += w
-        after += [*range(at + 1, at + len(w)), -1][: len(w)]
-        before += [-1, *range(at, at + len(w) - 1)][: len(w)]
-    index: dict[tuple[int, int], list[int]] = {}
-    heap: list[tuple[int, int, int]] = []
-
-    def note(p: int) -> None:
-        pair = (sym[p], sym[after[p]])
-        if (found := index.get(pair)) is not None:
-            found.append(p)
-        elif (rank := ranks.get(pair)) is not None:
-            index[pair] = [p]
-            heapq.heappush(heap, (rank[0], *pair))
-
-    for p, q in enumerate(after):
-        if q >= 0:
-            note(p)
+class Merges:
+    """Ranked pairs of symbols and what they merge to, for lookups of many pairs at once."""
+
+    SHIFT = 20
+
+    def __init__(self, pairs: list[tuple[int, int]], merged: list[int]):
+        """In order of rank."""
+        left, right = (np.array([p[k] for p in pairs], np.int64) for k in (0, 1))
+        keys = left << self.SHIFT | right
+        # A pair that is listed twice has its later rank, as in a map that is filled in turn.
+        last = {k: r for r, k in enumerate(keys.tolist())}
+        self.keys = np.array(sorted(last), np.int64)
+        self.rank = np.array([last[k] for k in self.keys.tolist()], np.int64)
+        self.pairs, self.merged = pairs, merged
+        # Ranks whose symbol is part of a pair of lower rank: a word's next merge may then be another one.
+        lowest: dict[int, int] = {}
+        for r, pair in enumerate(pairs):
+            for x in pair:
+                lowest[x] = min(r, lowest.get(x, r))
+        self.stepwise = {r for r, x in enumerate(merged) if lowest.get(x, r) < r}
+
+    def find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the pairs have a rank, and those ranks."""
+        keys = left << self.SHIFT | right
+        at = np.searchsorted(self.keys, keys)
+        at[at == len(self.keys)] = 0
+        hit = np.flatnonzero(self.keys[at] == keys)
+        return hit, self.rank[at[hit]]
+
+
+def merge_by_occurrence(sym: np.ndarray, ends: np.ndarray, merges: Merges) -> tuple[np.ndarray, np.ndarray]:
+    """Words' symbols after all merges.  sym: the words' symbols in turn; ends: where each word ends.  Gives the same of the result."""
+    sym = sym.astype(np.int64)
+    n = len(sym)
+    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+    after[ends[ends > 0] - 1] = -1
+    before[ends[:-1][ends[:-1] < n]] = -1
+    index: dict[int, list[np.ndarray]] = {}
+    heap: list[int] = []
+
+    def note(p: np.ndarray) -> None:
+        """Puts the pairs that begin at positions p in the index."""
+        hit, rank = merges.find(sym[p], sym[after[p]])
+        if not len(hit):
+            return
+        order = np.argsort(rank, kind="stable")
+        p, rank = p[hit[order]], rank[order]
+        cuts = np.flatnonzero(rank[1:] != rank[:-1]) + 1
+        for r, part in zip(rank[np.concatenate([[0], cuts])].tolist(), np.split(p, cuts) if len(cuts) else [p]):
+            if r in index:
+                index[r].append(part)
+            else:
+                index[r] = [part]
+                heapq.heappush(heap, r)
+
+    if n and len(merges.keys):
+        note(np.flatnonzero(after >= 0))
     while heap:
-        _, a, b = heapq.heappop(heap)
-        merged = ranks[a, b][1]
-        for p in sorted(index.pop((a, b))):
+        rank = heapq.heappop(heap)
+        parts = index.pop(rank)
+        (a, b), merged = merges.pairs[rank], merges.merged[rank]
+        p = parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
+        q = after[p]
+        valid = (sym[p] == a) & (q >= 0) & (sym[q] == b)  # an earlier merge may have taken one of the two
+        p, q = p[valid], q[valid]
+        if rank in merges.stepwise and len(p) > 1:  # the first of each word; the others wait
+            _, first = np.unique(np.searchsorted(ends, np.sort(p), "right"), return_index=True)
+            p = np.sort(p)
+            rest = np.delete(p, first)
+            p = p[first]
             q = after[p]
-            if sym[p] != a or q < 0 or sym[q] != b:
-                continue  # an earlier merge took one of the two
-            sym[p], sym[q] = merged, -1
-            after[p] = n = after[q]
-            if n >= 0:
-                before[n] = p
-                note(p)
-            if before[p] >= 0:
-                note(before[p])
-    out = []
-    for p in starts:
-        ids = []
-        while p >= 0:
-            ids.append(sym[p])
-            p = after[p]
-        out.append(ids)
-    return out
+            if len(rest):
+                index[rank] = [rest]
+                heapq.heappush(heap, rank)
+        if a == b and len(p) > 1:  # of a run of one symbol, pairs from the left
+            order = np.argsort(p)
+            taken, keep = -1, []
+            for i in order.tolist():
+                if p[i] != taken:
+                    keep.append(i)
+                    taken = q[i]
+            p, q = p[keep], q[keep]
+        if not len(p):
+            continue
+        far = after[q]
+        sym[p], sym[q] = merged, -1
+        after[p] = far
+        right = far >= 0
+        before[far[right]] = p[right]
+        left = before[p]
+        note(np.concatenate([p[right], left[left >= 0]]))
+    alive = sym >= 0
+    return sym[alive], np.concatenate([[0], np.cumsum(alive)])[ends]
 
 
 class WordBPE:
@@ -106,18 +151,17 @@ class WordBPE:
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t for t, i in (self.vocab | added).items()}
         symbols = byte_symbols()
-        self.inner = [self.vocab[c] for c in symbols]
-        self.last = [self.vocab[c + end] for c in symbols]
-        self.ranks = {}
-        for rank, pair in enumerate(model["merges"]):
-            a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.ranks[self.vocab[a], self.vocab[b]] = (rank, self.vocab[a + b])
+        self.inner = np.array([self.vocab[c] for c in symbols])
+        self.last = np.array([self.vocab[c + end] for c in symbols])
+        pairs = [pair if isinstance(pair, list) else pair.split(" ") for pair in model["merges"]]
+        self.merges = Merges([(self.vocab[a], self.vocab[b]) for a, b in pairs], [self.vocab[a + b] for a, b in pairs])
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
         self.pattern = regex.compile(split.replace(r"\s", r"\p{White_Space}"))
         self.blank = regex.compile(r"\p{White_Space}+")
         self.added = added
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def _chunks(self, text: str) -> list[str]:
         """White-space delimited; no piece of the pattern spans white space, and normalising leaves it white space."""
@@ -133,13 +177,25 @@ class WordBPE:
         return self.pattern.findall(chunk)
 
     def _learn(self, chunks: set[str]) -> dict[str, bytes]:
-        """ids of chunks that are not known, all merged over one index."""
+        """ids of chunks that are not known; their new pieces are merged over one index."""
         split = {c: self._pieces(c) for c in chunks}
-        words = list(dict.fromkeys(p for ps in split.values() for p in ps))
-        raw = [w.encode() for w in words]
-        ids = merge_by_occurrence([[*map(self.inner.__getitem__, w[:-1]), self.last[w[-1]]] for w in raw], self.ranks)
-        of = {w: np.array(i, "<u4").tobytes() for w, i in zip(words, ids)}
-        return {c: b"".join([of[p] for p in ps]) for c, ps in split.items()}
+        of = self.pieces
+        words = [w for w in dict.fromkeys(p for ps in split.values() for p in ps) if w not in of]
+        if words:
+            raw = [w.encode() for w in words]
+            ends = np.cumsum([len(w) for w in raw])
+            data = np.frombuffer(b"".join(raw), np.uint8)
+            sym = self.inner[data]
+            sym[ends - 1] = self.last[data[ends - 1]]
+            ids, ends = merge_by_occurrence(sym, ends, self.merges)
+            ids, cuts = ids.astype("<u4").tobytes(), [0, *(ends * 4).tolist()]
+            new = {w: ids[a:b] for w, a, b in zip(words, cuts, cuts[1:])}
+            if len(of) + len(new) > REMEMBERED:
+                of = {p: of[p] for ps in split.values() for p in ps if p in of}
+                self.pieces = {}
+            self.pieces.update((w, i) for w, i in new.items() if len(w) <= REMEMBERED_CHARS)
+            of = self.pieces if len(self.pieces) >= len(of) + len(new) and of is self.pieces else of | new
+        return {c: of[ps[0]] if len(ps) == 1 else b"".join([of[p] for p in ps]) for c, ps in split.items()}
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         parts: list[list] = []
@@ -177,7 +233,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids], dtype=np.int64)]).astype(np.int32)
         return {"doc_id": part.column(0), "ids": pa.ListArray.from_arrays(offsets, np.concatenate([*ids, np.empty(0, np.int32)])), "n_tokens": np.diff(offsets).astype(np.int64)}
 
-    return map_text(_source(docs, text, doc_id), work, "doc_id long, ids array<int>, n_tokens long").withColumnRenamed("doc_id", doc_id)
+    return map_text(_source(docs, text, doc_id), work, "doc_id long, ids array<int>, n_tokens long", limit=2 * CHUNK_BYTES).withColumnRenamed("doc_id", doc_id)
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", doc_id: str = "doc_id") -> DataFrame:
@@ -205,7 +261,7 @@ def digests(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_i
             "decoded_sha256": [hashlib.sha256(bpe.decode(x).encode()).hexdigest() for x in ids],
         }
 
-    return map_text(_source(docs, text, doc_id), work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("doc_id", doc_id)
+    return map_text(_source(docs, text, doc_id), work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", limit=2 * CHUNK_BYTES).withColumnRenamed("doc_id", doc_id)
 
 
 def _source(docs: DataFrame, text: str, doc_id: str) -> DataFrame:

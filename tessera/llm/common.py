@@ -111,7 +111,7 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = C
             start = stop
 
 
-def map_text(df: DataFrame, work: Callable[[pa.RecordBatch, list[bytes]], dict], schema: str, text: str = "text") -> DataFrame:
+def map_text(df: DataFrame, work: Callable[[pa.RecordBatch, list[bytes]], dict], schema: str, text: str = "text", limit: int = CHUNK_BYTES) -> DataFrame:
     """``work`` gets a slice and its texts, and returns the output columns."""
     from pyspark.sql.types import StructType
 
@@ -121,7 +121,7 @@ def map_text(df: DataFrame, work: Callable[[pa.RecordBatch, list[bytes]], dict],
     arrow = to_arrow_schema(kind)
 
     def run(batches):
-        for part, texts in pieces(batches, text):
+        for part, texts in pieces(batches, text, limit):
             out = work(part, texts)
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for f in arrow for c in (out[f.name],)], schema=arrow)
 
