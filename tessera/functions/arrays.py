@@ -43,7 +43,7 @@ def ternary(a: Column) -> Column:
 def ternary_bytes(text: Column) -> Column:
     """-1, 0 or 1 for each byte of the UTF-8 text."""
     raw = F.hex(F.encode(text, "UTF-8"))
-    codes = F.transform(F.sequence(F.lit(0), F.length(raw) / 2 - 1), lambda i: F.conv(F.substring(raw, (2 * i + 1).cast("int"), F.lit(2)), 16, 10).cast("int"))
+    codes = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), (F.length(raw) / 2 - 1).cast("int"))), lambda i: F.conv(F.substring(raw, (2 * i + 1).cast("int"), F.lit(2)), 16, 10).cast("int"))
     score = lambda b: (b - BYTE_CENTRE) / BYTE_SPREAD
     return F.when(F.length(raw) == 0, F.array().cast("array<tinyint>")).otherwise(F.transform(codes, lambda b: F.when(score(b) > BYTE_CUT, 1).when(score(b) < -BYTE_CUT, -1).otherwise(0).cast("tinyint")))
 
@@ -61,7 +61,7 @@ def bit_occupancy(a: Column) -> Column:
 def plane(a: Column, value: int, width: int = 32) -> Column:
     """Words of ``width`` bits: bit k of word w is set where element width * w + k is ``value``."""
     words = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size(a) / width).cast("int") - 1))
-    return F.transform(words, lambda w: F.aggregate(F.transform(F.slice(a, w * width + 1, width), lambda x, k: F.when(x == value, F.shiftleft(F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(x)))
+    return F.transform(words, lambda w: F.aggregate(F.transform(F.slice(a, (w * width + 1).cast("int"), F.lit(width)), lambda x, k: F.when(x == value, F.call_function("shiftleft", F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(x)))
 
 
 def plane_dot(p1: Column, n1: Column, p2: Column, n2: Column) -> Column:
