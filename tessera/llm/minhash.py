@@ -41,6 +41,8 @@ STEP_MISS = 1e-9
 _PROBES = 16
 #: Bins of the excess e between 0 and the core's share of it; see by_difference.
 _BINS_TO_CORE = 6
+#: Bins that are dealt out together.
+_COARSE = 4
 
 
 def bands_for(percent: int, rows: int = ROWS, miss: float = BAND_MISS) -> int:
@@ -303,12 +305,15 @@ class NearDedup:
         elements = told.select("id", "grp", F.explode("diff").alias("token"))
         shared = elements.groupBy("grp", "token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
         ranked = elements.join(shared, ["grp", "token"]).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("common"))
-        need = F.greatest(F.lit(1), F.ceil((F.col("e") + F.col("other") * F.col("width")) / 2 - 1e-6))
-        head = (F.col("d") - need + 1 - (F.col("d") - F.size("common"))).cast("int")
-        heads = ranked.join(told.drop("diff"), "id").join(nearest.select("grp", "bins"), "grp").withColumn("other", F.explode("bins")).withColumn("head", head).filter("head > 0")
-        heads = self.scratch.cut(heads.select("grp", "id", "n", "comp", "bin", "other", F.explode(F.slice("common", F.lit(1), F.col("head"))).alias("x")).select("grp", "id", "n", "comp", "bin", "other", F.col("x.token").alias("token")))
-        y = heads.select("grp", "token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("comp_b"), F.col("bin").alias("other"), F.col("other").alias("bin"))
-        pairs = heads.withColumnsRenamed({"id": "a", "n": "na"}).join(y, ["grp", "token", "bin", "other"]).filter("a < b AND comp <> comp_b").filter(sized(self.percent))
+        # Element r of the common ones is among the first d - c + 1 for partners whose bin is at most ``top``.
+        heads = ranked.join(told.drop("diff"), "id").join(nearest.select("grp", "bins"), "grp")
+        top = lambda r: F.floor((2 * (F.size("common") - r) - F.col("e")) / F.col("width") + 1e-6).cast("int")
+        coarse = F.array_distinct(F.transform("bins", lambda b: F.floor(b / _COARSE).cast("int")))
+        element = lambda x, r: F.transform(F.filter(coarse, lambda c: c * _COARSE <= top(r)), lambda c: F.struct(x["token"].alias("token"), c.alias("other"), top(r).alias("top")))
+        heads = heads.select("grp", "id", "n", "comp", "bin", F.explode(F.flatten(F.transform("common", element))).alias("x"))
+        heads = self.scratch.cut(heads.select("grp", "id", "n", "comp", "bin", F.floor(F.col("bin") / _COARSE).cast("int").alias("own"), "x.token", "x.other", "x.top"))
+        y = heads.select("grp", "token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("comp_b"), F.col("bin").alias("bin_b"), F.col("top").alias("top_b"), F.col("own").alias("other"), F.col("other").alias("own"))
+        pairs = heads.withColumnsRenamed({"id": "a", "n": "na"}).join(y, ["grp", "token", "own", "other"]).filter("a < b AND comp <> comp_b AND bin <= top_b AND bin_b <= top").filter(sized(self.percent))
         return pairs.select("a", "b", "na", "nb").union(star.filter(sized(self.percent))).distinct()
 
 
