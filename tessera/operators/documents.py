@@ -93,9 +93,8 @@ def features(label: Column) -> Column:
     return F.concat(first, classes, hashed, F.array(diversity, code, shape))
 
 
-def signature(text: Column) -> Column:
-    """Eight numbers of unit length: features folded by place, lifted by known words, the last chromosome named over 22 in place 3."""
-    f = features(text)
+def signature(f: Column, text: Column) -> Column:
+    """Eight numbers of unit length: features ``f`` (a column of its own, not an expression) folded by place, lifted by known words, the last chromosome named over 22 in place 3."""
     fold = [F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(FEATURES // 8 - 1)), lambda k, i=i: F.get(f, k * 8 + i)), F.lit(0.0), lambda a, x: a + x) for i in range(8)]
     low = F.lower(text)
     lifted = [fold[i] + F.when(F.contains(low, F.lit(w)), 1.0).otherwise(0.0) for i, w in enumerate(SIGNATURE_WORDS)]

@@ -125,8 +125,8 @@ def path_kinds(spark, sf_dir):
 
 @query("text_features", None)
 def text_features(spark, sf_dir):
-    b = read(spark, sf_dir, "benchmark")
-    return b.select("item_id", documents.features(F.col("text")).alias("features"), F.transform(documents.signature(F.col("text")), lambda x: F.round(x, 6)).alias("signature"))
+    b = read(spark, sf_dir, "benchmark").select("item_id", "text", documents.features(F.col("text")).alias("features"))
+    return b.select("item_id", "features", F.transform(documents.signature(F.col("features"), F.col("text")), lambda x: F.round(x, 6)).alias("signature"))
 
 
 @query("fixed_ternary", "WITH b AS (SELECT n_nationkey, ord(c) AS code FROM (SELECT n_nationkey, unnest(string_split(n_name, '')) AS c FROM nation)) SELECT n_nationkey, CAST(sum(CASE WHEN (code - 109.5::DOUBLE) / 13 > 0.33 THEN 1 ELSE 0 END) AS BIGINT) AS n_pos, CAST(sum(CASE WHEN (code - 109.5::DOUBLE) / 13 < -0.33 THEN 1 ELSE 0 END) AS BIGINT) AS n_neg FROM b GROUP BY 1")

@@ -294,7 +294,7 @@ _R2 = "SELECT i, j, (n * sxy - sx * sy)::DOUBLE ** 2 / ((n * sxx - sx * sx)::DOU
 @query(
     "compare_ld",
     f"""WITH {GENOTYPES_SQL}, m0 AS ({_SIDE(0)}), m1 AS ({_SIDE(1)}), p0 AS ({_R2.format(m="m0")}), p1 AS ({_R2.format(m="m1")})
-    SELECT count(*) AS n, round(corr(p0.r2, p1.r2), 5) AS correlation, round(1 - abs(corr(p0.r2, p1.r2)), 5) AS distance, round((SELECT sum(CASE WHEN p1.r2 > 0.5 THEN p0.r2 ELSE 0 END) / sum(p0.r2) FROM p0 LEFT JOIN p1 USING (i, j) WHERE p0.r2 > 0.5), 5) AS coverage FROM p0 JOIN p1 USING (i, j)""",
+    SELECT count(*) AS n, coalesce(round(corr(p0.r2, p1.r2), 5), 0) AS correlation, coalesce(round(1 - abs(corr(p0.r2, p1.r2)), 5), 0) AS distance, round((SELECT coalesce(sum(CASE WHEN p1.r2 > 0.5 THEN p0.r2 ELSE 0 END) / sum(p0.r2), 1) FROM p0 LEFT JOIN p1 USING (i, j) WHERE p0.r2 > 0.5), 5) AS coverage FROM p0 JOIN p1 USING (i, j)""",
 )
 def compare_ld(spark, sf_dir):
     """Correlation of r^2 on both sides, distance 1 - |r|, and the share of the reference's r^2 that the other side covers."""
@@ -307,8 +307,9 @@ def compare_ld(spark, sf_dir):
     x, y = F.col("x"), F.col("y")
     t = t.agg(n.alias("n"), s(x).alias("sx"), s(y).alias("sy"), s(x * x).alias("sxx"), s(y * y).alias("syy"), s(x * y).alias("sxy"), F.sum(F.when(x > 0.5, x)).alias("held"), F.sum(F.when((x > 0.5) & (y > 0.5), x).otherwise(0.0)).alias("covered"))
     spread = F.sqrt((F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")) * (F.col("n") * F.col("syy") - F.col("sy") * F.col("sy")))
-    r = F.coalesce(F.try_divide(F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy"), spread), F.lit(0.0))
-    return t.select("n", F.round(r, 5).alias("correlation"), F.round(1 - F.abs(r), 5).alias("distance"), F.round(F.coalesce(F.try_divide("covered", "held"), F.lit(1.0)), 5).alias("coverage"))
+    r = F.try_divide(F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy"), spread)  # undefined: correlation and distance are 0
+    zero = F.lit(0.0)
+    return t.select("n", F.round(F.coalesce(r, zero), 5).alias("correlation"), F.round(F.coalesce(1 - F.abs(r), zero), 5).alias("distance"), F.round(F.coalesce(F.try_divide("covered", "held"), F.lit(1.0)), 5).alias("coverage"))
 
 
 @query("power_table", None)

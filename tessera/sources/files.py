@@ -54,4 +54,4 @@ def read_model(spark: SparkSession, path: str):
 def write_model(spark: SparkSession, path: str, weights: list[int], threshold: int, notes: dict[str, str] | None = None) -> None:
     from ..operators.classifier import to_wire
 
-    spark.createDataFrame([(to_wire(weights, threshold, notes=notes),)], "value string").coalesce(1).write.option("lineSep", "").text(path)
+    spark.createDataFrame([(to_wire(weights, threshold, notes=notes).rstrip("\n"),)], "value string").coalesce(1).write.text(path)
