@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..ship import ensure
 
 #: Bytes of a chunk at most, and places of each part of the feature vector.
 CHUNK_BYTES = 1200
@@ -73,6 +74,7 @@ def chunks(docs: DataFrame, text: str = "text", key: str = "doc_id", most: int =
                     out.append((k, n, "\n\n".join(held)))
             yield pd.DataFrame({"key": [x[0] for x in out], "chunk": [x[1] for x in out], "text": pd.Series([x[2] for x in out], dtype=object)})
 
+    ensure(docs.sparkSession)
     return source.mapInPandas(pack, f"key {key_type}, chunk int, text string").withColumnRenamed("key", key)
 
 

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..ship import ensure
+
 #: Smoothing of hormones and of moods, hysteresis length.
 HORMONE_ALPHA, MOOD_ALPHA, HYSTERESIS = 0.15, 0.2, 5
 
@@ -22,6 +24,7 @@ def over_groups(df: DataFrame, keys: list[str], order: list[str], schema: str, s
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return step(pdf.sort_values(order, ignore_index=True))
 
+    ensure(df.sparkSession)
     return df.groupBy(*keys).applyInPandas(run, schema)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import Rounds
+from ..ship import ensure
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -120,6 +121,7 @@ def topological_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
                     heapq.heappush(ready, d)
         return pd.DataFrame({"graph_id": key[0], "id": ids, "place": pd.array([place.get(i) for i in ids], dtype="Int64")})
 
+    ensure(nodes.sparkSession)
     return rows.groupBy("graph_id").applyInPandas(order, "graph_id long, id long, place long")
 
 

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..ship import ensure
+
 MISSING = 3
 PAIRS = "chr string, snp1_idx long, snp2_idx long, r_squared double, r double, n long, position1 long, position2 long"
 
@@ -37,6 +39,7 @@ def pairs(genotypes: DataFrame, window: int = 500, min_valid: int = 10, threshol
 
     genotypes: (chr, snp_idx, position, g).  Undefined pairs (fewer than ``min_valid`` common samples, or a constant side) are dropped.
     """
+    ensure(genotypes.sparkSession)
     own = F.floor(F.col("snp_idx") / window)
     spread = genotypes.withColumn("block", F.explode(F.array(own, own - 1)))
 
@@ -63,7 +66,8 @@ def dense(genotypes: DataFrame, block: int = 500) -> DataFrame:
 
     A deviation of (nearly) 0 counts as 1.  Blocks of variants meet as a grid of block pairs, each of bounded size.
     """
-    blocked = genotypes.withColumn("block", F.floor(F.col("snp_idx") / block)).cache()
+    ensure(genotypes.sparkSession)
+    blocked = genotypes.withColumn("block", F.floor(F.col("snp_idx") / block))
     last = blocked.agg(F.max("block")).first()[0]
     if last is None:
         return genotypes.sparkSession.createDataFrame([], "snp1_idx long, snp2_idx long, r double")

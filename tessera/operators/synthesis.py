@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..ship import ensure
+
 #: Fixed value: chance to stay with a donor from one pool to the next.
 PERSISTENCE = 0.7
 MISSING = 3
@@ -71,6 +73,7 @@ def synthesize(pool: DataFrame, frequencies: DataFrame, genomes: int, seed: int
                 out += [(genome, s, g) for s, g in sorted(dose.items())]
             yield pd.DataFrame(out, columns=["genome_id", "snp_idx", "g"])
 
+    ensure(spark)
     return spark.range(genomes).mapInPandas(draw, "genome_id long, snp_idx long, g int")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
+from ..ship import ensure
 
 REPORT = (
     "tick BIGINT, timestamp_ms BIGINT, mean_utility DOUBLE, min_safety DOUBLE, quarantine_fraction DOUBLE, bus_drop_rate DOUBLE, "
@@ -57,6 +58,7 @@ def ingest(events: DataFrame, path: str, checkpoint: str):
     def write(df: DataFrame, number: int) -> None:
         df.withColumn("day", F.to_date("ingested_at")).write.mode("overwrite").partitionBy("day").parquet(f"{path}/batch={number}")
 
+    ensure(events.sparkSession)
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
@@ -76,6 +78,7 @@ def rate_limited(events: DataFrame, key: str, gap: int = 100, most: int = 5, spa
             yield pd.DataFrame({key: [k[0]] * len(out), "tick": pdf["tick"].tolist(), "allowed": out})
         state.update((kept,))
 
+    ensure(events.sparkSession)
     kind = dict(events.dtypes)[key]
     return events.select(key, "tick").groupBy(key).applyInPandasWithState(step, f"{key} {kind}, tick long, allowed boolean", "kept array<long>", "append", "NoTimeout")
 
@@ -101,6 +104,7 @@ def held_regimes(events: DataFrame, key: str, seen: str, length: int = 5) -> Dat
             yield pd.DataFrame({key: [k[0]] * len(out), "tick": pdf["tick"].tolist(), "held": pd.Series(out, dtype=object)})
         state.update((held, left))
 
+    ensure(events.sparkSession)
     kind = dict(events.dtypes)[key]
     return events.select(key, "tick", seen).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, tick long, held string", "held string, left int", "append", "NoTimeout")
 
