@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..ship import ensure
 from .common import CHUNK_BYTES, map_text
 
 #: White-space delimited chunks, and pieces, whose ids a Python worker remembers, and the longest of them in characters.
@@ -245,6 +246,7 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", doc_id: str = "doc_i
             texts = [None if x is None else " ".join(map(bpe.tokens.__getitem__, x)) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
+    ensure(encoded.sparkSession)
     return encoded.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{ids}`").alias("ids")).mapInArrow(run, "doc_id long, text string").withColumnRenamed("doc_id", doc_id)
 
 

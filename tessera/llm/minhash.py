@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..ship import ensure
 from .common import Scratch, WordHashes, map_text, mix, shingles
 
 ROWS = 5
@@ -158,6 +159,7 @@ class NearDedup:
 
     def __init__(self, docs: DataFrame, percent: int = 80, text: str = "text", doc_id: str = "doc_id"):
         self.spark: SparkSession = docs.sparkSession
+        ensure(self.spark)
         self.percent, self.text, self.doc_id = percent, text, doc_id
         self.docs = docs
         self.scratch = Scratch(self.spark, "near-dedup")

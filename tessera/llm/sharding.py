@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..ship import ensure
 from .common import Scratch, text_or_empty
 
 PROBES = 32
@@ -39,6 +40,7 @@ def histogram(keys: DataFrame, probes: list[int]) -> dict[int, tuple[int, int, i
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (used, total[used], low[used], high[used])], names=["bin", "bytes", "low", "high"])
 
+    ensure(keys.sparkSession)
     parts = keys.select("key", "size").mapInArrow(run, "bin long, bytes long, low long, high long")
     rows = parts.groupBy("bin").agg(F.sum("bytes"), F.min("low"), F.max("high")).collect()
     return {r[0]: (r[1], r[2], r[3]) for r in rows}
