@@ -26,7 +26,7 @@ from ..ship import ensure
 from .common import CHUNK_BYTES, map_text
 
 #: White-space delimited chunks, and pieces, whose ids a Python worker remembers, and the longest of them in characters.
-REMEMBERED, REMEMBERED_CHARS = 300_000, 64
+REMEMBERED, REMEMBERED_CHARS = 200_000, 64
 
 
 def byte_symbols() -> list[str]:

@@ -89,6 +89,16 @@ def fold(doc_id: str, modulus: int) -> Column:
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(modulus))
 
 
+_RANGE = 1 << 52
+
+
+def hash_share(rows: int, most: int, *keys: str) -> Column:
+    """True for about 1.2 * most of ``rows`` rows (all, if there are fewer), by a hash of the keys.  A filter in the scan: neither
+    tasks nor the driver hold more than the sample, however many tasks there are, and again it picks the same."""
+    share = min(1.0, 1.2 * most / max(1, rows))
+    return F.lit(True) if share >= 1 else F.pmod(F.xxhash64(*keys), F.lit(_RANGE)) < int(share * _RANGE)
+
+
 # --------------------------------------------------------------------------- Arrow plumbing
 
 
@@ -113,6 +123,18 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = C
             start = stop
 
 
+#: Rows of a batch between Spark and Python, where the session has Spark's default: texts may be long.
+BATCH_ROWS = 2000
+
+
+def prepare(spark: SparkSession) -> None:
+    """Before a plan gets Python functions: the package is sent, and Arrow batches are kept small unless the user has set them."""
+    ensure(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def map_text(df: DataFrame, work: Callable[[pa.RecordBatch, list[bytes]], dict], schema: str, text: str = "text", limit: int = CHUNK_BYTES) -> DataFrame:
     """``work`` gets a slice and its texts, and returns the output columns."""
     from pyspark.sql.types import StructType
@@ -127,10 +149,21 @@ def map_text(df: DataFrame, work: Callable[[pa.RecordBatch, list[bytes]], dict],
             out = work(part, texts)
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for f in arrow for c in (out[f.name],)], schema=arrow)
 
-    ensure(df.sparkSession)
+    prepare(df.sparkSession)
     return df.mapInArrow(run, kind)
 
 
+def filter_text(df: DataFrame, keep: Callable[[list[bytes]], list[bool]], text: str = "text") -> DataFrame:
+    """Rows of ``df`` whose text ``keep`` lets through, all columns as they are; nothing is shuffled."""
+
+    def run(batches):
+        for part, texts in pieces(batches, text):
+            yield part.filter(pa.array(keep(texts), pa.bool_()))
+
+    prepare(df.sparkSession)
+    return df.mapInArrow(run, df.schema)
+
+
 # --------------------------------------------------------------------------- words and shingles
 
 _STEP = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, map_text, shingles, text_or_empty
+from .common import WordHashes, filter_text, map_text, shingles, text_or_empty
 
 BLOCK_BYTES = 8 << 20
 SHORT = 20
@@ -86,6 +86,18 @@ class ItemIndex:
         return out
 
 
+def item_indexes(spark, items: DataFrame, percent: int, item_id: str = "item_id", item_text: str = "text") -> list:
+    """A broadcast ItemIndex for each block of items; at least one, if an empty one."""
+    asked = items.select(F.col(f"`{item_id}`").cast("long").alias("item"), text_or_empty(item_text).alias("t")).filter("t <> ''")
+    total = asked.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
+    blocks = max(1, math.ceil(total / BLOCK_BYTES))
+    out = []
+    for b in range(blocks):
+        block = asked.filter(F.pmod(F.xxhash64("item", "t"), F.lit(blocks)) == b).collect()
+        out.append(spark.sparkContext.broadcast(ItemIndex([(r.item, r.t.encode()) for r in block], percent)))
+    return out
+
+
 def contaminated(docs: DataFrame, items: DataFrame, percent: int = 80, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, n_item, n_common, containment): documents that hold percent of an item's distinct 5-word shingles.
 
@@ -93,17 +105,12 @@ def contaminated(docs: DataFrame, items: DataFrame, percent: int = 80, text: str
     of fewer than five words matches only a document that is just these words.  A pair is returned once, though
     rows repeat an id.  An empty table on either side gives no rows.  Other columns are not read.
     """
-    spark = docs.sparkSession
-    asked = items.select(F.col(f"`{item_id}`").cast("long").alias("item"), text_or_empty(item_text).alias("t")).filter("t <> ''")
-    total = asked.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
-    blocks = max(1, math.ceil(total / BLOCK_BYTES))
+    indexes = item_indexes(docs.sparkSession, items, percent, item_id, item_text)
     schema = "doc_id long, found array<struct<item_id:long,n_item:long,n_common:long>>"
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("n_item", pa.int64()), ("n_common", pa.int64())]))
     source = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     out = None
-    for b in range(blocks):
-        block = asked.filter(F.pmod(F.xxhash64("item", "t"), F.lit(blocks)) == b).collect()
-        index = spark.sparkContext.broadcast(ItemIndex([(r.item, r.t.encode()) for r in block], percent))
+    for index in indexes:
 
         def work(part, texts, index=index):
             table, it = WordHashes(), index.value
@@ -116,10 +123,16 @@ def contaminated(docs: DataFrame, items: DataFrame, percent: int = 80, text: str
     return out.select(F.col("doc_id").alias(doc_id), F.col("item_id"), "n_item", "n_common", (F.col("n_common") / F.col("n_item")).alias("containment"))
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, percent: int = 80, doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` without the documents that hold an item; rows with a null id stay."""
-    bad = contaminated(docs, items, percent, doc_id=doc_id).select(doc_id).distinct()
-    return docs.join(bad, doc_id, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+def drop_contaminated(docs: DataFrame, items: DataFrame, percent: int = 80, text: str = "text") -> DataFrame:
+    """``docs`` without the rows that hold an item, in one pass a block and without a shuffle; rows with a null id are judged like others."""
+    for index in item_indexes(docs.sparkSession, items, percent):
+
+        def keep(texts, index=index):
+            table, it = WordHashes(), index.value
+            return [not it.search(shingles(t, table)) for t in texts]
+
+        docs = filter_text(docs, keep, text)
+    return docs
 
 
 def query(spark, sf_dir: str) -> DataFrame:

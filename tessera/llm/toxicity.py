@@ -1,6 +1,6 @@
 """Toxicity by a linear-chain conditional random field over words.
 
-Training, on a bounded sample of labelled documents (``SAMPLE`` of each label, by lowest id hash, near copies once):
+Training, on a bounded sample of labelled documents (``SAMPLE`` of each label, by id hash, near copies once):
 document labels become token labels - a word of a toxic document is labelled toxic when it, or a
 prefix of it, is tied to toxic documents by a likelihood ratio; words of clean documents are clean - and a
 CRF with two tags learns from these tokens: weights for words and prefixes, transitions, a start.
@@ -18,23 +18,24 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, fold, map_text, shingles
+from .common import WordHashes, filter_text, fold, hash_share, map_text, shingles
 from .minhash import band_keys, signatures
 
 #: Training documents of each label at most, and the longest of them in characters: the bound of the sample.
-SAMPLE, SAMPLE_CHARS = 4000, 8000
+SAMPLE, SAMPLE_CHARS = 2500, 8000
 #: Training tokens of clean documents at most (toxic words and their neighbours are all used).
-CLEAN_TOKENS = 400_000
+CLEAN_TOKENS = 150_000
 PREFIXES = (3, 4, 5)
 BUCKETS_BITS = 18
 #: A feature is tied to toxic documents from this likelihood ratio (in nats) and share on.
-EVIDENCE, SHARE = 14.0, 0.9
+EVIDENCE, SHARE = 14.0, 0.95
 NEIGHBOURS = 6
 ROUNDS, RATE, DECAY = 60, 0.5, 1e-5
 FLOOR = 0.05
@@ -43,14 +44,15 @@ BLOCK = 256
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def features(word: str) -> list[str]:
-    return [f"{n}:{word[:n]}" for n in PREFIXES if len(word) >= n] + [f"w:{word}"]
+def features(word: str) -> list[int]:
+    """64-bit hashes of the word and of its prefixes; 0 for a prefix that the word is too short for."""
+    import xxhash
 
+    return [xxhash.xxh3_64_intdigest(f"{n}:{word[:n]}") if len(word) >= n else 0 for n in PREFIXES] + [xxhash.xxh3_64_intdigest(f"w:{word}")]
 
-def buckets(word: str) -> list[int]:
-    import xxhash
 
-    return [xxhash.xxh3_64_intdigest(f) >> (64 - BUCKETS_BITS) for f in features(word)]
+def buckets(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - BUCKETS_BITS)).astype(np.int32)
 
 
 # --------------------------------------------------------------------------- the chain
@@ -109,7 +111,7 @@ class Chain:
 class WordScores(dict):
     """word -> log weight of the toxic tag; forgets all at ``bound`` words."""
 
-    bound = 300_000
+    bound = 150_000
 
     def __init__(self, emission: np.ndarray):
         self.emission = emission
@@ -117,35 +119,33 @@ class WordScores(dict):
     def __missing__(self, word: str) -> float:
         if len(self) >= self.bound:
             self.clear()
-        value = self[word] = float(self.emission[buckets(word)].sum())
+        at = buckets(np.array(features(word), np.uint64))
+        value = self[word] = float(self.emission[at[at > 0]].sum())
         return value
 
 
-def fit(ids: np.ndarray, offsets: np.ndarray, first: np.ndarray, tags: np.ndarray) -> Chain:
-    """Adagrad on the conditional log likelihood.  ids: buckets of all words in turn; offsets: where each word's begin."""
+def fit(ids: np.ndarray, first: np.ndarray, tags: np.ndarray) -> Chain:
+    """Adagrad on the conditional log likelihood.  ids: (words, features) buckets, 0 for none; first: words that begin a sequence."""
     size = 1 << BUCKETS_BITS
     chain = Chain(np.zeros(size), np.zeros((2, 2)), np.zeros(2))
     chain.start[1], chain.transition[0, 1] = -3.0, -3.0
-    owner = np.repeat(np.arange(len(tags)), np.diff(np.append(offsets, len(ids))))
     inner = np.flatnonzero(~first)
     seen = np.zeros((2, 2))
     np.add.at(seen, (tags[inner - 1], tags[inner]), 1)
     start_seen = np.bincount(tags[first], minlength=2)
     past = [np.full(size, 1e-3), np.full((2, 2), 1e-3), np.full(2, 1e-3)]
     for _ in range(ROUNDS):
-        emit = np.add.reduceat(chain.emission[ids], offsets)
-        p, alpha, beta, m = chain.forward_backward(emit, first)
+        chain.emission[0] = 0
+        p, alpha, beta, m = chain.forward_backward(chain.emission[ids].sum(axis=1), first)
         pairs = alpha[inner - 1][:, :, None] * m[inner] * beta[inner][:, None, :]
         pairs /= pairs.sum(axis=(1, 2), keepdims=True)
         expected_start = np.array([(1 - p[first]).sum(), p[first].sum()])
-        steps = (
-            np.bincount(ids, weights=(tags - p)[owner], minlength=size) - DECAY * len(tags) * chain.emission / 100,
-            (seen - pairs.sum(axis=0)),
-            (start_seen - expected_start),
-        )
+        toward = sum(np.bincount(ids[:, k], weights=tags - p, minlength=size) for k in range(ids.shape[1]))
+        steps = (toward - DECAY * len(tags) * chain.emission / 100, seen - pairs.sum(axis=0), start_seen - expected_start)
         for w, g, h in zip((chain.emission, chain.transition, chain.start), steps, past):
             h += g * g
             w += RATE * g / np.sqrt(h)
+    chain.emission[0] = 0
     return chain
 
 
@@ -166,106 +166,138 @@ def apart(texts: list[str]) -> list[int]:
     return out
 
 
-def toxic_features(documents: list[tuple[list[str], int]]) -> set[str]:
-    """Features tied to toxic documents."""
-    n = np.bincount([y for _, y in documents], minlength=2)
+class Vocabulary(dict):
+    """word -> number, and the features of each word in turn."""
+
+    def __init__(self):
+        self.rows: list[list[int]] = []
+
+    def __missing__(self, word: str) -> int:
+        self.rows.append(features(word))
+        n = self[word] = len(self)
+        return n
+
+    def table(self) -> np.ndarray:
+        return np.array(self.rows, np.uint64).reshape(-1, len(PREFIXES) + 1)
+
+
+def toxic_words(documents: list[np.ndarray], labels: list[int], table: np.ndarray) -> np.ndarray:
+    """Which words are tied to toxic documents: themselves, or by a prefix, longest first.  What a longer feature has tied counts
+    no more for a shorter one, so a frequent toxic word does not taint its prefix.  documents: word numbers of each."""
+    tied = np.zeros(len(table), bool)
+    n = np.bincount(labels, minlength=2)
     base = n[1] / max(1, n.sum())
     if not 0 < base < 1:
-        return set()
-    found: dict[str, list[int]] = {}
-    for ws, y in documents:
-        for f in {f for w in set(ws) for f in features(w)}:
-            found.setdefault(f, [0, 0])[y] += 1
-    out = set()
-    for f, (c, t) in found.items():
-        share = t / (c + t)
-        if share >= SHARE:
-            ratio = t * np.log(share / base) + (c * np.log((1 - share) / (1 - base)) if c else 0.0)
-            if ratio >= EVIDENCE:
-                out.add(f)
-    return out
+        return tied
+    distinct = [np.unique(d) for d in documents]
+    for column in reversed(range(table.shape[1])):
+        hashes = np.where(tied, np.uint64(0), table[:, column])
+        values, inverse = np.unique(hashes, return_inverse=True)
+        counts = np.zeros((2, len(values)))
+        for d, y in zip(distinct, labels):
+            counts[y, np.unique(inverse[d])] += 1
+        c, t = counts
+        with np.errstate(invalid="ignore", divide="ignore"):
+            share = t / (c + t)
+            ratio = t * np.log(share / base) + np.where(c > 0, c * np.log((1 - share) / (1 - base)), 0)
+        good = (values > 0) & (t > 0) & (share >= SHARE) & (ratio >= EVIDENCE)
+        tied |= good[inverse]
+    return tied
 
 
 def train(texts: list[str], labels: list[int]) -> Chain:
     keep = apart(texts)
-    documents = [(_WORD.findall(texts[i].lower()), labels[i]) for i in keep]
-    tied = toxic_features(documents)
-    sequences: list[tuple[list[str], list[int]]] = []
+    vocabulary = Vocabulary()
+    documents = [np.fromiter(map(vocabulary.__getitem__, _WORD.findall(texts[i].lower())), np.int32) for i in keep]
+    labels = [int(labels[i]) for i in keep]
+    table = vocabulary.table()
+    del vocabulary
+    tied = toxic_words(documents, labels, table)
+    words: list[np.ndarray] = []
+    sides: list[int] = []
     clean = 0
-    for ws, y in documents:
-        if not ws:
+    for d, y in zip(documents, labels):
+        if not len(d):
             continue
         if not y:
             if clean < CLEAN_TOKENS:
-                sequences.append((ws, [0] * len(ws)))
-                clean += len(ws)
+                words.append(d)
+                sides.append(0)
+                clean += len(d)
             continue
-        marks = [any(f in tied for f in features(w)) for w in ws]
-        near = np.convolve(marks, np.ones(2 * NEIGHBOURS + 1), "same") > 0.5
+        near = np.convolve(tied[d], np.ones(2 * NEIGHBOURS + 1), "same") > 0.5 if len(d) > 2 * NEIGHBOURS else np.full(len(d), tied[d].any())
         edges = np.flatnonzero(np.diff(np.concatenate([[0], near.astype(int), [0]])))
-        sequences += [(ws[a:b], [int(x) for x in marks[a:b]]) for a, b in edges.reshape(-1, 2)]
-    if not any(any(t) for _, t in sequences):
+        words += [d[a:b] for a, b in edges.reshape(-1, 2)]
+        sides += [1] * (len(edges) // 2)
+    tokens = np.concatenate([np.empty(0, np.int32), *words])
+    first = np.zeros(len(tokens), bool)
+    first[np.cumsum([0, *map(len, words)])[:-1]] = True
+    # A word tied to toxic documents is in clean ones too, now and then: there it is clean.
+    tags = (tied[tokens] & (np.repeat(sides, [len(w) for w in words]) == 1)).astype(np.int64) if words else np.empty(0, np.int64)
+    if not tags.any():
         return Chain(np.zeros(1 << BUCKETS_BITS), np.array([[0.0, -30.0], [0.0, -30.0]]), np.array([0.0, -30.0]))
-    cache: dict[str, list[int]] = {}
-    ids, offsets, first, tags = [], [], [], []
-    for ws, ts in sequences:
-        for k, (w, t) in enumerate(zip(ws, ts)):
-            if w not in cache:
-                cache[w] = buckets(w)
-            offsets.append(len(ids))
-            ids += cache[w]
-            first.append(k == 0)
-            tags.append(t)
-    return fit(np.array(ids), np.array(offsets), np.array(first), np.array(tags))
+    return fit(buckets(table)[tokens], first, tags)
 
 
 def learn(docs: DataFrame, labels: DataFrame, keep: Column | None = None, text: str = "text", doc_id: str = "doc_id", toxic: str = "toxic", sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> Chain:
-    """A chain from at most ``sample`` documents of each label, those of lowest id hash; texts of over
+    """A chain from at most ``sample`` documents of each label, picked by id hash; texts of over
     ``sample_chars`` are not trained on.  ``keep``: which labels may be learnt from, by the columns of ``labels``.
     Labels other than 0 and 1, null ids and null texts are not."""
     rows = labels if keep is None else labels.filter(keep)
     rows = rows.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{toxic}`").cast("int").alias("y")).filter("id IS NOT NULL AND y IN (0, 1)").distinct()
-    chosen = None
+    n = {r.y: r[1] for r in rows.groupBy("y").agg(F.count(F.lit(1))).collect()}
+    chosen = reduce(lambda a, b: a | b, [(F.col("y") == y) & hash_share(n.get(y, 0), sample, "id") for y in (0, 1)])
+    picked = {}
     for y in (0, 1):
-        some = rows.filter(F.col("y") == y).withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(sample)
-        chosen = some if chosen is None else chosen.union(some)
-    ids = docs.sparkSession.createDataFrame(chosen.collect(), "id long, y int, h long")  # 2 * sample rows
+        some = sorted(r.id for r in rows.filter(chosen & (F.col("y") == y)).limit(4 * sample).collect())
+        picked |= {i: y for i in np.random.default_rng(y).permutation(some)[:sample].tolist()}
+    ids = docs.sparkSession.createDataFrame(list(picked.items()), "id long, y int")  # 2 * sample rows
     texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).filter(F.length("text") <= sample_chars)
     found = texts.join(F.broadcast(ids), "id").dropDuplicates(["id"]).collect()
-    found.sort(key=lambda r: (r.h, r.id))
+    found.sort(key=lambda r: (r.id * 2654435761 % 2**32, r.id))
     return train([r.text for r in found], [r.y for r in found])
 
 
 # --------------------------------------------------------------------------- scoring
 
 
-def score(docs: DataFrame, chain: Chain, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, score, predicted, spans) of each row: spans are character offsets [start, end) of toxic words.
+class Scorer:
+    """What a Python worker holds while it scores."""
 
-    Null and empty texts, and texts without a letter, score 0 and have no spans.  Repeated rows stay; no other column is read.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(chain)  # 2^BUCKETS_BITS weights
-    held: list[WordScores] = []
+    def __init__(self, chain: Chain):
+        self.chain, self.table = chain, WordScores(chain.emission)
 
-    def work(part, texts):
-        model = shared.value
-        if not held:
-            held.append(WordScores(model.emission))
-        table = held[0]
-        decoded = [t.decode() for t in texts]
-        found = [_WORD.findall(t.lower()) for t in decoded]
+    def words(self, texts: list[str]):
+        """Scores, marginals of all words in turn, and each text's words and where they end."""
+        found = [_WORD.findall(t.lower()) for t in texts]
         counts = np.array([len(x) for x in found], np.int64)
         ends = np.cumsum(counts)
-        emit = np.fromiter((table[w] for ws in found for w in ws), np.float64, int(counts.sum()))
+        emit = np.fromiter((self.table[w] for ws in found for w in ws), np.float64, int(counts.sum()))
         first = np.zeros(len(emit), bool)
         first[(ends - counts)[counts > 0]] = True
-        p = model.marginals(emit, first)
+        p = self.chain.marginals(emit, first)
         clean = np.concatenate([[0.0], np.cumsum(np.where(p >= FLOOR, np.log1p(-np.minimum(p, 1 - 1e-12)), 0.0))])
         scores = -np.expm1(clean[ends] - clean[ends - counts])
         if len(p):  # below the floor the largest marginal still tells texts apart
             most = np.zeros(len(texts))
             most[counts > 0] = np.maximum.reduceat(p, (ends - counts)[counts > 0])
             scores = np.maximum(scores, most)
+        return np.clip(scores, 0.0, 1.0) + 0.0, p, counts, ends
+
+
+def score(docs: DataFrame, chain: Chain, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, score, predicted, spans) of each row: spans are character offsets [start, end) of toxic words.
+
+    Null and empty texts, and texts without a letter, score 0 and have no spans.  Repeated rows stay; no other column is read.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(chain)  # 2^BUCKETS_BITS weights
+    held: list[Scorer] = []
+
+    def work(part, texts):
+        if not held:
+            held.append(Scorer(shared.value))
+        decoded = [t.decode() for t in texts]
+        scores, p, counts, ends = held[0].words(decoded)
         spans = []
         for t, n, end in zip(decoded, counts, ends):
             at = np.flatnonzero(p[end - n : end] >= 0.5)
@@ -274,7 +306,6 @@ def score(docs: DataFrame, chain: Chain, text: str = "text", doc_id: str = "doc_
                 spans.append([{"start": words[k].start(), "end": words[k].end()} for k in at])
             else:
                 spans.append([])
-        scores = np.clip(scores, 0.0, 1.0) + 0.0
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         return {"doc_id": part.column(0), "score": scores, "predicted": (scores >= 0.5).astype(np.int32), "spans": pa.array(spans, kind)}
 
@@ -282,10 +313,17 @@ def score(docs: DataFrame, chain: Chain, text: str = "text", doc_id: str = "doc_
     return map_text(source, work, "doc_id long, score double, predicted int, spans array<struct<start:int,end:int>>").withColumnRenamed("doc_id", doc_id)
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without the rows that are predicted toxic; rows with a null id stay."""
-    bad = score(docs, learn(docs, labels, doc_id=doc_id, **options), doc_id=doc_id).filter("predicted = 1").select(doc_id).distinct()
-    return docs.join(bad, doc_id, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+def drop_toxic(docs: DataFrame, labels: DataFrame, text: str = "text", **options) -> DataFrame:
+    """``docs`` without the rows that are predicted toxic, in one pass and without a shuffle; rows with a null id are judged like others."""
+    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, text=text, **options))
+    held: list[Scorer] = []
+
+    def keep(texts):
+        if not held:
+            held.append(Scorer(shared.value))
+        return (held[0].words([t.decode() for t in texts])[0] < 0.5).tolist()
+
+    return filter_text(docs, keep, text)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
