@@ -10,11 +10,13 @@ filter says wrongly: of n probes with a false positive rate f, (hits - f n) / (1
 from __future__ import annotations
 
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, fold, map_text, mix
+from .common import CHUNK_BYTES, fold, hash_share, map_text, mix
 
 #: Training texts of each language, and the longest of them in characters: the bound of the sample.
 SAMPLE, SAMPLE_CHARS = 500, 20_000
@@ -116,18 +118,20 @@ def has_ascii_letter(text: bytes) -> bool:
 
 
 def train(docs: DataFrame, keep: Column | None = None, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> Filters:
-    """Filters from at most ``sample`` whole texts of each language, those of lowest id hash among texts up to
-    ``sample_chars``.  ``keep``: which rows may be learnt from.  Rows with null text, language or id are not."""
+    """Filters from at most ``sample`` whole texts of each language, picked by hash among texts of up to
+    ``sample_chars`` characters.  ``keep``: which rows may be learnt from.  Rows with null text, language or id are not."""
     rows = docs if keep is None else docs.filter(keep)
     rows = rows.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").cast("string").alias("text")).filter("id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
     rows = rows.filter(F.length("text") <= sample_chars)
-    found = [r[0] for r in rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect()]
+    found = {r[0]: r[1] for r in rows.groupBy("lang").agg(F.count(F.lit(1))).limit(MOST_LANGUAGES + 1).collect()}
     if len(found) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    out = {}
-    for x in sorted(found):
-        chosen = rows.filter(F.col("lang") == x).select("text", F.xxhash64("id").alias("h")).orderBy("h", "text").limit(sample)
-        out[x] = [r.text.encode() for r in chosen.collect()]
+    out: dict[str, list[bytes]] = {x: [] for x in found}
+    if found:
+        chosen = reduce(lambda a, b: a | b, [(F.col("lang") == x) & hash_share(n, sample, "id", "text") for x, n in found.items()])
+        for r in sorted(rows.filter(chosen).limit(4 * sample * len(found)).collect(), key=lambda r: (r.id, r.text)):
+            if len(out[r.lang]) < sample:
+                out[r.lang].append(r.text.encode())
     return Filters(out)
 
 
