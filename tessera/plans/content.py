@@ -279,3 +279,19 @@ def perceptron(spark, sf_dir):
     w = classifier.fit(t.filter("train"), "y", "x", "key")
     t = t.withColumn("score", classifier.score(w, F.col("x"))).withColumn("predicted", (F.col("score") >= 0).cast("int"))
     return classifier.confusion(t, "y", "predicted", "train")
+
+
+@query("malware_risk", None)
+def malware_risk(spark, sf_dir):
+    """Half the confidence of a known content, else risk from entropy over 0.8; known contents are benchmark passages by hash."""
+    d = read(spark, sf_dir, "documents").select("doc_id", "text", T.content_hash(F.col("text")).alias("h"))
+    known = read(spark, sf_dir, "benchmark").select(T.content_hash(F.col("text")).alias("h"), F.lit(0.9).alias("confidence")).distinct()
+    t = d.join(known, "h", "left").withColumn("entropy", T.byte_entropy(F.col("text")))
+    risk = F.when(F.col("confidence").isNotNull(), 0.5 * F.col("confidence")).when(F.col("entropy") > 0.8, F.col("entropy")).otherwise(0.0)
+    return t.select("doc_id", F.round(risk, 6).alias("risk"))
+
+
+@query("duplicate_keys", "SELECT c_mktsegment AS k, count(*) AS n, count(DISTINCT c_nationkey) AS nations FROM customer GROUP BY 1 HAVING count(*) > 1")
+def duplicate_keys(spark, sf_dir):
+    """Keys that a unique insert would refuse."""
+    return read(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("c_nationkey").alias("nations")).filter("n > 1")

@@ -399,3 +399,60 @@ def elite_selection(spark, sf_dir):
 def generation_stats(spark, sf_dir):
     p = read(spark, sf_dir, "part").select("p_brand", ((F.col("p_size") % 50) / 50.0).alias("f"))
     return p.groupBy("p_brand").agg(F.round(F.avg("f"), 6).alias("mean_fitness"), F.min("f").alias("min_fitness"), F.max("f").alias("max_fitness"), F.count_if(F.col("f") > 0.7).alias("n_fit"))
+
+
+@query(
+    "code_quality",
+    f"""WITH RECURSIVE {COMPONENTS_SQL}, s AS (SELECT least(1, greatest(0, r2 - (r2 - {START}) * (1 - {PLASTICITY}::DOUBLE) ** {STEPS})) AS weight FROM p)
+    SELECT (SELECT count(*) FROM s)::DOUBLE / (SELECT count(*) FROM part) > 3 AS tangled, (SELECT count(*) FROM blocks WHERE n_snps > 50) AS large_blocks, (SELECT avg(weight) FROM s) < 0.2 AS weak""",
+)
+def code_quality(spark, sf_dir):
+    """Edges a node over three, blocks of over fifty members, a mean weight under a fifth."""
+    s = synapses(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_edges"), F.avg("weight").alias("w"))
+    n = read(spark, sf_dir, "part").agg(F.count(F.lit(1)).alias("n"))
+    b = _blocks(spark, sf_dir).agg(F.count_if(F.col("n_snps") > 50).alias("large_blocks"))
+    return s.join(n, how="cross").join(b, how="cross").select((F.col("n_edges") / F.col("n") > 3).alias("tangled"), "large_blocks", (F.col("w") < 0.2).alias("weak"))
+
+
+@query("crypto_risk", f"WITH {NEURONS_SQL} SELECT id, position_bp FROM neurons WHERE position_bp < 1000")
+def crypto_risk(spark, sf_dir):
+    return neurons(spark, sf_dir).filter("position_bp < 1000").select("id", "position_bp")
+
+
+@query("trait_pattern", f"WITH {SYNAPSES_SQL} SELECT round(least(1, 0.42::DOUBLE + 0.3::DOUBLE * avg(weight)), 6) AS confidence FROM synapses")
+def trait_pattern(spark, sf_dir):
+    return synapses(spark, sf_dir).agg(F.round(F.least(F.lit(1.0), 0.42 + 0.3 * F.avg("weight")), 6).alias("confidence"))
+
+
+@query("phenotypes", f"WITH {LOCI_SQL}, x AS (SELECT alt_freq, row_number() OVER (ORDER BY snp_idx) - 1 AS k FROM loci), h AS (SELECT unnest(range(4)) AS head) SELECT head, round(greatest(0, least(1, 0.1::DOUBLE * head + sum(alt_freq * ((k * 7 + head * 3) % 11 - 5) / 512))), 6) AS value FROM x CROSS JOIN h WHERE k < 512 GROUP BY head")
+def phenotypes(spark, sf_dir):
+    """Four trait heads over the allele frequencies of the first 512 variants (the heads' width)."""
+    x = _loci(spark, sf_dir).select("snp_idx", "alt_freq").orderBy("snp_idx").limit(512)
+    k = F.row_number().over(Window.orderBy("snp_idx")) - 1  # 512 rows
+    x = x.withColumn("k", k).withColumn("head", F.explode(F.array(*[F.lit(h).cast("long") for h in range(4)])))
+    value = 0.1 * F.max("head") + F.sum(F.col("alt_freq") * ((F.col("k") * 7 + F.col("head") * 3) % 11 - 5) / 512)
+    return x.groupBy("head").agg(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)), 6).alias("value"))
+
+
+@query(
+    "genomic_task",
+    f"""WITH {SYNAPSES_SQL}, {LOCI_SQL.replace(GENOTYPES_SQL.strip() + ',', '').strip()}, nn AS (SELECT snp_idx AS id, least(alt_freq, 1 - alt_freq) AS maf FROM loci), top AS (SELECT id FROM nn ORDER BY round(maf, 9) DESC, id LIMIT 8),
+    i AS (SELECT id, sum(w) AS w FROM (SELECT src AS id, weight AS w FROM synapses UNION ALL SELECT dst, weight FROM synapses) GROUP BY id), t AS (SELECT src AS id FROM synapses UNION SELECT dst FROM synapses)
+    SELECT round(0.4::DOUBLE * least(1, (SELECT sum(0.15::DOUBLE + 0.01::DOUBLE * coalesce(w, 0)) FROM top LEFT JOIN i USING (id)) / 2) + 0.25::DOUBLE * (SELECT count(*) FILTER (WHERE maf < 0.05)::DOUBLE / (count(*) + 1) FROM nn) + 0.35::DOUBLE * (SELECT count(*)::DOUBLE FROM t) / (SELECT count(*) FROM nn), 5) AS score""",
+)
+def genomic_task(spark, sf_dir):
+    """.4 risk of the eight most varied variants, .25 rare share, .35 connectivity."""
+    n, s = neurons(spark, sf_dir), synapses(spark, sf_dir)
+    ends = s.select(F.col("src").alias("id"), "weight").unionAll(s.select(F.col("dst").alias("id"), "weight")).groupBy("id").agg(F.sum("weight").alias("w"))
+    top = n.orderBy(F.desc(F.round("maf", 9)), "id").limit(8).select("id")
+    risk = top.join(ends, "id", "left").agg(F.least(F.lit(1.0), F.sum(0.15 + 0.01 * F.coalesce("w", F.lit(0.0))) / 2).alias("risk"))
+    pop = n.agg((F.count_if("is_rare") / (F.count(F.lit(1)) + 1)).alias("pop"), F.count(F.lit(1)).alias("n"))
+    touched = ends.agg(F.count(F.lit(1)).alias("touched"))
+    return risk.join(pop, how="cross").join(touched, how="cross").select(F.round(0.4 * F.col("risk") + 0.25 * F.col("pop") + 0.35 * F.col("touched") / F.col("n"), 5).alias("score"))
+
+
+@query("ld_dense", None)
+def ld_dense(spark, sf_dir):
+    """All pairs by marginal statistics, counted by strength; tested against numpy."""
+    r = linkage.dense(genotype_arrays(spark, sf_dir))
+    return r.groupBy(F.floor(F.abs("r") * 10).alias("tenth")).agg(F.count(F.lit(1)).alias("n"))
