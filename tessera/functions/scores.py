@@ -26,11 +26,11 @@ def needs_healing(alarm, quarantine, safety, drop_rate) -> Column:
 
 
 def stress_level(cortisol, adrenaline, serotonin) -> Column:
-    return 0.4 * cortisol + 0.4 * adrenaline + 0.2 * (1 - serotonin)
+    return clamp(0.4 * cortisol + 0.4 * adrenaline + 0.2 * (1 - serotonin))
 
 
 def recovery_urgency(stress, dopamine) -> Column:
-    return 0.6 * stress + 0.4 * (1 - dopamine)
+    return clamp(0.6 * stress + 0.4 * (1 - dopamine))
 
 
 def view_regime(utility, health, quarantine) -> Column:
@@ -40,21 +40,36 @@ def view_regime(utility, health, quarantine) -> Column:
 
 def detector_regime(fitness, stress, drop_rate, quarantine) -> Column:
     """By the tick detector, which hysteresis then smooths."""
-    return (
-        F.when((fitness < 0.2) | (quarantine > 0.6), "Catastrophic")
-        .when((stress > 0.7) | (drop_rate > 0.3), "Stressed")
-        .when((fitness < 0.5) | (stress > 0.4), "Recovering")
-        .otherwise("Thriving")
-    )
+    collapse = (fitness < 0.2) & (stress > 0.7)
+    weak = (fitness < 0.4) | (drop_rate > 0.5) | (quarantine > 0.6)
+    well = (fitness > 0.75) & (stress < 0.3)
+    return F.when(collapse, "Catastrophic").when(weak, "Recovering").when(well, "Thriving").otherwise("Stressed")
+
+
+def _level(x, cuts) -> Column:
+    """Name of the first cut that x is over; the last name has none."""
+    out = F.lit(cuts[-1][1])
+    for cut, name in reversed(cuts[:-1]):
+        out = F.when(x > cut, name).otherwise(out)
+    return out
+
+
+#: What valence and arousal are called.
+MOODS = ((0.7, "optimistic"), (0.5, "content"), (0.3, "worried"), (None, "distressed"))
+ENERGIES = ((0.7, "alert"), (0.4, "active"), (None, "calm"))
 
 
 def mood(valence, arousal) -> Column:
-    high = arousal >= 0.5
-    return F.when((valence >= 0.5) & high, "excited").when(valence >= 0.5, "calm").when(high, "distressed").otherwise("subdued")
+    return F.concat_ws(" yet ", _level(valence, MOODS), _level(arousal, ENERGIES))
+
+
+def readiness(test_rate, safety, heartbeats, utility) -> Column:
+    return 0.35 * clamp(test_rate) + 0.35 * clamp(safety) + 0.20 * clamp(heartbeats / 10_000) + 0.10 * clamp(utility)
 
 
-def readiness(fitness, safety, heartbeats, coverage) -> Column:
-    return 0.35 * fitness + 0.35 * safety + 0.20 * F.least(F.lit(1.0), heartbeats / 10_000) + 0.10 * coverage
+def adulthood_gates(test_rate, safety, heartbeats, utility) -> Column:
+    """Names of the gates that are missed."""
+    return failed_gates(tests=test_rate >= 0.95, safety=safety >= 0.75, heartbeats=heartbeats >= 1000, utility=utility >= 0.70)
 
 
 def failed_gates(**gates: Column) -> Column:

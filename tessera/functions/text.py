@@ -5,14 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: ASCII punctuation.
+# ASCII punctuation, and the Unicode properties of the character classes.
 ASCII_PUNCTUATION = r"[!-/:-@\[-`{-~]"
-UPPER, LOWER_, SPACE = r"\p{Lu}", r"\p{Ll}", r"[\s\u0085  -     　]"
-#: Words that begin code lines.
-CODE_WORDS = ("fn ", "def ", "class ", "import ", "return ", "let ", "const ", "struct ", "impl ", "pub ", "use ", "#include", "function ", "var ")
+UPPER, LOWER_, SPACE = r"\p{IsUppercase}", r"\p{IsLowercase}", r"\p{IsWhite_Space}"
+# Marks of code.  A strong one is enough; a weak one counts beside braces, semicolons or a second line.
+STRONG_CODE = ("fn ", "def ", "println", "print(", "#!/", "pub fn ", "async fn ", "```")
+WEAK_CODE = (
+    "fn ", "def ", "let ", "pub ", "import ", "return ", "print(", "println", "class ", "const ", "var ", "function", "#!/", "->", "::", "self.", "this.",
+    "async ", "await ", "struct ", "impl ", "use ", "from ", "```", "#[", "include ", "package ", "module ", "export ", "require(", "console.", "std::",
+    "Result<", "Option<", "Vec<", "match ", "else {", "if (", "for (", "while (", "elif ", "endif", "done", "echo ", "cargo ", "npm ",
+)
 CODE_MARKS = r"[{}();=<>]"
 
 
+def ascii_lower(text: Column) -> Column:
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def has_any(text: Column, words: tuple[str, ...]) -> Column:
+    """One pass with an alternation of literals."""
+    import re
+
+    return text.rlike("|".join(re.sub(r"([^\w\s])", r"\\\1", w) for w in words))
+
+
 def char_classes(text: Column) -> Column:
     """Counts of upper case, lower case, white space, ASCII punctuation and other characters, in that priority."""
     n = lambda p: F.regexp_count(text, F.lit(p)).cast("long")
@@ -33,10 +49,10 @@ def byte_entropy(text: Column) -> Column:
 
 
 def squash(text: Column) -> Column:
-    """Without control characters, runs of white space as one blank, runs of one letter as two."""
-    no_control = F.regexp_replace(text, r"[\p{Cc}&&[^\t\n\x0B\f\r\x85]]", "")
+    """Without control characters but line feed and tab; runs of white space as one blank, runs of one letter as two."""
+    no_control = F.regexp_replace(text, r"[\p{Cc}&&[^\t\n]]", "")
     one_blank = F.regexp_replace(no_control, f"{SPACE}+", " ")
-    return F.regexp_replace(one_blank, r"(\p{L})\1{2,}", "$1$1")
+    return F.regexp_replace(one_blank, r"(\p{IsAlphabetic})\1{2,}", "$1$1")
 
 
 def reduction(text: Column) -> Column:
@@ -45,21 +61,22 @@ def reduction(text: Column) -> Column:
 
 
 def looks_like_code(text: Column) -> Column:
-    """A code word at a line's start, or braces and semicolons together."""
-    words = "|".join(w.replace("#", r"\#") for w in CODE_WORDS)
-    starts = text.rlike(f"(?m)^[ \t]*({words})")
-    return starts | ((F.regexp_count(text, F.lit(r"[{}]")) >= 2) & (F.regexp_count(text, F.lit(";")) >= 2))
+    n = lambda p: F.regexp_count(text, F.lit(p))
+    braces, semicolons, several = n(r"[{}]"), n(";"), F.contains(text, F.lit("\n"))
+    calls = F.contains(text, F.lit("(")) & F.contains(text, F.lit(")")) & several & (semicolons >= 1)
+    beside = (braces >= 1) | (semicolons >= 1) | several
+    return has_any(text, STRONG_CODE) | (has_any(text, WEAK_CODE) & beside) | (braces >= 2) | (semicolons >= 2) | ((n("=") >= 2) & several) | calls
 
 
 def indented_code(text: Column) -> Column:
-    """Two or more indented lines that are not blank."""
-    return F.regexp_count(text, F.lit(r"(?m)^[ \t]+\S")) >= 2
+    """Two or more lines that begin with a blank or tab."""
+    return F.regexp_count(text, F.lit(r"(?m)^[ \t]")) >= 2
 
 
 def code_line_shape(text: Column) -> Column:
-    """Two lines or more, half of them under 72 characters, three or more code marks."""
-    lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
-    short = F.size(F.filter(lines, lambda x: F.length(x) < 72))
+    """Two lines or more that are not blank, half of them under 72 bytes, three or more code marks."""
+    lines = F.filter(F.split(text, "\n"), lambda x: F.regexp_replace(x, f"{SPACE}+", "") != "")
+    short = F.size(F.filter(lines, lambda x: F.octet_length(F.rtrim(F.lit("\r"), x)) < 72))
     return (F.size(lines) >= 2) & (2 * short >= F.size(lines)) & (F.regexp_count(text, F.lit(CODE_MARKS)) >= 3)
 
 
@@ -82,14 +99,15 @@ def path_kind(path: Column) -> Column:
 def glyph_class(c: Column) -> Column:
     """Class of one character by its code point."""
     return (
-        F.when(c.rlike(r"^[0-9]$"), "digit")
-        .when(c.rlike(r"^[A-Z]$"), "upper")
-        .when(c.rlike(r"^[a-z]$"), "lower")
-        .when(c.rlike(f"^{SPACE}$"), "space")
+        F.when(c.rlike(f"^{SPACE}$"), "space")
+        .when(c.rlike(r"^[0-9]$"), "digit")
         .when(c.rlike(f"^{ASCII_PUNCTUATION}$"), "punct")
-        .when(c.rlike(r"^\p{Cc}$"), "control")
-        .when(c.rlike(r"^[\u0080-ɏ]$"), "latin")
-        .when(c.rlike(r"^\p{L}$"), "letter")
+        .when(c.rlike(r"^[A-Za-z]$"), "letter")
+        .when(c.rlike("^[\u0300-\u036f]$"), "combining")
+        .when(c.rlike("^[\u4e00-\u9fff\u3040-\u30ff]$"), "wide")
+        .when(c.rlike(r"^\p{ASCII}$"), "narrow")
+        .when(c.rlike(r"^\p{IsAlphabetic}$"), "letter")
+        .when(~c.rlike(r"^\p{Cc}$"), "symbol")
         .otherwise("other")
     )
 

@@ -95,7 +95,8 @@ def sweep(df: DataFrame, label: str, scored: str, low: int = -40, high: int = 40
 
 # --------------------------------------------------------------------------- model files
 
-HEADER = "NTG_CALIB_V1"
+#: Last part of the header word; any prefix is read.
+HEADER = "CALIB_V1"
 
 
 def to_wire(weights: list[int], threshold: int, schema: int = 1, notes: dict[str, str] | None = None) -> str:
@@ -106,7 +107,7 @@ def to_wire(weights: list[int], threshold: int, schema: int = 1, notes: dict[str
 def from_wire(text: str) -> tuple[list[int], int, int, dict[str, str]]:
     lines = text.splitlines()
     head = lines[0].split() if lines else []
-    if len(head) != 4 or head[0] != HEADER:
+    if len(head) != 4 or not head[0].endswith(HEADER):
         raise ValueError("not a calibration file")
     weights = [int(x) for line in lines[1:] if not line.startswith("#") for x in line.split()]
     if len(weights) != int(head[1]):

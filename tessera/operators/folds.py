@@ -8,14 +8,18 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..ship import ensure
 
-#: Smoothing of hormones and of moods, hysteresis length.
-HORMONE_ALPHA, MOOD_ALPHA, HYSTERESIS = 0.15, 0.2, 5
+#: Smoothing, ticks of hysteresis, the regime and the levels at the start.
+ALPHA, HYSTERESIS, FIRST_REGIME = 0.15, 5, "Thriving"
+HORMONES = {"growth": 0.6, "cortisol": 0.1, "adrenaline": 0.0, "dopamine": 0.5, "serotonin": 0.7, "acetylcholine": 0.3, "gaba": 0.5, "oxytocin": 0.8}
+MOOD = {"valence": 0.6, "arousal": 0.3, "confidence": 0.7, "curiosity": 0.5}
+CONFIDENCE = {"Thriving": 0.9, "Stressed": 0.6, "Recovering": 0.3, "Catastrophic": 0.1}
 
 
 def over_groups(df: DataFrame, keys: list[str], order: list[str], schema: str, step) -> DataFrame:
@@ -28,7 +32,7 @@ def over_groups(df: DataFrame, keys: list[str], order: list[str], schema: str, s
     return df.groupBy(*keys).applyInPandas(run, schema)
 
 
-def ema(df: DataFrame, key: str, order: list[str], columns: dict[str, str], alpha: float = HORMONE_ALPHA) -> DataFrame:
+def ema(df: DataFrame, key: str, order: list[str], columns: dict[str, str], alpha: float = ALPHA) -> DataFrame:
     """(key, order..., out...) of x_t = x_(t-1) + alpha (target_t - x_(t-1)), from 0.5.  columns: out -> target."""
     types = dict(df.dtypes)
     schema = ", ".join(f"{c} {types[c]}" for c in [key, *order]) + "".join(f", {k} double" for k in columns)
@@ -46,32 +50,95 @@ def ema(df: DataFrame, key: str, order: list[str], columns: dict[str, str], alph
     return over_groups(df, [key], order, schema, step)
 
 
-def hormones(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Cortisol, adrenaline, serotonin and dopamine follow stress, alarm, safety and utility."""
-    targets = df.withColumns({"t_cortisol": 1 - F.col("safety"), "t_adrenaline": F.greatest(F.when(F.col("alarm"), 1.0).otherwise(0.0), F.col("quarantine")), "t_serotonin": F.col("safety"), "t_dopamine": F.col("utility")})
-    return ema(targets, key, order, {n: f"t_{n}" for n in ("cortisol", "adrenaline", "serotonin", "dopamine")})
+def recurrence(keep, add, start: float, low: float = 0.0, high: float = 1.0) -> np.ndarray:
+    """x_t = keep_t x_(t-1) + add_t, held between ``low`` and ``high``."""
+    out = np.empty(len(add))
+    x = start
+    for t, (a, b) in enumerate(zip(np.broadcast_to(keep, len(add)).tolist(), add.tolist())):
+        x = out[t] = min(high, max(low, a * x + b))
+    return out
+
+
+def hormone_levels(fitness: np.ndarray, quarantine: np.ndarray, drops: np.ndarray) -> dict[str, np.ndarray]:
+    """Eight levels over a history; each is a first-order recurrence on what the others and the inputs drive."""
+    ema = recurrence(1 - ALPHA, ALPHA * fitness, 0.5, -np.inf, np.inf)
+    age = np.arange(1, len(fitness) + 1)
+    alarm = drops > 0.1
+    out = {"growth": np.clip(0.2 * np.exp(-age / 500_000) + 0.8 * np.maximum(ema, 0.3), 0, 1)}
+    out["cortisol"] = recurrence(0.6 * 0.92, 0.4 * quarantine, HORMONES["cortisol"])
+    out["adrenaline"] = recurrence(np.where(alarm, 0.0, 0.4), np.where(alarm, np.minimum(drops, 1.0), 0.0), HORMONES["adrenaline"])
+    out["dopamine"] = recurrence(0.3, 0.7 * np.clip(0.8 * ema - 0.3 * drops, 0, 1), HORMONES["dopamine"])
+    out["serotonin"] = recurrence(0.6, 0.4 * np.clip(0.6 * ema + 0.4 * (1 - quarantine), 0, 1), HORMONES["serotonin"])
+    out["acetylcholine"] = recurrence(0.4 * 0.9, 0.6 * (drops + quarantine), HORMONES["acetylcholine"])
+    stress = np.clip(0.4 * out["cortisol"] + 0.4 * out["adrenaline"] + 0.2 * (1 - out["serotonin"]), 0, 1)
+    out["gaba"] = recurrence(0.6, 0.4 * (0.5 + stress * (1 - ema)), HORMONES["gaba"])
+    bond = np.where(ema > 0.7, 0.9, np.where(ema < 0.3, 0.4, np.nan))
+    out["oxytocin"] = recurrence(np.where(np.isnan(bond), 0.7, 0.0), np.where(np.isnan(bond), 0.0, 0.7 * bond) + 0.3 * 0.6, HORMONES["oxytocin"])
+    return out
+
+
+def hormones(df: DataFrame, key: str, order: list[str], fitness: str = "utility", quarantine: str = "quarantine", drops: str = "drop_rate") -> DataFrame:
+    """(key, order..., the eight hormones)."""
+    types = dict(df.dtypes)
+    schema = ", ".join(f"{c} {types[c]}" for c in [key, *order]) + "".join(f", {h} double" for h in HORMONES)
+
+    def step(rows):
+        out = rows[[key, *order]].copy()
+        levels = hormone_levels(*(rows[c].to_numpy(float) for c in (fitness, quarantine, drops)))
+        for h in HORMONES:
+            out[h] = levels[h]
+        return out
+
+    return over_groups(df, [key], order, schema, step)
 
 
-def hysteresis(df: DataFrame, key: str, order: list[str], seen: str, length: int = HYSTERESIS) -> DataFrame:
-    """(key, order..., held): the label that is held.  Each disagreeing tick counts down from ``length``; at 0 the label flips and
-    the count starts again; an agreeing tick restores it.  The first tick's label is taken at once."""
+def moods(df: DataFrame, key: str, order: list[str], fitness: str = "utility", regime: str = "regime") -> DataFrame:
+    """(key, order..., valence, arousal, confidence, curiosity) from hormones, the regime that holds and fitness."""
+    types = dict(df.dtypes)
+    schema = ", ".join(f"{c} {types[c]}" for c in [key, *order]) + "".join(f", {m} double" for m in MOOD)
+
+    def step(rows):
+        h = {c: rows[c].to_numpy(float) for c in HORMONES}
+        fit = rows[fitness].to_numpy(float)
+        target = {
+            "valence": 0.4 * h["dopamine"] + 0.4 * h["serotonin"] + 0.2 * fit - 0.3 * h["cortisol"],
+            "arousal": 0.3 * h["adrenaline"] + 0.3 * h["acetylcholine"] - 0.2 * h["gaba"] - 0.15 * h["growth"],
+            "confidence": np.array([CONFIDENCE[r] for r in rows[regime]]),
+            "curiosity": 0.4 * h["growth"] + 0.35 * fit + 0.25 * (1 - h["gaba"]),
+        }
+        out = rows[[key, *order]].copy()
+        for m, first in MOOD.items():
+            out[m] = recurrence(1 - ALPHA, ALPHA * np.clip(target[m], 0, 1), first)
+        return out
+
+    return over_groups(df, [key], order, schema, step)
+
+
+class Hysteresis:
+    """The label that is held: agreeing ticks add up, disagreeing ones take away, and with none left the label flips and ``length`` are given."""
+
+    def __init__(self, held: str = FIRST_REGIME, left: int = 0, length: int = HYSTERESIS):
+        self.held, self.left, self.length = held, left, length
+
+    def see(self, label: str) -> str:
+        if label == self.held:
+            self.left += 1
+        elif self.left > 0:
+            self.left -= 1
+        else:
+            self.held, self.left = label, self.length
+        return self.held
+
+
+def hysteresis(df: DataFrame, key: str, order: list[str], seen: str, length: int = HYSTERESIS, first: str = FIRST_REGIME) -> DataFrame:
+    """(key, order..., held) of each group's labels in order."""
     types = dict(df.dtypes)
     schema = ", ".join(f"{c} {types[c]}" for c in [key, *order]) + ", held string"
 
     def step(rows):
-        held, left, out = None, length, []
-        for label in rows[seen].tolist():
-            if held is None:
-                held = label
-            elif label == held:
-                left = length
-            else:
-                left -= 1
-                if left <= 0:
-                    held, left = label, length
-            out.append(held)
+        state = Hysteresis(first, 0, length)
         result = rows[[key, *order]].copy()
-        result["held"] = pd.Series(out, dtype=object)
+        result["held"] = pd.Series([state.see(x) for x in rows[seen].tolist()], dtype=object)
         return result
 
     return over_groups(df, [key], order, schema, step)
@@ -101,41 +168,53 @@ def verify_chain(stored: DataFrame, key: str, order: str, content: str) -> DataF
     return stored.withColumn("ok__", ok).filter(~F.col("ok__")).drop("ok__")
 
 
-def rate_limit(df: DataFrame, key: str, order: str, gap: int, most: int, span: int) -> DataFrame:
-    """(key, order, allowed): allowed if ``gap`` passed since the last allowed one, or fewer than ``most`` were allowed in the last ``span``."""
+class RateLimit:
+    """A change is allowed once ``window`` ticks have passed since the last one, or while fewer than ``most`` were allowed in the running window."""
+
+    def __init__(self, window: int, most: int, last: int = 0, used: int = 0):
+        self.window, self.most, self.last, self.used = window, most, last, used
+
+    def ask(self, tick: int) -> bool:
+        fresh = max(0, tick - self.last) >= self.window
+        if not fresh and self.used >= self.most:
+            return False
+        self.used = 1 if fresh else self.used + 1
+        self.last = tick
+        return True
+
+
+def rate_limit(df: DataFrame, key: str, order: str, window: int, most: int) -> DataFrame:
+    """(key, order, allowed) of each group's requests in order."""
     types = dict(df.dtypes)
 
     def step(rows):
-        kept, out = [], []
-        for at in rows[order].tolist():
-            recent = sum(1 for k in kept if at - k < span)
-            ok = not kept or at - kept[-1] >= gap or recent < most
-            if ok:
-                kept = [k for k in kept if at - k < span] + [at]
-            out.append(ok)
+        state = RateLimit(window, most)
         result = rows[[key, order]].copy()
-        result["allowed"] = out
+        result["allowed"] = [state.ask(t) for t in rows[order].tolist()]
         return result
 
     return over_groups(df, [key], [order], f"{key} {types[key]}, {order} {types[order]}, allowed boolean", step)
 
 
 def pattern_learning(df: DataFrame, key: str, order: str, success: str, gain: str) -> DataFrame:
-    """(key, n, mean_gain, confidence): mean = (mean + gain) / 2 and +0.05 on success (0.5 at first), -0.05 on failure."""
+    """(key, successes, failures, mean_gain, confidence).  The first success makes the pattern (0.5, its gain); later ones halve the
+    mean towards their gain and add 0.05, failures take 0.05.  Failures before it count for nothing; a key without success has no row."""
     types = dict(df.dtypes)
 
     def step(rows):
-        n, mean, confidence = 0, 0.0, 0.5
+        wins = losses = 0
+        mean, confidence = 0.0, 0.5
         for ok, g in zip(rows[success].tolist(), rows[gain].tolist()):
             if ok:
-                mean = g if n == 0 else (mean + g) / 2
-                confidence = confidence if n == 0 else min(1.0, confidence + 0.05)
-            else:
+                mean, confidence = (g, 0.5) if not wins else ((mean + g) / 2, min(1.0, confidence + 0.05))
+                wins += 1
+            elif wins:
+                losses += 1
                 confidence = max(0.0, confidence - 0.05)
-            n += 1
-        return pd.DataFrame({key: rows[key].iloc[:1], "n": [n], "mean_gain": [mean], "confidence": [confidence]})
+        n = int(wins > 0)
+        return pd.DataFrame({key: rows[key].iloc[:n], "successes": [wins] * n, "failures": [losses] * n, "mean_gain": [mean] * n, "confidence": [confidence] * n})
 
-    return over_groups(df, [key], [order], f"{key} {types[key]}, n long, mean_gain double, confidence double", step)
+    return over_groups(df, [key], [order], f"{key} {types[key]}, successes long, failures long, mean_gain double, confidence double", step)
 
 
 # --------------------------------------------------------------------------- frames

@@ -132,37 +132,65 @@ def rule_summary(applied: DataFrame, rules: list[Rule]) -> DataFrame:
 
 # --------------------------------------------------------------------------- remediation
 
-#: What is done about a cause, with its estimated milliseconds and gain.
+# Metrics whose ratio to the baseline, over or under a limit, tells a cause with a confidence; what is done
+# about a cause, with its gain and estimated milliseconds; severities in order.
+CAUSES = (
+    ("memory_usage", "over", 1.5, "MemoryLeak", 0.8),
+    ("cache_hit_rate", "under", 0.7, "CacheInvalidation", 0.7),
+    ("lock_contention", "over", 2.0, "DeadlockRisk", 0.6),
+    ("thread_queue_depth", "over", 3.0, "ThreadStarvation", 0.75),
+    ("gpu_memory", "over", 1.3, "GPUMemoryLeak", 0.75),
+    ("latency", "over", 5.0, "AlgorithmicComplexity", 0.6),
+)
+UNKNOWN_CONFIDENCE = 0.3
 REMEDIES = (
-    ("memory_pressure", "shrink_cache", 20, 0.3),
-    ("memory_pressure", "compact", 80, 0.2),
-    ("slow_path", "switch_path", 10, 0.25),
-    ("slow_path", "rebuild_index", 150, 0.4),
-    ("error_burst", "rollback", 50, 0.5),
-    ("unknown", "observe", 1, 0.0),
+    ("MemoryLeak", "FreeLeakedMemory", 0.8, 50),
+    ("MemoryLeak", "CompactHeap", 0.4, 100),
+    ("CacheInvalidation", "InvalidateCache", 0.9, 30),
+    ("CacheInvalidation", "PrefetchData", 0.5, 20),
+    ("ThreadStarvation", "RebalanceThreadPool", 0.85, 10),
+    ("AlgorithmicComplexity", "EnableParallelization", 0.75, 50),
 )
 SEVERITIES = ("Info", "Warning", "Error", "Critical")
+RECOVERY_MS, FIX_UP_TO = 100, "Error"
 
 
 def root_cause(metric: Column, ratio: Column) -> Column:
-    """Cause and confidence from which metric got worse, and how far."""
-    cause = F.when(metric == "memory", "memory_pressure").when(metric == "latency", "slow_path").when(metric == "errors", "error_burst").otherwise("unknown")
-    return F.struct(cause.alias("cause"), F.when(cause == "unknown", 0.3).when(ratio > 2, 0.9).otherwise(0.6).alias("confidence"))
+    """(cause, confidence) of a metric by its ratio to the baseline; a null cause where none is known."""
+    cause, confidence = F.lit(None).cast("string"), F.lit(UNKNOWN_CONFIDENCE)
+    for name, side, limit, what, sure in CAUSES:
+        hit = (metric == name) & ((ratio > limit) if side == "over" else (ratio < limit))
+        cause, confidence = F.when(hit, what).otherwise(cause), F.when(hit, sure).otherwise(confidence)
+    return F.struct(cause.alias("cause"), confidence.alias("confidence"))
 
 
 def remediations(errors: DataFrame) -> DataFrame:
-    """errors (cause, severity, ...) with one row a remedy: action, estimated_ms, gain, success (quick enough, not beyond Error)."""
-    known = errors.sparkSession.createDataFrame(REMEDIES, "cause string, action string, estimated_ms int, gain double")
+    """errors (cause, severity, ...) with one row a remedy: action, gain, estimated_ms, success (quick enough, not beyond Error); one row without an
+    action where nothing is known to help."""
+    known = errors.sparkSession.createDataFrame(REMEDIES, "cause string, action string, gain double, estimated_ms int")
     rank = F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), F.col("severity"))
     out = errors.join(F.broadcast(known), "cause", "left")
-    return out.withColumn("success", F.coalesce((F.col("estimated_ms") < 100) & (rank <= 3), F.lit(False)))
+    return out.withColumn("success", F.coalesce((F.col("estimated_ms") < RECOVERY_MS) & (rank <= SEVERITIES.index(FIX_UP_TO) + 1), F.lit(False)))
 
 
 # --------------------------------------------------------------------------- stages
 
-#: Life stages in order, and the first stage that has each permission.
-STAGES = ("zygote", "neonate", "infant", "child", "adolescent", "young_adult", "adult", "elder")
-PERMISSIONS = {"observe": "zygote", "pulse": "zygote", "learn": "neonate", "recall": "neonate", "explore": "infant", "signal": "infant", "train": "child", "propose": "adolescent", "mutate": "young_adult", "prune": "young_adult", "spawn": "adult", "govern": "elder"}
+# Life stages in order, and the first stage that has each permission.
+STAGES = ("zygote", "neonate", "infant", "toddler", "child", "adolescent", "young_adult", "adult")
+PERMISSIONS = {
+    "heartbeat": "zygote",
+    "inspect_structure": "zygote",
+    "hold_genome": "zygote",
+    "activate": "neonate",
+    "train_weights": "neonate",
+    "prune_synapses": "adolescent",
+    "ingest_real_vcf": "adolescent",
+    "language_tissue": "infant",
+    "phageguard": "toddler",
+    "selection_loop": "adolescent",
+    "school": "child",
+    "self_mod_research": "young_adult",
+}
 
 
 def permissions(spark: SparkSession) -> DataFrame:
@@ -182,7 +210,7 @@ def graduates(agents: DataFrame, gates: dict[str, Column]) -> DataFrame:
 
 
 def zygote_gate(beats: Column, pushes: Column, chromosomes: Column, dropped: Column) -> Column:
-    return (beats >= 8) & (pushes >= 8) & (chromosomes > 0) & (dropped * 2 <= pushes)
+    return (beats >= 8) & (pushes >= 8) & (chromosomes > 0) & (dropped <= F.floor(pushes / 2))
 
 
 def neonate_gate(care_days: Column, mean_weight: Column, working_set: Column) -> Column:

@@ -61,11 +61,11 @@ def url_fnv(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", T.fnv1a(F.col("url")).cast("string").alias("fnv"))
 
 
-@query("squash", r"""WITH s AS (SELECT doc_id, length(text) AS n, regexp_replace(regexp_replace(text, '[\x00-\x08\x0e-\x1f\x7f]', '', 'g'), '[\s\x0b]+', ' ', 'g') AS t FROM documents) SELECT doc_id, length(t) AS n_blank, n FROM s""")
+@query("squash", r"""WITH s AS (SELECT doc_id, length(text) AS n, regexp_replace(regexp_replace(text, '[\x00-\x08\x0b-\x1f\x7f]', '', 'g'), '[\s\x0b]+', ' ', 'g') AS t FROM documents) SELECT doc_id, length(t) AS n_blank, n FROM s""")
 def squash(spark, sf_dir):
     """Characters once controls are gone and white space is one blank; runs of letters are tested apart."""
     d = read(spark, sf_dir, "documents")
-    one = F.regexp_replace(F.regexp_replace("text", r"[\x00-\x08\x0e-\x1f\x7f]", ""), f"{T.SPACE}+", " ")
+    one = F.regexp_replace(F.regexp_replace("text", r"[\x00-\x08\x0b-\x1f\x7f]", ""), f"{T.SPACE}+", " ")
     return d.select("doc_id", F.length(one).cast("long").alias("n_blank"), F.length("text").cast("long").alias("n"))
 
 
@@ -74,15 +74,19 @@ def reduction(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.round(T.reduction(F.col("text")), 6).alias("reduction"))
 
 
+_CODE_TEXT = r"""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_name || chr(10) || '  x = {' || p_size || '};' || chr(10) || '  y;' WHEN 1 THEN 'a = b;' || chr(10) || '    c = ' || p_size ELSE p_name END AS t FROM part"""
+
+
 @query(
     "code_shape",
-    r"""SELECT p_partkey, regexp_matches(t, '(?m)^[ \t]*(fn |def |class |import |return |let |const |struct |impl |pub |use |#include|function |var )') OR (length(t) - length(regexp_replace(t, '[{}]', '', 'g')) >= 2 AND length(t) - length(replace(t, ';', '')) >= 2) AS code,
-    len(regexp_extract_all(t, '(?m)^[ \t]+\S')) >= 2 AS indented FROM (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_name || chr(10) || '  x = {' || p_size || '};' || chr(10) || '  y;' WHEN 1 THEN 'def f():' || chr(10) || '    return ' || p_size ELSE p_name END AS t FROM part)""",
+    rf"""WITH s AS ({_CODE_TEXT}), n AS (SELECT p_partkey, t, length(t) - length(regexp_replace(t, '[{{}}]', '', 'g')) AS braces, length(t) - length(replace(t, ';', '')) AS semis, length(t) - length(replace(t, '=', '')) AS assigns, contains(t, chr(10)) AS several FROM s)
+    SELECT p_partkey, braces >= 2 OR semis >= 2 OR (assigns >= 2 AND several) AS code, len(regexp_extract_all(t, '(?m)^[ \t]')) >= 2 AS indented FROM n""",
 )
 def code_shape(spark, sf_dir):
+    """By braces, semicolons and assignments; code words are tested on fixtures."""
     p = read(spark, sf_dir, "part")
     size = F.col("p_size").cast("string")
-    t = F.when(F.col("p_partkey") % 3 == 0, F.concat("p_name", F.lit("\n  x = {"), size, F.lit("};\n  y;"))).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("def f():\n    return "), size)).otherwise(F.col("p_name"))
+    t = F.when(F.col("p_partkey") % 3 == 0, F.concat("p_name", F.lit("\n  x = {"), size, F.lit("};\n  y;"))).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("a = b;\n    c = "), size)).otherwise(F.col("p_name"))
     p = p.select("p_partkey", t.alias("t"))
     return p.select("p_partkey", T.looks_like_code(F.col("t")).alias("code"), T.indented_code(F.col("t")).alias("indented"))
 

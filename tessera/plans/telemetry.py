@@ -81,7 +81,7 @@ def regime_hysteresis(spark, sf_dir):
     return folds.hysteresis(t.select("batch_id", "tick", "seen"), "batch_id", ORDER, "seen")
 
 
-@query("detector_regimes", f"WITH {TICKS_SQL} SELECT CASE WHEN utility < 0.2 OR quarantine > 0.6 THEN 'Catastrophic' WHEN 1 - safety > 0.7 OR drop_rate > 0.3 THEN 'Stressed' WHEN utility < 0.5 OR 1 - safety > 0.4 THEN 'Recovering' ELSE 'Thriving' END AS regime, count(*) AS n FROM t GROUP BY 1")
+@query("detector_regimes", f"WITH {TICKS_SQL} SELECT CASE WHEN utility < 0.2 AND 1 - safety > 0.7 THEN 'Catastrophic' WHEN utility < 0.4 OR drop_rate > 0.5 OR quarantine > 0.6 THEN 'Recovering' WHEN utility > 0.75 AND 1 - safety < 0.3 THEN 'Thriving' ELSE 'Stressed' END AS regime, count(*) AS n FROM t GROUP BY 1")
 def detector_regimes(spark, sf_dir):
     t = ticks(spark, sf_dir)
     return t.groupBy(S.detector_regime(F.col("utility"), 1 - F.col("safety"), F.col("drop_rate"), F.col("quarantine")).alias("regime")).agg(F.count(F.lit(1)).alias("n"))
@@ -90,10 +90,20 @@ def detector_regimes(spark, sf_dir):
 @query("hormones")
 def hormones(spark, sf_dir):
     """Hormone levels and what follows from them; a fold, tested against a plain loop."""
-    t = ticks(spark, sf_dir).select("batch_id", "tick", "utility", "safety", "alarm", "quarantine")
+    t = ticks(spark, sf_dir).select("batch_id", "tick", "utility", "drop_rate", "quarantine")
     h = folds.hormones(t, "batch_id", ORDER)
-    stress = S.stress_level(F.col("cortisol"), F.col("adrenaline"), F.col("serotonin"))
-    return h.withColumn("stress", stress).withColumn("urgency", S.recovery_urgency(F.col("stress"), F.col("dopamine"))).withColumn("mood", S.mood(F.col("dopamine"), F.col("adrenaline")))
+    return h.withColumn("stress", S.stress_level(F.col("cortisol"), F.col("adrenaline"), F.col("serotonin"))).withColumn("urgency", S.recovery_urgency(F.col("stress"), F.col("dopamine")))
+
+
+@query("moods")
+def moods(spark, sf_dir):
+    """Emotional state under the regime that the detector holds, stress taken from the hormones; folds, tested against plain loops."""
+    t = ticks(spark, sf_dir).select("batch_id", "tick", "utility", "drop_rate", "quarantine")
+    h = hormones(spark, sf_dir).join(t, ["batch_id", "tick"])
+    seen = h.withColumn("seen", S.detector_regime(F.col("utility"), F.col("stress"), F.col("drop_rate"), F.col("quarantine")))
+    held = folds.hysteresis(seen.select("batch_id", "tick", "seen"), "batch_id", ORDER, "seen").withColumnRenamed("held", "regime")
+    m = folds.moods(h.join(held, ["batch_id", "tick"]), "batch_id", ORDER)
+    return m.withColumn("mood", S.mood(F.col("valence"), F.col("arousal")))
 
 
 @query("rolling_health", f"WITH {HEALTH_SQL} SELECT event_id, round(avg(health) OVER (PARTITION BY batch_id ORDER BY tick ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 6) AS rolling, count(*) OVER w5 = 5 AND max(health) OVER w5 < 0.5 AS degraded FROM h WINDOW w5 AS (PARTITION BY batch_id ORDER BY tick ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)")
@@ -104,13 +114,13 @@ def rolling_health(spark, sf_dir):
 
 @query(
     "low_utility_streaks",
-    f"""WITH {TICKS_SQL}, i AS (SELECT *, sum(CASE WHEN utility < 0.3 THEN 0 ELSE 1 END) OVER (PARTITION BY batch_id ORDER BY tick) AS island FROM t),
-    s AS (SELECT event_id, safety, CAST(sum(CASE WHEN utility < 0.3 THEN 1 ELSE 0 END) OVER (PARTITION BY batch_id, island ORDER BY tick) AS BIGINT) AS streak FROM i)
+    f"""WITH {TICKS_SQL}, i AS (SELECT *, sum(CASE WHEN utility < 0.3 AND safety > 0 THEN 0 ELSE 1 END) OVER (PARTITION BY batch_id ORDER BY tick) AS island FROM t),
+    s AS (SELECT event_id, safety, CAST(sum(CASE WHEN utility < 0.3 AND safety > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY batch_id, island ORDER BY tick) AS BIGINT) AS streak FROM i)
     SELECT event_id, streak, CASE WHEN safety <= 0 THEN 'deterministic' WHEN streak > 0 AND streak % 2 = 0 THEN 'load' END AS alarm FROM s""",
 )
 def low_utility_streaks(spark, sf_dir):
-    """Load fires on every second tick of a streak; no safety fires at once."""
-    s = folds.streaks(ticks(spark, sf_dir), "batch_id", ORDER, F.col("utility") < 0.3)
+    """Load fires on every second tick of a streak; no safety fires at once, and ends the streak."""
+    s = folds.streaks(ticks(spark, sf_dir), "batch_id", ORDER, (F.col("utility") < 0.3) & (F.col("safety") > 0))
     return s.select("event_id", "streak", F.when(F.col("safety") <= 0, "deterministic").when((F.col("streak") > 0) & (F.col("streak") % 2 == 0), "load").alias("alarm"))
 
 
@@ -118,30 +128,30 @@ def low_utility_streaks(spark, sf_dir):
     "drift",
     f"""WITH {TICKS_SQL}, b AS (SELECT batch_id, avg(utility) AS base FROM t WHERE tick <= 5 GROUP BY batch_id),
     w AS (SELECT event_id, batch_id, avg(utility) OVER (PARTITION BY batch_id ORDER BY tick ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS now FROM t)
-    SELECT event_id, round(abs(now - base) / base, 6) AS ratio, abs(now - base) / base > 0.4 AS drifted FROM w JOIN b USING (batch_id) WHERE base > 0""",
+    SELECT event_id, round(abs(now - base) / (base + 0.001::DOUBLE), 6) AS ratio, abs(now - base) / (base + 0.001::DOUBLE) > 0.4 AS drifted FROM w JOIN b USING (batch_id)""",
 )
 def drift(spark, sf_dir):
     """Mean of the last ten ticks against the warm-up of five."""
     t = ticks(spark, sf_dir)
-    base = t.filter("tick <= 5").groupBy("batch_id").agg(F.avg("utility").alias("base")).filter("base > 0")
+    base = t.filter("tick <= 5").groupBy("batch_id").agg(F.avg("utility").alias("base"))
     now = t.withColumn("now", folds.rolling_mean("utility", "batch_id", ORDER, 10)).join(base, "batch_id")
-    ratio = F.abs(F.col("now") - F.col("base")) / F.col("base")
+    ratio = F.abs(F.col("now") - F.col("base")) / (F.col("base") + 0.001)
     return now.select("event_id", F.round(ratio, 6).alias("ratio"), (ratio > 0.4).alias("drifted"))
 
 
 @query(
     "load_trend",
-    f"""WITH {TICKS_SQL}, w AS (SELECT event_id, sum(value) OVER (PARTITION BY batch_id ORDER BY tick ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) / 3 AS now,
+    f"""WITH {TICKS_SQL}, w AS (SELECT event_id, tick, value, sum(value) OVER (PARTITION BY batch_id ORDER BY tick ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) / 3 AS now,
     coalesce(sum(value) OVER (PARTITION BY batch_id ORDER BY tick ROWS BETWEEN 5 PRECEDING AND 3 PRECEDING), 0) / 3 AS before, avg(value) OVER (PARTITION BY batch_id ORDER BY tick ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS mean10 FROM t)
-    SELECT event_id, round(greatest(0, now + (now - before)), 4) AS predicted, trunc(mean10)::BIGINT >= 50 AS bottleneck FROM w""",
+    SELECT event_id, round(CASE WHEN tick < 2 THEN value ELSE greatest(0, now + (now - before)) END, 4) AS predicted, trunc(mean10)::BIGINT >= 50 AS bottleneck FROM w""",
 )
 def load_trend(spark, sf_dir):
-    """The last three against the three before, the divisor three even where there are fewer."""
+    """The last three against the three before, the divisor three even where there are fewer; a first value stands for itself."""
     t = ticks(spark, sf_dir)
     w = Window.partitionBy("batch_id").orderBy(*ORDER)
     now = F.sum("value").over(w.rowsBetween(-2, 0)) / 3
     before = F.coalesce(F.sum("value").over(w.rowsBetween(-5, -3)), F.lit(0.0)) / 3
-    return t.select("event_id", F.round(F.greatest(F.lit(0.0), now + (now - before)), 4).alias("predicted"), (folds.rolling_mean("value", "batch_id", ORDER, 10).cast("long") >= 50).alias("bottleneck"))
+    return t.select("event_id", F.round(F.when(F.col("tick") < 2, F.col("value")).otherwise(F.greatest(F.lit(0.0), now + (now - before))), 4).alias("predicted"), (folds.rolling_mean("value", "batch_id", ORDER, 10).cast("long") >= 50).alias("bottleneck"))
 
 
 @query(
@@ -204,11 +214,17 @@ def federation(spark, sf_dir):
     return h.groupBy("event_type").agg(F.round(F.avg("utility"), 6).alias("mean_utility"), F.min("safety").alias("min_safety"), F.round(F.avg(1 - F.col("safety")), 6).alias("stress"), (F.count_if(low) > 0).alias("vetoed"), F.min(F.when(low, F.col("event_id"))).alias("vetoed_by"))
 
 
-@query("gates", f"WITH {HEALTH_SQL}, b AS (SELECT batch_id, avg(utility) AS u, min(safety) AS s, count(*) AS beats, avg(coverage) AS c FROM h GROUP BY batch_id) SELECT batch_id, concat_ws(',', CASE WHEN NOT u >= 0.5 THEN 'utility' END, CASE WHEN NOT s > 0 THEN 'safety' END, CASE WHEN NOT beats >= 60 THEN 'heartbeats' END, CASE WHEN NOT c >= 0.5 THEN 'coverage' END) AS failed, round(0.35::DOUBLE * u + 0.35::DOUBLE * s + 0.2::DOUBLE * least(1, beats / 10000.0::DOUBLE) + 0.1::DOUBLE * c, 6) AS readiness FROM b")
+@query(
+    "gates",
+    f"""WITH {HEALTH_SQL}, b AS (SELECT batch_id, avg(coverage) AS c, avg(safety) AS s, count(*) * 20 AS beats, avg(utility) AS u FROM h GROUP BY batch_id)
+    SELECT batch_id, concat_ws(',', CASE WHEN NOT c >= 0.95 THEN 'tests' END, CASE WHEN NOT s >= 0.75 THEN 'safety' END, CASE WHEN NOT beats >= 1000 THEN 'heartbeats' END, CASE WHEN NOT u >= 0.70 THEN 'utility' END) AS failed,
+    round(0.35::DOUBLE * c + 0.35::DOUBLE * s + 0.2::DOUBLE * least(1, beats / 10000.0::DOUBLE) + 0.1::DOUBLE * u, 6) AS readiness FROM b""",
+)
 def gates(spark, sf_dir):
-    b = health(spark, sf_dir).groupBy("batch_id").agg(F.avg("utility").alias("u"), F.min("safety").alias("s"), F.count(F.lit(1)).alias("beats"), F.avg("coverage").alias("c"))
-    failed = S.failed_gates(utility=F.col("u") >= 0.5, safety=F.col("s") > 0, heartbeats=F.col("beats") >= 60, coverage=F.col("c") >= 0.5)
-    return b.select("batch_id", F.array_join(failed, ",").alias("failed"), F.round(S.readiness(F.col("u"), F.col("s"), F.col("beats"), F.col("c")), 6).alias("readiness"))
+    """Adulthood: coverage stands for the share of tests passed, twenty heartbeats for a tick."""
+    b = health(spark, sf_dir).groupBy("batch_id").agg(F.avg("coverage").alias("c"), F.avg("safety").alias("s"), (F.count(F.lit(1)) * 20).alias("beats"), F.avg("utility").alias("u"))
+    c = [F.col(x) for x in ("c", "s", "beats", "u")]
+    return b.select("batch_id", F.array_join(S.adulthood_gates(*c), ",").alias("failed"), F.round(S.readiness(*c), 6).alias("readiness"))
 
 
 @query("route_decisions", f"WITH {TICKS_SQL}, s AS (SELECT *, epoch_ms(ts) - lag(epoch_ms(ts)) OVER (PARTITION BY batch_id ORDER BY tick) AS ms FROM t) SELECT CASE WHEN utility >= 0.7 AND coalesce(ms, 0) < 30000 THEN 'local' WHEN utility >= 0.4 THEN 'local_fallback' ELSE 'external' END AS route, count(*) AS n, round(avg(least(1, greatest(0, 0.5::DOUBLE + 0.5::DOUBLE * (utility - 0.6::DOUBLE)))), 6) AS confidence FROM s GROUP BY 1")
@@ -222,7 +238,7 @@ def route_decisions(spark, sf_dir):
 @query("rate_limited")
 def rate_limited(spark, sf_dir):
     """Ticks on which a change is allowed; a fold, tested against a plain loop."""
-    return folds.rate_limit(ticks(spark, sf_dir).select("batch_id", "tick"), "batch_id", "tick", 10, 3, 100)
+    return folds.rate_limit(ticks(spark, sf_dir).select("batch_id", "tick"), "batch_id", "tick", 10, 3)
 
 
 @query("pattern_learning")

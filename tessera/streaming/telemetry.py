@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
+from ..operators.folds import FIRST_REGIME, Hysteresis, RateLimit
 from ..ship import ensure
 
 REPORT = (
@@ -62,47 +63,30 @@ def ingest(events: DataFrame, path: str, checkpoint: str):
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def rate_limited(events: DataFrame, key: str, gap: int = 100, most: int = 5, span: int = 1000) -> DataFrame:
-    """(key, tick, allowed) with the allowed ticks of the span as state, which is bounded by ``most`` and the gap."""
+def rate_limited(events: DataFrame, key: str, window: int = 100, most: int = 5) -> DataFrame:
+    """(key, tick, allowed): the last allowed tick and the window's count are the state."""
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        kept = list(state.get[0]) if state.exists else []
+        limit = RateLimit(window, most, *(state.get if state.exists else (0, 0)))
         for pdf in frames:
-            out = []
-            pdf = pdf.sort_values("tick")
-            for at in pdf["tick"].tolist():
-                recent = [x for x in kept if at - x < span]
-                ok = not kept or at - kept[-1] >= gap or len(recent) < most
-                kept = [*recent, at] if ok else (recent or kept[-1:])
-                out.append(ok)
-            yield pd.DataFrame({key: [k[0]] * len(out), "tick": pdf["tick"].tolist(), "allowed": out})
-        state.update((kept,))
+            ticks = sorted(pdf["tick"].tolist())
+            yield pd.DataFrame({key: [k[0]] * len(ticks), "tick": ticks, "allowed": [limit.ask(t) for t in ticks]})
+        state.update((limit.last, limit.used))
 
     ensure(events.sparkSession)
     kind = dict(events.dtypes)[key]
-    return events.select(key, "tick").groupBy(key).applyInPandasWithState(step, f"{key} {kind}, tick long, allowed boolean", "kept array<long>", "append", "NoTimeout")
+    return events.select(key, "tick").groupBy(key).applyInPandasWithState(step, f"{key} {kind}, tick long, allowed boolean", "last long, used int", "append", "NoTimeout")
 
 
-def held_regimes(events: DataFrame, key: str, seen: str, length: int = 5) -> DataFrame:
+def held_regimes(events: DataFrame, key: str, seen: str, length: int = 5, first: str = FIRST_REGIME) -> DataFrame:
     """(key, tick, held): the detector's label with hysteresis, its label and countdown as state."""
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        held, left = state.get if state.exists else (None, length)
+        held = Hysteresis(*(state.get if state.exists else (first, 0)), length)
         for pdf in frames:
             pdf = pdf.sort_values("tick")
-            out = []
-            for label in pdf[seen].tolist():
-                if held is None:
-                    held = label
-                elif label == held:
-                    left = length
-                else:
-                    left -= 1
-                    if left <= 0:
-                        held, left = label, length
-                out.append(held)
-            yield pd.DataFrame({key: [k[0]] * len(out), "tick": pdf["tick"].tolist(), "held": pd.Series(out, dtype=object)})
-        state.update((held, left))
+            yield pd.DataFrame({key: [k[0]] * len(pdf), "tick": pdf["tick"].tolist(), "held": pd.Series([held.see(x) for x in pdf[seen].tolist()], dtype=object)})
+        state.update((held.held, held.left))
 
     ensure(events.sparkSession)
     kind = dict(events.dtypes)[key]

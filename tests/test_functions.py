@@ -73,7 +73,7 @@ def test_byte_encoder(spark):
         assert spark.createDataFrame([(t,)], "t string").select(A.ternary_bytes(F.col("t"))).first()[0] == want
 
 
-TEXTS = ["", "Hello, World", "aaaa  bbb\t\tc\x01d", "ÉCOLE été ßß 中文!!", "x" * 300, "\n\n　 z"]
+TEXTS = ["", "Hello, World", "aaaa  bbb\x01c\rd", "ÉCOLE été ßß 中文!!", "x" * 300, "\n\n　 z"]
 
 
 def test_text_measures(spark):
@@ -91,14 +91,14 @@ def test_text_measures(spark):
         assert int(r.f) == h
         assert r.h == hashlib.sha256(t.encode()).hexdigest()
         assert 0 <= r.r < 1
-    assert out[2].s == "aa bb cd" and out[4].s == "xx"
+    assert out[2].s == "aa bbcd" and out[4].s == "xx" and out[5].s == " z"
 
 
 def test_lines(spark):
     df = spark.createDataFrame([("## Two", 2, None), ("#no", 0, None), ("12. item", 0, "item"), ("1.item", 0, None)], "t string, level int, item string")
     for r in df.select("*", T.heading_level(F.col("t")).alias("l"), T.numbered_item(F.col("t")).alias("n")).collect():
         assert (r.l, r.n) == (r.level, r.item)
-    code = spark.createDataFrame([("fn main() {\n  x;\n}", True), ("plain words", False), ("{a;} b;", True)], "t string, code boolean")
+    code = spark.createDataFrame([("fn main() {\n  x;\n}", True), ("plain words", False), ("{a;} b;", True), ("we use this", False), ("we use it\nthis", True), ("#!/bin/sh", True), ("a = 1\nb = 2", True), ("std::x;", True)], "t string, code boolean")
     assert all(r.code == r.c for r in code.select("code", T.looks_like_code(F.col("t")).alias("c")).collect())
     assert one(spark, x=T.extract_text(F.lit('{"prompt": "p", "content": "c"}')), y=T.extract_text(F.lit("{}"))).asDict() == {"x": "p", "y": ""}
 
@@ -111,6 +111,8 @@ def test_scores(spark):
         sick=S.health_score(f(0.0), f(0.0), f(0.0), f(True), f(1.0)),
         heal=S.needs_healing(f(False), f(0.0), f(1.0), f(0.4)),
         regime=S.view_regime(f(0.1), f(0.1), f(0.0)),
+        seen=S.detector_regime(f(0.1), f(0.8), f(0.0), f(0.0)),
+        mood=S.mood(f(0.6), f(0.3)),
         route=S.route(f(0.7), f(29_999)),
         fallback=S.route(f(0.7), f(30_000)),
         path=S.agent_path(f("micro"), f(3), f(14), f(7)),
@@ -122,6 +124,7 @@ def test_scores(spark):
         better=S.degradation(f(50.0), f(100.0), True),
     )
     assert (r.health, r.sick, r.heal, r.regime, r.route, r.fallback) == (1.0, 0.0, True, "Recovering", "local", "local_fallback")
+    assert (r.seen, r.mood) == ("Catastrophic", "content yet calm")
     assert r.path == "/super/0/sub/3/micro/14" and r["index"] == 1053 and r.failed == ["b"] and r.band == "high" and r.sev == "Error" and r.better == 0
     w = 0.2
     for _ in range(3):

@@ -129,26 +129,52 @@ def test_drop_weakest(spark):
 
 def test_folds_against_loops(spark):
     rng = random.Random(5)
-    rows = [(k, t, rng.choice("AB"), rng.random()) for k in range(3) for t in range(40)]
-    df = spark.createDataFrame(rows, "k long, tick long, label string, x double").repartition(4)
-    held = {(r.k, r.tick): r.held for r in folds.hysteresis(df, "k", ["tick"], "label", 3).collect()}
-    level = {(r.k, r.tick): r.e for r in folds.ema(df, "k", ["tick"], {"e": "x"}, 0.2).collect()}
-    allowed = {(r.k, r.tick): r.allowed for r in folds.rate_limit(df.select("k", "tick"), "k", "tick", 10, 2, 15).collect()}
+    rows = [(k, 3 * t, rng.choice("AAB"), rng.random(), rng.random() * 0.3, rng.random()) for k in range(3) for t in range(60)]
+    df = spark.createDataFrame(rows, "k long, tick long, label string, utility double, drop_rate double, quarantine double").repartition(4)
+    held = {(r.k, r.tick): r.held for r in folds.hysteresis(df, "k", ["tick"], "label", 3, "A").collect()}
+    level = {(r.k, r.tick): r.e for r in folds.ema(df, "k", ["tick"], {"e": "utility"}, 0.2).collect()}
+    allowed = {(r.k, r.tick): r.allowed for r in folds.rate_limit(df.select("k", "tick"), "k", "tick", 10, 2).collect()}
+    h = {(r.k, r.tick): r for r in folds.hormones(df, "k", ["tick"]).collect()}
+    clip = lambda x: min(1.0, max(0.0, x))
     for k in range(3):
-        now, left, e, kept = None, 3, 0.5, []
-        for _, t, label, x in (r for r in rows if r[0] == k):
-            if now is None:
-                now = label
-            elif label == now:
-                left = 3
-            else:
+        now, left, e, last, used = "A", 0, 0.5, 0, 0
+        ema, c, a, d, s, ach, g, o = 0.5, 0.1, 0.0, 0.5, 0.7, 0.3, 0.5, 0.8
+        for n, (_, t, label, u, drop, q) in enumerate(r for r in rows if r[0] == k):
+            if label == now:
+                left += 1
+            elif left:
                 left -= 1
-                if left == 0:
-                    now, left = label, 3
-            e += 0.2 * (x - e)
-            ok = not kept or t - kept[-1] >= 10 or sum(t - a < 15 for a in kept) < 2
-            kept += [t] * ok
+            else:
+                now, left = label, 3
+            e += 0.2 * (u - e)
+            ok = t - last >= 10 or used < 2
+            if ok:
+                used = 1 if t - last >= 10 else used + 1
+                last = t
             assert held[k, t] == now and abs(level[k, t] - e) < 1e-12 and allowed[k, t] == ok
+            ema = 0.15 * u + 0.85 * ema
+            growth = 0.2 * np.exp(-(n + 1) / 500_000) + 0.8 * max(ema, 0.3)
+            c = 0.4 * q + 0.6 * c * 0.92
+            a = min(drop, 1.0) if drop > 0.1 else a * 0.4
+            d = 0.7 * clip(0.8 * ema - 0.3 * drop) + 0.3 * d
+            s = 0.4 * clip(0.6 * ema + 0.4 * (1 - q)) + 0.6 * s
+            ach = clip(0.6 * (drop + q) + 0.4 * ach * 0.9)
+            g = clip(0.4 * (0.5 + clip(0.4 * c + 0.4 * a + 0.2 * (1 - s)) * (1 - ema)) + 0.6 * g)
+            o = 0.7 * (0.9 if ema > 0.7 else 0.4 if ema < 0.3 else o) + 0.3 * 0.6
+            got = h[k, t]
+            want = (growth, c, a, d, s, ach, g, o)
+            assert all(abs(x - y) < 1e-9 for x, y in zip((got.growth, got.cortisol, got.adrenaline, got.dopamine, got.serotonin, got.acetylcholine, got.gaba, got.oxytocin), want))
+
+
+def test_moods(spark):
+    h = dict.fromkeys(folds.HORMONES, 0.5)
+    df = spark.createDataFrame([(1, t, 0.8, "Thriving", *h.values()) for t in range(3)], "k long, tick long, utility double, regime string, " + ", ".join(f"{x} double" for x in h))
+    r = folds.moods(df, "k", ["tick"]).orderBy("tick").collect()
+    v = 0.6
+    for t in range(3):
+        v = 0.15 * (0.2 + 0.2 + 0.16 - 0.15) + 0.85 * v
+        assert abs(r[t].valence - v) < 1e-12
+    assert abs(r[0].confidence - (0.15 * 0.9 + 0.85 * 0.7)) < 1e-12
 
 
 def test_chain_finds_tampering(spark):
@@ -166,14 +192,14 @@ def test_streaks_and_transitions(spark):
 
 
 def test_pattern_learning(spark):
-    df = spark.createDataFrame([("p", 0, True, 0.4), ("p", 1, True, 0.8), ("p", 2, False, 0.0)], "k string, t long, ok boolean, gain double")
-    r = folds.pattern_learning(df, "k", "t", "ok", "gain").first()
-    assert r.n == 3 and abs(r.mean_gain - 0.6) < 1e-12 and abs(r.confidence - 0.5) < 1e-12
+    df = spark.createDataFrame([("p", 0, False, 0.0), ("p", 1, True, 0.4), ("p", 2, True, 0.8), ("p", 3, False, 0.0), ("q", 0, False, 0.1)], "k string, t long, ok boolean, gain double")
+    rows = folds.pattern_learning(df, "k", "t", "ok", "gain").collect()
+    assert [(r.k, r.successes, r.failures, round(r.mean_gain, 9), round(r.confidence, 9)) for r in rows] == [("p", 2, 1, 0.6, 0.5)]
 
 
 # --------------------------------------------------------------------------- documents and classifier
 
-DOC = "# Top\nintro\n## Part\n- item\n1. first\n```rs\nfn main() {}\nlet x = 1;\n```\ntail\n# Next\nend"
+DOC = "# Top\nintro\n  ## Part #2 \n- item\n1. first\n```rs\nfn main() {}\n  let x = 1;\n```\r\ntail\n# Next\n+ end\n```\nnever closed"
 
 
 def test_markdown_graph(spark):
@@ -183,28 +209,29 @@ def test_markdown_graph(spark):
         (0, None, "Content", ""),
         (1, 0, "Content", "Top"),
         (2, 1, "Content", "intro"),
-        (3, 1, "Content", "Part"),
+        (3, 1, "Content", "Part #2"),
         (4, 3, "Content", "item"),
         (5, 3, "Content", "first"),
-        (6, 3, "Execution", "fn main() {}\nlet x = 1;"),
+        (6, 3, "Execution", "fn main() {}\n  let x = 1;"),
         (7, 3, "Content", "tail"),
         (8, 0, "Content", "Next"),
-        (9, 8, "Content", "end"),
+        (9, 8, "Content", "+ end"),
     ]
     assert documents.parse_markdown(df).filter("doc_id > 1").count() == 2
 
 
 def test_chunks(spark):
-    df = spark.createDataFrame([(1, "a" * 700 + "\n\n" + "b" * 600 + "\n\nc"), (2, "x" * 3000), (3, None), (4, "p\n\nq")], "doc_id long, text string")
+    df = spark.createDataFrame([(1, "a" * 700 + "\n\n" + "b" * 600 + "\n\nc"), (2, "x" * 3000), (3, None), (4, "p\n\nq"), (5, "a" * 600 + "\n\n" + "b" * 600 + "\n\n\n\nend\n\n"), (6, "\n\n  ")], "doc_id long, text string")
     rows = [(r.doc_id, r.chunk, len(r.text)) for r in documents.chunks(df).orderBy("doc_id", "chunk").collect()]
-    assert rows == [(1, 0, 700), (1, 1, 603), (2, 0, 3000), (4, 0, 4)]
+    assert rows == [(1, 0, 700), (1, 1, 603), (2, 0, 3000), (4, 0, 4), (5, 0, 1202), (5, 1, 5)]
 
 
 def test_features_and_signature(spark):
     df = spark.createDataFrame([("fn main() { x; y; }\n  z",), ("",), ("rare haplotype block on chr7",)], "t string")
     rows = df.select("t", documents.features(F.col("t")).alias("f")).select("f", documents.signature(F.col("f"), F.col("t")).alias("s")).collect()
     assert all(len(r.f) == 64 and set(r.f) <= {-1, 0, 1} for r in rows)
-    assert rows[0].f[62] == 1 and rows[1].f[62] == -1
+    assert rows[0].f[62] == 1 and rows[1].f[62] == -1 and rows[1].f[63] == -1 and rows[0].f[63] == 1
+    assert rows[2].s[3] > 0
     assert all(not any(r.s) or abs(sum(x * x for x in r.s) - 1) < 1e-9 for r in rows) and any(rows[2].s)
 
 

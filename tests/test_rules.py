@@ -42,18 +42,19 @@ def test_actions_run_in_order(spark):
 
 
 def test_remedies(spark):
-    df = spark.createDataFrame([("memory", 3.0, "Error"), ("odd", 1.0, "Critical")], "metric string, ratio double, severity string")
+    df = spark.createDataFrame([("memory_usage", 1.6, "Error"), ("cache_hit_rate", 0.5, "Critical"), ("odd", 9.0, "Info")], "metric string, ratio double, severity string")
     df = df.withColumn("c", rules.root_cause(F.col("metric"), F.col("ratio"))).select("metric", "severity", "c.*")
     out = rules.remediations(df).collect()
-    assert {(r.metric, r.action, r.success) for r in out} == {("memory", "shrink_cache", True), ("memory", "compact", True), ("odd", "observe", False)}
+    assert {(r.metric, r.action, r.success) for r in out} == {("memory_usage", "FreeLeakedMemory", True), ("memory_usage", "CompactHeap", False), ("cache_hit_rate", "InvalidateCache", False), ("cache_hit_rate", "PrefetchData", False), ("odd", None, False)}
+    assert {r.confidence for r in out} == {0.8, 0.7, 0.3}
 
 
 def test_stages(spark):
     p = {r.stage: r for r in rules.permissions(spark).collect()}
-    assert p["zygote"].observe and not p["zygote"].learn and p["elder"].govern and len(p) == 8
-    a = spark.createDataFrame([("zygote", 8, 4), ("zygote", 8, 5), ("elder", 9, 0)], "stage string, beats int, dropped int")
-    out = rules.graduates(a, {"zygote": rules.zygote_gate(F.col("beats"), F.col("beats"), F.lit(1), F.col("dropped")), "elder": F.lit(True)})
-    assert sorted(r.next_stage for r in out.collect()) == ["elder", "neonate", "zygote"]
+    assert p["zygote"].hold_genome and not p["zygote"].activate and p["adult"].self_mod_research and not p["adolescent"].self_mod_research and len(p) == 8
+    a = spark.createDataFrame([("zygote", 8, 4), ("zygote", 8, 5), ("adult", 9, 0)], "stage string, beats int, dropped int")
+    out = rules.graduates(a, {"zygote": rules.zygote_gate(F.col("beats"), F.col("beats"), F.lit(1), F.col("dropped")), "adult": F.lit(True)})
+    assert sorted(r.next_stage for r in out.collect()) == ["adult", "neonate", "zygote"]
 
 
 def test_strategies(spark):

@@ -126,9 +126,9 @@ def test_stream_state(spark, tmp_path):
         (folder / f"{part}.json").write_text("\n".join(json.dumps({"k": 1, "tick": t, "seen": labels[t]}) for t in range(part * 5, part * 5 + 5)))
         os.utime(folder / f"{part}.json", (1_000_000 + part, 1_000_000 + part))
     t = spark.readStream.schema("k LONG, tick LONG, seen STRING").option("maxFilesPerTrigger", 1).json(str(folder))
-    for name, stream in (("limits", telemetry.rate_limited(t, "k", gap=4, most=2, span=6)), ("held", telemetry.held_regimes(t, "k", "seen", 3))):
+    for name, stream in (("limits", telemetry.rate_limited(t, "k", window=4, most=2)), ("held", telemetry.held_regimes(t, "k", "seen", 3, "A"))):
         stream.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start().awaitTermination(180)
-    assert [r.tick for r in spark.table("limits").filter("allowed").orderBy("tick").collect()] == [0, 1, 5, 7]
+    assert [r.tick for r in spark.table("limits").filter("allowed").orderBy("tick").collect()] == [0, 1, 5, 6]
     assert "".join(r.held for r in spark.table("held").orderBy("tick").collect()) == "AAAAAABBBB"
 
 
