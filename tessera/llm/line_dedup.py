@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, ascii_lower, text_or_empty
+from .common import BLANKS, Scratch, ascii_lower, text_or_empty
 
 
 def line_key(line: Column) -> Column:
@@ -39,6 +39,8 @@ def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_
         .select("ld_id", "ld_hash", "ld_pos", F.xxhash64("ld_key").alias("k1"), F.xxhash64(F.lit(0x5EED), F.col("ld_key")).alias("k2"))
     )
     shared = lines.groupBy("k1", "k2").agg(F.countDistinct("ld_id").alias("ld_docs"), F.min("ld_id").alias("ld_first")).filter(F.col("ld_docs") >= min_docs).select("k1", "k2", "ld_first")
+    # As a table of its own it meets the lines in a plain join of two exchanges, whose hot partitions Spark can split.
+    shared = Scratch(docs.sparkSession, "line-dedup").cut(shared)
     gone = lines.join(shared, ["k1", "k2"]).filter(F.col("ld_id") > F.col("ld_first")).groupBy("ld_id", "ld_hash").agg(F.collect_set("ld_pos").alias("ld_gone"))
     out = base.join(gone, ["ld_id", "ld_hash"], "left").withColumn("ld_split", F.split("ld_t", "\n", -1))
     kept = F.array_except(F.sequence(F.lit(0), F.size("ld_split") - 1), F.col("ld_gone"))
