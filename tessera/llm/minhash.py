@@ -35,7 +35,7 @@ BATCH = 32
 #: Below so many shingles a pair goes to the exact check at once: few shingles fill many bins, and the
 #: posterior takes bins for independent.
 SMALL = 64
-LARGE = 64
+LARGE = 16
 #: Chosen miss probabilities: of a pair at the threshold in all bands together, and of one pruning step.
 BAND_MISS = 1e-6
 STEP_MISS = 1e-9
@@ -172,16 +172,9 @@ class NearDedup:
         if table.isEmpty():
             return table.select("a", "b")
         named = table.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        chosen = self._texts().join(named, "id", "left_semi")
-
-        def work(part, texts):
-            hashes = WordHashes()
-            sets = [shingles(t, hashes) for t in texts]
-            return {"id": part.column(0), "s": pa.array([s.tobytes() for s in sets], pa.binary())}
-
-        sets = self.scratch.cut(map_text(chosen, work, "id long, s binary"))
+        sets = self.scratch.cut(self._sets(named, "binary"))
         left = table.join(sets.toDF("a", "sa"), "a")
-        both = left.join(sets.toDF("b", "sb"), "b").filter((F.length("sa") == F.col("na") * 8) & (F.length("sb") == F.col("nb") * 8))
+        both = left.join(sets.toDF("b", "sb"), "b")
         percent = self.percent
 
         def check(batches):
@@ -230,10 +223,15 @@ class NearDedup:
     def components(self) -> DataFrame:
         bands = bands_for(self.percent)
         base = self.scratch.cut(describe(self.docs, bands, self.text, self.doc_id))
-        classes = base.filter("n > 0 AND id IS NOT NULL").groupBy("hi", "lo").agg(F.min("id").alias("class"), F.count(F.lit(1)).alias("rows"))
-        classes = self.scratch.cut(classes)
-        firsts = base.join(classes.select(F.col("class").alias("id"), "hi", "lo"), ["id", "hi", "lo"], "left_semi")
-        firsts = firsts.dropDuplicates(["id"]) if self._repeats(classes) else firsts
+        rows = self.scratch.cut(base.select("id", "n", "hi", "lo"))
+        there = rows.filter("n > 0 AND id IS NOT NULL")
+        # A class is known by its smallest id.  Where rows repeat ids, one id may have several sets: there a class is known by a hash.
+        self.repeats = there.select("id").distinct().count() < there.count()
+        sets = there.groupBy("hi", "lo").agg(F.min("id").alias("top"))
+        sets = self.classes = self.scratch.cut(sets.withColumn("node", F.xxhash64("hi", "lo") if self.repeats else F.col("top")))
+        firsts = base.join(sets.withColumnRenamed("top", "id"), ["id", "hi", "lo"]).drop("id").withColumnRenamed("node", "id")
+        firsts = self.scratch.cut((firsts.dropDuplicates(["id"]) if self.repeats else firsts).select("id", "n", "bands", "sig"))
+        self.scratch.drop(base)
         sig = firsts.select("id", "sig")
         members = firsts.select("id", "n", F.explode("bands").alias("bucket"))
         met = self.scratch.cut(members.join(members.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("first"), F.count(F.lit(1)).alias("size")).filter("size > 1"), "bucket"))
@@ -247,13 +245,22 @@ class NearDedup:
         found = self.scratch.cut(self.verified(more, sig))
         if not found.isEmpty():
             comp = self.labels(links.union(found))
-        out = base.join(classes, ["hi", "lo"], "left").withColumn("class", F.when(F.col("n") > 0, F.col("class")))
-        out = out.join(comp.withColumnRenamed("id", "class"), "class", "left")
-        return out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("comp", "class", "id")).alias("component_id"))
-
-    def _repeats(self, classes: DataFrame) -> bool:
-        """Whether one id describes several sets (rows that repeat an id with other texts)."""
-        return not classes.groupBy("class").count().filter("count > 1").isEmpty()
+        comp = comp.withColumnRenamed("id", "node")
+        if self.repeats:
+            comp = self.labels(links.union(found).union(self._same_id(there)))
+            comp = comp.withColumnRenamed("id", "node")
+        # The smallest id of each component, then of each set, then of each row.
+        placed = sets.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        low = placed.groupBy("comp").agg(F.min("top").alias("component_id"))
+        out = rows.join(placed.join(low, "comp").select("hi", "lo", "component_id"), ["hi", "lo"], "left")
+        linked = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component_id"))
+        return out.select("id", F.col("n").alias("n_shingles"), F.coalesce(linked, "id").alias("component_id"))
+
+    def _same_id(self, there: DataFrame) -> DataFrame:
+        """(a, b): sets of one id, each with the first of them."""
+        of = there.join(self.classes, ["hi", "lo"]).select("id", "node").distinct()
+        first = of.groupBy("id").agg(F.min("node").alias("a"))
+        return of.join(first, "id").filter("node <> a").select("a", F.col("node").alias("b")).distinct()
 
     def across(self, rest: DataFrame) -> DataFrame:
         """Pairs (a, b, na, nb) across components, of the same bucket; in large buckets by ``by_difference``."""
@@ -266,8 +273,31 @@ class NearDedup:
             return pairs
         return pairs.union(self.by_difference(crowd)).distinct()
 
-    def _texts(self) -> DataFrame:
-        return self.docs.select(F.col(f"`{self.doc_id}`").cast("long").alias("id"), F.col(f"`{self.text}`").cast("string").alias("text"))
+    def _sets(self, ids: DataFrame, kind: str) -> DataFrame:
+        """(id, s): the shingle sets of the classes ``ids``, read from the texts again; one row a class."""
+
+        def work(part, texts):
+            import xxhash
+
+            table = WordHashes()
+            sets = [shingles(t, table) for t in texts]
+            halves = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
+            if kind == "binary":
+                column = pa.array([s.tobytes() for s in sets], pa.binary())
+            else:
+                ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+                column = pa.ListArray.from_arrays(ends, np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64))
+            return {"id": part.column(0), "s": column, "hi": halves[:, 0], "lo": halves[:, 1]}
+
+        named = self.classes.join(ids.withColumnRenamed("id", "node"), "node").select(F.col("top").alias("id"), "hi", "lo", "node")
+        docs = self.docs.select(F.col(f"`{self.doc_id}`").cast("long").alias("id"), F.col(f"`{self.text}`").cast("string").alias("text"))
+        sets = map_text(docs.join(named.select("id"), "id", "left_semi"), work, f"id long, s {kind}, hi long, lo long")
+        sets = sets.join(named, ["id", "hi", "lo"]).select(F.col("node").alias("id"), "s")
+        return sets.dropDuplicates(["id"]) if self.repeats else sets
+
+    def _dealt(self, df: DataFrame) -> DataFrame:
+        """Evenly over as many tasks as shuffles have: a small table of long arrays is read by few tasks, and explodes in them."""
+        return df.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")))
 
     def by_difference(self, crowd: DataFrame) -> DataFrame:
         """Candidates across components of ``crowd`` (bucket, id, n, comp, first), none missed.
@@ -285,37 +315,33 @@ class NearDedup:
         groups = self.labels(crowd.filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))).withColumnRenamed("comp", "grp")
         members = self.scratch.cut(crowd.select("id", "n", "comp").distinct().join(groups, "id"))
 
-        def work(part, texts):
-            table = WordHashes()
-            sets = [shingles(t, table).view(np.int64) for t in texts]
-            ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-            return {"id": part.column(0), "s": pa.ListArray.from_arrays(ends, np.concatenate([*sets, np.empty(0, np.int64)]))}
-
-        docs = self._texts().join(members.select("id"), "id", "left_semi")
-        sets = map_text(docs, work, "id long, s array<long>").join(members, "id").filter(F.size("s") == F.col("n"))
-        sets = self.scratch.cut(sets.dropDuplicates(["id"]))
-        size = sets.groupBy("grp").agg(F.count(F.lit(1)).alias("members"))
-        held = sets.select("grp", F.explode("s").alias("token")).groupBy("grp", "token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-        core = held.join(size, (held["grp"] == size["grp"]) & (held["df"] * 2 > size["members"])).groupBy(held["grp"]).agg(F.collect_list("token").alias("core"))
+        sets = self.scratch.cut(self._sets(members.select("id"), "array<long>").join(members, "id"))
+        # Tables of a row a group are written, so that they meet members in plain joins: broadcast if small, else with hot groups split.
+        size = self.scratch.cut(sets.groupBy("grp").agg(F.count(F.lit(1)).alias("members")))
+        held = self._dealt(sets.select("grp", "s")).select("grp", F.explode("s").alias("token")).groupBy("grp", "token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+        held = self.scratch.cut(self.scratch.cut(held).join(size, "grp").withColumn("common", F.col("df") * 2 > F.col("members")))
+        core = self.scratch.cut(held.filter("common").groupBy("grp").agg(F.collect_list("token").alias("core")))
         told = sets.join(core, "grp", "left").withColumn("core", F.coalesce("core", F.array().cast("array<bigint>")))
         told = told.withColumn("width", F.greatest(F.lit(1.0), F.size("core") * (k / _BINS_TO_CORE))).withColumn("diff", F.concat(F.array_except("s", "core"), F.array_except("core", "s")))
         told = told.withColumn("d", F.size("diff")).withColumn("e", F.col("d") - F.col("n") * k).withColumn("bin", F.least(F.lit(2 * _BINS_TO_CORE), F.floor(F.col("e") / F.col("width"))).cast("int"))
         told = self.scratch.cut(told.select("id", "grp", "n", "comp", "d", "e", "width", "bin", "diff"))
-        nearest = told.groupBy("grp").agg(F.min(F.struct("e", "id", "n", "comp")).alias("m"), F.collect_set("bin").alias("bins"))
+        nearest = self.scratch.cut(told.groupBy("grp").agg(F.min(F.struct("e", "id", "n", "comp")).alias("m"), F.collect_set("bin").alias("bins")))
         star = told.join(nearest.select("grp", "m"), "grp").filter((F.col("e") + F.col("m.e") <= 1e-6) & (F.col("comp") != F.col("m.comp")))
         star = star.select(F.least("id", "m.id").alias("a"), F.greatest("id", "m.id").alias("b"), F.when(F.col("id") < F.col("m.id"), F.col("n")).otherwise(F.col("m.n")).alias("na"), F.when(F.col("id") < F.col("m.id"), F.col("m.n")).otherwise(F.col("n")).alias("nb"))
-        elements = told.select("id", "grp", F.explode("diff").alias("token"))
-        shared = elements.groupBy("grp", "token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+        elements = self._dealt(told.select("id", "grp", "diff")).select("id", "grp", F.explode("diff").alias("token"))
+        # A common shingle is an element of those that lack it, another one of those that have it.
+        shared = held.withColumn("df", F.when(F.col("common"), F.col("members") - F.col("df")).otherwise(F.col("df"))).filter("df > 1").select("grp", "token", "df")
         ranked = elements.join(shared, ["grp", "token"]).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("common"))
-        # Element r of the common ones is among the first d - c + 1 for partners whose bin is at most ``top``.
+        # Element r of the common ones is among the first d - c + 1 for partners whose bin is at most ``top``; a pair whose first shared
+        # element this is shares no more than what is left of either.
         heads = ranked.join(told.drop("diff"), "id").join(nearest.select("grp", "bins"), "grp")
         top = lambda r: F.floor((2 * (F.size("common") - r) - F.col("e")) / F.col("width") + 1e-6).cast("int")
         coarse = F.array_distinct(F.transform("bins", lambda b: F.floor(b / _COARSE).cast("int")))
-        element = lambda x, r: F.transform(F.filter(coarse, lambda c: c * _COARSE <= top(r)), lambda c: F.struct(x["token"].alias("token"), c.alias("other"), top(r).alias("top")))
-        heads = heads.select("grp", "id", "n", "comp", "bin", F.explode(F.flatten(F.transform("common", element))).alias("x"))
-        heads = self.scratch.cut(heads.select("grp", "id", "n", "comp", "bin", F.floor(F.col("bin") / _COARSE).cast("int").alias("own"), "x.token", "x.other", "x.top"))
-        y = heads.select("grp", "token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("comp_b"), F.col("bin").alias("bin_b"), F.col("top").alias("top_b"), F.col("own").alias("other"), F.col("other").alias("own"))
-        pairs = heads.withColumnsRenamed({"id": "a", "n": "na"}).join(y, ["grp", "token", "own", "other"]).filter("a < b AND comp <> comp_b AND bin <= top_b AND bin_b <= top").filter(sized(self.percent))
+        element = lambda x, r: F.transform(F.filter(coarse, lambda c: c * _COARSE <= top(r)), lambda c: F.struct(x["token"].alias("token"), c.alias("other"), (F.size("common") - r).alias("left")))
+        heads = heads.select("grp", "id", "n", "comp", "e", "bin", F.explode(F.flatten(F.transform("common", element))).alias("x"))
+        heads = self.scratch.cut(heads.select("grp", "id", "n", "comp", "e", F.floor(F.col("bin") / _COARSE).cast("int").alias("own"), "x.token", "x.other", "x.left"))
+        y = heads.select("grp", "token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("comp_b"), F.col("e").alias("e_b"), F.col("left").alias("left_b"), F.col("own").alias("other"), F.col("other").alias("own"))
+        pairs = heads.withColumnsRenamed({"id": "a", "n": "na"}).join(y, ["grp", "token", "own", "other"]).filter("a < b AND comp <> comp_b AND 2 * least(left, left_b) + 1e-6 >= e + e_b").filter(sized(self.percent))
         return pairs.select("a", "b", "na", "nb").union(star.filter(sized(self.percent))).distinct()
 
 
@@ -324,7 +350,7 @@ def near_dedup(docs: DataFrame, percent: int = 80, text: str = "text", doc_id: s
 
     Texts are linked when 100 * shared >= percent * united shingles.  Null or empty texts have no shingles and
     are linked with nothing.  A null doc_id has a null component, links with nothing and is kept.  Rows that
-    repeat an id count as one document.  An empty table gives an empty result; other columns are not read.
+    repeat an id are one document, linked by any of its texts; each keeps its own n_shingles.  An empty table gives an empty result; other columns are not read.
     """
     out = NearDedup(docs, percent, text, doc_id).components()
     return out.select(F.col("id").alias(doc_id), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
