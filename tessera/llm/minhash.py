@@ -1,8 +1,8 @@
 """MinHash near-dedup with sequential Bayesian verification.
 
 1. One pass over the texts makes, for each document, the sorted set of its word shingles, and from it the
-   set's size and 128-bit digest, ``BINS`` MinHash values (one permutation, bins filled by optimal
-   densification) and the keys of ``bands`` bands of ``ROWS`` values each.
+   set's size and 128-bit digest, ``BINS`` MinHash values (a hash of its own each, so that they are independent
+   in small sets too) and the keys of ``bands`` bands of ``ROWS`` values each.
 2. Documents with the same set (the digest says so) are one class; only its smallest id goes on.
 3. Star round: in each bucket of a band every class meets the bucket's smallest one.
 4. Pairs are verified in batches of signature values: after n of them with m equal, the similarity has a
@@ -32,8 +32,7 @@ from .common import Scratch, WordHashes, map_text, mix, shingles
 ROWS = 5
 BINS = 256
 BATCH = 32
-#: Below so many shingles a pair goes to the exact check at once: few shingles fill many bins, and the
-#: posterior takes bins for independent.
+#: Below so many shingles a pair goes to the exact check at once, which is cheap there.
 SMALL = 64
 LARGE = 16
 #: Chosen miss probabilities: of a pair at the threshold in all bands together, and of one pruning step.
@@ -65,8 +64,28 @@ def least_equal(percent: int, miss: float = STEP_MISS) -> list[int]:
     return out
 
 
+_FACTORS = np.random.default_rng(20240229).integers(0, 2**63, BINS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Elements that are hashed together, in the processor's cache.
+_SPAN = 64
+
+
+def minhashes(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of BINS values for each set, value j the least of its elements times factor j; elements are mixed hashes."""
+    low = np.zeros((len(sets), BINS), np.uint64)
+    products = np.empty((_SPAN, BINS), np.uint64)
+    for i, s in enumerate(sets):
+        for at in range(0, len(s), _SPAN):
+            part = s[at : at + _SPAN]
+            least = np.multiply(part[:, None], _FACTORS, out=products[: len(part)]).min(axis=0)
+            low[i] = np.minimum(low[i], least) if at else least
+    return mix(low + np.uint64(1))
+
+
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """A row of BINS values for each set; sets are sorted, so a bin's smallest is the first at or after its edge."""
+    """One permutation: a row of BINS values for each set; sets are sorted, so a bin's smallest is the first at or after its edge.
+
+    Empty bins copy full ones, so in sets of few elements the values are not independent.
+    """
     edges = np.arange(BINS, dtype=np.uint64) * np.uint64(2**64 // BINS)
     sig = np.zeros((len(sets), BINS), np.uint64)
     full = np.zeros((len(sets), BINS), bool)
@@ -112,7 +131,7 @@ def describe(docs: DataFrame, bands: int, text: str = "text", doc_id: str = "doc
 
         table = WordHashes()
         sets = [shingles(t, table) for t in texts]
-        sig = signatures(sets)
+        sig = minhashes(sets)
         keys = band_keys(sig, bands).view(np.int64)
         digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
         halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)

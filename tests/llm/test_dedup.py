@@ -152,3 +152,26 @@ def test_pruning_misses_as_rarely_as_chosen():
     unlike = (rng.random((1000, minhash.BINS)) < 0.5).cumsum(axis=1)[:, minhash.BATCH - 1 :: minhash.BATCH]
     assert (unlike < least).any(axis=1).mean() > 0.99
     assert 1 - (1 - 0.85**minhash.ROWS) ** minhash.bands_for(85) > 1 - 1e-6
+
+
+@pytest.mark.parametrize("percent,words", [(85, 11), (85, 13), (80, 9)])
+def test_near_copies_of_few_shingles(spark, percent, words):
+    rng = random.Random(words)
+    rows = []
+    for i in range(3000):
+        ws = [f"p{i}w{k}r{rng.randrange(10**6)}" for k in range(words)]
+        rows += [(2 * i, " ".join(ws)), (2 * i + 1, " ".join(ws[:-1]))]
+    lost = [r.doc_id for r in minhash.near_dedup(docs(spark, rows), percent=percent).collect() if r.component_id != r.doc_id // 2 * 2]
+    assert not lost
+
+
+def test_minhash_values_are_independent_in_sets_of_any_size():
+    rng = np.random.default_rng(2)
+    for n in (7, 40, 300):
+        shared = round(n * 0.85)
+        pairs = [np.sort(rng.integers(0, 2**64, n, dtype=np.uint64)) for _ in range(2000)]
+        parts = [np.sort(rng.permutation(s)[:shared]) for s in pairs]
+        equal = (minhash.minhashes(pairs) == minhash.minhashes(parts)).sum(axis=1)
+        j = shared / n
+        assert abs(equal.mean() / minhash.BINS - j) < 0.005
+        assert 0.8 < equal.var() / (minhash.BINS * j * (1 - j)) < 1.2
