@@ -295,6 +295,14 @@ def lineage(spark, sf_dir):
     return graph.lineage(p.select("slot_id", "parent_id"), p.filter("tick = 8").select("slot_id"))
 
 
+@query("agent_lineage", f"WITH RECURSIVE {TICKS_SQL}, p AS (SELECT event_id AS slot_id, batch_id, lag(event_id) OVER (PARTITION BY batch_id ORDER BY tick) AS parent_id, tick FROM t), s AS (SELECT arg_max(slot_id, tick) AS slot_id FROM p GROUP BY batch_id), r(start, slot_id, step) AS (SELECT slot_id, slot_id, 0 FROM s UNION ALL SELECT r.start, p.parent_id, r.step + 1 FROM r JOIN p ON p.slot_id = r.slot_id WHERE p.parent_id IS NOT NULL) SELECT start, slot_id, step FROM r")
+def agent_lineage(spark, sf_dir):
+    """The way to the root from each agent's latest slot: its whole lineage."""
+    w = Window.partitionBy("batch_id").orderBy(*ORDER)
+    p = ticks(spark, sf_dir).select("batch_id", F.col("event_id").alias("slot_id"), F.lag("event_id").over(w).alias("parent_id"), "tick")
+    return graph.lineage(p.select("slot_id", "parent_id"), p.groupBy("batch_id").agg(F.max_by("slot_id", "tick").alias("slot_id")).select("slot_id"))
+
+
 @query("replay_order", f"WITH {TICKS_SQL}, l AS (SELECT batch_id, ts < lag(ts) OVER (PARTITION BY batch_id ORDER BY tick) AS bad FROM t) SELECT batch_id, count(*) AS n, count(*) FILTER (WHERE bad) AS out_of_order FROM l GROUP BY batch_id")
 def replay_order(spark, sf_dir):
     w = Window.partitionBy("batch_id").orderBy(*ORDER)
