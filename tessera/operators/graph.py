@@ -140,17 +140,26 @@ def paths(df: DataFrame, path: str = "path") -> tuple[DataFrame, DataFrame]:
     return nodes, nodes.filter(F.col("parent").isNotNull()).select(F.col("parent").alias("src"), F.col("prefix").alias("dst"))
 
 
-def lineage(slots: DataFrame, starts: DataFrame, most: int = 1000) -> DataFrame:
-    """(start, slot_id, step) up the parent pointers of ``slots`` (slot_id, parent_id null at the root) from each start."""
+def lineage(slots: DataFrame, starts: DataFrame) -> DataFrame:
+    """(start, slot_id, step) up the parent pointers of ``slots`` (slot_id, parent_id null at the root) from each start to its root.
+
+    Slots are known by slot_id.  Pointers are doubled until none is left, in as many rounds as the longest walk has binary
+    digits, and the walks then from the longest pointers down.  Pointers that are left after more steps than there are slots
+    are a cycle, which is an error.
+    """
     rounds = Rounds(slots.sparkSession, "lineage")
-    front = starts.select(F.col("slot_id").alias("start"), "slot_id", F.lit(0).alias("step"))
-    out = front
-    for step in range(1, most + 1):
-        front = rounds.cut(front.join(slots, "slot_id").filter(F.col("parent_id").isNotNull()).select("start", F.col("parent_id").alias("slot_id"), F.lit(step).alias("step")))
-        if front.isEmpty():
-            return out
-        out = out.union(front)
-    return out
+    jump = rounds.cut(slots.filter(F.col("slot_id").isNotNull() & F.col("parent_id").isNotNull()).select("slot_id", F.col("parent_id").alias("up")))
+    count, jumps = jump.count(), []
+    while not jump.isEmpty():
+        if 1 << len(jumps) > count:
+            raise ValueError("parent pointers make a cycle")
+        jumps.append(jump)
+        jump = rounds.cut(jump.join(jump.select(F.col("slot_id").alias("up"), F.col("up").alias("next")), "up").select("slot_id", F.col("next").alias("up")))
+    out = starts.select(F.col("slot_id").alias("start"), "slot_id", F.lit(0).cast("long").alias("step"))
+    for k in reversed(range(len(jumps))):
+        far = out.join(jumps[k], "slot_id").select("start", F.col("up").alias("slot_id"), (F.col("step") + (1 << k)).alias("step"))
+        out = rounds.cut(out.union(far))
+    return out.select("start", "slot_id", F.col("step").cast("int").alias("step"))
 
 
 def drop_weakest(edges: DataFrame, share: float, group: str = "chr", weight: str = "weight", key: str = "id") -> DataFrame:
