@@ -120,3 +120,14 @@ def test_run_is_its_stages(spark, sf_dir, steps):
     got = corpus_pipeline.run(spark, sf_dir)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, steps[5]))
     assert got.agg(F.countDistinct("doc_id")).first()[0] == len(steps[5])
+
+
+def test_near_dedup_stage_finds_short_near_copies(spark):
+    """Texts of 9 and 8 words: 4 of 5 shingles shared, which is the stage's threshold."""
+    rng = random.Random(23)
+    rows = []
+    for i in range(2000):
+        ws = [f"q{i}w{k}r{rng.randrange(10**6)}" for k in range(9)]
+        rows += [(2 * i, " ".join(ws), "en", "s", 0), (2 * i + 1, " ".join(ws[1:]), "en", "s", 0)]
+    kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, COLUMNS), "").select("doc_id").collect()
+    assert sorted(r.doc_id for r in kept) == list(range(0, 4000, 2))
