@@ -386,6 +386,18 @@ def injection_reach(spark, sf_dir):
     return found.groupBy("start").agg(F.count(F.lit(1)).alias("reached")).filter("reached > 3")
 
 
+@query(
+    "injection_chains",
+    f"""WITH RECURSIVE {RISK_SQL}, u AS (SELECT src AS a, dst AS b FROM synapses UNION SELECT dst, src FROM synapses), r(start, id, depth) AS (SELECT DISTINCT id, id, 0 FROM q UNION SELECT r.start, u.b, r.depth + 1 FROM r JOIN u ON r.id = u.a WHERE r.depth < 5),
+    n AS (SELECT start FROM r GROUP BY start HAVING count(DISTINCT id) > 3) SELECT DISTINCT id FROM r SEMI JOIN n USING (start)""",
+)
+def injection_chains(spark, sf_dir):
+    """Distinct neurons within five synapses of a variant asked about, from the starts that reach more than three."""
+    found = graph.reach(synapses(spark, sf_dir).select("src", "dst"), _asked(spark, sf_dir).select("id").distinct(), 5)
+    far = found.groupBy("start").agg(F.count(F.lit(1)).alias("n")).filter("n > 3")
+    return found.join(far, "start", "left_semi").select("id").distinct()
+
+
 @query("elite_selection", "SELECT p_brand, p_partkey, p_retailprice FROM (SELECT p_brand, p_partkey, p_retailprice, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS rk, count(*) OVER (PARTITION BY p_brand) AS n FROM part) WHERE rk <= greatest(1, n // 4)")
 def elite_selection(spark, sf_dir):
     """The fittest quarter of each population, one at least."""
