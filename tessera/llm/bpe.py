@@ -1,7 +1,8 @@
 """BPE encoding and decoding over a pair occurrence index.
 
-A partition's distinct words that have no ids yet are laid out as one doubly linked list of symbols.  An
-index maps each adjacent pair that has a rank to all its positions; a heap holds the ranks that are active.
+A partition is worked through in slices of a few MB, so that memory does not follow its size.  A slice's distinct words
+that have no ids yet are laid out as one doubly linked list of symbols (a word that occurs again needs no second merge: its ids
+are known).  An index maps each adjacent pair that has a rank to all its positions in the slice; a heap holds the ranks that are active.
 Ranks are applied in ascending order: all positions of the lowest pair merge, left to right, and the pairs
 that this ends or makes are updated in the index.  A word's merges come in the same order as if it were
 alone, since words share no pair and a merge that activates a lower rank puts it on the heap.
@@ -27,6 +28,8 @@ from .common import CHUNK_BYTES, map_text
 
 #: White-space delimited chunks, and pieces, whose ids a Python worker remembers, and the longest of them in characters.
 REMEMBERED, REMEMBERED_CHARS = 200_000, 64
+#: Below this character all Unicode versions in use agree on classes, cases and composition.
+STABLE = "\u0530"
 
 
 def byte_symbols() -> list[str]:
@@ -143,6 +146,7 @@ class WordBPE:
 
     def __init__(self, path: str):
         import regex
+        from tokenizers import Regex, normalizers, pre_tokenizers
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -157,6 +161,8 @@ class WordBPE:
         pairs = [pair if isinstance(pair, list) else pair.split(" ") for pair in model["merges"]]
         self.merges = Merges([(self.vocab[a], self.vocab[b]) for a, b in pairs], [self.vocab[a + b] for a, b in pairs])
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
+        self.nfc, self.lower = normalizers.NFC(), normalizers.Lowercase()
+        self.split = pre_tokenizers.Split(Regex(split), behavior="removed", invert=True)
         self.pattern = regex.compile(split.replace(r"\s", r"\p{White_Space}"))
         self.blank = regex.compile(r"\p{White_Space}+")
         self.added = added
@@ -173,9 +179,10 @@ class WordBPE:
     def _pieces(self, chunk: str) -> list[str]:
         if chunk.isascii():
             return self.pattern.findall(chunk.lower())
-        chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()  # the lower case takes no context
-        # Letters and numbers are those of the regex package (Unicode 17); the tokenizers library stops at Unicode 16.
-        return self.pattern.findall(chunk)
+        if max(chunk) < STABLE:
+            return self.pattern.findall(unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower())  # the lower case takes no context
+        # Combining classes, letter cases and classes follow the Unicode versions that the tokenizers library was built with.
+        return [piece for piece, _ in self.split.pre_tokenize_str(self.lower.normalize_str(self.nfc.normalize_str(chunk)))]
 
     def _learn(self, chunks: set[str]) -> dict[str, bytes]:
         """ids of chunks that are not known; their new pieces are merged over one index."""
@@ -251,7 +258,11 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", doc_id: str = "doc_i
 
 
 def digests(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Encode, then decode what came out: (doc_id, n_tokens, ids_sha256, decoded_sha256)."""
+    """Encode, then decode what came out: (doc_id, n_tokens, ids_sha256, decoded_sha256) of each row.
+
+    Null or empty text: no tokens, and the digests of nothing.  Texts of any length are encoded whole.  Rows that repeat an id,
+    and null ids, are rows like others; an empty table gives no rows; other columns, whatever their names, are not read.
+    """
 
     def work(part, texts):
         bpe = tokenizer(path)

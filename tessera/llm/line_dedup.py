@@ -4,8 +4,8 @@ Normalised lines are exploded and hashed, each hash counts its distinct document
 or over the threshold go from every document but the smallest that holds them, and the rest is put
 together again by position.
 
-What moves: 128-bit hashes with ids (never line texts) for the counts, then positions of dropped lines,
-then each text once, to meet its dropped positions.  A line that a third of all documents share is one
+Documents are exploded and hashed once, into a table of 128-bit hashes with ids and positions.  What moves: those (never
+line texts) for the counts, then positions of dropped lines, then each text once, to meet its dropped positions.  A line that a third of all documents share is one
 partial sum per task in the counts; in the join that marks positions its side can be split (AQE skew join).
 """
 
@@ -38,9 +38,11 @@ def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_
         .filter(F.length("ld_key") >= min_chars)
         .select("ld_id", "ld_hash", "ld_pos", F.xxhash64("ld_key").alias("k1"), F.xxhash64(F.lit(0x5EED), F.col("ld_key")).alias("k2"))
     )
+    scratch = Scratch(docs.sparkSession, "line-dedup")
+    lines = scratch.cut(lines)  # read twice: to count, and to mark
     shared = lines.groupBy("k1", "k2").agg(F.countDistinct("ld_id").alias("ld_docs"), F.min("ld_id").alias("ld_first")).filter(F.col("ld_docs") >= min_docs).select("k1", "k2", "ld_first")
     # As a table of its own it meets the lines in a plain join of two exchanges, whose hot partitions Spark can split.
-    shared = Scratch(docs.sparkSession, "line-dedup").cut(shared)
+    shared = scratch.cut(shared)
     gone = lines.join(shared, ["k1", "k2"]).filter(F.col("ld_id") > F.col("ld_first")).groupBy("ld_id", "ld_hash").agg(F.collect_set("ld_pos").alias("ld_gone"))
     out = base.join(gone, ["ld_id", "ld_hash"], "left").withColumn("ld_split", F.split("ld_t", "\n", -1))
     kept = F.array_except(F.sequence(F.lit(0), F.size("ld_split") - 1), F.col("ld_gone"))

@@ -60,7 +60,7 @@ def test_exact_against_brute_force(spark, keep):
     rng = random.Random(5)
     rows = [(i, rng.choice(["", None, "a", "A", "a ", LONG, f"t{i % 40}"])) for i in range(300)]
     df = docs(spark, rows).repartition(7)
-    got = {r.doc_id: r for r in exact_dedup.exact_dedup(df, keep=keep, rounds=2).collect()}
+    got = {r.doc_id: r for r in exact_dedup.exact_dedup(df, keep=keep).collect()}
     groups = {}
     for i, t in rows:
         groups.setdefault(t or "", []).append(i)
@@ -72,6 +72,22 @@ def test_exact_against_brute_force(spark, keep):
             assert got[i].text_sha256 == hashlib.sha256(t.encode()).hexdigest()
 
 
+@pytest.mark.parametrize("runs,bits,rounds", [(1, 1, 1), (2, 1, 1), (7, 1, 3), (9, 1, 4), (9, 2, 2)])
+def test_exact_rounds_follow_the_runs(spark, runs, bits, rounds):
+    assert exact_dedup.rounds_for(runs, bits) == rounds
+    rows = [(i, f"t{i % 5}") for i in range(90)]
+    tree = exact_dedup.RunTree(docs(spark, rows).repartition(runs), "text", "doc_id", "smallest", bits)
+    assert (tree.rounds, tree.rows.select("cell").distinct().count()) == (rounds, runs)  # at 4 shuffle partitions
+    top = tree.up()
+    assert len(tree.levels) == rounds + 1 and top.count() == 5 and {r.n for r in top.collect()} == {18}
+    assert tree.placed().filter("n = 18").count() == 90
+
+
+def test_exact_takes_ids_of_any_type(spark):
+    out = exact_dedup.exact_dedup(spark.createDataFrame([("b", "x"), ("a", "x"), (None, "x")], "doc_id string, text string"))
+    assert sorted((r.doc_id or "", r.keep_id, r.group_size, r.kept) for r in out.collect()) == [("", "a", 3, False), ("a", "a", 3, True), ("b", "a", 3, False)]
+
+
 def test_exact_odd_rows(spark):
     out = exact_dedup.exact_dedup(docs(spark, ODD), keep="largest").collect()
     assert len(out) == len(ODD)
