@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..ship import ensure
-from .common import CHUNK_BYTES, map_text
+from .common import CHUNK_BYTES, id_type, map_text
 
 #: White-space delimited chunks, and pieces, whose ids a Python worker remembers, and the longest of them in characters.
 REMEMBERED, REMEMBERED_CHARS = 200_000, 64
@@ -241,7 +241,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids], dtype=np.int64)]).astype(np.int32)
         return {"doc_id": part.column(0), "ids": pa.ListArray.from_arrays(offsets, np.concatenate([*ids, np.empty(0, np.int32)])), "n_tokens": np.diff(offsets).astype(np.int64)}
 
-    return map_text(_source(docs, text, doc_id), work, "doc_id long, ids array<int>, n_tokens long", limit=2 * CHUNK_BYTES).withColumnRenamed("doc_id", doc_id)
+    return map_text(_source(docs, text, doc_id), work, f"doc_id {id_type(docs, doc_id)}, ids array<int>, n_tokens long", limit=2 * CHUNK_BYTES).withColumnRenamed("doc_id", doc_id)
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", doc_id: str = "doc_id") -> DataFrame:
@@ -254,7 +254,7 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", doc_id: str = "doc_i
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     ensure(encoded.sparkSession)
-    return encoded.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{ids}`").alias("ids")).mapInArrow(run, "doc_id long, text string").withColumnRenamed("doc_id", doc_id)
+    return encoded.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{ids}`").alias("ids")).mapInArrow(run, f"doc_id {id_type(encoded, doc_id)}, text string").withColumnRenamed("doc_id", doc_id)
 
 
 def digests(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -274,11 +274,11 @@ def digests(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_i
             "decoded_sha256": [hashlib.sha256(bpe.decode(x).encode()).hexdigest() for x in ids],
         }
 
-    return map_text(_source(docs, text, doc_id), work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", limit=2 * CHUNK_BYTES).withColumnRenamed("doc_id", doc_id)
+    return map_text(_source(docs, text, doc_id), work, f"doc_id {id_type(docs, doc_id)}, n_tokens long, ids_sha256 string, decoded_sha256 string", limit=2 * CHUNK_BYTES).withColumnRenamed("doc_id", doc_id)
 
 
 def _source(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
 
 
 def default_path() -> str:

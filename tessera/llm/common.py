@@ -92,11 +92,24 @@ def fold(doc_id: str, modulus: int) -> Column:
 _RANGE = 1 << 52
 
 
+def hash_bound(rows: int, most: int) -> int:
+    """Rows with a ``hash_value`` below it are about 1.2 * most of ``rows`` (all, if there are fewer)."""
+    return int(min(1.0, 1.2 * most / max(1, rows)) * _RANGE)
+
+
+def hash_value(*keys: str) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(_RANGE))
+
+
 def hash_share(rows: int, most: int, *keys: str) -> Column:
     """True for about 1.2 * most of ``rows`` rows (all, if there are fewer), by a hash of the keys.  A filter in the scan: neither
     tasks nor the driver hold more than the sample, however many tasks there are, and again it picks the same."""
-    share = min(1.0, 1.2 * most / max(1, rows))
-    return F.lit(True) if share >= 1 else F.pmod(F.xxhash64(*keys), F.lit(_RANGE)) < int(share * _RANGE)
+    return hash_value(*keys) < hash_bound(rows, most)
+
+
+def id_type(df: DataFrame, name: str) -> str:
+    """The type of a column, for the schema of what goes through Arrow."""
+    return dict(df.dtypes)[name]
 
 
 # --------------------------------------------------------------------------- Arrow plumbing

@@ -9,8 +9,9 @@ are in a document is missed with probability of at most 0.37^(0.8 q) - 1e-7 or l
 items take a partition with a bin for each shingle, where nothing is missed.  Candidates are verified by
 exact containment of the items' shingles in the document's full set.
 
-Documents are read once for each block of items and never shuffled.  A block's index is broadcast; its size is bounded
-by ``BLOCK_BYTES`` of item text, and a larger benchmark takes more blocks.
+A value that is the smallest of its bin stays so in smaller bins, so the index keeps each value once, with the least
+partition in which it is in its item's signature.  Documents are read once for each block of items and never shuffled.  A block's index is
+broadcast: a block has ``BLOCK_BYTES`` of item text, and its index, ``INDEX_BYTES`` for each of them at most.  A larger benchmark takes more blocks.
 """
 
 from __future__ import annotations
@@ -22,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, filter_text, map_text, shingles, text_or_empty
+from .common import WordHashes, filter_text, id_type, map_text, shingles, text_or_empty
 
 BLOCK_BYTES = 8 << 20
+#: Bytes of index for a byte of text, at most: an item of one letter takes 21 and 16 for its shingle and its share of the gate, 16 for itself.
+INDEX_BYTES = 64
 SHORT = 20
-_GATE = 16
-_PARTITIONS = 32
+#: Bits of the gate, between these; 8 cells and more for a value.
+_GATE = (16, 26)
 
 
 def smallest_of_bins(s: np.ndarray, bits: int) -> np.ndarray:
@@ -38,56 +41,78 @@ def smallest_of_bins(s: np.ndarray, bits: int) -> np.ndarray:
     return s[np.concatenate([[True], bins[1:] != bins[:-1]])]
 
 
+class Postings:
+    """Sorted values, their items, the least size partition that has them, and a bitmap of leading bits that turns most lookups away."""
+
+    def __init__(self, values: list[np.ndarray], items: np.ndarray, everywhere: bool):
+        v = np.concatenate([*values, np.empty(0, np.uint64)])
+        of = np.repeat(items.astype(np.int32), [len(x) for x in values])
+        since = np.concatenate([*([np.zeros(len(x), np.uint8)] if everywhere else [least_partitions(x)] for x in values), [np.empty(0, np.uint8)]], axis=None).astype(np.uint8)
+        order = np.argsort(v, kind="stable")
+        self.values, self.of, self.since = v[order], of[order], since[order]
+        self.shift = np.uint64(64 - min(_GATE[1], max(_GATE[0], len(v).bit_length() + 3)))
+        self.gate = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.gate[(v >> self.shift).astype(np.int64)] = True
+        self.nbytes = sum(x.nbytes for x in (self.values, self.of, self.since, self.gate))
+
+    def meet(self, s: np.ndarray, partition: int) -> np.ndarray:
+        """Items that have one of the values ``s`` in their signature for the partition."""
+        if not len(self.values):
+            return self.of
+        s = s[self.gate[(s >> self.shift).astype(np.int64)]]
+        lo, hi = np.searchsorted(self.values, s, "left"), np.searchsorted(self.values, s, "right")
+        return np.concatenate([self.of[a:b][self.since[a:b] <= partition] for a, b in zip(lo, hi) if a < b] or [self.of[:0]])
+
+
+def least_partitions(s: np.ndarray) -> np.ndarray:
+    """For each value of a sorted set the fewest bits at which it is the smallest of its bin: those that tell it from the value before."""
+    if not len(s):
+        return np.empty(0, np.uint8)
+    differ = s[1:] ^ s[:-1]
+    # Leading zeros by the exponent of a double, of halves, so that rounding cannot carry.
+    high, low = (differ >> np.uint64(32)).astype(np.float64), (differ & np.uint64(0xFFFFFFFF)).astype(np.float64)
+    length = np.where(high > 0, np.frexp(high)[1] + 32, np.frexp(low)[1])
+    return np.concatenate([[0], 65 - length]).astype(np.uint8)
+
+
 class ItemIndex:
-    """Signature values of a block of items by size partition, and the items' sets."""
+    """Signature values of a block of items, and the items' sets."""
 
     def __init__(self, items: list[tuple[int, bytes]], percent: int):
         table = WordHashes()
         sets = [(i, shingles(t, table)) for i, t in items]
         self.percent = percent
-        self.items = [i for i, s in sets if len(s)]
-        self.sets = [s for _, s in sets if len(s)]
-        self.whole = self._postings([s if len(s) < SHORT else s[:0] for s in self.sets])
-        long = [s if len(s) >= SHORT else s[:0] for s in self.sets]
-        self.by_size = [self._postings([smallest_of_bins(s, p) for s in long]) if p else self.whole for p in range(_PARTITIONS)]
-
-    @staticmethod
-    def _postings(values: list[np.ndarray]):
-        """Sorted values, their items, and a bitmap of their leading bits that turns most lookups away."""
-        v = np.concatenate([*values, np.empty(0, np.uint64)])
-        of = np.repeat(np.arange(len(values)), [len(x) for x in values])
-        order = np.argsort(v, kind="stable")
-        gate = np.zeros(1 << _GATE, bool)
-        gate[(v >> np.uint64(64 - _GATE)).astype(np.int64)] = True
-        return v[order], of[order], gate
-
-    @staticmethod
-    def _meet(postings, s: np.ndarray) -> np.ndarray:
-        v, of, gate = postings
-        if not len(v):
-            return of
-        s = s[gate[(s >> np.uint64(64 - _GATE)).astype(np.int64)]]
-        lo, hi = np.searchsorted(v, s, "left"), np.searchsorted(v, s, "right")
-        return np.concatenate([of[a:b] for a, b in zip(lo, hi) if a < b] or [of[:0]])
+        sets = [(i, s) for i, s in sets if len(s)]
+        self.items = pa.array([i for i, _ in sets], pa.int64())
+        self.flat = np.concatenate([*(s for _, s in sets), np.empty(0, np.uint64)])
+        self.ends = np.cumsum([0, *(len(s) for _, s in sets)])
+        sizes = np.diff(self.ends)
+        short, long = np.flatnonzero(sizes < SHORT), np.flatnonzero(sizes >= SHORT)
+        self.whole = Postings([self.set(k) for k in short], short, True)
+        self.by_size = Postings([self.set(k) for k in long], long, False)
+        self.nbytes = self.whole.nbytes + self.by_size.nbytes + self.flat.nbytes + self.ends.nbytes + self.items.nbytes
+
+    def set(self, k: int) -> np.ndarray:
+        return self.flat[self.ends[k] : self.ends[k + 1]]
 
     def search(self, s: np.ndarray) -> list[tuple[int, int, int]]:
         """(item, its shingles, those in the set) of items that the sorted set ``s`` contains far enough."""
         if not len(s):
             return []
         bits = len(s).bit_length()
-        near = np.unique(np.concatenate([self._meet(self.whole, s), self._meet(self.by_size[bits], smallest_of_bins(s, bits))]))
+        near = np.unique(np.concatenate([self.whole.meet(s, bits), self.by_size.meet(smallest_of_bins(s, bits), bits)]))
         out = []
         for k in near.tolist():
-            item = self.sets[k]
+            item = self.set(k)
             at = np.searchsorted(s, item)
             common = int((s[np.minimum(at, len(s) - 1)] == item).sum())
             if 100 * common >= self.percent * len(item):
-                out.append((self.items[k], len(item), common))
+                out.append((self.items[k].as_py(), len(item), common))
         return out
 
 
 def item_indexes(spark, items: DataFrame, percent: int, item_id: str = "item_id", item_text: str = "text") -> list:
-    """A broadcast ItemIndex for each block of items; at least one, if an empty one."""
+    """A broadcast ItemIndex for each block of items; at least one, if an empty one.  A block is about BLOCK_BYTES of text, and an item is whole."""
     asked = items.select(F.col(f"`{item_id}`").cast("long").alias("item"), text_or_empty(item_text).alias("t")).filter("t <> ''")
     total = asked.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     blocks = max(1, math.ceil(total / BLOCK_BYTES))
@@ -103,12 +128,12 @@ def contaminated(docs: DataFrame, items: DataFrame, percent: int = 80, text: str
 
     Words: A-Z lower-cased, split at [\\x20\\x09-\\x0D].  Null or empty documents and items match nothing; an item
     of fewer than five words matches only a document that is just these words.  A pair is returned once, though
-    rows repeat an id.  An empty table on either side gives no rows.  Other columns are not read.
+    rows repeat an id; ids are of any type, and documents of a null id are one.  An empty table on either side gives no rows.  Other columns are not read.
     """
     indexes = item_indexes(docs.sparkSession, items, percent, item_id, item_text)
-    schema = "doc_id long, found array<struct<item_id:long,n_item:long,n_common:long>>"
+    schema = f"doc_id {id_type(docs, doc_id)}, found array<struct<item_id:long,n_item:long,n_common:long>>"
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("n_item", pa.int64()), ("n_common", pa.int64())]))
-    source = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    source = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     out = None
     for index in indexes:
 

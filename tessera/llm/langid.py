@@ -9,21 +9,19 @@ filter says wrongly: of n probes with a false positive rate f, (hits - f n) / (1
 
 from __future__ import annotations
 
-
-from functools import reduce
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, fold, hash_share, map_text, mix
+from .common import CHUNK_BYTES, fold, hash_bound, hash_value, id_type, map_text, mix
 
 #: Training texts of each language, and the longest of them in characters: the bound of the sample.
 SAMPLE, SAMPLE_CHARS = 500, 20_000
 CELLS_BITS, PROBES = 20, 3
 #: An n-gram belongs to a language where its rate is at least this share of its highest rate in any language.
 SHARE, LEAST_COUNT = 0.5, 3
-MOST_LANGUAGES = 64
+#: Languages that one word of a mask holds; more languages have more words.
+WORD = 64
 LENGTHS = (3, 4)
 
 #: ASCII letters lower-cased, other ASCII to blanks, other bytes as they are.
@@ -58,9 +56,7 @@ class Filters:
 
     def __init__(self, samples: dict[str, list[bytes]]):
         self.languages = sorted(samples)
-        if len(self.languages) > MOST_LANGUAGES:
-            raise ValueError(f"more than {MOST_LANGUAGES} languages")
-        kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if np.dtype(k).itemsize * 8 >= max(1, len(self.languages)))
+        kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if np.dtype(k).itemsize * 8 >= min(WORD, max(1, len(self.languages))))
         counts = []
         for lang in self.languages:
             keys = grams(b"".join(map(padded, samples[lang]))).reshape(-1)
@@ -70,19 +66,23 @@ class Filters:
         for i, (k, n) in enumerate(counts):
             rates[i, np.searchsorted(every, k)] = np.where(n >= LEAST_COUNT, n / n.sum(), 0)
         belongs = (rates >= SHARE * rates.max(axis=0, initial=0)) & (rates > 0)
-        self.table = np.zeros(1 << CELLS_BITS, kind)
+        self.tables = [np.zeros(1 << CELLS_BITS, kind) for _ in range(max(1, -(-len(counts) // WORD)))]
         for i in range(len(counts)):
             for at in cells(every[belongs[i]]):
-                self.table[at] |= kind(1 << i)
-        fill = np.array([((self.table >> kind(i)) & kind(1)).mean() for i in range(len(counts))])
+                self.tables[i // WORD][at] |= kind(1 << i % WORD)
+        fill = np.array([((self.tables[i // WORD] >> kind(i % WORD)) & kind(1)).mean() for i in range(len(counts))])
         self.wrong = fill**PROBES
         self.common = max(self.languages, key=lambda x: sum(map(len, samples[x])), default="und")
 
-    def masks(self, keys: np.ndarray) -> np.ndarray:
+    def masks(self, keys: np.ndarray) -> list[np.ndarray]:
+        """Each key's mask, word by word."""
         first, *others = cells(keys)
-        out = self.table[first]
-        for at in others:
-            out &= self.table[at]
+        out = []
+        for table in self.tables:
+            mask = table[first]
+            for at in others:
+                mask &= table[at]
+            out.append(mask)
         return out
 
     def judge(self, texts: list[bytes]) -> tuple[list[str], np.ndarray]:
@@ -97,10 +97,13 @@ class Filters:
             stop = max(begin + 1, int(np.searchsorted(ends, base + CHUNK_BYTES, "right")))
             keys = grams(b"".join(clean[begin:stop]))
             masks = self.masks(keys)
-            masks[keys & np.uint64(0xFFFFFF) == 0x202020] = 0  # blanks alone say nothing
+            blank = keys & np.uint64(0xFFFFFF) == 0x202020
+            for mask in masks:
+                mask[blank] = 0  # blanks alone say nothing
             starts = np.concatenate([[0], ends[begin : stop - 1] - base])
             for i in range(len(self.languages)):
-                hits = ((masks >> masks.dtype.type(i)) & masks.dtype.type(1)).sum(axis=0, dtype=np.int64)
+                mask = masks[i // WORD]
+                hits = ((mask >> mask.dtype.type(i % WORD)) & mask.dtype.type(1)).sum(axis=0, dtype=np.int64)
                 counts[i, begin:stop] = np.add.reduceat(hits, starts)
             probes[begin:stop] = np.diff(np.concatenate([starts, [keys.shape[1]]])) * len(LENGTHS)
             begin = stop
@@ -118,34 +121,40 @@ def has_ascii_letter(text: bytes) -> bool:
 
 
 def train(docs: DataFrame, keep: Column | None = None, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> Filters:
-    """Filters from at most ``sample`` whole texts of each language, picked by hash among texts of up to
-    ``sample_chars`` characters.  ``keep``: which rows may be learnt from.  Rows with null text, language or id are not."""
+    """Filters from about 1.2 * ``sample`` whole texts of each language at most, of which ``sample`` are taken, picked by hash
+    among texts of up to ``sample_chars`` characters; a language that has only longer ones is learnt from its shortest text.
+    ``keep``: which rows may be learnt from.  Rows with null text, language or id are not; rows that repeat an id and text count once."""
+    spark = docs.sparkSession
     rows = docs if keep is None else docs.filter(keep)
     rows = rows.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").cast("string").alias("text")).filter("id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
-    rows = rows.filter(F.length("text") <= sample_chars)
-    found = {r[0]: r[1] for r in rows.groupBy("lang").agg(F.count(F.lit(1))).limit(MOST_LANGUAGES + 1).collect()}
-    if len(found) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    out: dict[str, list[bytes]] = {x: [] for x in found}
-    if found:
-        chosen = reduce(lambda a, b: a | b, [(F.col("lang") == x) & hash_share(n, sample, "id", "text") for x, n in found.items()])
-        for r in sorted(rows.filter(chosen).limit(4 * sample * len(found)).collect(), key=lambda r: (r.id, r.text)):
+    short = F.length("text") <= sample_chars
+    found = rows.groupBy("lang").agg(F.count_if(short).alias("n")).collect()  # a row a language
+    out: dict[str, list[bytes]] = {r.lang: [] for r in found}
+    shares = [(r.lang, hash_bound(r.n, sample)) for r in found if r.n]
+    if shares:
+        chosen = rows.filter(short).join(F.broadcast(spark.createDataFrame(shares, "lang string, bound long")), "lang").filter(hash_value("id", "text") < F.col("bound"))
+        for r in sorted(chosen.select("lang", "id", "text").distinct().collect(), key=lambda r: (r.id, r.text)):
             if len(out[r.lang]) < sample:
                 out[r.lang].append(r.text.encode())
+    long = [r.lang for r in found if not r.n]
+    if long:
+        for r in rows.filter(F.col("lang").isin(long)).groupBy("lang").agg(F.min_by("text", F.struct(F.length("text"), "id", "text")).alias("text")).collect():
+            out[r.lang].append(r.text.encode())
     return Filters(out)
 
 
 def identify(docs: DataFrame, filters: Filters, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, lang_pred, score) of each row.  Null text, or text without a letter: ``und`` and 0.  A text none of whose
-    n-grams is known gets the language with most training text.  Repeated rows stay; no other column is read."""
-    shared = docs.sparkSession.sparkContext.broadcast(filters)  # 2^CELLS_BITS cells of 1 to 8 bytes
+    n-grams is known gets the language with most training text.  Null and repeated ids are rows like others, ids are of any type;
+    an empty table gives no rows; no other column is read."""
+    shared = docs.sparkSession.sparkContext.broadcast(filters)  # 2^CELLS_BITS cells of 1 to 8 bytes for every 64 languages
 
     def work(part, texts):
         langs, score = shared.value.judge(texts)
         return {"doc_id": part.column(0), "lang_pred": langs, "score": score}
 
-    source = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    return map_text(source, work, "doc_id long, lang_pred string, score double").withColumnRenamed("doc_id", doc_id)
+    source = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    return map_text(source, work, f"doc_id {id_type(docs, doc_id)}, lang_pred string, score double").withColumnRenamed("doc_id", doc_id)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -56,7 +56,10 @@ def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_
 
 
 def drop_shared_lines(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with what is left of each text; ``n_chars``, if there, is counted again."""
+    """``docs`` with what is left of each text; ``n_chars``, if there, is counted again.
+
+    Every row stays, in its columns: a null text becomes an empty one, and so does one whose lines all go.  Null and repeated ids are as in ``line_dedup``.
+    """
     out = line_dedup(docs, **options)
     text = options.get("text", "text")
     out = out.withColumn(text, F.col("ld_text"))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..ship import ensure
-from .common import Scratch, WordHashes, map_text, mix, shingles
+from .common import Scratch, WordHashes, id_type, map_text, mix, shingles
 
 ROWS = 5
 BINS = 256
@@ -179,6 +179,8 @@ class NearDedup:
     def __init__(self, docs: DataFrame, percent: int = 80, text: str = "text", doc_id: str = "doc_id"):
         self.spark: SparkSession = docs.sparkSession
         ensure(self.spark)
+        if (kind := id_type(docs, doc_id)) not in ("tinyint", "smallint", "int", "bigint"):
+            raise TypeError(f"{doc_id} is {kind}; number the documents first")
         self.percent, self.text, self.doc_id = percent, text, doc_id
         self.docs = docs
         self.scratch = Scratch(self.spark, "near-dedup")
@@ -223,14 +225,15 @@ class NearDedup:
         seen = None
         while True:
             both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-            least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+            # As a table of its own it meets the edges in a plain join of two exchanges, where Spark can split a hub's.
+            least = self.scratch.cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
             large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
             large = self.scratch.cut(large)
-            least = large.groupBy("u").agg(F.min("v").alias("m"))
+            hub, least = least, large.groupBy("u").agg(F.min("v").alias("m"))
             small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u > v").distinct()
             after = self.scratch.cut(small)
             state = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-            self.scratch.drop(edges, large)
+            self.scratch.drop(edges, large, hub)
             edges = after
             if state == seen:
                 break
@@ -368,7 +371,7 @@ def near_dedup(docs: DataFrame, percent: int = 80, text: str = "text", doc_id: s
     """One row per row of ``docs``: doc_id, n_shingles, component_id (the smallest id reachable), kept (it is that id).
 
     Texts are linked when 100 * shared >= percent * united shingles.  Null or empty texts have no shingles and
-    are linked with nothing.  A null doc_id has a null component, links with nothing and is kept.  Rows that
+    are linked with nothing.  Ids are whole numbers (of other types: TypeError).  A null doc_id has a null component, links with nothing and is kept.  Rows that
     repeat an id are one document, linked by any of its texts; each keeps its own n_shingles.  An empty table gives an empty result; other columns are not read.
     """
     out = NearDedup(docs, percent, text, doc_id).components()
@@ -376,7 +379,10 @@ def near_dedup(docs: DataFrame, percent: int = 80, text: str = "text", doc_id: s
 
 
 def drop_near_copies(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` without the rows that are not their component's smallest id."""
+    """``docs`` without the rows that are not their component's smallest id.
+
+    Rows of a null id, null or empty texts stay; rows that repeat an id stay or go together; an empty table stays one.  All columns are kept as they are.
+    """
     gone = near_dedup(docs, percent, doc_id=doc_id).filter(~F.col("kept")).select(doc_id).distinct()
     return docs.join(gone, doc_id, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from . import bpe, decontaminate, exact_dedup, langid, license_scan, line_dedup, minhash, sharding, toxicity, url_filter
 
 QUERIES = {
@@ -17,7 +15,6 @@ QUERIES = {
     "op8_langid": langid.query,
     "op9_url_filter": url_filter.query,
     "op10_decontamination": decontaminate.query,
-    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {

@@ -85,7 +85,7 @@ def assign(docs: DataFrame, shards: int = 8, tolerance: float = 0.001, text: str
 
     Size: UTF-8 bytes of the text (null: none) plus 1.  Law ``bytes``: shards' sizes are near equal, as far as
     equal texts, which stay together, allow it; a group larger than a shard's share makes a larger shard.
-    Slots are gapless from 0 in each shard.  Null and repeated ids are rows like others.  An empty table gives
+    Slots are gapless from 0 in each shard, by cell and then by key: shards are ranges of the key, rows in a shard are not sorted by it.  Null and repeated ids are rows like others.  An empty table gives
     no rows.  Other columns are not read.  The assignment depends on the whole input, so grown_shard is null.
     """
     spark = docs.sparkSession
@@ -106,10 +106,13 @@ def assign(docs: DataFrame, shards: int = 8, tolerance: float = 0.001, text: str
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 8, **options) -> None:
-    """``docs`` as Parquet in one folder a shard.  Ids must be unique and not null."""
+    """``docs`` as Parquet in one folder a shard, with shard and slot in place of columns of these names.  Null or repeated ids: ValueError."""
     doc_id = options.get("doc_id", "doc_id")
+    n, ids = docs.agg(F.count(F.lit(1)), F.countDistinct(doc_id)).first()
+    if n != ids:
+        raise ValueError(f"{n} rows, {ids} distinct ids")
     placed = assign(docs, shards, **options).select(doc_id, "shard", "slot")
-    docs.join(placed, doc_id).write.partitionBy("shard").parquet(path)
+    docs.drop("shard", "slot").join(placed, doc_id).write.partitionBy("shard").parquet(path)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -22,15 +22,16 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, filter_text, fold, hash_share, map_text, shingles
+from .common import WordHashes, filter_text, fold, hash_share, id_type, map_text, shingles
 from .minhash import band_keys, signatures
 
 #: Training documents of each label at most, and the longest of them in characters: the bound of the sample.
 SAMPLE, SAMPLE_CHARS = 2500, 8000
-#: Training tokens of clean documents at most (toxic words and their neighbours are all used).
+#: Training tokens of clean documents, about (toxic words and their neighbours are all used): a bound of the sample too.
 CLEAN_TOKENS = 150_000
 PREFIXES = (3, 4, 5)
 BUCKETS_BITS = 18
@@ -46,8 +47,6 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 def features(word: str) -> list[int]:
     """64-bit hashes of the word and of its prefixes; 0 for a prefix that the word is too short for."""
-    import xxhash
-
     return [xxhash.xxh3_64_intdigest(f"{n}:{word[:n]}") if len(word) >= n else 0 for n in PREFIXES] + [xxhash.xxh3_64_intdigest(f"w:{word}")]
 
 
@@ -205,7 +204,9 @@ def toxic_words(documents: list[np.ndarray], labels: list[int], table: np.ndarra
     return tied
 
 
-def train(texts: list[str], labels: list[int]) -> Chain:
+def train(texts: list[str], labels: list[int], clean_tokens: int = CLEAN_TOKENS) -> Chain:
+    """A chain from whole texts.  Words are tied to toxic documents over all of them; the chain itself learns from the tied words with their
+    neighbours, and from clean documents in turn until they have ``clean_tokens`` words."""
     keep = apart(texts)
     vocabulary = Vocabulary()
     documents = [np.fromiter(map(vocabulary.__getitem__, _WORD.findall(texts[i].lower())), np.int32) for i in keep]
@@ -220,7 +221,7 @@ def train(texts: list[str], labels: list[int]) -> Chain:
         if not len(d):
             continue
         if not y:
-            if clean < CLEAN_TOKENS:
+            if clean < clean_tokens:
                 words.append(d)
                 sides.append(0)
                 clean += len(d)
@@ -239,23 +240,25 @@ def train(texts: list[str], labels: list[int]) -> Chain:
     return fit(buckets(table)[tokens], first, tags)
 
 
-def learn(docs: DataFrame, labels: DataFrame, keep: Column | None = None, text: str = "text", doc_id: str = "doc_id", toxic: str = "toxic", sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> Chain:
+def learn(docs: DataFrame, labels: DataFrame, keep: Column | None = None, text: str = "text", doc_id: str = "doc_id", toxic: str = "toxic", sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS, clean_tokens: int = CLEAN_TOKENS) -> Chain:
     """A chain from at most ``sample`` documents of each label, picked by id hash; texts of over
     ``sample_chars`` are not trained on.  ``keep``: which labels may be learnt from, by the columns of ``labels``.
-    Labels other than 0 and 1, null ids and null texts are not."""
+    Labels other than 0 and 1, null ids and null texts are not; of several texts of one id the first in order is, and an id with
+    both labels counts once, as toxic.  Ids are compared as text."""
     rows = labels if keep is None else labels.filter(keep)
-    rows = rows.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{toxic}`").cast("int").alias("y")).filter("id IS NOT NULL AND y IN (0, 1)").distinct()
+    rows = rows.select(F.col(f"`{doc_id}`").cast("string").alias("id"), F.col(f"`{toxic}`").cast("int").alias("y")).filter("id IS NOT NULL AND y IN (0, 1)")
+    rows = rows.groupBy("id").agg(F.max("y").alias("y"))
     n = {r.y: r[1] for r in rows.groupBy("y").agg(F.count(F.lit(1))).collect()}
     chosen = reduce(lambda a, b: a | b, [(F.col("y") == y) & hash_share(n.get(y, 0), sample, "id") for y in (0, 1)])
     picked = {}
     for y in (0, 1):
-        some = sorted(r.id for r in rows.filter(chosen & (F.col("y") == y)).limit(4 * sample).collect())
+        some = sorted(r.id for r in rows.filter(chosen & (F.col("y") == y)).collect())  # 1.2 * sample ids, about
         picked |= {i: y for i in np.random.default_rng(y).permutation(some)[:sample].tolist()}
-    ids = docs.sparkSession.createDataFrame(list(picked.items()), "id long, y int")  # 2 * sample rows
-    texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).filter(F.length("text") <= sample_chars)
-    found = texts.join(F.broadcast(ids), "id").dropDuplicates(["id"]).collect()
-    found.sort(key=lambda r: (r.id * 2654435761 % 2**32, r.id))
-    return train([r.text for r in found], [r.y for r in found])
+    ids = docs.sparkSession.createDataFrame(list(picked.items()), "id string, y int")  # 2 * sample rows
+    texts = docs.select(F.col(f"`{doc_id}`").cast("string").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).filter(F.length("text") <= sample_chars)
+    found = texts.join(F.broadcast(ids), "id").groupBy("id").agg(F.min("text").alias("text"), F.min("y").alias("y")).collect()
+    found.sort(key=lambda r: (xxhash.xxh3_64_intdigest(r.id), r.id))
+    return train([r.text for r in found], [r.y for r in found], clean_tokens)
 
 
 # --------------------------------------------------------------------------- scoring
@@ -288,7 +291,8 @@ class Scorer:
 def score(docs: DataFrame, chain: Chain, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, score, predicted, spans) of each row: spans are character offsets [start, end) of toxic words.
 
-    Null and empty texts, and texts without a letter, score 0 and have no spans.  Repeated rows stay; no other column is read.
+    Null and empty texts, and texts without a letter, score 0 and have no spans.  Repeated rows and null ids stay, ids are of any type;
+    an empty table gives no rows; no other column is read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(chain)  # 2^BUCKETS_BITS weights
     held: list[Scorer] = []
@@ -309,12 +313,15 @@ def score(docs: DataFrame, chain: Chain, text: str = "text", doc_id: str = "doc_
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         return {"doc_id": part.column(0), "score": scores, "predicted": (scores >= 0.5).astype(np.int32), "spans": pa.array(spans, kind)}
 
-    source = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    return map_text(source, work, "doc_id long, score double, predicted int, spans array<struct<start:int,end:int>>").withColumnRenamed("doc_id", doc_id)
+    source = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    return map_text(source, work, f"doc_id {id_type(docs, doc_id)}, score double, predicted int, spans array<struct<start:int,end:int>>").withColumnRenamed("doc_id", doc_id)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, text: str = "text", **options) -> DataFrame:
-    """``docs`` without the rows that are predicted toxic, in one pass and without a shuffle; rows with a null id are judged like others."""
+    """``docs`` without the rows that are predicted toxic, in one pass and without a shuffle; all columns are kept as they are.
+
+    Rows of a null id are judged like others; null and empty texts stay; repeated rows stay or go together; without labels, or in an empty table, all stay.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, text=text, **options))
     held: list[Scorer] = []
 

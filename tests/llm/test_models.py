@@ -86,6 +86,21 @@ def test_bpe_rows(spark, library):
     assert bpe.digests(docs(spark, ODD), PATH).filter("n_tokens = 0").count() == 4
 
 
+def test_characters_of_every_block(library):
+    """Classes, cases and combining marks are the library's, also of characters that Python's Unicode does not know."""
+    own = bpe.WordBPE(PATH)
+    some = [c for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF and (c % 97 == 0 or 0x530 <= c < 0x1100 and c % 3 == 0 or 0xA7C0 <= c < 0xA7F8 or 0x10D40 <= c < 0x10D90 or 0x16EA0 <= c < 0x16ED8)]
+    for shape in ("{}", "a{}b1", "\u00e1{}\u0316\u03a3", "a{}\u0334", "a\u0591{}x"):
+        batch = [shape.format(chr(c)) for c in some]
+        want = [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(batch, add_special_tokens=False)]
+        assert own.encode_batch(batch) == want
+
+
+def test_bpe_ids_of_any_type(spark):
+    rows = spark.createDataFrame([("a1", "some text"), (None, None), ("a1", "some text")], "doc_id string, text string")
+    assert sorted((r.doc_id or "", r.n_tokens) for r in bpe.digests(rows, PATH).collect()) == [("", 0), ("a1", 2), ("a1", 2)]
+
+
 # --------------------------------------------------------------------------- language id
 
 VOICES = {"aa": ["the", "quick", "ing", "thorn", "weather"], "bb": ["über", "schnell", "keit", "zwölf"], "cc": ["ñandú", "ción", "llave", "gracias"]}
@@ -121,13 +136,40 @@ def test_language_odd_rows(spark):
     assert {r.lang_pred for r in langid.identify(docs(spark, ODD), none).collect()} == {"und"}
 
 
+def test_more_languages_than_a_word_has_bits(spark):
+    rng = random.Random(12)
+    alphabets = {f"l{k:03}": [f"{a}{b}{chr(97 + k % 26)}{chr(97 + k // 26)}" for a in "bdgkmnprst" for b in "aeiou"] for k in range(150)}
+    rows = [(i, " ".join(rng.choice(alphabets[x]) for _ in range(30)), x) for i, x in enumerate([*alphabets] * 8)]
+    df = docs(spark, rows)
+    filters = langid.train(df, F.col("doc_id") % 4 != 2)
+    assert len(filters.tables) == 3 and filters.languages == sorted(alphabets)
+    out = langid.identify(df, filters).collect()
+    assert np.mean([r.lang_pred == rows[r.doc_id][2] for r in out if r.doc_id % 4 == 2]) > 0.95
+
+
+def test_language_of_long_texts_only(spark):
+    rng = random.Random(13)
+    rows = [(i, voiced(rng, "aa", 20), "aa") for i in range(10)] + [(20 + i, voiced(rng, "cc", 400 + i), "cc") for i in range(3)]
+    filters = langid.train(docs(spark, rows), sample_chars=500)
+    assert filters.languages == ["aa", "cc"]
+    out = {r.doc_id: r.lang_pred for r in langid.identify(docs(spark, [(1, voiced(rng, "cc", 40)), (2, voiced(rng, "aa", 40))]), filters).collect()}
+    assert out == {1: "cc", 2: "aa"}
+
+
+def test_training_does_not_depend_on_partitions_or_repeats(spark):
+    rng = random.Random(14)
+    rows = [(i, voiced(rng, lang, 20), lang) for i, lang in enumerate(list(VOICES) * 40)]
+    one, other = (langid.train(docs(spark, r).repartition(k), sample=10) for r, k in ((rows, 1), (rows[::-1], 6)))
+    assert (one.tables[0] == other.tables[0]).all()
+
+
 def test_masks_hold_every_inserted_ngram():
     rng = random.Random(8)
     samples = {x: [voiced(rng, x, 300).encode()] for x in VOICES}
     f = langid.Filters(samples)
     for i, x in enumerate(f.languages):
         keys, n = np.unique(langid.grams(langid.padded(samples[x][0])).reshape(-1), return_counts=True)
-        share = ((f.masks(keys[n >= 20]) >> i) & 1).mean()
+        share = ((f.masks(keys[n >= 20])[0] >> i) & 1).mean()
         assert share > 0.5
     assert (f.wrong < 0.001).all()
 
@@ -198,6 +240,16 @@ def test_toxicity_odd_rows(spark):
     assert all(r.score < 1e-6 for r in toxicity.score(docs(spark, ODD), nothing).collect())
 
 
+def test_training_texts_of_repeated_ids(spark):
+    rng = random.Random(15)
+    rows = [(i % 150, spoken(rng, i % 3 == 0)) for i in range(300)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(150)] + [(0, 0), (0, 1)], "doc_id long, toxic int")
+    one, other = (toxicity.learn(docs(spark, r).repartition(k), labels) for r, k in ((rows, 1), (rows[::-1], 5)))
+    assert (one.emission == other.emission).all()
+    named = docs(spark, rows).withColumn("doc_id", F.concat(F.lit("x"), "doc_id"))
+    assert toxicity.score(named, toxicity.learn(named, labels.withColumn("doc_id", F.concat(F.lit("x"), "doc_id")))).count() == 300
+
+
 def test_copies_are_trained_on_once():
     t = " ".join(f"w{i}" for i in range(100))
     assert toxicity.apart([t, t, t + " more", "other words altogether here now", ""]) == [0, 3, 4]
@@ -251,3 +303,34 @@ def test_urls_without_labels(spark):
     assert {r.verdict for r in url_filter.judge(pages(spark, ["http://x.org/"] * 3)).collect()} == {"allow"}
     assert {r.verdict for r in url_filter.judge(pages(spark, ["http://x.org/", "http://a.net/fr/"])).collect()} == {"block"}
     assert url_filter.judge(pages(spark, [])).count() == 0
+
+
+def marked(rng, k, unruled):
+    """A url of one of 60 hosts; the first part of the path tells what the rules would say."""
+    host, part = f"h{k % 60}.example.{'org' if unruled else rng.choice(['com', 'net'])}", rng.choice(["en", "de", "fr"])
+    return f"http://{host}/{part}/{rng.randrange(10**6)}{rng.choice(['', '?a=1', '.html'])}"
+
+
+MARKED = (("allow", "com", "/"), ("block", "com", "/en/"), ("allow", "net", "/de/"), ("block", "net", "/en/"), ("allow", "net", "/fr/"))
+
+
+def test_urls_of_hosts_that_training_has_not_seen(spark):
+    rng = random.Random(6)
+    urls = pages(spark, [marked(rng, k, False) for k in range(1500)])
+    n, right, usual = url_filter.held_out(urls, MARKED)
+    assert n > 100 and right > 0.97 * n > 1.2 * usual
+
+
+def test_urls_without_a_rule_get_both_verdicts(spark):
+    rng = random.Random(7)
+    urls = [marked(rng, k, k % 3 == 0) for k in range(1500)]
+    out = [r for r in url_filter.judge(pages(spark, urls), MARKED).collect() if r.rule is None]
+    assert len(out) == 500
+    assert np.mean([(r.verdict == "block") == ("/en/" in urls[r.page_id]) for r in out]) > 0.9
+
+
+def test_the_cut_of_a_held_fold(spark):
+    held = spark.createDataFrame([(0, -1.0), (0, 0.2), (0, 0.2), (1, 0.8), (1, 0.8), (0, 0.8)], "y int, margin double")
+    assert url_filter.best_cut(held) == pytest.approx(0.5)
+    assert url_filter.best_cut(held.filter("y = 1")) == 0.0
+    assert url_filter.best_cut(held.withColumn("margin", F.col("margin") - 0.5)) == 0.0

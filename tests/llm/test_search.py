@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, license_scan, sharding
 from tessera.llm.common import WordHashes, shingles
@@ -68,6 +69,23 @@ def test_candidates_from_any_size_partition():
     assert missed == 0
 
 
+def test_least_partitions_and_the_size_of_an_index():
+    rng = np.random.default_rng(4)
+    s = np.sort(np.concatenate([rng.integers(0, 2**63, 300).astype(np.uint64) * np.uint64(2), np.array([0, 1, 2, 3, 2**64 - 1, 2**64 - 2], np.uint64)]))
+    since = decontaminate.least_partitions(s)
+    for bits in (1, 5, 9, 20, 63, 64):
+        assert set(decontaminate.smallest_of_bins(s, bits).tolist()) == set(s[since <= bits].tolist())
+    for texts in (["a"] * 4000, [f"{k}" for k in range(20_000)], [" ".join(f"w{k}" for k in range(30_000))], ["a b " * 20_000]):
+        index = decontaminate.ItemIndex([(k, t.encode()) for k, t in enumerate(texts)], 80)
+        assert index.nbytes <= decontaminate.INDEX_BYTES * sum(map(len, texts)) + (1 << 18)
+
+
+def test_containment_of_text_ids(spark):
+    rows = docs(spark, [(7, "two lines here that repeat and more")]).withColumn("doc_id", F.lit("x7"))
+    out = decontaminate.contaminated(rows, items(spark, [(4, "lines HERE that repeat and")])).collect()
+    assert [(r.doc_id, r.item_id, r.containment) for r in out] == [("x7", 4, 1.0)]
+
+
 def test_license_against_brute_force():
     rng = random.Random(5)
     library = license_scan.Library(license_scan.TEMPLATES, 80)
