@@ -7,9 +7,11 @@ metrics are DataFrame plans.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .graph import ranked
+
 #: Rows to train from at most, those of lowest key hash.
 SAMPLE = 10_000
 #: Most repeats of positives an epoch, and features whose weight stays 1.
@@ -29,10 +31,8 @@ def confusion(df: DataFrame, label: str, predicted: str, *by: str) -> DataFrame:
 
 def stratified(df: DataFrame, label: str, key: str, share: float = 0.8) -> DataFrame:
     """``df`` with ``train``: the first ``share`` of each class by hash of key; a class of one row trains only."""
-    w = Window.partitionBy(label)
-    n = F.count(F.lit(1)).over(w)
-    rank = F.row_number().over(w.orderBy(F.xxhash64(key), key))
-    return df.withColumn("train", (rank <= F.ceil(n * share)) | (n == 1))
+    out = ranked(df.withColumn("hash__", F.xxhash64(key)), label, ["hash__", key], "rank__", "n__")
+    return out.withColumn("train", (F.col("rank__") <= F.ceil(F.col("n__") * share)) | (F.col("n__") == 1)).select(*df.columns, "train")
 
 
 def score(weights: list[int], features: Column) -> Column:

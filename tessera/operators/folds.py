@@ -224,6 +224,22 @@ def frame(key: str, order: list[str], rows: int):
     return Window.partitionBy(key).orderBy(*order).rowsBetween(-rows + 1, 0)
 
 
+#: Slices of a group in ``last_rows``.
+SLICES = 64
+
+
+def last_rows(df: DataFrame, key: str, order: list[str], n: int) -> DataFrame:
+    """The last ``n`` rows of each group in ``order``: of each of SLICES slices of the group first, then of those, so a hot key is many tasks.
+
+    Rows that agree in all of ``order`` go by hash of the whole row.
+    """
+    whole = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    back = [*(F.desc(c) for c in order), F.desc("hash__")]
+    df = df.withColumn("hash__", whole).withColumn("slice__", F.pmod("hash__", F.lit(SLICES)))
+    some = df.withColumn("back__", F.row_number().over(Window.partitionBy(key, "slice__").orderBy(*back))).filter(F.col("back__") <= n)
+    return some.withColumn("back__", F.row_number().over(Window.partitionBy(key).orderBy(*back))).filter(F.col("back__") <= n).drop("back__", "hash__", "slice__")
+
+
 def rolling_mean(value: str, key: str, order: list[str], rows: int) -> Column:
     return F.avg(value).over(frame(key, order, rows))
 

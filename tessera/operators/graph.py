@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import heapq
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,14 +14,32 @@ from ..scratch import Rounds
 from ..ship import ensure
 
 
+def contracted(batches):
+    """Of each batch of edges (u, v) its components as stars around their smallest ids."""
+    for b in batches:
+        ids, at = np.unique(np.concatenate([b.column(0).to_numpy(), b.column(1).to_numpy()]), return_inverse=True)
+        u, v = at[: b.num_rows], at[b.num_rows :]
+        top = np.arange(len(ids))
+        while (apart := top[u] != top[v]).any():
+            x, y = top[u[apart]], top[v[apart]]
+            np.minimum.at(top, np.maximum(x, y), np.minimum(x, y))
+            while (top[top] != top).any():
+                top = top[top]
+        inner = np.flatnonzero(top != np.arange(len(ids)))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[inner]), pa.array(ids[top[inner]])], names=["u", "v"])
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id that each of ``nodes`` (id) reaches over undirected ``edges`` (src, dst).
 
-    Every node has a component, one without edges its own.  Large-star and small-star rounds; a hub with a third of
+    Every node has a component, one without edges its own.  Each task first puts a spanning star in place of each component of a batch of
+    its edges, which leaves fewer edges than nodes a batch; then large-star and small-star rounds; a hub with a third of
     all edges is a partial minimum in each task.  Each round is written, so lineage stays short.
     """
     rounds = Rounds(edges.sparkSession, "components")
-    now = rounds.cut(edges.filter("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
+    ensure(edges.sparkSession)
+    pairs = edges.filter("src <> dst").select(F.col("src").cast("long").alias("u"), F.col("dst").cast("long").alias("v"))
+    now = rounds.cut(pairs.mapInArrow(contracted, "u long, v long").distinct())
     seen = None
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -42,7 +62,9 @@ def haplotype_blocks(genotypes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(block_id, first_snp, n_snps, mean_r_squared, start_position, end_position): components of linked variants.
 
     Singletons are blocks.  Blocks are numbered by their smallest member; the mean is over links that exist (null without).
+    Links are written once: they are read for the components and for the means.
     """
+    pairs = Rounds(pairs.sparkSession, "links").cut(pairs.select("snp1_idx", "snp2_idx", "r_squared"))
     found = components(genotypes.select(F.col("snp_idx").alias("id")), pairs.select(F.col("snp1_idx").alias("src"), F.col("snp2_idx").alias("dst")))
     placed = genotypes.select("chr", F.col("snp_idx").alias("id"), "position").join(found, "id")
     size = placed.groupBy("component").agg(F.count(F.lit(1)).alias("n_snps"), F.min("position").alias("start_position"), F.max("position").alias("end_position"))
@@ -162,12 +184,27 @@ def lineage(slots: DataFrame, starts: DataFrame) -> DataFrame:
     return out.select("start", "slot_id", F.col("step").cast("int").alias("step"))
 
 
+def ranked(df: DataFrame, group: str, order: list[str], rank: str, count: str) -> DataFrame:
+    """``df`` with each row's rank from 1 in its group by ``order``, and the group's count.
+
+    Rows are dealt by ranges of (group, order), so no group is one task; a row's rank is its place in its range after the counts of
+    the group's ranges before.  Rows that agree in all of ``order`` have any of their ranks.
+    """
+    ranged = df.repartitionByRange(group, *order).withColumn("range__", F.spark_partition_id())
+    ranged = Rounds(df.sparkSession, "ranked").cut(ranged)
+    held = ranged.groupBy(group, "range__").agg(F.count(F.lit(1)).alias("held__"))
+    per = Window.partitionBy(group)
+    before = F.sum("held__").over(per.orderBy("range__").rowsBetween(Window.unboundedPreceding, -1))
+    held = held.select(group, "range__", F.coalesce(before, F.lit(0)).alias("before__"), F.sum("held__").over(per).alias(count))  # a row a range
+    place = F.row_number().over(Window.partitionBy(group, "range__").orderBy(*order))
+    return ranged.withColumn("place__", place).join(held, [group, "range__"]).withColumn(rank, F.col("before__") + F.col("place__")).drop("range__", "place__", "before__")
+
+
 def drop_weakest(edges: DataFrame, share: float, group: str = "chr", weight: str = "weight", key: str = "id") -> DataFrame:
     """Without the floor(n * share) lightest edges of each group; share up to a half, groups of under four edges stay whole.
 
     The cut is a count over a rank; ties go by ``key``.
     """
     share = min(share, 0.5)
-    n = F.count(F.lit(1)).over(Window.partitionBy(group))
-    rank = F.row_number().over(Window.partitionBy(group).orderBy(weight, key))
-    return edges.withColumn("n__", n).withColumn("rank__", rank).filter((F.col("n__") < 4) | (F.col("rank__") > F.floor(F.col("n__") * share))).drop("n__", "rank__")
+    out = ranked(edges, group, [weight, key], "rank__", "n__")
+    return out.filter((F.col("n__") < 4) | (F.col("rank__") > F.floor(F.col("n__") * share))).select(*edges.columns)

@@ -1,33 +1,40 @@
 """Linkage between neighbouring variants.
 
-Pairs are made by *block and halo*: blocks are as long as the window, each variant goes to its own block and,
-as halo, to the one before, so a block has all partners of the variants it owns.  A task holds two windows
-of genotypes whatever the length of the chromosome; all moments of a block are six matrix products.
+Pairs are made by *block and halo*: blocks are as long as the window or more, each variant goes to its own block and, where it is within a
+window of the block before, to that one too, so a block has all partners of the variants it owns.  Variants travel as bit planes; a task
+holds a block and its halo whatever the length of the chromosome, and all moments of a block are six products of 0/1 matrices.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..ship import ensure
+from .planes import MISSING, packed, unpack, words
 
-MISSING = 3
 PAIRS = "chr string, snp1_idx long, snp2_idx long, r_squared double, r double, n long, position1 long, position2 long"
+#: Variants of a block at least: fewer would be more groups than work.
+BLOCK = 128
+#: Indices of a range in ``ordered``.
+RANGE = 1 << 16
 
 
-def pair_moments(left: np.ndarray, right: np.ndarray):
-    """n, sums, squares and products over the samples that both sides have, for all pairs."""
-    u, v = (left != MISSING).astype(np.float64), (right != MISSING).astype(np.float64)
-    x, y = np.where(left == MISSING, 0, left).astype(np.float64), np.where(right == MISSING, 0, right).astype(np.float64)
-    return u @ v.T, x @ v.T, u @ y.T, (x * x) @ v.T, u @ (y * y).T, x @ y.T
+def indicators(codes: np.ndarray, kind) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Called, het and alt as 0 and 1, and the copies."""
+    h, a = (codes == 1).astype(kind), (codes == 2).astype(kind)
+    return (codes != MISSING).astype(kind), h, a, h + 2 * a
 
 
 def correlation(left: np.ndarray, right: np.ndarray, min_valid: int):
-    """(n, r) pairwise complete; r is nan where it is not defined."""
-    n, sx, sy, sxx, syy, sxy = pair_moments(left, right)
+    """(n, r) pairwise complete, of rows of codes; r is nan where it is not defined.  Sums are whole numbers, exact in the type that is used."""
+    kind = np.float32 if left.shape[1] < 1 << 21 else np.float64
+    u, xh, xa, x = indicators(left, kind)
+    v, yh, ya, y = indicators(right, kind)
+    n, hx, ax, hy, ay, sxy = (p.astype(np.float64) for p in (u @ v.T, xh @ v.T, xa @ v.T, u @ yh.T, u @ ya.T, x @ y.T))
+    sx, sy, sxx, syy = hx + 2 * ax, hy + 2 * ay, hx + 4 * ax, hy + 4 * ay
     a, b, c = n * sxy - sx * sy, n * sxx - sx * sx, n * syy - sy * sy
     with np.errstate(invalid="ignore", divide="ignore"):
         r = np.where((n >= min_valid) & (b * c > 0), a / np.sqrt(b * c), np.nan)
@@ -37,59 +44,64 @@ def correlation(left: np.ndarray, right: np.ndarray, min_valid: int):
 def pairs(genotypes: DataFrame, window: int = 500, min_valid: int = 10, threshold: float | None = 0.5) -> DataFrame:
     """All pairs i < j < i + window by index, of one chromosome, with r^2 over ``threshold`` (None: every defined one).
 
-    genotypes: (chr, snp_idx, position, g).  Undefined pairs (fewer than ``min_valid`` common samples, or a constant side) are dropped.
+    genotypes: (chr, snp_idx, position, g), or a packed table.  Undefined pairs (fewer than ``min_valid`` common samples, or a constant side) are dropped.
     """
     ensure(genotypes.sparkSession)
-    own = F.floor(F.col("snp_idx") / window)
-    spread = genotypes.withColumn("block", F.explode(F.array(own, own - 1)))
-
-    def block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("snp_idx", ignore_index=True)
-        idx, pos = pdf["snp_idx"].to_numpy(), pdf["position"].to_numpy()
-        mine = np.flatnonzero(idx // window == key[1])
-        if not len(mine):
-            return pd.DataFrame({c.split()[0]: pd.Series([], dtype=object if c.endswith("string") else "float64" if c.endswith("double") else "int64") for c in PAIRS.split(", ")})
-        g = np.stack(pdf["g"].to_list())
-        n, r = correlation(g[mine], g, min_valid)
+    size = max(window, BLOCK)
+    own = F.floor(F.col("snp_idx") / size)
+    blocks = F.when((F.col("snp_idx") % size < window - 1) & (own > 0), F.array(own - 1, own)).otherwise(F.array(own))
+    spread = packed(genotypes).select("chr", "snp_idx", "position", "lo", "hi", F.explode(blocks).alias("block"))
+    names = [c.split()[0] for c in PAIRS.split(", ")]
+
+    def block(table: pa.Table) -> pa.Table:
+        table = table.sort_by("snp_idx")
+        idx, pos = (table.column(k).to_numpy() for k in ("snp_idx", "position"))
+        mine = np.flatnonzero(idx // size == table.column("block")[0].as_py())
+        codes = unpack(words(table.column("lo")), words(table.column("hi")))
+        n, r = correlation(codes[mine], codes, min_valid)
         gap = idx[None, :] - idx[mine][:, None]
         keep = (gap > 0) & (gap < window) & ~np.isnan(r)
         if threshold is not None:
             keep &= (r * r).astype(np.float32) > np.float32(threshold)
         a, b = np.nonzero(keep)
-        return pd.DataFrame({"chr": pd.Series([key[0]] * len(a), dtype=object), "snp1_idx": idx[mine][a], "snp2_idx": idx[b], "r_squared": r[a, b] ** 2, "r": r[a, b], "n": n[a, b].astype(np.int64), "position1": pos[mine][a], "position2": pos[b]})
+        found = r[a, b]
+        return pa.table([pa.repeat(table.column("chr")[0], len(a)), idx[mine][a], idx[b], found**2, found, n[a, b].astype(np.int64), pos[mine][a], pos[b]], names)
 
-    return spread.groupBy("chr", "block").applyInPandas(block, PAIRS)
+    return spread.groupBy("chr", "block").applyInArrow(block, PAIRS)
 
 
 def dense(genotypes: DataFrame, block: int = 500) -> DataFrame:
     """(snp1_idx, snp2_idx, r) of all pairs i <= j: marginal means and deviations, pairwise counts, diagonal 1.
 
-    A deviation of (nearly) 0 counts as 1.  Blocks of variants meet as a grid of block pairs, each of bounded size.
+    A deviation of (nearly) 0 counts as 1.  Blocks of variants meet as a grid of block pairs, each of bounded size; the result has a row a
+    pair, and each variant goes to as many cells as there are blocks.
     """
     ensure(genotypes.sparkSession)
-    blocked = genotypes.withColumn("block", F.floor(F.col("snp_idx") / block))
+    blocked = packed(genotypes).select("snp_idx", "lo", "hi", F.floor(F.col("snp_idx") / block).alias("block"))
     last = blocked.agg(F.max("block")).first()[0]
     if last is None:
         return genotypes.sparkSession.createDataFrame([], "snp1_idx long, snp2_idx long, r double")
-    grid = blocked.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(last)))).select("snp_idx", "g", "block", F.least("row", "block").alias("lo"), F.greatest("row", "block").alias("hi"))
+    grid = blocked.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(last)))).select("snp_idx", "lo", "hi", "block", F.least("row", "block").alias("low"), F.greatest("row", "block").alias("high"))
 
-    def cell(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("snp_idx").sort_values("snp_idx", ignore_index=True)
-        g = np.stack(pdf["g"].to_list()).astype(np.float64)
+    def cell(table: pa.Table) -> pa.Table:
+        idx, first = np.unique(table.column("snp_idx").to_numpy(), return_index=True)
+        table = table.take(first)
+        g = unpack(words(table.column("lo")), words(table.column("hi")))
         there = g != MISSING
+        g = np.where(there, g, 0).astype(np.float64)
         n = np.maximum(there.sum(axis=1), 1)
-        mean = np.where(there, g, 0).sum(axis=1) / n
-        var = (np.where(there, (g - mean[:, None]) ** 2, 0)).sum(axis=1) / n
+        mean = g.sum(axis=1) / n
+        var = np.where(there, (g - mean[:, None]) ** 2, 0).sum(axis=1) / n
         z = np.where(there, (g - mean[:, None]) / np.where(var > 1e-9, np.sqrt(var), 1.0)[:, None], 0)
-        own, idx = pdf["block"].to_numpy(), pdf["snp_idx"].to_numpy()
+        own, (low, high) = table.column("block").to_numpy(), (table.column(k)[0].as_py() for k in ("low", "high"))
         both = there.astype(np.float64) @ there.T.astype(np.float64)
         r = np.clip((z @ z.T) / np.maximum(both, 1), -1, 1)
         r[both <= 1] = 0
         np.fill_diagonal(r, 1)
-        a, b = np.nonzero((own[:, None] == key[0]) & (own[None, :] == key[1]) & (idx[:, None] <= idx[None, :]))
-        return pd.DataFrame({"snp1_idx": idx[a], "snp2_idx": idx[b], "r": r[a, b]})
+        a, b = np.nonzero((own[:, None] == low) & (own[None, :] == high) & (idx[:, None] <= idx[None, :]))
+        return pa.table([idx[a], idx[b], r[a, b]], ["snp1_idx", "snp2_idx", "r"])
 
-    return grid.groupBy("lo", "hi").applyInPandas(cell, "snp1_idx long, snp2_idx long, r double")
+    return grid.groupBy("low", "high").applyInArrow(cell, "snp1_idx long, snp2_idx long, r double")
 
 
 def decay(found: DataFrame, width: int = 10_000) -> DataFrame:
@@ -111,15 +123,9 @@ def clusters(genotypes: DataFrame, found: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------- loci
 
 
-def counts(g: Column) -> dict[str, Column]:
-    """Calls of each code in one array, without a shuffle."""
-    n = lambda v: F.size(F.filter(g, lambda x: x == v)).cast("long")
-    return {"n_ref": n(0), "n_het": n(1), "n_alt": n(2), "n_missing": n(MISSING)}
-
-
 def loci(genotypes: DataFrame) -> DataFrame:
     """Counts, alt frequency (null without calls), missing rate, population mean and deviation (1 if nearly 0) of each variant."""
-    t = genotypes.select("chr", "snp_idx", "position", *[c.alias(k) for k, c in counts(F.col("g")).items()])
+    t = packed(genotypes).select("chr", "snp_idx", "position", "n_ref", "n_het", "n_alt", "n_missing")
     n = F.col("n_ref") + F.col("n_het") + F.col("n_alt")
     t = t.withColumn("n_called", n).withColumn("mean", F.try_divide((F.col("n_het") + 2 * F.col("n_alt")).cast("double"), n.cast("double")))
     square = F.try_divide((F.col("n_het") + 4 * F.col("n_alt")).cast("double"), n.cast("double"))
@@ -130,13 +136,35 @@ def loci(genotypes: DataFrame) -> DataFrame:
 def scores(genotypes: DataFrame, weights: DataFrame) -> DataFrame:
     """(sample_idx, score): sum of weight times copies over variants, missing adding nothing.  weights: (snp_idx, weight).
 
-    Each task adds up its variants' arrays; what is shuffled is one partial sum a sample and task.
+    Each task multiplies its variants' planes by their weights and gives one sum a sample; those are what is shuffled.
     """
-    rows = genotypes.join(weights, "snp_idx").select(F.posexplode("g").alias("sample_idx", "g"), "weight")
-    return rows.groupBy("sample_idx").agg(F.sum(F.when(F.col("g") != MISSING, F.col("g") * F.col("weight")).otherwise(0)).alias("score"))
+    ensure(genotypes.sparkSession)
+    rows = packed(genotypes).join(weights.select("snp_idx", F.col("weight").cast("double").alias("weight")), "snp_idx")
+
+    def add(batches):
+        total, samples = np.zeros(0), 0
+        for b in batches:
+            codes = unpack(words(b.column(0)), words(b.column(1)))
+            part = b.column(2).to_numpy() @ np.where(codes == MISSING, 0, codes).astype(np.float64)
+            total = np.pad(total, (0, max(0, len(part) - len(total))))
+            total[: len(part)] += part
+            samples = max(samples, int(b.column(3).to_numpy().max(initial=0)))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(samples), pa.int32()), pa.array(total[:samples])], names=["sample_idx", "score"])
+
+    there = F.col("n_ref") + F.col("n_het") + F.col("n_alt") + F.col("n_missing")
+    return rows.select("lo", "hi", "weight", there.alias("n")).mapInArrow(add, "sample_idx int, score double").groupBy("sample_idx").agg(F.sum("score").alias("score"))
 
 
 def ordered(genotypes: DataFrame) -> DataFrame:
-    """Rows whose position is less than that of the variant before; empty for a valid table."""
-    w = Window.partitionBy("chr").orderBy("snp_idx")
-    return genotypes.withColumn("before", F.lag("position").over(w)).filter("position < before")
+    """Rows whose position is less than that of the variant before; empty for a valid table.
+
+    Ranges of RANGE indices are ordered apart, each with the last variant of the range before it, so a chromosome is many tasks.
+    """
+    cell = F.floor(F.col("snp_idx") / RANGE)
+    rows = genotypes.select("chr", "snp_idx", "position", cell.alias("cell"))
+    last = rows.groupBy("chr", "cell").agg(F.max_by("position", "snp_idx").alias("last"))
+    # A range's first variant follows the last one of the nearest range with rows; there are few ranges.
+    last = last.select("chr", "cell", F.lag("last").over(Window.partitionBy("chr").orderBy("cell")).alias("carried"))
+    before = F.lag("position").over(Window.partitionBy("chr", "cell").orderBy("snp_idx"))
+    marked = rows.withColumn("own", before).join(last, ["chr", "cell"]).withColumn("before", F.coalesce("own", "carried")).filter("position < before")
+    return genotypes.join(marked.select("chr", "snp_idx", "before"), ["chr", "snp_idx"])

@@ -2,30 +2,60 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import planes
+from ..scratch import Rounds
+from ..ship import ensure
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def sample_ids(spark: SparkSession, sf_dir: str) -> list[int]:
-    """The header of the genotype table: one column a supplier, as a variant file has one a sample."""
-    return [r[0] for r in read(spark, sf_dir, "supplier").select("s_suppkey").orderBy("s_suppkey").collect()]
+#: Samples of a genotype table at most: each has a place in every row.
+MOST_SAMPLES = 1 << 22
+
+
+def header(spark: SparkSession, sf_dir: str) -> np.ndarray:
+    """The samples of the genotype table in order: one a supplier, as the header of a variant file names one a column."""
+    ids = read(spark, sf_dir, "supplier").select("s_suppkey")
+    if (n := ids.count()) > MOST_SAMPLES:
+        raise ValueError(f"{n} samples")
+    return np.sort(ids.toArrow().column(0).to_numpy())
+
+
+def genotype_codes(i: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Of variants i and samples k: 0, 1 or 2 copies, 3 for missing; ten neighbours share a pattern, which gives real linkage."""
+    i, k = i[:, None], k[None, :]
+    code = ((i // 10) * ((7 + k) * (k % 11 + 1)) + ((i * k) % 23 == 0)) % 3
+    code[(i * 31 + k * 17) % 97 < 2] = planes.MISSING
+    return code.astype(np.uint8)
 
 
-def genotype_code(i, k):
-    """0, 1 or 2 copies, 3 for missing; ten neighbours share a pattern, which gives real linkage."""
-    pattern = F.floor(i / 10).cast("long") * (7 + k) * (k % 11 + 1) + F.when((i * k) % 23 == 0, 1).otherwise(0)
-    return F.when((i * 31 + k * 17) % 97 < 2, 3).otherwise(pattern % 3).cast("tinyint")
+def genotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed genotype table of a folder, see ``planes``: derived from part and supplier, written once an application, then read."""
+    held = spark.sparkContext.__dict__.setdefault("_tessera_genotypes", {})
+    rounds, path = held.get(sf_dir, (None, None))
+    if path is None or not rounds.exists(path):
+        rounds = Rounds(spark, "genotypes")
+        samples = spark.sparkContext.broadcast(header(spark, sf_dir))  # a number a sample, at most MOST_SAMPLES
 
+        def derive(batches):
+            for b in batches:
+                i = b.column(0).to_numpy()
+                for at in range(0, len(i), 512):
+                    part = i[at : at + 512]
+                    yield planes.batch(["1"] * len(part), part, part * 1000, genotype_codes(part, samples.value), np.full(len(part), len(samples.value)))
 
-def genotype_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(chr, snp_idx, position, g): one row a variant, g one code a sample.  A narrow projection of part."""
-    ids = F.array(*[F.lit(k).cast("long") for k in sample_ids(spark, sf_dir)])
-    part = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("snp_idx"))
-    return part.select(F.lit("1").alias("chr"), "snp_idx", (F.col("snp_idx") * 1000).alias("position"), F.transform(ids, lambda k: genotype_code(F.col("snp_idx"), k)).alias("g"))
+        ensure(spark)
+        tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        variants = read(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("snp_idx")).repartitionByRange(tasks, "snp_idx")
+        path = rounds.cut(variants.mapInArrow(derive, planes.PACKED))._round_path
+        held[sf_dir] = rounds, path
+    return spark.read.schema(planes.PACKED).parquet(path)
 
 
 #: The same for DuckDB, long: (i, k, g) with g null for missing.

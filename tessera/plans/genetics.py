@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..functions import statistics as st
-from ..operators import graph, linkage
-from .domain import GENOTYPES_SQL, genotype_arrays, read
+from ..operators import graph, linkage, planes
+from .domain import GENOTYPES_SQL, genotypes, header, read
 
 WINDOW = 50
 QUERIES: dict = {}
@@ -35,7 +35,7 @@ p AS (SELECT snp1_idx, snp2_idx, n, r2 FROM all_pairs WHERE r2::FLOAT > 0.5::FLO
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linkage.pairs(genotype_arrays(spark, sf_dir), WINDOW)
+    return linkage.pairs(genotypes(spark, sf_dir), WINDOW)
 
 
 @query("ld_pairs", f"WITH {PAIRS_SQL} SELECT snp1_idx, snp2_idx, round(r2, 6) AS r_squared, snp1_idx * 1000 AS position1, snp2_idx * 1000 AS position2 FROM p")
@@ -50,13 +50,13 @@ def ld_top20(spark, sf_dir):
 
 @query("ld_decay", f"WITH {PAIRS_SQL} SELECT (snp2_idx - snp1_idx) * 1000 // 10000 * 10000 AS distance, count(*) AS n_pairs, round(avg(r2), 6) AS mean_r2 FROM all_pairs GROUP BY 1")
 def ld_decay(spark, sf_dir):
-    every = linkage.pairs(genotype_arrays(spark, sf_dir), WINDOW, threshold=None)
+    every = linkage.pairs(genotypes(spark, sf_dir), WINDOW, threshold=None)
     return linkage.decay(every).withColumn("mean_r2", F.round("mean_r2", 6))
 
 
 @query("ld_clusters", f"WITH {PAIRS_SQL} SELECT p_partkey AS snp_idx, coalesce(string_agg(snp2_idx::VARCHAR, ',' ORDER BY snp2_idx), '') AS partners FROM part LEFT JOIN p ON snp1_idx = p_partkey GROUP BY 1")
 def ld_clusters(spark, sf_dir):
-    g = genotype_arrays(spark, sf_dir)
+    g = genotypes(spark, sf_dir)
     found = linkage.pairs(g, WINDOW)
     return linkage.clusters(g, found).select("snp_idx", F.array_join(F.transform("partners", lambda x: x.cast("string")), ",").alias("partners"))
 
@@ -72,7 +72,7 @@ _CHI_P_SQL = f"CASE WHEN chi2 <= 0 THEN 1.0::DOUBLE WHEN chi2 >= 10 THEN 0.001::
 
 
 def _loci(spark, sf_dir) -> DataFrame:
-    return linkage.loci(genotype_arrays(spark, sf_dir))
+    return linkage.loci(genotypes(spark, sf_dir))
 
 
 @query(
@@ -104,7 +104,8 @@ h AS (SELECT snp_idx, p, CASE WHEN n < 2 THEN 0 ELSE
 def hardy_weinberg(spark, sf_dir):
     t = _loci(spark, sf_dir)
     c = F.col("n_ref"), F.col("n_het"), F.col("n_alt")
-    return t.select("snp_idx", F.round(st.hardy_weinberg_chi2(*c), 6).alias("chi2"), F.round(st.hardy_weinberg_p(*c), 6).alias("p_value"))
+    t = t.select("snp_idx", st.hardy_weinberg_chi2(*c).alias("chi2"))  # a column of its own: the p-value names it often
+    return t.select("snp_idx", F.round("chi2", 6).alias("chi2"), F.round(st.chi_square_p(F.col("chi2")), 6).alias("p_value"))
 
 
 @query(
@@ -117,7 +118,7 @@ def qc_report(spark, sf_dir):
     t = _loci(spark, sf_dir)
     c = F.col("n_ref"), F.col("n_het"), F.col("n_alt")
     p = st.allele_frequency(*c)
-    t = t.select(p.alias("p"), st.hardy_weinberg_p(*c).alias("pv"))
+    t = t.select(p.alias("p"), st.hardy_weinberg_chi2(*c).alias("chi2")).select("p", st.chi_square_p(F.col("chi2")).alias("pv"))
     return t.agg(
         F.count(F.lit(1)).alias("n_loci"),
         F.count_if(F.col("pv") < 0.05).alias("hwe_failures"),
@@ -138,7 +139,7 @@ def genotype_summary(spark, sf_dir):
 def prs(spark, sf_dir):
     """Polygenic scores with integer weights."""
     w = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("snp_idx"), F.col("p_size").cast("long").alias("weight"))
-    return linkage.scores(genotype_arrays(spark, sf_dir), w).select("sample_idx", F.col("score").cast("long").alias("score"))
+    return linkage.scores(genotypes(spark, sf_dir), w).select("sample_idx", F.col("score").cast("long").alias("score"))
 
 
 COMPONENTS_SQL = f"""
@@ -152,7 +153,7 @@ blocks AS (SELECT row_number() OVER (ORDER BY first_snp) - 1 AS block_id, first_
 
 
 def _blocks(spark, sf_dir):
-    g = genotype_arrays(spark, sf_dir)
+    g = genotypes(spark, sf_dir)
     return graph.haplotype_blocks(g, linkage.pairs(g, WINDOW))
 
 
@@ -260,16 +261,14 @@ def activate_near(spark, sf_dir):
 HALVES_SQL = f"{GENOTYPES_SQL}, half AS (SELECT i, k % 2 AS side, sum(g)::DOUBLE / (2 * count(g)) AS af FROM g GROUP BY i, k % 2 HAVING count(g) > 0)"
 
 
-def _halves(spark, sf_dir):
-    g = genotype_arrays(spark, sf_dir)
-    # Sample ids are 1, 2, 3, ...; an array's place p holds sample ids[p].
-    from .domain import sample_ids
+def _half(spark, sf_dir, side: int) -> DataFrame:
+    """The genotypes of samples whose number is even (side 0) or odd."""
+    return planes.subset(genotypes(spark, sf_dir), header(spark, sf_dir) % 2 == side)
+
 
-    odd = [i for i, k in enumerate(sample_ids(spark, sf_dir)) if k % 2]
-    even = [i for i, k in enumerate(sample_ids(spark, sf_dir)) if not k % 2]
-    pick = lambda places: F.transform(F.array(*[F.lit(p) for p in places]), lambda p: F.get("g", p))
-    af = lambda a: F.try_divide(F.aggregate(a, F.lit(0.0), lambda s, x: s + F.when(x < 3, x).otherwise(0)), (2 * F.size(F.filter(a, lambda x: x < 3))).cast("double"))
-    return g.select("snp_idx", af(pick(even)).alias("reference"), af(pick(odd)).alias("synthetic"))
+def _halves(spark, sf_dir):
+    af = [linkage.loci(_half(spark, sf_dir, side)).select("snp_idx", F.col("alt_freq").alias(name)) for side, name in enumerate(("reference", "synthetic"))]
+    return af[0].join(af[1], "snp_idx")
 
 
 @query("compare_allele_frequencies", f"WITH {HALVES_SQL} SELECT count(*) AS n, round(sqrt(sum((a.af - b.af) ** 2) / (2 * count(*))), 6) AS rmse, round(max(abs(a.af - b.af)), 6) AS largest FROM half a JOIN half b ON a.i = b.i AND a.side = 0 AND b.side = 1")
@@ -280,11 +279,7 @@ def compare_allele_frequencies(spark, sf_dir):
 
 
 def half_pairs(spark, sf_dir, side: int) -> DataFrame:
-    from .domain import sample_ids
-
-    places = [i for i, k in enumerate(sample_ids(spark, sf_dir)) if k % 2 == side]
-    g = genotype_arrays(spark, sf_dir).withColumn("g", F.transform(F.array(*[F.lit(p) for p in places]), lambda p: F.get("g", p)))
-    return linkage.pairs(g, WINDOW, threshold=None)
+    return linkage.pairs(_half(spark, sf_dir, side), WINDOW, threshold=None)
 
 
 _SIDE = lambda s: f"SELECT a.i AS i, b.i AS j, count(*) AS n, sum(a.g) AS sx, sum(b.g) AS sy, sum(a.g * a.g) AS sxx, sum(b.g * b.g) AS syy, sum(a.g * b.g) AS sxy FROM g a JOIN g b ON a.k = b.k AND b.i > a.i AND b.i < a.i + {WINDOW} WHERE a.g IS NOT NULL AND b.g IS NOT NULL AND a.k % 2 = {s} GROUP BY a.i, b.i"
@@ -466,5 +461,5 @@ def genomic_task(spark, sf_dir):
 @query("ld_dense", None)
 def ld_dense(spark, sf_dir):
     """All pairs by marginal statistics, counted by strength; tested against numpy."""
-    r = linkage.dense(genotype_arrays(spark, sf_dir))
+    r = linkage.dense(genotypes(spark, sf_dir))
     return r.groupBy(F.floor(F.abs("r") * 10).alias("tenth")).agg(F.count(F.lit(1)).alias("n"))

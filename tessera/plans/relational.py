@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
+from ..operators import graph
 from .domain import read
 
 QUERIES: dict = {}
@@ -181,9 +182,8 @@ def error_severity(spark, sf_dir):
 @query("queue_rebalance", "SELECT o_orderkey, o_custkey % 7 AS domain, ((row_number() OVER (PARTITION BY o_custkey % 7 ORDER BY o_totalprice DESC, o_orderkey) - 1) % 4)::INTEGER AS agent FROM orders")
 def queue_rebalance(spark, sf_dir):
     """By priority to the shortest of four empty queues, which is in turn."""
-    o = read(spark, sf_dir, "orders").withColumn("domain", F.col("o_custkey") % 7)
-    rank = F.row_number().over(Window.partitionBy("domain").orderBy(F.desc("o_totalprice"), "o_orderkey"))
-    return o.select("o_orderkey", "domain", ((rank - 1) % 4).alias("agent"))
+    o = read(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 7).alias("domain"), (-F.col("o_totalprice")).alias("behind"))
+    return graph.ranked(o, "domain", ["behind", "o_orderkey"], "rank", "n").select("o_orderkey", "domain", ((F.col("rank") - 1) % 4).cast("int").alias("agent"))
 
 
 @query("intent_memory", "SELECT event_type AS intent, count(*) AS calls, round(avg(value), 6) AS avg_score, round(avg(CASE WHEN value >= 50 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS local_rate FROM events GROUP BY 1")

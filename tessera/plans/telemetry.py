@@ -161,7 +161,7 @@ def load_trend(spark, sf_dir):
 )
 def forecast(spark, sf_dir):
     """Ten steps by the trend of the last twenty values, and one step by least squares."""
-    t = ticks(spark, sf_dir).withColumn("back", F.row_number().over(Window.partitionBy("batch_id").orderBy(F.desc("tick")))).filter("back <= 20")
+    t = folds.last_rows(ticks(spark, sf_dir), "batch_id", ["tick"], 20)
     last, first = F.max_by("value", "tick"), F.min_by("value", "tick")
     line = F.regr_intercept("value", "tick") + F.regr_slope("value", "tick") * (F.max("tick") + 1)
     return t.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"), F.round(last + (last - first) / F.count(F.lit(1)) * 10, 4).alias("ahead"), F.round(line, 4).alias("line")).filter("n > 1")
@@ -173,7 +173,7 @@ s AS (SELECT event_type, avg(value) AS m, stddev_pop(value) AS sd FROM w WHERE b
 
 def sharpe(spark, sf_dir):
     """Mean over deviation of the last twenty; the mean where they hardly vary."""
-    t = ticks(spark, sf_dir).withColumn("back", F.row_number().over(Window.partitionBy("event_type").orderBy(F.desc("ts"), F.desc("event_id")))).filter("back <= 20")
+    t = folds.last_rows(ticks(spark, sf_dir), "event_type", ["ts", "event_id"], 20)
     s = t.groupBy("event_type").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("sd"))
     return s.select("event_type", F.round(F.when(F.col("sd") < 0.001, F.col("m")).otherwise(F.col("m") / F.col("sd")), 6).alias("sharpe"))
 

@@ -39,5 +39,8 @@ class Rounds:
         out._round_path = path
         return out
 
+    def exists(self, path: str) -> bool:
+        return self._fs.exists(self._path(path))
+
     def drop(self, df: DataFrame) -> None:
         self._fs.delete(self._path(df._round_path), True)

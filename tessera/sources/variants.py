@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.linkage import ordered
+
 MISSING = 3
 FIXED = 9
 
@@ -74,10 +76,11 @@ def sample_names(spark: SparkSession, path: str) -> list[str]:
 
 def validate(genotypes: DataFrame, samples: int | None = None) -> DataFrame:
     """(problem, n): rows of other length, positions that go back; one row for an empty table.  No rows: valid."""
-    w = Window.partitionBy("chr").orderBy("snp_idx")
-    size = F.lit(samples) if samples is not None else F.first(F.size("g")).over(w)
-    t = genotypes.select(F.when(F.size("g") != size, "sample count").alias("a"), F.when(F.col("position") < F.lag("position").over(w), "position order").alias("b"))
-    seen = t.select(F.explode(F.array("a", "b")).alias("problem")).filter("problem IS NOT NULL").groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
+    sizes = genotypes.select("chr", "snp_idx", F.size("g").alias("size"))
+    first = sizes.groupBy("chr").agg(F.min_by("size", "snp_idx").alias("want")) if samples is None else None  # a row a chromosome
+    other = sizes.filter(F.col("size") != samples) if first is None else sizes.join(F.broadcast(first), "chr").filter("size <> want")
+    found = other.select(F.lit("sample count").alias("problem")).union(ordered(genotypes).select(F.lit("position order")))
+    seen = found.groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
     empty = genotypes.agg(F.count(F.lit(1)).alias("n")).filter("n = 0").select(F.lit("empty").alias("problem"), "n")
     return seen.union(empty)
 
@@ -89,8 +92,8 @@ def read_genotype_csv(spark: SparkSession, path: str, header: bool = False, stri
     """
     t = lines(spark, path).withColumn("c", F.split("value", ","))
     if header:
-        first = Window.partitionBy("file").orderBy("block", "line_no")
-        t = t.withColumn("nth__", F.row_number().over(first)).filter("nth__ > 1").drop("nth__")
+        first = t.filter("block = 0").groupBy("file").agg(F.min("line_no").alias("line_no"))  # a row a file
+        t = t.join(first, ["file", "line_no"], "left_anti")
     t = number_lines(t.filter(F.size("c") >= 3))
     calls = F.transform(F.slice("c", F.lit(3), F.size("c") - 2), lambda x: F.trim(x))
     if strict:
