@@ -168,6 +168,33 @@ def verify_chain(stored: DataFrame, key: str, order: str, content: str) -> DataF
     return stored.withColumn("ok__", ok).filter(~F.col("ok__")).drop("ok__")
 
 
+def ledger_entry(mutation_id: Column, description: Column, pre: Column | int = 0, post: Column | int = 0, latency_us: Column | int = 0, memory_bytes: Column | int = 0, outcome: Column | str = "Accepted", budget_ns: Column | int = 0, timestamp: Column | int = 0) -> Column:
+    """The JSON line of a mutation that a ledger chains."""
+    fields = {"mutation_id": mutation_id, "description": description, "pre_fingerprint": pre, "post_fingerprint": post, "latency_us": latency_us, "memory_bytes": memory_bytes, "outcome": outcome, "budget_ns": budget_ns, "timestamp": timestamp}
+    return F.to_json(F.struct(*[(v if isinstance(v, Column) else F.lit(v)).alias(k) for k, v in fields.items()]))
+
+
+def phage_description(agent: Column, kind: Column, reason: Column) -> Column:
+    return F.concat(F.lit("phage:agent_id="), agent.cast("string"), F.lit(",class="), kind, F.lit(",reason="), reason)
+
+
+def broken_lineage(slots: DataFrame) -> DataFrame:
+    """``slots`` (slot_id, parent_offset) whose parent, one before the offset, is not before them; offset 0 is no parent."""
+    return slots.filter((F.col("parent_offset") > 0) & (F.col("parent_offset") - 1 >= F.col("slot_id")))
+
+
+def round_robin(df: DataFrame, queue: str, order: list[str], most: int, turns: int = 2) -> DataFrame:
+    """The first ``most`` rows with ``place``, one of each queue in turn by name, ``turns`` of a queue at most."""
+    first = df.groupBy(queue).agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("r")).select("r.*").withColumn("turn__", F.lit(1))
+    rest, found = df, first
+    for turn in range(2, turns + 1):
+        rest = rest.join(first.select(queue, *order), [queue, *order], "left_anti")
+        first = rest.groupBy(queue).agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("r")).select("r.*").withColumn("turn__", F.lit(turn))
+        found = found.union(first)
+    found = found.orderBy("turn__", queue).limit(most)
+    return found.withColumn("place", F.row_number().over(Window.orderBy("turn__", queue))).drop("turn__")  # ``most`` rows
+
+
 class RateLimit:
     """A change is allowed once ``window`` ticks have passed since the last one, or while fewer than ``most`` were allowed in the running window."""
 
