@@ -45,7 +45,11 @@ def char_classes_by_lang(spark, sf_dir):
     return d.groupBy("lang").agg(F.sum(F.length("text")).alias("chars"), F.sum(T.char_classes(F.col("text"))["upper"]).alias("upper"))
 
 
-@query("byte_entropy", None)
+#: Bytes of each text as hex pairs, and their entropy, for DuckDB.
+_ENTROPY_SQL = "hx AS (SELECT doc_id, unnest(regexp_extract_all(hex(encode(text)), '..')) AS b FROM documents), hc AS (SELECT doc_id, b, count(*) AS c FROM hx GROUP BY 1, 2), he AS (SELECT doc_id, (log2(sum(c)) - sum(c * log2(c)) / sum(c)) / 8 AS entropy FROM hc GROUP BY 1)"
+
+
+@query("byte_entropy", f"WITH {_ENTROPY_SQL} SELECT doc_id, round(CASE WHEN text = '' THEN 0 ELSE entropy END, 6) AS entropy FROM documents LEFT JOIN he USING (doc_id)")
 def byte_entropy(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.round(T.byte_entropy(F.col("text")), 6).alias("entropy"))
 
@@ -55,38 +59,45 @@ def content_hash(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", T.content_hash(F.col("text")).alias("content_hash"), F.length("text").cast("long").alias("n"))
 
 
-@query("url_fnv", None)
+@query("url_fnv", "WITH b AS (SELECT page_id, list_transform(regexp_extract_all(hex(encode(url)), '..'), lambda p: (instr('0123456789ABCDEF', p[1]) - 1) * 16 + instr('0123456789ABCDEF', p[2]) - 1) AS bytes FROM pages) SELECT page_id, list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(bytes, lambda x: x::HUGEINT)), lambda h, x: (xor(h, x) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT)::VARCHAR AS fnv FROM b")
 def url_fnv(spark, sf_dir):
     """64-bit FNV-1a of each url, as a decimal."""
     return read(spark, sf_dir, "pages").select("page_id", T.fnv1a(F.col("url")).cast("string").alias("fnv"))
 
 
-@query("squash", r"""WITH s AS (SELECT doc_id, length(text) AS n, regexp_replace(regexp_replace(text, '[\x00-\x08\x0b-\x1f\x7f]', '', 'g'), '[\s\x0b]+', ' ', 'g') AS t FROM documents) SELECT doc_id, length(t) AS n_blank, n FROM s""")
+#: Texts without controls, white space as one blank, and of each run of a letter the first two, for DuckDB.
+_SQUASH_SQL = r"""sq AS (SELECT doc_id, length(text) AS n, regexp_replace(regexp_replace(text, '[\x00-\x08\x0b-\x1f\x7f-\x9f]', '', 'g'), '[\s\x0b\p{Z}]+', ' ', 'g') AS t FROM documents),
+ch AS (SELECT doc_id, i, substr(t, i, 1) AS c FROM (SELECT doc_id, t, unnest(range(1, length(t) + 1)) AS i FROM sq)), ru AS (SELECT doc_id, c, lag(c, 1) OVER w AS a, lag(c, 2) OVER w AS b FROM ch WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+kept AS (SELECT doc_id, count(*) FILTER (WHERE NOT (regexp_matches(c, '^\p{L}$') AND c = coalesce(a, '') AND c = coalesce(b, ''))) AS n_kept FROM ru GROUP BY doc_id)"""
+
+
+@query("squash", f"WITH {_SQUASH_SQL} SELECT doc_id, coalesce(n_kept, 0) AS n_kept, n FROM sq LEFT JOIN kept USING (doc_id)")
 def squash(spark, sf_dir):
-    """Characters once controls are gone and white space is one blank; runs of letters are tested apart."""
+    """Characters once controls are gone, white space is one blank and runs of a letter are two."""
     d = read(spark, sf_dir, "documents")
-    one = F.regexp_replace(F.regexp_replace("text", r"[\x00-\x08\x0b-\x1f\x7f]", ""), f"{T.SPACE}+", " ")
-    return d.select("doc_id", F.length(one).cast("long").alias("n_blank"), F.length("text").cast("long").alias("n"))
+    return d.select("doc_id", F.length(T.squash(F.col("text"))).cast("long").alias("n_kept"), F.length("text").cast("long").alias("n"))
 
 
-@query("reduction", None)
+@query("reduction", f"WITH {_SQUASH_SQL} SELECT doc_id, round(CASE WHEN n = 0 THEN 0 ELSE 1 - coalesce(n_kept, 0)::DOUBLE / n END, 6) AS reduction FROM sq LEFT JOIN kept USING (doc_id)")
 def reduction(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.round(T.reduction(F.col("text")), 6).alias("reduction"))
 
 
-_CODE_TEXT = r"""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_name || chr(10) || '  x = {' || p_size || '};' || chr(10) || '  y;' WHEN 1 THEN 'a = b;' || chr(10) || '    c = ' || p_size ELSE p_name END AS t FROM part"""
+_CODE_TEXT = r"""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_name || chr(10) || '  x = {' || p_size || '};' || chr(10) || '  y;' WHEN 1 THEN 'a = b;' || chr(10) || '    c = ' || p_size ELSE CASE p_partkey % 4 WHEN 0 THEN 'def ' || p_name WHEN 1 THEN p_name || ' return ' || p_size WHEN 2 THEN 'return x; ' || p_name ELSE p_name END END AS t FROM part"""
 
 
 @query(
     "code_shape",
     rf"""WITH s AS ({_CODE_TEXT}), n AS (SELECT p_partkey, t, length(t) - length(regexp_replace(t, '[{{}}]', '', 'g')) AS braces, length(t) - length(replace(t, ';', '')) AS semis, length(t) - length(replace(t, '=', '')) AS assigns, contains(t, chr(10)) AS several FROM s)
-    SELECT p_partkey, braces >= 2 OR semis >= 2 OR (assigns >= 2 AND several) AS code, len(regexp_extract_all(t, '(?m)^[ \t]')) >= 2 AS indented FROM n""",
+    SELECT p_partkey, braces >= 2 OR semis >= 2 OR (assigns >= 2 AND several) OR contains(t, 'def ') OR (contains(t, 'return ') AND (braces >= 1 OR semis >= 1 OR several)) AS code, len(regexp_extract_all(t, '(?m)^[ \t]')) >= 2 AS indented FROM n""",
 )
 def code_shape(spark, sf_dir):
-    """By braces, semicolons and assignments; code words are tested on fixtures."""
+    """By braces, semicolons, assignments and code words, of which a weak one counts beside others only."""
     p = read(spark, sf_dir, "part")
     size = F.col("p_size").cast("string")
-    t = F.when(F.col("p_partkey") % 3 == 0, F.concat("p_name", F.lit("\n  x = {"), size, F.lit("};\n  y;"))).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("a = b;\n    c = "), size)).otherwise(F.col("p_name"))
+    t = F.when(F.col("p_partkey") % 3 == 0, F.concat("p_name", F.lit("\n  x = {"), size, F.lit("};\n  y;"))).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("a = b;\n    c = "), size))
+    k, name = F.col("p_partkey") % 4, F.col("p_name")
+    t = t.otherwise(F.when(k == 0, F.concat(F.lit("def "), name)).when(k == 1, F.concat(name, F.lit(" return "), size)).when(k == 2, F.concat(F.lit("return x; "), name)).otherwise(name))
     p = p.select("p_partkey", t.alias("t"))
     return p.select("p_partkey", T.looks_like_code(F.col("t")).alias("code"), T.indented_code(F.col("t")).alias("indented"))
 
@@ -108,10 +119,11 @@ def markdown_chunks(spark, sf_dir):
     return documents.chunks(read(spark, sf_dir, "documents")).select("doc_id", "chunk", F.length("text").alias("n"))
 
 
-@query("glyphs", None)
+@query("glyphs", r"""SELECT page_id, length(url)::INTEGER AS length, (regexp_matches(url, '[\s\x0b]')::INTEGER + regexp_matches(url, '[0-9]')::INTEGER + regexp_matches(url, '[!-/:-@\[-`{-~]')::INTEGER + (regexp_matches(url, '[A-Za-z]') OR regexp_matches(replace(url, '', ''), '[\x{00aa}-\x{024f}]'))::INTEGER) AS diversity FROM pages""")
 def glyphs(spark, sf_dir):
+    """Distinct classes of characters of each url, and its length; urls are Latin text.  The fingerprint's hash is this engine's own."""
     m = T.glyph_fingerprint(F.col("url"))
-    return read(spark, sf_dir, "pages").select("page_id", m["diversity"].alias("diversity"), m["length"].alias("length"), m["hash"].alias("hash"))
+    return read(spark, sf_dir, "pages").select("page_id", m["diversity"].alias("diversity"), m["length"].alias("length"))
 
 
 @query("url_paths", r"""WITH p AS (SELECT string_split(regexp_replace(url, '^[^:]*://', ''), '/') AS raw FROM pages), f AS (SELECT list_filter(raw, lambda x: x <> '') AS parts FROM p),
@@ -285,7 +297,7 @@ def perceptron(spark, sf_dir):
     return classifier.confusion(t, "y", "predicted", "train")
 
 
-@query("malware_risk", None)
+@query("malware_risk", f"WITH {_ENTROPY_SQL}, kn AS (SELECT DISTINCT sha256(text) AS h FROM benchmark) SELECT doc_id, round(CASE WHEN kn.h IS NOT NULL THEN 0.45::DOUBLE WHEN coalesce(entropy, 0) > 0.8 THEN entropy ELSE 0 END, 6) AS risk FROM documents LEFT JOIN he USING (doc_id) LEFT JOIN kn ON kn.h = sha256(text)")
 def malware_risk(spark, sf_dir):
     """Half the confidence of a known content, else risk from entropy over 0.8; known contents are benchmark passages by hash."""
     d = read(spark, sf_dir, "documents").select("doc_id", "text", T.content_hash(F.col("text")).alias("h"))

@@ -307,9 +307,21 @@ def compare_ld(spark, sf_dir):
     return t.select("n", F.round(F.coalesce(r, zero), 5).alias("correlation"), F.round(F.coalesce(1 - F.abs(r), zero), 5).alias("distance"), F.round(F.coalesce(F.try_divide("covered", "held"), F.lit(1.0)), 5).alias("coverage"))
 
 
-@query("power_table", None)
+def _probit_sql(p: float) -> str:
+    """The rational approximation of the inverse normal at a constant."""
+    t = f"sqrt(-2 * ln({min(p, 1 - p)}::DOUBLE))"
+    c, d = st.PROBIT_C, st.PROBIT_D
+    z = f"({t} - ({c[0]} + {c[1]} * {t} + {c[2]} * {t} * {t}) / (1 + {d[0]} * {t} + {d[1]} * {t} * {t} + {d[2]} * {t} * {t} * {t}))"
+    return f"(-{z})" if p < 0.5 else z
+
+
+_POWER_SQL = f"""n AS (SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1), e AS (SELECT *, unnest([0.05::DOUBLE, 0.1::DOUBLE, 0.2::DOUBLE]) AS effect FROM n),
+x AS (SELECT *, effect * effect * n AS shift, ({_probit_sql(0.975)} - sqrt(effect * effect * n)) / sqrt(2.0::DOUBLE) AS x FROM e)"""
+
+
+@query("power_table", f"WITH {_POWER_SQL} SELECT c_mktsegment, n, effect, round(CASE WHEN shift < 1 THEN 0.05::DOUBLE ELSE least(1, greatest(0, 1 - (1 + {_ERF_SQL.format(x='x')}) * 0.5)) END, 6) AS power, greatest(2, ceil((({_probit_sql(0.975)} + {_probit_sql(0.8)}) / effect) ** 2))::BIGINT AS needed FROM x")
 def power_table(spark, sf_dir):
-    """Power and least sample size by effect and size of market segments; tested against a numpy oracle."""
+    """Power and least sample size by effect and size of market segments."""
     t = read(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
     t = t.withColumn("effect", F.explode(F.array(*[F.lit(x) for x in (0.05, 0.1, 0.2)])))
     return t.select("c_mktsegment", "n", "effect", F.round(st.power(F.col("effect"), F.col("n"), F.lit(0.05)), 6).alias("power"), st.min_sample_size(F.col("effect"), F.lit(0.05), F.lit(0.8)).alias("needed"))
@@ -458,8 +470,12 @@ def genomic_task(spark, sf_dir):
     return risk.join(pop, how="cross").join(touched, how="cross").select(F.round(0.4 * F.col("risk") + 0.25 * F.col("pop") + 0.35 * F.col("touched") / F.col("n"), 5).alias("score"))
 
 
-@query("ld_dense", None)
+@query(
+    "ld_dense",
+    f"""WITH {GENOTYPES_SQL}, s AS (SELECT i, avg(g) AS mean, var_pop(g) AS var FROM g GROUP BY i), z AS (SELECT g.i, k, (g - mean) / CASE WHEN var > 1e-9 THEN sqrt(var) ELSE 1 END AS z FROM g JOIN s ON s.i = g.i WHERE g IS NOT NULL),
+    r AS (SELECT a.i, b.i AS j, CASE WHEN a.i = b.i THEN 1 WHEN count(*) <= 1 THEN 0 ELSE least(1, greatest(-1, sum(a.z * b.z) / count(*))) END AS r FROM z a JOIN z b ON a.k = b.k AND b.i >= a.i GROUP BY a.i, b.i) SELECT floor(round(abs(r), 9) * 10)::BIGINT AS tenth, count(*) AS n FROM r GROUP BY 1""",
+)
 def ld_dense(spark, sf_dir):
-    """All pairs by marginal statistics, counted by strength; tested against numpy."""
+    """All pairs by marginal statistics, counted by strength."""
     r = linkage.dense(genotypes(spark, sf_dir))
-    return r.groupBy(F.floor(F.abs("r") * 10).alias("tenth")).agg(F.count(F.lit(1)).alias("n"))
+    return r.groupBy(F.floor(F.round(F.abs("r"), 9) * 10).alias("tenth")).agg(F.count(F.lit(1)).alias("n"))

@@ -80,9 +80,11 @@ def cube_customers(spark, sf_dir):
     return t.select(F.coalesce("c_mktsegment", F.lit("all")).alias("segment"), F.coalesce("c_nationkey", F.lit(-1)).alias("nation"), "n", "mean")
 
 
-@query("customers_without_orders", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("customers_without_orders", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def customers_without_orders(spark, sf_dir):
-    return read(spark, sf_dir, "customer").select("c_custkey").join(read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    """Customers without an urgent order."""
+    urgent = read(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
+    return read(spark, sf_dir, "customer").select("c_custkey").join(urgent, "c_custkey", "left_anti")
 
 
 @query("nations_both", "SELECT c_nationkey AS nation FROM customer INTERSECT SELECT s_nationkey FROM supplier")
@@ -90,9 +92,11 @@ def nations_both(spark, sf_dir):
     return read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation")).intersect(read(spark, sf_dir, "supplier").select("s_nationkey"))
 
 
-@query("parts_unsold", "SELECT p_partkey FROM part EXCEPT SELECT l_partkey FROM lineitem")
+@query("parts_unsold", "SELECT p_partkey FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity >= 48")
 def parts_unsold(spark, sf_dir):
-    return read(spark, sf_dir, "part").select("p_partkey").exceptAll(read(spark, sf_dir, "lineitem").select("l_partkey").distinct()).distinct()
+    """Parts that no line sold 48 of or more."""
+    sold = read(spark, sf_dir, "lineitem").filter("l_quantity >= 48").select("l_partkey").distinct()
+    return read(spark, sf_dir, "part").select("p_partkey").exceptAll(sold).distinct()
 
 
 @query("rank_orders", "SELECT o_custkey, o_orderkey, rk, round(running, 2) AS running FROM (SELECT o_custkey, o_orderkey, rank() OVER w AS rk, sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey ROWS UNBOUNDED PRECEDING) AS running FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)) WHERE rk <= 3")

@@ -74,9 +74,61 @@ def regime_transitions(spark, sf_dir):
     return folds.transitions(regimes(spark, sf_dir), "batch_id", ORDER, "regime").select("batch_id", "tick", "regime", "prev_regime")
 
 
-@query("regime_hysteresis")
+# Folds as recursions over ticks, for DuckDB.
+_SEEN = "CASE WHEN utility < 0.2 AND {stress} > 0.7 THEN 'Catastrophic' WHEN utility < 0.4 OR drop_rate > 0.5 OR quarantine > 0.6 THEN 'Recovering' WHEN utility > 0.75 AND {stress} < 0.3 THEN 'Thriving' ELSE 'Stressed' END"
+
+
+def _held_sql(name: str, source: str) -> str:
+    """A recursion ``name`` (batch_id, tick, held, n) over ``source`` (batch_id, tick, seen)."""
+    keep = "CASE WHEN s.seen = {h} THEN {h} WHEN {n} > 0 THEN {h} ELSE s.seen END, CASE WHEN s.seen = {h} THEN {n} + 1 WHEN {n} > 0 THEN {n} - 1 ELSE 5 END"
+    return f"""{name}(batch_id, tick, held, n) AS (SELECT s.batch_id, s.tick, {keep.format(h="'Thriving'", n="0")} FROM {source} s WHERE s.tick = 1
+    UNION ALL SELECT s.batch_id, s.tick, {keep.format(h="r.held", n="r.n")} FROM {name} r JOIN {source} s ON s.batch_id = r.batch_id AND s.tick = r.tick + 1)"""
+
+
+def _hormones_sql() -> str:
+    """A recursion ``hl`` over t with the eight levels and the smoothed fitness e."""
+    c = lambda x: f"least(1.0::DOUBLE, greatest(0.0::DOUBLE, {x}))"
+
+    def row(p: dict[str, str]) -> str:
+        e = f"(0.85::DOUBLE * {p['e']} + 0.15::DOUBLE * utility)"
+        co = c(f"0.6::DOUBLE * 0.92::DOUBLE * {p['cortisol']} + 0.4::DOUBLE * quarantine")
+        ad = c(f"CASE WHEN drop_rate > 0.1 THEN least(drop_rate, 1.0::DOUBLE) ELSE 0.4::DOUBLE * {p['adrenaline']} END")
+        do = c(f"0.3::DOUBLE * {p['dopamine']} + 0.7::DOUBLE * {c(f'0.8::DOUBLE * {e} - 0.3::DOUBLE * drop_rate')}")
+        se = c(f"0.6::DOUBLE * {p['serotonin']} + 0.4::DOUBLE * {c(f'0.6::DOUBLE * {e} + 0.4::DOUBLE * (1 - quarantine)')}")
+        ac = c(f"0.4::DOUBLE * 0.9::DOUBLE * {p['acetylcholine']} + 0.6::DOUBLE * (drop_rate + quarantine)")
+        st = c(f"0.4::DOUBLE * {co} + 0.4::DOUBLE * {ad} + 0.2::DOUBLE * (1 - {se})")
+        ga = c(f"0.6::DOUBLE * {p['gaba']} + 0.4::DOUBLE * (0.5::DOUBLE + {st} * (1 - {e}))")
+        ox = c(f"CASE WHEN {e} > 0.7 THEN 0.7::DOUBLE * 0.9::DOUBLE WHEN {e} < 0.3 THEN 0.7::DOUBLE * 0.4::DOUBLE ELSE 0.7::DOUBLE * {p['oxytocin']} END + 0.3::DOUBLE * 0.6::DOUBLE")
+        gr = c(f"0.2::DOUBLE * exp(-t.tick / 500000.0::DOUBLE) + 0.8::DOUBLE * greatest({e}, 0.3::DOUBLE)")
+        return f"SELECT t.batch_id, t.tick, {e}, {gr}, {co}, {ad}, {do}, {se}, {ac}, {ga}, {ox}"
+
+    first = {"e": "0.5::DOUBLE"} | {k: f"{v}::DOUBLE" for k, v in folds.HORMONES.items()}
+    names = ", ".join(["batch_id", "tick", "e", *folds.HORMONES])
+    return f"hl({names}) AS ({row(first)} FROM t WHERE t.tick = 1 UNION ALL {row({k: f'r.{k}' for k in first})} FROM hl r JOIN t ON t.batch_id = r.batch_id AND t.tick = r.tick + 1)"
+
+
+_STRESS = "least(1.0::DOUBLE, greatest(0.0::DOUBLE, 0.4::DOUBLE * cortisol + 0.4::DOUBLE * adrenaline + 0.2::DOUBLE * (1 - serotonin)))"
+_HORMONES_SQL = f"WITH RECURSIVE {TICKS_SQL.strip()}, {_hormones_sql()}, hs AS (SELECT *, {_STRESS} AS stress FROM hl)"
+
+
+def _moods_sql() -> str:
+    c = lambda x: f"least(1.0::DOUBLE, greatest(0.0::DOUBLE, {x}))"
+    confidence = "CASE regime " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in folds.CONFIDENCE.items()) + " END"
+    target = {
+        "valence": "0.4::DOUBLE * dopamine + 0.4::DOUBLE * serotonin + 0.2::DOUBLE * utility - 0.3::DOUBLE * cortisol",
+        "arousal": "0.3::DOUBLE * adrenaline + 0.3::DOUBLE * acetylcholine - 0.2::DOUBLE * gaba - 0.15::DOUBLE * growth",
+        "confidence": confidence,
+        "curiosity": "0.4::DOUBLE * growth + 0.35::DOUBLE * utility + 0.25::DOUBLE * (1 - gaba)",
+    }
+    row = lambda p: ", ".join(c(f"0.85::DOUBLE * {p[k]} + 0.15::DOUBLE * {c(x)}") for k, x in target.items())
+    first, names = row({k: f"{v}::DOUBLE" for k, v in folds.MOOD.items()}), ", ".join(target)
+    return f"""{_HORMONES_SQL}, sn AS (SELECT hs.*, t.utility, {_SEEN.format(stress="stress")} AS seen FROM hs JOIN t USING (batch_id, tick)), {_held_sql("hd", "sn")}, x AS (SELECT sn.*, hd.held AS regime FROM sn JOIN hd USING (batch_id, tick)),
+    m(batch_id, tick, {names}) AS (SELECT x.batch_id, x.tick, {first} FROM x WHERE x.tick = 1 UNION ALL SELECT x.batch_id, x.tick, {row({k: f"r.{k}" for k in target})} FROM m r JOIN x ON x.batch_id = r.batch_id AND x.tick = r.tick + 1)"""
+
+
+@query("regime_hysteresis", f"WITH RECURSIVE {TICKS_SQL.strip()}, sn AS (SELECT batch_id, tick, {_SEEN.format(stress='(1 - safety)')} AS seen FROM t), {_held_sql('hd', 'sn')} SELECT batch_id, tick, held FROM hd")
 def regime_hysteresis(spark, sf_dir):
-    """Held labels of the detector; a fold, tested against a plain loop."""
+    """Held labels of the detector."""
     t = ticks(spark, sf_dir).withColumn("seen", S.detector_regime(F.col("utility"), 1 - F.col("safety"), F.col("drop_rate"), F.col("quarantine")))
     return folds.hysteresis(t.select("batch_id", "tick", "seen"), "batch_id", ORDER, "seen")
 
@@ -87,23 +139,29 @@ def detector_regimes(spark, sf_dir):
     return t.groupBy(S.detector_regime(F.col("utility"), 1 - F.col("safety"), F.col("drop_rate"), F.col("quarantine")).alias("regime")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("hormones")
-def hormones(spark, sf_dir):
-    """Hormone levels and what follows from them; a fold, tested against a plain loop."""
+@query("hormones", f"{_HORMONES_SQL} SELECT batch_id, tick, {', '.join(f'round({h}, 6) AS {h}' for h in folds.HORMONES)}, round(stress, 6) AS stress, round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, 0.6::DOUBLE * stress + 0.4::DOUBLE * (1 - dopamine))), 6) AS urgency FROM hs")
+def hormones_query(spark, sf_dir):
+    h = hormones(spark, sf_dir)
+    return h.select("batch_id", "tick", *[F.round(c, 6).alias(c) for c in (*folds.HORMONES, "stress", "urgency")])
+
+
+def hormones(spark, sf_dir) -> DataFrame:
+    """Hormone levels and what follows from them."""
     t = ticks(spark, sf_dir).select("batch_id", "tick", "utility", "drop_rate", "quarantine")
     h = folds.hormones(t, "batch_id", ORDER)
     return h.withColumn("stress", S.stress_level(F.col("cortisol"), F.col("adrenaline"), F.col("serotonin"))).withColumn("urgency", S.recovery_urgency(F.col("stress"), F.col("dopamine")))
 
 
-@query("moods")
+@query("moods", f"{_moods_sql()} SELECT batch_id, tick, {', '.join(f'round({m}, 6) AS {m}' for m in folds.MOOD)}, CASE WHEN valence > 0.7 THEN 'optimistic' WHEN valence > 0.5 THEN 'content' WHEN valence > 0.3 THEN 'worried' ELSE 'distressed' END || ' yet ' || CASE WHEN arousal > 0.7 THEN 'alert' WHEN arousal > 0.4 THEN 'active' ELSE 'calm' END AS mood FROM m")
 def moods(spark, sf_dir):
-    """Emotional state under the regime that the detector holds, stress taken from the hormones; folds, tested against plain loops."""
+    """Emotional state under the regime that the detector holds, stress taken from the hormones."""
     t = ticks(spark, sf_dir).select("batch_id", "tick", "utility", "drop_rate", "quarantine")
     h = hormones(spark, sf_dir).join(t, ["batch_id", "tick"])
     seen = h.withColumn("seen", S.detector_regime(F.col("utility"), F.col("stress"), F.col("drop_rate"), F.col("quarantine")))
     held = folds.hysteresis(seen.select("batch_id", "tick", "seen"), "batch_id", ORDER, "seen").withColumnRenamed("held", "regime")
     m = folds.moods(h.join(held, ["batch_id", "tick"]), "batch_id", ORDER)
-    return m.withColumn("mood", S.mood(F.col("valence"), F.col("arousal")))
+    m = m.withColumn("mood", S.mood(F.col("valence"), F.col("arousal")))
+    return m.select("batch_id", "tick", *[F.round(c, 6).alias(c) for c in folds.MOOD], "mood")
 
 
 @query("rolling_health", f"WITH {HEALTH_SQL} SELECT event_id, round(avg(health) OVER (PARTITION BY batch_id ORDER BY tick ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 6) AS rolling, count(*) OVER w5 = 5 AND max(health) OVER w5 < 0.5 AS degraded FROM h WINDOW w5 AS (PARTITION BY batch_id ORDER BY tick ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)")
@@ -235,16 +293,38 @@ def route_decisions(spark, sf_dir):
     return t.groupBy(S.route(F.col("utility"), F.col("ms")).alias("route")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(S.normalized_confidence(F.col("utility"), F.lit(0.6))), 6).alias("confidence"))
 
 
-@query("rate_limited")
+_ASK = "greatest(0, t.tick - {last}) >= 10", "({fresh}) OR {used} < 3"
+
+
+def _limited_sql() -> str:
+    def row(last: str, used: str) -> str:
+        fresh = _ASK[0].format(last=last)
+        ok = _ASK[1].format(fresh=fresh, used=used)
+        return f"SELECT t.batch_id, t.tick, {ok}, CASE WHEN {ok} THEN t.tick ELSE {last} END, CASE WHEN {fresh} THEN 1 WHEN {used} < 3 THEN {used} + 1 ELSE {used} END"
+
+    return f"rl(batch_id, tick, allowed, last, used) AS ({row('0', '0')} FROM t WHERE t.tick = 1 UNION ALL {row('r.last', 'r.used')} FROM rl r JOIN t ON t.batch_id = r.batch_id AND t.tick = r.tick + 1)"
+
+
+@query("rate_limited", f"WITH RECURSIVE {TICKS_SQL.strip()}, {_limited_sql()} SELECT batch_id, tick, allowed FROM rl")
 def rate_limited(spark, sf_dir):
-    """Ticks on which a change is allowed; a fold, tested against a plain loop."""
+    """Ticks on which a change is allowed."""
     return folds.rate_limit(ticks(spark, sf_dir).select("batch_id", "tick"), "batch_id", "tick", 10, 3)
 
 
-@query("pattern_learning")
+def _learnt_sql() -> str:
+    def row(w: str, l: str, m: str, c: str) -> str:  # noqa: E741
+        ok = "t.utility > 0.3"
+        return f"""SELECT t.batch_id, t.tick, {w} + CASE WHEN {ok} THEN 1 ELSE 0 END, {l} + CASE WHEN NOT {ok} AND {w} > 0 THEN 1 ELSE 0 END, CASE WHEN {ok} THEN CASE WHEN {w} = 0 THEN t.utility ELSE ({m} + t.utility) / 2 END ELSE {m} END,
+        CASE WHEN {ok} THEN CASE WHEN {w} = 0 THEN 0.5::DOUBLE ELSE least(1.0::DOUBLE, {c} + 0.05::DOUBLE) END WHEN {w} > 0 THEN greatest(0.0::DOUBLE, {c} - 0.05::DOUBLE) ELSE {c} END"""
+
+    return f"pl(batch_id, tick, wins, losses, mean, confidence) AS ({row('0::BIGINT', '0::BIGINT', '0.0::DOUBLE', '0.5::DOUBLE')} FROM t WHERE t.tick = 1 UNION ALL {row('r.wins', 'r.losses', 'r.mean', 'r.confidence')} FROM pl r JOIN t ON t.batch_id = r.batch_id AND t.tick = r.tick + 1)"
+
+
+@query("pattern_learning", f"WITH RECURSIVE {TICKS_SQL.strip()}, {_learnt_sql()}, z AS (SELECT batch_id, max(tick) AS tick FROM t GROUP BY batch_id) SELECT batch_id, wins AS successes, losses AS failures, round(mean, 6) AS mean_gain, round(confidence, 6) AS confidence FROM pl JOIN z USING (batch_id, tick) WHERE wins > 0")
 def pattern_learning(spark, sf_dir):
     t = ticks(spark, sf_dir).select("batch_id", "tick", (F.col("utility") > 0.3).alias("ok"), F.col("utility").alias("gain"))
-    return folds.pattern_learning(t, "batch_id", "tick", "ok", "gain")
+    out = folds.pattern_learning(t, "batch_id", "tick", "ok", "gain")
+    return out.withColumns({c: F.round(c, 6) for c in ("mean_gain", "confidence")})
 
 
 # --------------------------------------------------------------------------- ledger
@@ -261,11 +341,12 @@ def _entries(spark, sf_dir):
     return ticks(spark, sf_dir).select("batch_id", "tick", F.concat_ws(":", F.col("event_id").cast("string"), "event_type").alias("content"))
 
 
-@query("verify_chain", "SELECT user_id AS batch_id, 0::BIGINT AS broken FROM events GROUP BY user_id")
+@query("verify_chain", f"WITH {TICKS_SQL} SELECT batch_id, count(*) FILTER (WHERE tick % 13 = 5) AS broken FROM t GROUP BY batch_id")
 def verify_chain(spark, sf_dir):
-    """Broken links of each ledger: none as written."""
+    """Broken links of each ledger, whose contents are tampered with at every thirteenth tick."""
     e = _entries(spark, sf_dir)
     stored = folds.chain(e, "batch_id", "tick", "content").join(e, ["batch_id", "tick"])
+    stored = stored.withColumn("content", F.when(F.col("tick") % 13 == 5, F.concat("content", F.lit("!"))).otherwise(F.col("content")))
     broken = folds.verify_chain(stored, "batch_id", "tick", "content").groupBy("batch_id").agg(F.count(F.lit(1)).alias("broken"))
     return e.select("batch_id").distinct().join(broken, "batch_id", "left").select("batch_id", F.coalesce("broken", F.lit(0).cast("long")).alias("broken"))
 
