@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..functions import text as T
-from ..operators import classifier, documents, graph
+from ..operators import classifier, documents, graph, ternary
 from .domain import read
 
 QUERIES: dict = {}
@@ -204,13 +204,94 @@ def sparse_dot(spark, sf_dir):
     return read(spark, sf_dir, "embeddings").select("vec_id").join(d, "vec_id", "left").select("vec_id", F.coalesce("dot", F.lit(0)).cast("long").alias("dot"))
 
 
-@query("sparse_union", f"WITH {_DOT}, c AS (SELECT a.vec_id, a.idx // 32 AS chunk, bool_or(a.s = 1 OR b.s = 1) FILTER (WHERE a.s = 1 OR b.s = 1) AS any_pos, count(*) FILTER (WHERE a.s = 1 OR b.s = 1) AS n_pos, count(*) FILTER (WHERE a.s = -1 OR b.s = -1) AS n_neg FROM t a JOIN l ON l.label = a.label JOIN t b ON b.vec_id = l.head AND b.idx = a.idx GROUP BY 1, 2) SELECT vec_id, CAST(sum(n_pos) AS BIGINT) AS n_pos, CAST(sum(n_neg) AS BIGINT) AS n_neg FROM c GROUP BY vec_id")
+def _with_heads(spark, sf_dir):
+    """Sparse rows of each vector, and those of the first of its label under the vector's id."""
+    t = _ternary(spark, sf_dir)
+    rows = ternary.sparse(t)
+    heads = t.groupBy("label").agg(F.min("vec_id").alias("head"))
+    members = t.select("vec_id", "label").join(heads, "label").select("vec_id", "head")
+    return rows, members.join(rows.withColumnRenamed("vec_id", "head"), "head").select("vec_id", "chunk", "pos", "neg")
+
+
+@query("sparse_union", f"WITH {_DOT}, c AS (SELECT a.vec_id, a.idx // 64 AS chunk, count(*) FILTER (WHERE a.s = 1 OR b.s = 1) AS n_pos, count(*) FILTER (WHERE a.s = -1 OR b.s = -1) AS n_neg FROM t a JOIN l ON l.label = a.label JOIN t b ON b.vec_id = l.head AND b.idx = a.idx GROUP BY 1, 2) SELECT vec_id, chunk::INTEGER AS chunk, n_pos, n_neg FROM c WHERE n_pos + n_neg > 0")
 def sparse_union(spark, sf_dir):
     """Full outer join on chunks, planes ORed: a place can be in both planes."""
-    t = _ternary(spark, sf_dir).select("vec_id", "label", A.plane(F.col("v"), 1).alias("p"), A.plane(F.col("v"), -1).alias("n"))
-    head = t.groupBy("label").agg(F.min_by(F.struct("p", "n"), "vec_id").alias("h"))
-    either = lambda a, b: A.total_long(F.zip_with(F.col(a), F.col(b), lambda x, y: F.bit_count(x.bitwiseOR(y))))
-    return t.join(head, "label").select("vec_id", either("p", "h.p").alias("n_pos"), either("n", "h.n").alias("n_neg"))
+    out = ternary.sparse_add(*_with_heads(spark, sf_dir))
+    return out.select("vec_id", "chunk", F.bit_count("pos").cast("long").alias("n_pos"), F.bit_count("neg").cast("long").alias("n_neg"))
+
+
+_HEAD = f"{_TERN}, f AS (SELECT idx, s FROM t WHERE vec_id = (SELECT min(vec_id) FROM e)), sc AS (SELECT t.vec_id, t.idx // 64 AS chunk, sum(t.s * f.s) AS score FROM t JOIN f USING (idx) GROUP BY 1, 2)"
+
+
+def _gates(spark, sf_dir):
+    rows = ternary.sparse(_ternary(spark, sf_dir))
+    first = rows.join(rows.agg(F.min("vec_id").alias("vec_id")), "vec_id").select("chunk", "pos", "neg")
+    return rows, first
+
+
+@query("sparse_gate", f"WITH {_HEAD} SELECT vec_id, chunk::INTEGER AS chunk, sign(score)::INTEGER AS sign FROM sc WHERE abs(score) >= 3")
+def sparse_gate(spark, sf_dir):
+    """One sign a chunk, of each vector with the first one, where the score reaches three."""
+    return ternary.gated(*_gates(spark, sf_dir), 3).select("vec_id", "chunk", "sign")
+
+
+@query("layer_output", f"WITH {_HEAD}, o AS (SELECT vec_id, chunk, sign(score)::INTEGER AS sign FROM sc WHERE score <> 0) SELECT vec_id, arg_min(sign, chunk) AS sign FROM o GROUP BY vec_id")
+def layer_output(spark, sf_dir):
+    """Each node keeps its first output chunk."""
+    return ternary.layer(*_gates(spark, sf_dir)).select("vec_id", "sign")
+
+
+@query("sparse_text", f"WITH {_TERN}, c AS (SELECT vec_id, idx // 64 AS chunk, sum(CASE WHEN s = 1 THEN 1::HUGEINT << (idx % 64)::INTEGER ELSE 0 END) AS pos, sum(CASE WHEN s = -1 THEN 1::HUGEINT << (idx % 64)::INTEGER ELSE 0 END) AS neg, sum(abs(s)) AS n FROM t GROUP BY 1, 2), b AS (SELECT * FROM c WHERE n > 0), z AS (SELECT vec_id, count(*) AS len FROM t GROUP BY 1) SELECT z.vec_id, 'SPARSE_V1 len=' || any_value(len) || ' density=' || printf('%.6f', coalesce(sum(n), 0) / any_value(len)::DOUBLE) || ' blocks=' || count(b.chunk) || chr(10) || coalesce(string_agg('chunk=' || chunk || ' pos=0x' || lpad(lower(to_hex(pos::UBIGINT)), 16, '0') || ' neg=0x' || lpad(lower(to_hex(neg::UBIGINT)), 16, '0') || chr(10), '' ORDER BY chunk), '') AS text FROM z LEFT JOIN b USING (vec_id) GROUP BY z.vec_id")
+def sparse_text(spark, sf_dir):
+    """Sparse vectors as text, a line a chunk."""
+    t = _ternary(spark, sf_dir)
+    return ternary.sparse_text(ternary.sparse(t), t.select("vec_id", F.size("v").alias("len")))
+
+
+_EDITED = f"{_TERN}, x2 AS (SELECT vec_id, idx, s, CASE WHEN vec_id % 3 = 0 AND idx = vec_id % 64 THEN vec_id % 2 WHEN vec_id % 3 = 0 AND idx = 5 THEN -1 ELSE s END AS n FROM t)"
+
+
+@query("vector_edits", f"WITH {_EDITED} SELECT vec_id, CAST(sum(n) AS BIGINT) AS total, CAST(sum(abs(n)) AS BIGINT) AS n_set, sha256(string_agg(s::VARCHAR, ',' ORDER BY idx)) AS parent, CASE WHEN vec_id % 3 = 0 THEN 1 ELSE 0 END AS generation FROM x2 GROUP BY vec_id")
+def vector_edits(spark, sf_dir):
+    """Values set in a third of the vectors, each with its parent's hash."""
+    t = _ternary(spark, sf_dir).select("vec_id", "v")
+    third = t.filter("vec_id % 3 = 0").select("vec_id")
+    edits = third.select("vec_id", F.lit(5).cast("long").alias("idx"), F.lit(-1).cast("long").alias("val"), F.lit(0).alias("seq")).union(third.select("vec_id", F.col("vec_id") % 64, F.col("vec_id") % 2, F.lit(1)))
+    out = ternary.edited(t, edits)
+    return out.select("vec_id", A.total_long(F.col("v")).alias("total"), A.total_long(F.col("v"), F.abs).alias("n_set"), "parent", "generation")
+
+
+_INT8 = f"WITH {_EMB}, x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS idx FROM e), m AS (SELECT vec_id, greatest(max(abs(v)), 1e-5) AS top FROM x GROUP BY vec_id), q AS (SELECT x.vec_id, idx, top, least(127, greatest(-128, round_even(v * (127 / top), 0)))::BIGINT AS a FROM x JOIN m USING (vec_id)), k AS (SELECT unnest(range(8)) AS k)"
+_TERNARY_WEIGHTS = [[(i * 7 + k * 5) % 3 - 1 for i in range(64)] for k in range(8)]
+_INT8_WEIGHTS = [[(i * 31 + k * 17) % 255 - 127 for i in range(64)] for k in range(8)]
+
+
+@query("ternary_int8", f"{_INT8} SELECT vec_id, k::INTEGER AS k, CAST(sum(a * ((idx * 7 + k * 5) % 3 - 1)) AS BIGINT) AS y FROM q CROSS JOIN k GROUP BY 1, 2")
+def ternary_int8(spark, sf_dir):
+    """Ternary weights times int8 activations, exact."""
+    e = read(spark, sf_dir, "embeddings")
+    return e.select("vec_id", F.posexplode(ternary.product(A.int8_activation(F.col("embedding")), _TERNARY_WEIGHTS)).alias("k", "y"))
+
+
+@query("int8_dense", f"{_INT8} SELECT vec_id, k::INTEGER AS k, CAST(sum(a * ((idx * 31 + k * 17) % 255 - 127)) AS BIGINT) AS y FROM q CROSS JOIN k GROUP BY 1, 2")
+def int8_dense(spark, sf_dir):
+    """Int8 weights times int8 activations, exact."""
+    e = read(spark, sf_dir, "embeddings")
+    return e.select("vec_id", F.posexplode(ternary.product(A.int8_activation(F.col("embedding")), _INT8_WEIGHTS)).alias("k", "y"))
+
+
+@query("ternary_forward", f"{_INT8} SELECT vec_id, k::INTEGER AS k, round(sum(a * ((idx * 7 + k * 5) % 3 - 1)) * (any_value(top) / 127) * 0.25::DOUBLE, 5) AS y FROM q CROSS JOIN k GROUP BY 1, 2")
+def ternary_forward(spark, sf_dir):
+    """Layer output: quantised, multiplied, and scaled back with a weight scale of a quarter."""
+    e = read(spark, sf_dir, "embeddings")
+    return e.select("vec_id", F.posexplode(ternary.forward(F.col("embedding"), _TERNARY_WEIGHTS, 0.25)).alias("k", "y")).select("vec_id", "k", F.round("y", 5).alias("y"))
+
+
+@query("packed_weights", f"WITH {_TERN}, b AS (SELECT vec_id, idx % 64 AS byte, sum((s + 1) * 4 ** (idx // 64)) AS code, count(*) AS n FROM t GROUP BY 1, 2) SELECT vec_id, count(*) AS n_bytes, CAST(sum(code + 84) AS BIGINT) AS total FROM b GROUP BY vec_id")
+def packed_weights(spark, sf_dir):
+    """Two bits a weight in a group of 256; three quarters of these rows are padding."""
+    p = _ternary(spark, sf_dir).select("vec_id", ternary.pack(F.col("v")).alias("p"))
+    return p.select("vec_id", F.size("p").cast("long").alias("n_bytes"), A.total_long(F.col("p")).alias("total"))
 
 
 @query("ternary_matmul", f"WITH {_TERN} SELECT a.vec_id, b.k, CAST(sum(a.s * b.w) AS BIGINT) AS y FROM t a JOIN (SELECT idx, k, (idx * 7 + k * 5) % 3 - 1 AS w FROM (SELECT unnest(range(64)) AS idx), (SELECT unnest(range(8)) AS k)) b ON b.idx = a.idx GROUP BY 1, 2")
