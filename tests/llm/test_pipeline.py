@@ -131,3 +131,24 @@ def test_near_dedup_stage_finds_short_near_copies(spark):
         rows += [(2 * i, " ".join(ws), "en", "s", 0), (2 * i + 1, " ".join(ws[1:]), "en", "s", 0)]
     kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, COLUMNS), "").select("doc_id").collect()
     assert sorted(r.doc_id for r in kept) == list(range(0, 4000, 2))
+
+
+def test_stages_take_odd_rows_and_empty_tables(spark, tmp_path):
+    """Nulls in any column, repeated ids and rows, ties, long texts, columns with names that operators use, no rows and no labels."""
+    from .cases import ODD, docs
+
+    root = str(tmp_path)
+    spark.createDataFrame([(1, 0, 0), (4, None, 1), (None, 1, 1)], "doc_id long, toxic int, quality int").write.parquet(f"{root}/labels.parquet")
+    spark.createDataFrame([(1, "not there at all anywhere"), (2, None), (None, "")], "item_id long, text string").write.parquet(f"{root}/benchmark.parquet")
+    for rows in (ODD + [(4, "a"), (9, "lines here that repeat"), (2, "")], []):
+        now = docs(spark, rows)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, now, root)
+            assert out.columns == now.columns and [t for _, t in out.dtypes] == [t for _, t in now.dtypes], name
+            kept = out.collect()
+            assert len(kept) == len(rows), name  # nothing here is toxic, near another text, or of the benchmark
+            now = spark.createDataFrame(kept, now.schema)
+        out = corpus_pipeline.STAGES[-1][1](spark, now, root)
+        assert out.count() == len(rows) and out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+        if rows:
+            assert {r.n_tokens for r in out.collect() if r.doc_id in (1, 2)} == {0}
