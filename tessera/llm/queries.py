@@ -20,5 +20,6 @@ QUERIES = {
 ORACLES = {
     "op1_line_dedup": line_dedup.ORACLE,
     "op2_exact_dedup": exact_dedup.ORACLE,
+    "op3_minhash_near_dedup": minhash.ORACLE,
     "op10_decontamination": decontaminate.ORACLE,
 }

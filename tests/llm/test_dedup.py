@@ -191,3 +191,15 @@ def test_minhash_values_are_independent_in_sets_of_any_size():
         j = shared / n
         assert abs(equal.mean() / minhash.BINS - j) < 0.005
         assert 0.8 < equal.var() / (minhash.BINS * j * (1 - j)) < 1.2
+
+
+@pytest.mark.parametrize("percent,sizes", [(85, [(6, 7), (7, 8), (9, 10), (12, 14), (13, 15)]), (80, [(4, 5), (5, 6), (8, 10), (11, 13), (12, 15)])])
+def test_bands_lose_no_pair_of_few_shingles(percent, sizes):
+    """Pairs at the threshold, one set within the other: 20,000 of each size, none of which may miss all bands (1e-6 each)."""
+    rng = np.random.default_rng(percent)
+    bands = minhash.bands_for(percent)
+    for less, more in sizes:
+        assert 100 * less >= percent * more
+        sets = [np.sort(rng.integers(0, 2**64, more, dtype=np.uint64)) for _ in range(20_000)]
+        keys = [minhash.band_keys(minhash.minhashes(part), bands) for part in (sets, [np.sort(x[rng.permutation(more)[:less]]) for x in sets])]
+        assert (keys[0] == keys[1]).any(axis=1).all()

@@ -37,6 +37,20 @@ def held(i, n, r):
     return i is not None and zlib.crc32(str(i).encode()) % n == r
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_queries_against_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('/root/testdata/sf0.001/{t}.parquet')")
+    want = con.execute(queries.ORACLES[name]).fetch_df()
+    got = queries.QUERIES[name](spark, "/root/testdata/sf0.001").toPandas()
+    assert set(want.columns) <= set(got.columns)
+    rows = lambda f: sorted(tuple(str(v) for v in r) for r in f[sorted(want.columns)].itertuples(index=False))
+    assert rows(got) == rows(want) and len(want)
+
+
 def test_op4_against_brute_force(spark, sf_dir):
     """Every template against every window of the class's width that can hold it, by exact containment."""
     root, texts, _ = sf_dir
