@@ -187,3 +187,8 @@ def agent_path(tier: Column, sub: Column, micro: Column, nano: Column) -> Column
     place = F.array_position(F.array(*[F.lit(t) for t in TIERS]), tier)
     parts = [F.lit("/super/0"), F.concat(F.lit("sub/"), sub.cast("string")), F.concat(F.lit("micro/"), micro.cast("string")), F.concat(F.lit("nano/"), nano.cast("string"))]
     return F.array_join(F.slice(F.array(*parts), F.lit(1), place.cast("int")), "/")
+
+
+def task_score(classifier, genomic) -> Column:
+    """.55 of the classifier's balanced accuracy and .45 of the genomic score; the latter alone where the first is null."""
+    return F.when(classifier.isNull(), genomic).otherwise(clamp(0.55 * classifier + 0.45 * genomic))
