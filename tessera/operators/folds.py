@@ -1,12 +1,13 @@
 """Order-dependent state: recurrences over a group's rows in order.
 
-A recurrence that has no closed form is one pass over each group, sorted by tick, in ``applyInPandas``: groups are agents
-or streams, whose histories fit a task.  What needs no recurrence (streaks, frames, lags) is window functions.
+A recurrence that has no closed form is one pass over each group in order of ticks, batch by batch, so that a task holds a batch and the
+state between two, however long a group's history is.  What needs no recurrence (streaks, frames, lags) is window functions.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,14 +23,17 @@ MOOD = {"valence": 0.6, "arousal": 0.3, "confidence": 0.7, "curiosity": 0.5}
 CONFIDENCE = {"Thriving": 0.9, "Stressed": 0.6, "Recovering": 0.3, "Catastrophic": 0.1}
 
 
-def over_groups(df: DataFrame, keys: list[str], order: list[str], schema: str, step) -> DataFrame:
-    """``step(rows)`` gets a group's rows in order as a frame and returns the output frame."""
+def over_groups(df: DataFrame, keys: list[str], order: list[str], schema: str, start: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]]) -> DataFrame:
+    """For each group ``start()`` gives a step, which gets the group's rows in order, batch by batch, and returns output frames."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return step(pdf.sort_values(order, ignore_index=True))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        step = start()
+        for pdf in batches:
+            yield step(pdf)
 
     ensure(df.sparkSession)
-    return df.groupBy(*keys).applyInPandas(run, schema)
+    # Groups need rows by key; this order within partitions is one by key too, so Spark keeps it.
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).groupBy(*keys).applyInPandas(run, schema)
 
 
 def ema(df: DataFrame, key: str, order: list[str], columns: dict[str, str], alpha: float = ALPHA) -> DataFrame:
@@ -37,17 +41,22 @@ def ema(df: DataFrame, key: str, order: list[str], columns: dict[str, str], alph
     types = dict(df.dtypes)
     schema = ", ".join(f"{c} {types[c]}" for c in [key, *order]) + "".join(f", {k} double" for k in columns)
 
-    def step(rows):
-        out = rows[[key, *order]].copy()
-        for name, target in columns.items():
-            x, series = 0.5, []
-            for v in rows[target].tolist():
-                x += alpha * (v - x)
-                series.append(x)
-            out[name] = series
-        return out
+    def start():
+        last = dict.fromkeys(columns, 0.5)
 
-    return over_groups(df, [key], order, schema, step)
+        def step(rows):
+            out = rows[[key, *order]].copy()
+            for name, target in columns.items():
+                x, series = last[name], []
+                for v in rows[target].tolist():
+                    x += alpha * (v - x)
+                    series.append(x)
+                last[name], out[name] = x, series
+            return out
+
+        return step
+
+    return over_groups(df, [key], order, schema, start)
 
 
 def recurrence(keep, add, start: float, low: float = 0.0, high: float = 1.0) -> np.ndarray:
@@ -59,22 +68,27 @@ def recurrence(keep, add, start: float, low: float = 0.0, high: float = 1.0) ->
     return out
 
 
-def hormone_levels(fitness: np.ndarray, quarantine: np.ndarray, drops: np.ndarray) -> dict[str, np.ndarray]:
-    """Eight levels over a history; each is a first-order recurrence on what the others and the inputs drive."""
-    ema = recurrence(1 - ALPHA, ALPHA * fitness, 0.5, -np.inf, np.inf)
-    age = np.arange(1, len(fitness) + 1)
+def hormone_levels(fitness: np.ndarray, quarantine: np.ndarray, drops: np.ndarray, before: dict[str, float] | None = None) -> tuple[dict[str, np.ndarray], dict[str, float]]:
+    """Eight levels over a stretch of a history, and the state after it; each is a first-order recurrence on what the others and the inputs drive.
+
+    before: the state after the stretch before.
+    """
+    last = before or HORMONES | {"ema": 0.5, "age": 0.0}
+    ema = recurrence(1 - ALPHA, ALPHA * fitness, last["ema"], -np.inf, np.inf)
+    age = last["age"] + np.arange(1, len(fitness) + 1)
     alarm = drops > 0.1
     out = {"growth": np.clip(0.2 * np.exp(-age / 500_000) + 0.8 * np.maximum(ema, 0.3), 0, 1)}
-    out["cortisol"] = recurrence(0.6 * 0.92, 0.4 * quarantine, HORMONES["cortisol"])
-    out["adrenaline"] = recurrence(np.where(alarm, 0.0, 0.4), np.where(alarm, np.minimum(drops, 1.0), 0.0), HORMONES["adrenaline"])
-    out["dopamine"] = recurrence(0.3, 0.7 * np.clip(0.8 * ema - 0.3 * drops, 0, 1), HORMONES["dopamine"])
-    out["serotonin"] = recurrence(0.6, 0.4 * np.clip(0.6 * ema + 0.4 * (1 - quarantine), 0, 1), HORMONES["serotonin"])
-    out["acetylcholine"] = recurrence(0.4 * 0.9, 0.6 * (drops + quarantine), HORMONES["acetylcholine"])
+    out["cortisol"] = recurrence(0.6 * 0.92, 0.4 * quarantine, last["cortisol"])
+    out["adrenaline"] = recurrence(np.where(alarm, 0.0, 0.4), np.where(alarm, np.minimum(drops, 1.0), 0.0), last["adrenaline"])
+    out["dopamine"] = recurrence(0.3, 0.7 * np.clip(0.8 * ema - 0.3 * drops, 0, 1), last["dopamine"])
+    out["serotonin"] = recurrence(0.6, 0.4 * np.clip(0.6 * ema + 0.4 * (1 - quarantine), 0, 1), last["serotonin"])
+    out["acetylcholine"] = recurrence(0.4 * 0.9, 0.6 * (drops + quarantine), last["acetylcholine"])
     stress = np.clip(0.4 * out["cortisol"] + 0.4 * out["adrenaline"] + 0.2 * (1 - out["serotonin"]), 0, 1)
-    out["gaba"] = recurrence(0.6, 0.4 * (0.5 + stress * (1 - ema)), HORMONES["gaba"])
+    out["gaba"] = recurrence(0.6, 0.4 * (0.5 + stress * (1 - ema)), last["gaba"])
     bond = np.where(ema > 0.7, 0.9, np.where(ema < 0.3, 0.4, np.nan))
-    out["oxytocin"] = recurrence(np.where(np.isnan(bond), 0.7, 0.0), np.where(np.isnan(bond), 0.0, 0.7 * bond) + 0.3 * 0.6, HORMONES["oxytocin"])
-    return out
+    out["oxytocin"] = recurrence(np.where(np.isnan(bond), 0.7, 0.0), np.where(np.isnan(bond), 0.0, 0.7 * bond) + 0.3 * 0.6, last["oxytocin"])
+    after = {k: float(v[-1]) for k, v in out.items()} | {"ema": float(ema[-1]), "age": float(age[-1])} if len(fitness) else last
+    return out, after
 
 
 def hormones(df: DataFrame, key: str, order: list[str], fitness: str = "utility", quarantine: str = "quarantine", drops: str = "drop_rate") -> DataFrame:
@@ -82,14 +96,20 @@ def hormones(df: DataFrame, key: str, order: list[str], fitness: str = "utility"
     types = dict(df.dtypes)
     schema = ", ".join(f"{c} {types[c]}" for c in [key, *order]) + "".join(f", {h} double" for h in HORMONES)
 
-    def step(rows):
-        out = rows[[key, *order]].copy()
-        levels = hormone_levels(*(rows[c].to_numpy(float) for c in (fitness, quarantine, drops)))
-        for h in HORMONES:
-            out[h] = levels[h]
-        return out
+    def start():
+        state = None
+
+        def step(rows):
+            nonlocal state
+            out = rows[[key, *order]].copy()
+            levels, state = hormone_levels(*(rows[c].to_numpy(float) for c in (fitness, quarantine, drops)), state)
+            for h in HORMONES:
+                out[h] = levels[h]
+            return out
 
-    return over_groups(df, [key], order, schema, step)
+        return step
+
+    return over_groups(df, [key], order, schema, start)
 
 
 def moods(df: DataFrame, key: str, order: list[str], fitness: str = "utility", regime: str = "regime") -> DataFrame:
@@ -97,21 +117,27 @@ def moods(df: DataFrame, key: str, order: list[str], fitness: str = "utility", r
     types = dict(df.dtypes)
     schema = ", ".join(f"{c} {types[c]}" for c in [key, *order]) + "".join(f", {m} double" for m in MOOD)
 
-    def step(rows):
-        h = {c: rows[c].to_numpy(float) for c in HORMONES}
-        fit = rows[fitness].to_numpy(float)
-        target = {
-            "valence": 0.4 * h["dopamine"] + 0.4 * h["serotonin"] + 0.2 * fit - 0.3 * h["cortisol"],
-            "arousal": 0.3 * h["adrenaline"] + 0.3 * h["acetylcholine"] - 0.2 * h["gaba"] - 0.15 * h["growth"],
-            "confidence": np.array([CONFIDENCE[r] for r in rows[regime]]),
-            "curiosity": 0.4 * h["growth"] + 0.35 * fit + 0.25 * (1 - h["gaba"]),
-        }
-        out = rows[[key, *order]].copy()
-        for m, first in MOOD.items():
-            out[m] = recurrence(1 - ALPHA, ALPHA * np.clip(target[m], 0, 1), first)
-        return out
+    def start():
+        last = dict(MOOD)
+
+        def step(rows):
+            h = {c: rows[c].to_numpy(float) for c in HORMONES}
+            fit = rows[fitness].to_numpy(float)
+            target = {
+                "valence": 0.4 * h["dopamine"] + 0.4 * h["serotonin"] + 0.2 * fit - 0.3 * h["cortisol"],
+                "arousal": 0.3 * h["adrenaline"] + 0.3 * h["acetylcholine"] - 0.2 * h["gaba"] - 0.15 * h["growth"],
+                "confidence": np.array([CONFIDENCE[r] for r in rows[regime]]),
+                "curiosity": 0.4 * h["growth"] + 0.35 * fit + 0.25 * (1 - h["gaba"]),
+            }
+            out = rows[[key, *order]].copy()
+            for m in MOOD:
+                series = recurrence(1 - ALPHA, ALPHA * np.clip(target[m], 0, 1), last[m])
+                last[m], out[m] = float(series[-1]), series
+            return out
+
+        return step
 
-    return over_groups(df, [key], order, schema, step)
+    return over_groups(df, [key], order, schema, start)
 
 
 class Hysteresis:
@@ -135,30 +161,32 @@ def hysteresis(df: DataFrame, key: str, order: list[str], seen: str, length: int
     types = dict(df.dtypes)
     schema = ", ".join(f"{c} {types[c]}" for c in [key, *order]) + ", held string"
 
-    def step(rows):
+    def start():
         state = Hysteresis(first, 0, length)
-        result = rows[[key, *order]].copy()
-        result["held"] = pd.Series([state.see(x) for x in rows[seen].tolist()], dtype=object)
-        return result
+        return lambda rows: rows[[key, *order]].assign(held=pd.Series([state.see(x) for x in rows[seen].tolist()], dtype=object, index=rows.index))
 
-    return over_groups(df, [key], order, schema, step)
+    return over_groups(df, [key], order, schema, start)
 
 
 def chain(df: DataFrame, key: str, order: str, content: str) -> DataFrame:
     """(key, order, content_hash, chain_hash): chain_hash = sha256(previous chain hash + content), from an empty string."""
     types = dict(df.dtypes)
 
-    def step(rows):
-        last, links, own = "", [], []
-        for c in rows[content].tolist():
-            last = hashlib.sha256((last + c).encode()).hexdigest()
-            links.append(last)
-            own.append(hashlib.sha256(c.encode()).hexdigest())
-        out = rows[[key, order]].copy()
-        out["content_hash"], out["chain_hash"] = pd.Series(own, dtype=object), pd.Series(links, dtype=object)
-        return out
+    def start():
+        last = ""
 
-    return over_groups(df, [key], [order], f"{key} {types[key]}, {order} {types[order]}, content_hash string, chain_hash string", step)
+        def step(rows):
+            nonlocal last
+            links, own = [], []
+            for c in rows[content].tolist():
+                last = hashlib.sha256((last + c).encode()).hexdigest()
+                links.append(last)
+                own.append(hashlib.sha256(c.encode()).hexdigest())
+            return rows[[key, order]].assign(content_hash=pd.Series(own, dtype=object, index=rows.index), chain_hash=pd.Series(links, dtype=object, index=rows.index))
+
+        return step
+
+    return over_groups(df, [key], [order], f"{key} {types[key]}, {order} {types[order]}, content_hash string, chain_hash string", start)
 
 
 def verify_chain(stored: DataFrame, key: str, order: str, content: str) -> DataFrame:
@@ -214,34 +242,39 @@ def rate_limit(df: DataFrame, key: str, order: str, window: int, most: int) -> D
     """(key, order, allowed) of each group's requests in order."""
     types = dict(df.dtypes)
 
-    def step(rows):
+    def start():
         state = RateLimit(window, most)
-        result = rows[[key, order]].copy()
-        result["allowed"] = [state.ask(t) for t in rows[order].tolist()]
-        return result
+        return lambda rows: rows[[key, order]].assign(allowed=[state.ask(t) for t in rows[order].tolist()])
 
-    return over_groups(df, [key], [order], f"{key} {types[key]}, {order} {types[order]}, allowed boolean", step)
+    return over_groups(df, [key], [order], f"{key} {types[key]}, {order} {types[order]}, allowed boolean", start)
 
 
 def pattern_learning(df: DataFrame, key: str, order: str, success: str, gain: str) -> DataFrame:
     """(key, successes, failures, mean_gain, confidence).  The first success makes the pattern (0.5, its gain); later ones halve the
     mean towards their gain and add 0.05, failures take 0.05.  Failures before it count for nothing; a key without success has no row."""
     types = dict(df.dtypes)
+    names = [key, "successes", "failures", "mean_gain", "confidence"]
 
-    def step(rows):
+    def start():
         wins = losses = 0
         mean, confidence = 0.0, 0.5
-        for ok, g in zip(rows[success].tolist(), rows[gain].tolist()):
-            if ok:
-                mean, confidence = (g, 0.5) if not wins else ((mean + g) / 2, min(1.0, confidence + 0.05))
-                wins += 1
-            elif wins:
-                losses += 1
-                confidence = max(0.0, confidence - 0.05)
-        n = int(wins > 0)
-        return pd.DataFrame({key: rows[key].iloc[:n], "successes": [wins] * n, "failures": [losses] * n, "mean_gain": [mean] * n, "confidence": [confidence] * n})
-
-    return over_groups(df, [key], [order], f"{key} {types[key]}, successes long, failures long, mean_gain double, confidence double", step)
+
+        def step(rows):
+            """What is known after these rows; the last batch's is the group's."""
+            nonlocal wins, losses, mean, confidence
+            for ok, g in zip(rows[success].tolist(), rows[gain].tolist()):
+                if ok:
+                    mean, confidence = (g, 0.5) if not wins else ((mean + g) / 2, min(1.0, confidence + 0.05))
+                    wins += 1
+                elif wins:
+                    losses += 1
+                    confidence = max(0.0, confidence - 0.05)
+            return pd.DataFrame([(rows[key].iloc[0], wins, losses, mean, confidence)] if wins else [], columns=names)
+
+        return step
+
+    known = over_groups(df, [key], [order], f"{key} {types[key]}, successes long, failures long, mean_gain double, confidence double", start)
+    return known.groupBy(key).agg(F.max_by(F.struct(*names[1:]), F.col("successes") + F.col("failures")).alias("known__")).select(key, "known__.*")
 
 
 # --------------------------------------------------------------------------- frames

@@ -295,3 +295,25 @@ def test_selection_loop(spark):
     out, ledger = synthesis.selection_loop(edges, 4, measure, train, lambda t: graph.drop_weakest(t, 0.2))
     assert out.count() < 20 and [r["kind"] for r in ledger] == ["train", "prune", "train", "prune"] and all(r["accepted"] for r in ledger)
     assert synthesis.select_step({"task": 1, "bio": 1, "safety": 1, "cost": 0}, {"task": 1, "bio": 1, "safety": 0.9, "cost": 0}) == (False, "safety")
+
+
+def test_folds_go_on_from_batch_to_batch(spark):
+    """A group of more rows than an Arrow batch takes gives what one batch gives."""
+    rng = random.Random(9)
+    rows = [(k, t, rng.choice("AAB"), rng.random(), rng.random() * 0.3, rng.random(), rng.random() > 0.5) for k in range(2) for t in range(150)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "k long, tick long, label string, utility double, drop_rate double, quarantine double, ok boolean").repartition(3)
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, out = spark.conf.get(size), []
+    for n in ("1000", "7"):
+        spark.conf.set(size, n)
+        parts = [folds.hysteresis(df, "k", ["tick"], "label", 3, "A"), folds.ema(df, "k", ["tick"], {"e": "utility"}), folds.rate_limit(df.select("k", "tick"), "k", "tick", 10, 2), folds.hormones(df, "k", ["tick"]), folds.chain(df, "k", "tick", "label"), folds.pattern_learning(df, "k", "tick", "ok", "utility")]
+        out.append([sorted(map(tuple, p.collect())) for p in parts])
+    spark.conf.set(size, before)
+    assert out[0] == out[1] and [len(x) for x in out[0]] == [300] * 5 + [2]
+
+
+def test_folds_are_sorted_once(spark):
+    df = spark.createDataFrame([(1, 2, "A")], "k long, tick long, label string")
+    plan = folds.hysteresis(df, "k", ["tick"], "label")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1 and plan.count("Exchange hashpartitioning") == 1
