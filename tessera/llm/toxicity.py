@@ -36,7 +36,7 @@ CLEAN_TOKENS = 150_000
 PREFIXES = (3, 4, 5)
 BUCKETS_BITS = 18
 #: A feature is tied to toxic documents from this likelihood ratio (in nats) and share on.
-EVIDENCE, SHARE = 14.0, 0.95
+EVIDENCE, SHARE = 9.0, 0.95
 NEIGHBOURS = 6
 ROUNDS, RATE, DECAY = 60, 0.5, 1e-5
 FLOOR = 0.05
