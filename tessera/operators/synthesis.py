@@ -10,21 +10,28 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import Rounds
 from ..ship import ensure
 
 #: Fixed value: chance to stay with a donor from one pool to the next.
 PERSISTENCE = 0.7
 MISSING = 3
+TOP = 2**32 - 1
+
+
+#: Odd multipliers of genome, place and sample, and the constants of the finaliser (splitmix64).
+MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+FINALISER = ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1))
 
 
 def unit(seed: int, *parts: np.ndarray | int) -> np.ndarray:
-    """[0, 1) in steps of 2^-24, by a mix of the seed and the parts."""
-    h = np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15)
+    """[0, 1) in steps of 2^-24 for a genome, a place and a sample: the seed mixed with the multiples of each, then finalised."""
+    h = np.uint64(seed)
     with np.errstate(over="ignore"):
-        for p in parts:
-            h = (h ^ np.asarray(p, np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
-            h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-            h = h ^ (h >> np.uint64(29))
+        for p, m in zip(parts, MULTIPLIERS):
+            h = h ^ np.asarray(p, np.uint64) * np.uint64(m)
+        for shift, m in FINALISER:
+            h = (h ^ (h >> np.uint64(shift))) * np.uint64(m)
     return (h >> np.uint64(40)).astype(np.float64) / float(1 << 24)
 
 
@@ -64,12 +71,13 @@ def synthesize(pool: DataFrame, frequencies: DataFrame, genomes: int, seed: int
                     donor = None
                     for k, (block, snps, fragments) in enumerate(blocks):
                         donors = sorted(fragments)
-                        if donor not in fragments or unit(seed, genome, copy, k, 1) >= PERSISTENCE:
-                            donor = donors[int(unit(seed, genome, copy, k, 2) * len(donors))]
+                        # Draws of pools count down from the top of 32 bits, so that they never meet those of variants.
+                        if donor not in fragments or unit(seed, genome, TOP - 4 * k - copy, 0) >= PERSISTENCE:
+                            donor = donors[int(unit(seed, genome, TOP - 4 * k - 2 - copy, 0) * len(donors))]
                         for s, a in zip(snps, fragments[donor]):
                             dose[s] = dose.get(s, 0) + a
                     for s, p in single:
-                        dose[s] = dose.get(s, 0) + int(unit(seed, genome, copy, s, 3) < (p or 0.0))
+                        dose[s] = dose.get(s, 0) + int(unit(seed, genome, s, 1 + copy) < (p or 0.0))
                 out += [(genome, s, g) for s, g in sorted(dose.items())]
             yield pd.DataFrame(out, columns=["genome_id", "snp_idx", "g"])
 
@@ -91,6 +99,26 @@ def next_generation(scored: DataFrame, fresh: DataFrame) -> DataFrame:
     return elite.select("genome_id", "fitness").union(rest.select("genome_id", F.lit(0.0)))
 
 
+def run_generations(population: DataFrame, generations: int, sample, score=fitness) -> DataFrame:
+    """(genome_id, fitness) after some generations: each is scored, its fittest quarter (one at least) stays, and fresh genomes fill it up.
+
+    population: (genome_id, snp_idx, g); sample(ids) gives genomes for a table of ids, which go on from 1000 a generation.  Each generation is
+    written, so that a long run keeps a short lineage.
+    """
+    rounds = Rounds(population.sparkSession, "generations")
+    now = rounds.cut(population)
+    for generation in range(generations):
+        scored = score(now)
+        n = scored.count()
+        kept = max(1, n // 4)
+        elite = scored.orderBy(F.desc("fitness"), "genome_id").limit(kept).select("genome_id")
+        fresh = sample(population.sparkSession.range(generation * 1000 + kept, generation * 1000 + n).withColumnRenamed("id", "genome_id"))
+        after = rounds.cut(now.join(F.broadcast(elite), "genome_id", "left_semi").unionByName(fresh))  # a quarter of a population's ids
+        rounds.drop(now)
+        now = after
+    return score(now)
+
+
 def generation_summary(scored: DataFrame) -> DataFrame:
     return scored.agg(F.count(F.lit(1)).alias("n"), F.avg("fitness").alias("mean"), F.min("fitness").alias("min"), F.max("fitness").alias("max"), F.count_if(F.col("fitness") > 0.7).alias("fit"))
 

@@ -107,6 +107,15 @@ def _hormones_sql() -> str:
     return f"hl({names}) AS ({row(first)} FROM t WHERE t.tick = 1 UNION ALL {row({k: f'r.{k}' for k in first})} FROM hl r JOIN t ON t.batch_id = r.batch_id AND t.tick = r.tick + 1)"
 
 
+def _cut(x: str) -> str:
+    """To six places, with the boundary beside the halves that short decimals hit, where engines round apart."""
+    return f"floor(({x}) * 1000000.0::DOUBLE + 0.4999::DOUBLE) / 1000000.0::DOUBLE"
+
+
+def cut(c: str):
+    return (F.floor(F.col(c) * 1000000.0 + 0.4999) / 1000000.0).alias(c)
+
+
 _STRESS = "least(1.0::DOUBLE, greatest(0.0::DOUBLE, 0.4::DOUBLE * cortisol + 0.4::DOUBLE * adrenaline + 0.2::DOUBLE * (1 - serotonin)))"
 _HORMONES_SQL = f"WITH RECURSIVE {TICKS_SQL.strip()}, {_hormones_sql()}, hs AS (SELECT *, {_STRESS} AS stress FROM hl)"
 
@@ -139,10 +148,10 @@ def detector_regimes(spark, sf_dir):
     return t.groupBy(S.detector_regime(F.col("utility"), 1 - F.col("safety"), F.col("drop_rate"), F.col("quarantine")).alias("regime")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("hormones", f"{_HORMONES_SQL} SELECT batch_id, tick, {', '.join(f'round({h}, 6) AS {h}' for h in folds.HORMONES)}, round(stress, 6) AS stress, round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, 0.6::DOUBLE * stress + 0.4::DOUBLE * (1 - dopamine))), 6) AS urgency FROM hs")
+@query("hormones", f"{_HORMONES_SQL} SELECT batch_id, tick, {', '.join(f'{_cut(h)} AS {h}' for h in folds.HORMONES)}, {_cut('stress')} AS stress, {_cut('least(1.0::DOUBLE, greatest(0.0::DOUBLE, 0.6::DOUBLE * stress + 0.4::DOUBLE * (1 - dopamine)))')} AS urgency FROM hs")
 def hormones_query(spark, sf_dir):
     h = hormones(spark, sf_dir)
-    return h.select("batch_id", "tick", *[F.round(c, 6).alias(c) for c in (*folds.HORMONES, "stress", "urgency")])
+    return h.select("batch_id", "tick", *[cut(c) for c in (*folds.HORMONES, "stress", "urgency")])
 
 
 def hormones(spark, sf_dir) -> DataFrame:
@@ -152,7 +161,7 @@ def hormones(spark, sf_dir) -> DataFrame:
     return h.withColumn("stress", S.stress_level(F.col("cortisol"), F.col("adrenaline"), F.col("serotonin"))).withColumn("urgency", S.recovery_urgency(F.col("stress"), F.col("dopamine")))
 
 
-@query("moods", f"{_moods_sql()} SELECT batch_id, tick, {', '.join(f'round({m}, 6) AS {m}' for m in folds.MOOD)}, CASE WHEN valence > 0.7 THEN 'optimistic' WHEN valence > 0.5 THEN 'content' WHEN valence > 0.3 THEN 'worried' ELSE 'distressed' END || ' yet ' || CASE WHEN arousal > 0.7 THEN 'alert' WHEN arousal > 0.4 THEN 'active' ELSE 'calm' END AS mood FROM m")
+@query("moods", f"{_moods_sql()} SELECT batch_id, tick, {', '.join(f'{_cut(m)} AS {m}' for m in folds.MOOD)}, CASE WHEN valence > 0.7 THEN 'optimistic' WHEN valence > 0.5 THEN 'content' WHEN valence > 0.3 THEN 'worried' ELSE 'distressed' END || ' yet ' || CASE WHEN arousal > 0.7 THEN 'alert' WHEN arousal > 0.4 THEN 'active' ELSE 'calm' END AS mood FROM m")
 def moods(spark, sf_dir):
     """Emotional state under the regime that the detector holds, stress taken from the hormones."""
     t = ticks(spark, sf_dir).select("batch_id", "tick", "utility", "drop_rate", "quarantine")
@@ -161,7 +170,7 @@ def moods(spark, sf_dir):
     held = folds.hysteresis(seen.select("batch_id", "tick", "seen"), "batch_id", ORDER, "seen").withColumnRenamed("held", "regime")
     m = folds.moods(h.join(held, ["batch_id", "tick"]), "batch_id", ORDER)
     m = m.withColumn("mood", S.mood(F.col("valence"), F.col("arousal")))
-    return m.select("batch_id", "tick", *[F.round(c, 6).alias(c) for c in folds.MOOD], "mood")
+    return m.select("batch_id", "tick", *[cut(c) for c in folds.MOOD], "mood")
 
 
 @query("rolling_health", f"WITH {HEALTH_SQL} SELECT event_id, round(avg(health) OVER (PARTITION BY batch_id ORDER BY tick ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 6) AS rolling, count(*) OVER w5 = 5 AND max(health) OVER w5 < 0.5 AS degraded FROM h WINDOW w5 AS (PARTITION BY batch_id ORDER BY tick ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)")

@@ -317,3 +317,25 @@ def test_folds_are_sorted_once(spark):
     df = spark.createDataFrame([(1, 2, "A")], "k long, tick long, label string")
     plan = folds.hysteresis(df, "k", ["tick"], "label")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Sort [") == 1 and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_draws_against_python_integers():
+    mask = 2**64 - 1
+    for seed, g, s, k in ((42, 0, 0, 0), (42, 7, 2**32 - 1, 3), (2**63 + 5, 1, 12345, 9)):
+        x = seed ^ (g * 0x9E3779B97F4A7C15 & mask) ^ (s * 0xC2B2AE3D27D4EB4F & mask) ^ (k * 0x165667B19E3779F9 & mask)
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
+        x ^= x >> 31
+        assert float(synthesis.unit(seed, g, s, k)) == (x >> 40) / 2**24
+
+
+def test_generations_grow_fitter(spark):
+    def genomes(ids):
+        return ids.select("genome_id", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("snp_idx")).withColumn("g", F.pmod(F.xxhash64("genome_id", "snp_idx"), F.lit(3)).cast("int"))
+
+    first = genomes(spark.range(100, 120).withColumnRenamed("id", "genome_id"))
+    before = synthesis.generation_summary(synthesis.fitness(first)).first()
+    after = synthesis.run_generations(first, 4, genomes)
+    got = synthesis.generation_summary(after).first()
+    assert got.n == 20 and got.max >= before.max and after.select("genome_id").distinct().count() == 20
+    assert synthesis.run_generations(first, 0, genomes).count() == 20
