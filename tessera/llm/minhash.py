@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import contracted
 from ..ship import ensure
 from .common import Scratch, WordHashes, id_type, map_text, mix, shingles
 
@@ -41,8 +42,6 @@ STEP_MISS = 1e-9
 _PROBES = 16
 #: Bins of the excess e between 0 and the core's share of it; see by_difference.
 _BINS_TO_CORE = 6
-#: Bins that are dealt out together.
-_COARSE = 4
 
 
 def bands_for(percent: int, rows: int = ROWS, miss: float = BAND_MISS) -> int:
@@ -220,8 +219,8 @@ class NearDedup:
     # -- components
 
     def labels(self, links: DataFrame) -> DataFrame:
-        """(id, comp) of every id in ``links``: large-star and small-star in turn until nothing changes."""
-        edges = self.scratch.cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+        """(id, comp) of every id in ``links``: spanning stars of each batch of links, then large-star and small-star in turn until nothing changes."""
+        edges = self.scratch.cut(links.filter("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")).mapInArrow(contracted, "u long, v long").distinct())
         seen = None
         while True:
             both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -331,7 +330,7 @@ class NearDedup:
         If e(x) + e(y) <= 0 they are so whatever they share, and so is each with the member of smallest e: a star says it all.
         Otherwise they share c = (e(x) + e(y)) / 2 or more, and so one of the d - c + 1 rarest elements of each.
         Edits that no other member has come first in that order and meet nothing, which is what keeps
-        large groups of edited copies from meeting in pairs.  Members are dealt by bins of e, so that c is known well enough.
+        large groups of edited copies from meeting in pairs.  Which bins of e the group has tells which elements anyone can meet.
         """
         k = (100 - self.percent) / (100 + self.percent)
         groups = self.labels(crowd.filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))).withColumnRenamed("comp", "grp")
@@ -355,16 +354,23 @@ class NearDedup:
         shared = held.withColumn("df", F.when(F.col("common"), F.col("members") - F.col("df")).otherwise(F.col("df"))).filter("df > 1").select("grp", "token", "df")
         ranked = elements.join(shared, ["grp", "token"]).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("common"))
         # Element r of the common ones is among the first d - c + 1 for partners whose bin is at most ``top``; a pair whose first shared
-        # element this is shares no more than what is left of either.
+        # element this is shares no more than what is left of either.  Partners below ``low`` are the star's.
         heads = ranked.join(told.drop("diff"), "id").join(nearest.select("grp", "bins"), "grp")
-        top = lambda r: F.floor((2 * (F.size("common") - r) - F.col("e")) / F.col("width") + 1e-6).cast("int")
-        coarse = F.array_distinct(F.transform("bins", lambda b: F.floor(b / _COARSE).cast("int")))
-        element = lambda x, r: F.transform(F.filter(coarse, lambda c: c * _COARSE <= top(r)), lambda c: F.struct(x["token"].alias("token"), c.alias("other"), (F.size("common") - r).alias("left")))
-        heads = heads.select("grp", "id", "n", "comp", "e", "bin", F.explode(F.flatten(F.transform("common", element))).alias("x"))
-        heads = self.scratch.cut(heads.select("grp", "id", "n", "comp", "e", F.floor(F.col("bin") / _COARSE).cast("int").alias("own"), "x.token", "x.other", "x.left"))
-        y = heads.select("grp", "token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("comp_b"), F.col("e").alias("e_b"), F.col("left").alias("left_b"), F.col("own").alias("other"), F.col("other").alias("own"))
-        pairs = heads.withColumnsRenamed({"id": "a", "n": "na"}).join(y, ["grp", "token", "own", "other"]).filter("a < b AND comp <> comp_b AND 2 * least(left, left_b) + 1e-6 >= e + e_b").filter(sized(self.percent))
-        return pairs.select("a", "b", "na", "nb").union(star.filter(sized(self.percent))).distinct()
+        top = lambda r: F.floor((2 * (F.size("common") - r) - F.col("e")) / F.col("width") + 1e-6)
+        low, last = F.floor(-F.col("e") / F.col("width") - 1e-6) - 1, 2 * _BINS_TO_CORE
+        met = lambda x: F.exists("bins", lambda b: (b <= x["top"]) & ((b >= low) | (b == last)))
+        element = lambda x, r: F.struct(x["token"].alias("token"), (F.size("common") - r).alias("left"), top(r).alias("top"))
+        heads = heads.select("grp", "id", "n", "comp", "e", F.explode(F.filter(F.transform("common", element), met)).alias("x"))
+        heads = self.scratch.cut(heads.select("grp", "id", "n", "comp", "e", "x.token", "x.left"))
+        # Holders of an element that are all of one component need not meet, and of others each pair has one that is not of the largest.
+        held_by = heads.groupBy("grp", "token", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("grp", "token").agg(F.max(F.struct("k", "comp")).alias("most"), F.count(F.lit(1)).alias("comps"))
+        several = self.scratch.cut(held_by.filter("comps > 1").select("grp", "token", F.col("most.comp").alias("largest")))
+        few = self.scratch.cut(heads.join(several, ["grp", "token"]).filter("comp <> largest").drop("largest"))
+        y = heads.select("grp", "token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("comp_b"), F.col("e").alias("e_b"), F.col("left").alias("left_b"))
+        pairs = few.withColumnsRenamed({"id": "a", "n": "na"}).join(y, ["grp", "token"]).filter("comp <> comp_b AND e + e_b > -1e-6 AND 2 * least(left, left_b) + 1e-6 >= e + e_b").filter(sized(self.percent))
+        swap = F.col("a") > F.col("b")
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(swap, F.col("nb")).otherwise(F.col("na")).alias("na"), F.when(swap, F.col("na")).otherwise(F.col("nb")).alias("nb"))
+        return pairs.union(star.filter(sized(self.percent))).distinct()
 
 
 def near_dedup(docs: DataFrame, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
