@@ -176,3 +176,33 @@ def build(genotypes: DataFrame, window: int = 500, start: float = 0.1, plasticit
     blocks = graph.haplotype_blocks(genotypes, pairs).join(genotypes.select("chr", F.col("snp_idx").alias("first_snp")), "first_snp")
     motifs = blocks.filter("mean_r_squared >= 0.5 AND n_snps >= 2")
     return {"loci": loci, "pairs": pairs, "blocks": blocks, "neurons": neurons, "synapses": synapses, "motifs": motifs}
+
+
+def activate_signatures(questions: DataFrame, motifs: DataFrame, capacity: int) -> DataFrame:
+    """(question, chr, block_id, score, place): for each question (question, signature of FEATURES values) the first ``capacity`` motifs by cosine.
+
+    A signature whose fourth value is over .02 names a chromosome, 22 times that; motifs of others count only where it has none.  Where the best cosine is
+    poor, all motifs are ranked by mean r^2.  Questions are a stated set, broadcast; motifs are scored in the scan.
+    """
+    place = F.get("signature", F.lit(3))
+    named = F.when(place > 0.02, F.greatest(F.lit(1), F.least(F.lit(22), F.floor(place * 22 + 0.5))).cast("string"))
+    both = motifs.join(F.broadcast(questions.select("question", "signature", named.alias("named"))), how="cross")
+    features = F.array(*[F.col(f"f{i}") for i in range(FEATURES)])
+    size = lambda a: F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x))
+    dot = F.aggregate(F.zip_with("signature", features, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    scored = both.select("question", "chr", "block_id", "mean_r_squared", (dot / F.greatest(size(F.col("signature")) * size(features), F.lit(1e-9))).alias("cosine"), (F.col("named").isNull() | (F.col("chr") == F.col("named"))).alias("mine"))
+    seen = scored.groupBy("question").agg(F.bool_or("mine").alias("any"), F.max(F.when(F.col("mine"), F.col("cosine"))).alias("own"), F.max("cosine").alias("whole"))
+    seen = seen.select("question", "any", (F.when(F.col("any"), F.col("own")).otherwise(F.col("whole")) < POOR).alias("poor"))
+    kept = scored.join(F.broadcast(seen), "question").filter("poor OR mine OR NOT any")  # a row a question
+    kept = kept.withColumn("score", F.when(F.col("poor"), F.col("mean_r_squared")).otherwise(F.col("cosine")))
+    top = last_rows(kept.select("question", "chr", "block_id", "score", F.round("score", 9).alias("r"), (-F.col("block_id")).alias("b")), "question", ["r", "b"], capacity)
+    rank = F.row_number().over(Window.partitionBy("question").orderBy(F.desc("r"), F.desc("b")))  # capacity rows a question
+    return top.select("question", "chr", "block_id", "score", rank.alias("place"))
+
+
+def activate_texts(texts: DataFrame, motifs: DataFrame, capacity: int, text: str = "text", key: str = "question") -> DataFrame:
+    """The motifs that texts (key, text) activate, by their signatures, see ``activate_signatures``."""
+    from . import documents
+
+    t = texts.select(F.col(key).alias("question"), F.col(text).alias("t"), documents.features(F.col(text)).alias("f"))
+    return activate_signatures(t.select("question", documents.signature(F.col("f"), F.col("t")).alias("signature")), motifs, capacity)

@@ -29,12 +29,11 @@ def contracted(batches):
         yield pa.RecordBatch.from_arrays([pa.array(ids[inner]), pa.array(ids[top[inner]])], names=["u", "v"])
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, component): the smallest id that each of ``nodes`` (id) reaches over undirected ``edges`` (src, dst).
+def stars(edges: DataFrame) -> DataFrame:
+    """(id, component): the smallest id that each id of ``edges`` (src, dst) reaches over them, undirected; an id that has only an edge to itself is left out.
 
-    Every node has a component, one without edges its own.  Each task first puts a spanning star in place of each component of a batch of
-    its edges, which leaves fewer edges than nodes a batch; then large-star and small-star rounds; a hub with a third of
-    all edges is a partial minimum in each task.  Each round is written, so lineage stays short.
+    Each task first puts a spanning star in place of each component of a batch of its edges, which leaves fewer edges than nodes a batch;
+    then large-star and small-star rounds until nothing changes.  Each round is written, so lineage stays short.
     """
     rounds = Rounds(edges.sparkSession, "components")
     ensure(edges.sparkSession)
@@ -43,19 +42,26 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     seen = None
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # As a table of its own it meets the edges in a plain join of two exchanges, where Spark can split those of a hub.
+        low = rounds.cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = rounds.cut(both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        pairs = large.join(low, "u")
+        pairs = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         after = rounds.cut(pairs.select("u", F.col("m").alias("v")).union(pairs.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct())
         state = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        rounds.drop(now)
-        rounds.drop(large)
+        rounds.drop(now, low, large)
         now = after
         if state == seen:
             break
         seen = state
-    return nodes.select("id").join(now.select(F.col("u").alias("id"), F.col("v").alias("component")), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
+
+
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, component): the smallest id that each of ``nodes`` (id) reaches over undirected ``edges`` (src, dst).
+
+    Every node has a component, one without edges its own.
+    """
+    return nodes.select("id").join(stars(edges), "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
 def haplotype_blocks(genotypes: DataFrame, pairs: DataFrame) -> DataFrame:

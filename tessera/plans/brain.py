@@ -223,3 +223,20 @@ def chromosome_build(spark, sf_dir):
     for part in (t["pairs"].agg(F.count(F.lit(1)).alias("n_pairs"), F.round(F.avg("r_squared"), 6).alias("mean_r2")), t["blocks"].agg(F.count(F.lit(1)).alias("n_blocks"), F.max("n_snps").alias("largest")), t["motifs"].agg(F.count(F.lit(1)).alias("n_motifs"))):
         one = one.join(part, how="cross")  # one row each
     return one.select("n_loci", "n_pairs", "n_blocks", "n_motifs", "largest", "mean_r2")
+
+
+_COSINE = " + ".join(f"e.embedding[{i + 1}]::DOUBLE * ({f})" for i, f in enumerate(_FEATURES))
+_NORM = "sqrt(" + " + ".join(f"e.embedding[{i + 1}]::DOUBLE ** 2" for i in range(8)) + ")"
+
+
+@query(
+    "signature_activation",
+    f"""WITH RECURSIVE {COMPONENTS_SQL}, mt AS (SELECT * FROM blocks WHERE n_snps >= 2 AND mean_r_squared >= 0.5), sc AS (SELECT vec_id AS question, block_id, mean_r_squared, ({_COSINE}) / greatest({_NORM} * sqrt({_SIZE}), 1e-9) AS cosine, e.embedding[4] > 0.02 AND greatest(1, least(22, floor(e.embedding[4]::DOUBLE * 22 + 0.5))) <> 1 AS other FROM embeddings e CROSS JOIN mt WHERE vec_id % 20 = 0),
+    sm AS (SELECT question, CASE WHEN bool_or(NOT other) THEN max(cosine) FILTER (WHERE NOT other) ELSE max(cosine) END < 0.05 AS poor FROM sc GROUP BY question), fi AS (SELECT question, block_id, CASE WHEN poor THEN mean_r_squared ELSE cosine END AS score FROM sc JOIN sm USING (question)),
+    rk AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY round(score, 9) DESC, block_id)::INTEGER AS place FROM fi) SELECT question, block_id, round(score, 6) AS score, place FROM rk WHERE place <= 4""",
+)
+def signature_activation(spark, sf_dir):
+    """The four motifs that every twentieth vector activates, its first eight values taken for a signature."""
+    e = read(spark, sf_dir, "embeddings").filter("vec_id % 20 = 0")
+    q = e.select(F.col("vec_id").alias("question"), F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double")).alias("signature"))
+    return brain.activate_signatures(q, motifs(spark, sf_dir), 4).select("question", "block_id", F.round("score", 6).alias("score"), "place")

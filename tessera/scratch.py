@@ -1,4 +1,4 @@
-"""Tables in the folder that all executors share, to cut lineage between rounds of iterative operators."""
+"""Tables in the folder that all executors share, to cut lineage between steps and rounds."""
 
 from __future__ import annotations
 
@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only for a local session where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder of ``spark.checkpoint.dir``; only for a local session where it is unset (a test), a temporary one, which is then set."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
@@ -23,7 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Rounds:
-    """``cut`` writes a table and reads it back; ``drop`` removes it; what is left goes with the application."""
+    """Parquet tables in the shared folder.  ``cut`` writes one and reads it back, so a lost executor costs the tasks it ran, never the whole
+    plan; ``drop`` removes tables of it at once, and lets others be; what is left goes with the application."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}", 0
@@ -42,5 +43,7 @@ class Rounds:
     def exists(self, path: str) -> bool:
         return self._fs.exists(self._path(path))
 
-    def drop(self, df: DataFrame) -> None:
-        self._fs.delete(self._path(df._round_path), True)
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            if path := getattr(t, "_round_path", None):
+                self._fs.delete(self._path(path), True)

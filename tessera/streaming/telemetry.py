@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -66,34 +66,65 @@ def ingest(events: DataFrame, path: str, checkpoint: str):
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def rate_limited(events: DataFrame, key: str, window: int = 100, most: int = 5) -> DataFrame:
-    """(key, tick, allowed): the last allowed tick and the window's count are the state."""
+def _keyed(events: DataFrame, key: str, columns: list[str], out: str, state: str, resume: Callable, idle_ms: int | None) -> DataFrame:
+    """Rows of a key through ``resume(state tuple or None)``, which gives (step, leave): step a frame in order of ticks, leave gives the state.
+
+    A key that has had no rows for ``idle_ms`` is forgotten, and begins anew (for queries that go on: one that ends when it has read all would
+    wait for timeouts); without it, states stay for ever.  Ticks are ordered within a micro-batch;
+    one that comes after its successors' micro-batch is taken when it comes.
+    """
 
-    def step(k: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        limit = RateLimit(window, most, *(state.get if state.exists else (0, 0)))
-        for pdf in frames:
-            ticks = sorted(pdf["tick"].tolist())
-            yield pd.DataFrame({key: [k[0]] * len(ticks), "tick": ticks, "allowed": [limit.ask(t) for t in ticks]})
-        state.update((limit.last, limit.used))
+    def step(k: tuple, frames: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
+        go, leave = resume(held.get if held.exists else None)
+        rows = pd.concat(list(frames)).sort_values("tick", ignore_index=True)  # a micro-batch of one key
+        yield go(k[0], rows)
+        held.update(leave())
+        if idle_ms is not None:
+            held.setTimeoutDuration(idle_ms)
 
     ensure(events.sparkSession)
     kind = dict(events.dtypes)[key]
-    return events.select(key, "tick").groupBy(key).applyInPandasWithState(step, f"{key} {kind}, tick long, allowed boolean", "last long, used int", "append", "NoTimeout")
+    return events.select(key, "tick", *columns).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, tick long, {out}", state, "append", "NoTimeout" if idle_ms is None else "ProcessingTimeTimeout")
+
+
+def rate_limited(events: DataFrame, key: str, window: int = 100, most: int = 5, idle_ms: int | None = None) -> DataFrame:
+    """(key, tick, allowed): the last allowed tick and the window's count are the state."""
+
+    def resume(state):
+        limit = RateLimit(window, most, *(state or (0, 0)))
+        go = lambda k, rows: pd.DataFrame({key: [k] * len(rows), "tick": rows["tick"], "allowed": [limit.ask(t) for t in rows["tick"].tolist()]})
+        return go, lambda: (limit.last, limit.used)
+
+    return _keyed(events, key, [], "allowed boolean", "last long, used int", resume, idle_ms)
 
 
-def held_regimes(events: DataFrame, key: str, seen: str, length: int = 5, first: str = FIRST_REGIME) -> DataFrame:
+def held_regimes(events: DataFrame, key: str, seen: str, length: int = 5, first: str = FIRST_REGIME, idle_ms: int | None = None) -> DataFrame:
     """(key, tick, held): the detector's label with hysteresis, its label and countdown as state."""
 
-    def step(k: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        held = Hysteresis(*(state.get if state.exists else (first, 0)), length)
-        for pdf in frames:
-            pdf = pdf.sort_values("tick")
-            yield pd.DataFrame({key: [k[0]] * len(pdf), "tick": pdf["tick"].tolist(), "held": pd.Series([held.see(x) for x in pdf[seen].tolist()], dtype=object)})
-        state.update((held.held, held.left))
+    def resume(state):
+        held = Hysteresis(*(state or (first, 0)), length)
+        go = lambda k, rows: pd.DataFrame({key: [k] * len(rows), "tick": rows["tick"], "held": pd.Series([held.see(x) for x in rows[seen].tolist()], dtype=object)})
+        return go, lambda: (held.held, held.left)
 
-    ensure(events.sparkSession)
-    kind = dict(events.dtypes)[key]
-    return events.select(key, "tick", seen).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, tick long, held string", "held string, left int", "append", "NoTimeout")
+    return _keyed(events, key, [seen], "held string", "held string, left int", resume, idle_ms)
+
+
+def latest(events: DataFrame, most: int):
+    """A query that keeps the ``most`` latest reports of the stream in a table in memory, ``latest_reports``: by tick, the newest first.
+
+    Each micro-batch is cut to its newest and merged with what is held, so neither grows with the stream.
+    """
+    held: list[pd.DataFrame] = []
+
+    def merge(df: DataFrame, number: int) -> None:
+        top = df.orderBy(F.desc("tick")).limit(most).toPandas()
+        held[:] = [pd.concat([*held, top]).sort_values("tick", ascending=False, ignore_index=True).head(most)]
+        events.sparkSession.createDataFrame(held[0], df.schema).createOrReplaceTempView("latest_reports")
+
+    return events.writeStream.foreachBatch(merge)
 
 
 def bounded(events: DataFrame, capacity: int, order: str = "event_id") -> DataFrame:

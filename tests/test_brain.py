@@ -89,3 +89,16 @@ def test_directives_and_what_is_exported(spark):
     consensus, aggressive = policies.sync_policy(found)
     got = [tuple(round(x, 6) for x in r) for r in t.select(F.size(found), consensus, aggressive, policies.strategy_policy(found)).collect()]
     assert got == [(3, 0.85, 1.5, 0.2), (1, 0.8, 0.8, 0.1), (1, 0.8, 0.8, 0.45), (0, 0.8, 0.8, 0.3)]
+
+
+def test_signatures_and_texts(spark):
+    e = np.eye(8)
+    m = motif(spark, [("1", 0, 0.6, e[0] + e[3]), ("1", 1, 0.9, e[1]), ("2", 0, 0.7, e[0])])
+    ask = lambda v: [(r.chr, r.block_id) for r in brain.activate_signatures(spark.createDataFrame([(1, [float(x) for x in v])], "question int, signature array<double>"), m, 5).orderBy("place").collect()]
+    assert ask(e[0]) == [("2", 0), ("1", 0), ("1", 1)]
+    assert ask(e[0] + e[3] / 22) == [("1", 0), ("1", 1)]  # names chromosome 1
+    assert len(ask(e[0] + 9 * e[3] / 22)) == 3  # names chromosome 9, which has none
+    assert ask(e[7]) == [("1", 1), ("2", 0), ("1", 0)]  # poor: by mean r^2
+    texts = spark.createDataFrame([(1, "ld of snp on chr1"), (2, ""), (3, "fn main() { let x = 1; }")], "question int, text string")
+    out = brain.activate_texts(texts, m, 2).collect()
+    assert {r.question for r in out} == {1, 2, 3} and all(r.place <= 2 for r in out)

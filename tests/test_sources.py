@@ -1,6 +1,7 @@
 import gzip
 import json
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -132,6 +133,25 @@ def test_stream_state(spark, tmp_path):
     assert "".join(r.held for r in spark.table("held").orderBy("tick").collect()) == "AAAAAABBBB"
 
 
+def test_stream_forgets_idle_keys_and_keeps_the_latest(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for part in range(3):
+        (folder / f"{part}.json").write_text("\n".join(json.dumps({"k": 1, "tick": t}) for t in range(part * 5, part * 5 + 5)))
+        os.utime(folder / f"{part}.json", (1_000_000 + part, 1_000_000 + part))
+    t = spark.readStream.schema("k LONG, tick LONG").option("maxFilesPerTrigger", 1).json(str(folder))
+    query = telemetry.rate_limited(t, "k", window=4, most=2, idle_ms=3_600_000)
+    running = query.writeStream.format("memory").queryName("idle").outputMode("append").start()  # timeouts want a query that goes on
+    for _ in range(60):
+        if spark.table("idle").count() == 15:
+            break
+        time.sleep(1)
+    running.stop()
+    assert spark.table("idle").count() == 15 and [r.tick for r in spark.table("idle").filter("allowed").orderBy("tick").collect()][:4] == [0, 1, 5, 6]
+    telemetry.latest(t, 4).trigger(availableNow=True).start().awaitTermination(180)
+    assert [r.tick for r in spark.table("latest_reports").collect()] == [14, 13, 12, 11]
+
+
 def test_bounded_queue(spark):
     df = spark.createDataFrame([(1, "s", 0), (2, "s", 0), (3, "s", 0), (4, "u", 0)], "event_id long, stream string, tick long")
     assert {r.event_id for r in telemetry.bounded(df, 2).filter("dropped").collect()} == {3}
