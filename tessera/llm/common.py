@@ -1,9 +1,7 @@
-"""Pieces that the corpus operators share: scratch tables, word shingles and Arrow plumbing."""
+"""Pieces that the corpus operators share: columns, word shingles and Arrow plumbing."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import Rounds as Scratch  # noqa: F401  the operators' tables
 from ..ship import ensure
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -23,56 +22,6 @@ SHINGLE_WORDS = 5
 CHUNK_BYTES = 2 << 20
 
 
-# --------------------------------------------------------------------------- scratch tables
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset (a local test) a temporary one is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            return current.get()
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="tessera-")
-        spark.sparkContext.setCheckpointDir(found)
-        found = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return found
-
-
-class Scratch:
-    """Parquet tables in the shared folder.  Writing one cuts the lineage: a lost executor costs the
-    tasks it ran, never the whole plan.  ``drop`` removes a table at once; what is left goes with the application."""
-
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-        self._n = 0
-        self._paths: dict[int, str] = {}
-        self._fs().deleteOnExit(self._path(self.root))
-
-    def _path(self, path: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
-
-    def _fs(self):
-        return self._path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def cut(self, df: DataFrame) -> DataFrame:
-        self._n += 1
-        path = f"{self.root}/{self._n}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(out)] = path
-        out._scratch_path = path
-        return out
-
-    def drop(self, *tables: DataFrame) -> None:
-        for t in tables:
-            if path := getattr(t, "_scratch_path", None):
-                self._fs().delete(self._path(path), True)
-
-
 # --------------------------------------------------------------------------- columns
 
 

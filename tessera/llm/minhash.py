@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.graph import contracted
+from ..operators.graph import stars
 from ..ship import ensure
 from .common import Scratch, WordHashes, id_type, map_text, mix, shingles
 
@@ -219,25 +219,8 @@ class NearDedup:
     # -- components
 
     def labels(self, links: DataFrame) -> DataFrame:
-        """(id, comp) of every id in ``links``: spanning stars of each batch of links, then large-star and small-star in turn until nothing changes."""
-        edges = self.scratch.cut(links.filter("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")).mapInArrow(contracted, "u long, v long").distinct())
-        seen = None
-        while True:
-            both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-            # As a table of its own it meets the edges in a plain join of two exchanges, where Spark can split a hub's.
-            least = self.scratch.cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-            large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-            large = self.scratch.cut(large)
-            hub, least = least, large.groupBy("u").agg(F.min("v").alias("m"))
-            small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u > v").distinct()
-            after = self.scratch.cut(small)
-            state = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-            self.scratch.drop(edges, large, hub)
-            edges = after
-            if state == seen:
-                break
-            seen = state
-        return self.scratch.cut(edges.select(F.col("u").alias("id"), F.col("v").alias("comp")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("comp")).distinct()))
+        """(id, comp) of every id in ``links`` (a, b)."""
+        return self.scratch.cut(stars(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumnRenamed("component", "comp"))
 
     # -- the whole
 
