@@ -14,31 +14,56 @@ from ..scratch import Rounds
 from ..ship import ensure
 
 
+#: Edges that one task contracts together; what is left of all edges is finished by one task, if it is no more.
+TOGETHER = 1 << 20
+
+
+def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The components of edges as stars around their smallest ids."""
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    u, v = at[: len(u)], at[len(u) :]
+    top = np.arange(len(ids))
+    while (apart := top[u] != top[v]).any():
+        x, y = top[u[apart]], top[v[apart]]
+        np.minimum.at(top, np.maximum(x, y), np.minimum(x, y))
+        while (top[top] != top).any():
+            top = top[top]
+    inner = np.flatnonzero(top != np.arange(len(ids)))
+    return ids[inner], ids[top[inner]]
+
+
 def contracted(batches):
-    """Of each batch of edges (u, v) its components as stars around their smallest ids."""
+    """A task's edges (u, v) as stars, of TOGETHER edges or more at a time: they are put together as often as they have doubled."""
+    held, waiting, n = (np.empty(0, np.int64),) * 2, [], 0
+
+    def together():
+        return forest(*(np.concatenate([held[k], *(w[k] for w in waiting)]) for k in (0, 1)))
+
     for b in batches:
-        ids, at = np.unique(np.concatenate([b.column(0).to_numpy(), b.column(1).to_numpy()]), return_inverse=True)
-        u, v = at[: b.num_rows], at[b.num_rows :]
-        top = np.arange(len(ids))
-        while (apart := top[u] != top[v]).any():
-            x, y = top[u[apart]], top[v[apart]]
-            np.minimum.at(top, np.maximum(x, y), np.minimum(x, y))
-            while (top[top] != top).any():
-                top = top[top]
-        inner = np.flatnonzero(top != np.arange(len(ids)))
-        yield pa.RecordBatch.from_arrays([pa.array(ids[inner]), pa.array(ids[top[inner]])], names=["u", "v"])
+        waiting.append((b.column(0).to_numpy(), b.column(1).to_numpy()))
+        n += b.num_rows
+        if n >= max(1 << 16, len(held[0])):
+            held, waiting, n = together(), [], 0
+            if len(held[0]) >= TOGETHER:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], names=["u", "v"])
+                held = (np.empty(0, np.int64),) * 2
+    held = together()
+    yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], names=["u", "v"])
 
 
 def stars(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id that each id of ``edges`` (src, dst) reaches over them, undirected; an id that has only an edge to itself is left out.
 
-    Each task first puts a spanning star in place of each component of a batch of its edges, which leaves fewer edges than nodes a batch;
-    then large-star and small-star rounds until nothing changes.  Each round is written, so lineage stays short.
+    Each task first puts a spanning star in place of each component of its edges, which leaves fewer edges than nodes a task.  If no more than
+    TOGETHER are left, one task does the same with them, and that is all; else large-star and small-star rounds follow until nothing changes.
+    Each step is written, so lineage stays short.
     """
     rounds = Rounds(edges.sparkSession, "components")
     ensure(edges.sparkSession)
     pairs = edges.filter("src <> dst").select(F.col("src").cast("long").alias("u"), F.col("dst").cast("long").alias("v"))
     now = rounds.cut(pairs.mapInArrow(contracted, "u long, v long").distinct())
+    if now.count() <= TOGETHER:
+        return labelled(rounds.cut(now.coalesce(1).mapInArrow(contracted, "u long, v long")))
     seen = None
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -53,7 +78,12 @@ def stars(edges: DataFrame) -> DataFrame:
         if state == seen:
             break
         seen = state
-    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
+    return labelled(now)
+
+
+def labelled(found: DataFrame) -> DataFrame:
+    """(id, component) of stars (u, v)."""
+    return found.select(F.col("u").alias("id"), F.col("v").alias("component")).union(found.select("v", "v").distinct())
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -64,7 +64,9 @@ def test_loci_and_scores(spark):
     assert {r.snp_idx: r.partners for r in found.collect()} == {0: [1, 2], 1: [], 2: []}
 
 
-def test_components_against_union_find(spark):
+@pytest.mark.parametrize("together", [1 << 20, 40])
+def test_components_against_union_find(spark, monkeypatch, together):
+    monkeypatch.setattr(graph, "TOGETHER", together)
     rng = random.Random(3)
     n = 300
     edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(220)] + [(i, i + 1) for i in range(200, 260)] + [(7, k) for k in range(100, 160)]
@@ -339,3 +341,18 @@ def test_generations_grow_fitter(spark):
     got = synthesis.generation_summary(after).first()
     assert got.n == 20 and got.max >= before.max and after.select("genome_id").distinct().count() == 20
     assert synthesis.run_generations(first, 0, genomes).count() == 20
+
+
+def test_contraction_of_many_batches():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    edges = rng.integers(0, 200_000, (150_000, 2))
+    edges = edges[edges[:, 0] != edges[:, 1]]
+    u, v = graph.forest(edges[:, 0], edges[:, 1])
+    batches = [pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1])], names=["u", "v"]) for part in np.array_split(edges, 40)]
+    out = list(graph.contracted(iter(batches)))
+    assert len(out) == 1
+    got = dict(zip(out[0].column(0).to_pylist(), out[0].column(1).to_pylist()))
+    assert got == dict(zip(u.tolist(), v.tolist())) and len(got) == len(u)
+    assert [b.num_rows for b in graph.contracted(iter([]))] == [0]
