@@ -7,11 +7,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .folds import ledger_entry
+from .folds import ledger_entry, over_groups
 
 #: Dimensions of the hashed embedding of a chunk.
 DIMENSIONS = 256
@@ -125,3 +126,82 @@ def retrieve(questions: DataFrame, index: DataFrame, most: int, question: str =
     scores = index.join(F.broadcast(q), "dim").groupBy(question, key).agg(F.sum(F.col("weight") * F.col("w__")).alias("score"))
     place = F.row_number().over(Window.partitionBy(question).orderBy(F.desc(F.round("score", 9)), key))
     return scores.withColumn("place", place).filter(F.col("place") <= most)
+
+
+# --------------------------------------------------------------------------- file events
+
+
+class Tree:
+    """Labelled nodes below a root, node 0, as file events leave them.  Removing a node leaves what is below it as it is, out of reach."""
+
+    def __init__(self):
+        self.label: dict[int, str] = {0: ""}
+        self.up: dict[int, int | None] = {0: None}
+        self.below: dict[int, list[int]] = {0: []}
+        self.last = 0
+
+    def child(self, node: int, label: str) -> int | None:
+        return next((c for c in self.below[node] if self.label[c] == label), None)
+
+    @staticmethod
+    def parts(path: str) -> list[str]:
+        return [p for p in path.replace("\\", "/").split("/") if p]
+
+    def find(self, path: str) -> int | None:
+        node: int | None = 0
+        for part in self.parts(path):
+            node = None if node is None else self.child(node, part)
+        return node
+
+    def create(self, path: str) -> int:
+        node = 0
+        for part in self.parts(path):
+            found = self.child(node, part)
+            if found is None:
+                self.last = found = self.last + 1
+                self.label[found], self.up[found], self.below[found] = part, node, []
+                self.below[node].append(found)
+            node = found
+        return node
+
+    def remove(self, path: str) -> None:
+        node = self.find(path)
+        if not node:  # nothing there, or the root, which stays
+            return
+        self.below[self.up[node]].remove(node) if self.up[node] is not None else None
+        for c in self.below[node]:
+            self.up[c] = None
+        del self.label[node], self.up[node], self.below[node]
+
+
+def apply_events(events: DataFrame, root: str = "root", order: str = "seq") -> DataFrame:
+    """(root, id, label, parent) of each root's nodes after its ``events`` (root, seq, kind, path, to) in order: created, removed, renamed.
+
+    What exists is not created again; what does not exist is not removed; renaming removes one path and creates the other.  Nodes that
+    a removal left out of reach have no parent.  The tree of a root is its task's state; its events come batch by batch.
+    """
+    kind = dict(events.dtypes)[root]
+
+    def start():
+        tree = Tree()
+        shown: dict[int, tuple] = {}
+
+        def step(rows):
+            for what, path, to in zip(rows["kind"].tolist(), rows["path"].tolist(), rows["to"].tolist()):
+                if what in ("removed", "renamed"):
+                    tree.remove(path)
+                if what in ("created", "renamed"):
+                    tree.create(to if what == "renamed" else path)
+            # What has changed since the last batch: the last state of a node is the one that holds.
+            now = {i: (tree.label[i], tree.up[i]) for i in tree.label}
+            changed = [(i, *now.get(i, (None, None))) for i in {*now, *shown} if now.get(i) != shown.get(i)]
+            shown.clear()
+            shown.update(now)
+            seen = int(rows[order].iloc[-1])
+            return pd.DataFrame({root: [rows[root].iloc[0]] * len(changed), "at": [seen] * len(changed), "id": [c[0] for c in changed], "label": pd.Series([c[1] for c in changed], dtype=object), "parent": pd.array([c[2] for c in changed], dtype="Int64")})
+
+        return step
+
+    source = events.select(root, order, "kind", "path", F.coalesce("to", F.lit("")).alias("to"))
+    out = over_groups(source, [root], [order], f"{root} {kind}, at long, id long, label string, parent long", start)
+    return out.groupBy(root, "id").agg(F.max_by(F.struct("label", "parent"), "at").alias("n")).filter(F.col("n.label").isNotNull()).select(root, "id", "n.label", "n.parent")

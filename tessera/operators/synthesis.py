@@ -16,6 +16,8 @@ from ..ship import ensure
 #: Fixed value: chance to stay with a donor from one pool to the next.
 PERSISTENCE = 0.7
 MISSING = 3
+#: Alleles of a model at most: it is in every task.
+MOST_ALLELES = 1 << 26
 TOP = 2**32 - 1
 
 
@@ -53,9 +55,13 @@ def synthesize(pool: DataFrame, frequencies: DataFrame, genomes: int, seed: int
     """(genome_id, snp_idx, g): two chromosomes a genome, walked over pools in order, a donor kept with PERSISTENCE; variants of no pool
     are drawn by their alt frequency.  frequencies: (snp_idx, alt_freq).
 
-    Pools and frequencies of one chromosome go to each task (they are the model); genomes are dealt out.
+    Pools and frequencies of one chromosome go to each task (they are the model, of MOST_ALLELES alleles and frequencies at most; over that: ValueError);
+    genomes are dealt out.
     """
     spark = pool.sparkSession
+    alleles = pool.agg(F.coalesce(F.sum(F.size("fragments").cast("long") * F.size("snps")), F.lit(0))).first()[0]
+    if alleles + frequencies.count() > MOST_ALLELES:
+        raise ValueError(f"{alleles} alleles: sample the chromosome in parts")
     model = [(r.block_id, list(r.snps), {f.donor: list(f.alleles) for f in r.fragments}) for r in pool.orderBy("block_id").collect()]
     covered = {s for _, snps, _ in model for s in snps}
     loose = [(r.snp_idx, r.alt_freq) for r in frequencies.orderBy("snp_idx").collect() if r.snp_idx not in covered]

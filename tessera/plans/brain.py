@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import scores as S
 from ..functions import statistics as st
 from ..operators import brain, linkage
 from .domain import GENOTYPES_SQL, genotypes, read

@@ -82,3 +82,49 @@ def test_sources_and_sinks(spark, tmp_path):
     assert api.FileSource(str(tmp_path / "out"), "csv", header=True).records(spark).select("id", "g").collect() in ([("rs1", [0, 1, 2]), ("rs2", [2, 2, 0])], [("rs2", [2, 2, 0]), ("rs1", [0, 1, 2])])
     with pytest.raises(NotImplementedError):
         api.FileSink("x", "bed")
+
+
+def events_by_hand(rows):
+    """Nodes as (label, parent) lists, edges as pairs."""
+    nodes, edges = [("", True)], []
+
+    def walk(path, make):
+        at = 0
+        for part in [p for p in path.replace("\\", "/").split("/") if p]:
+            found = next((b for a, b in edges if a == at and nodes[b][0] == part), None)
+            if found is None:
+                if not make:
+                    return None
+                nodes.append((part, True))
+                found = len(nodes) - 1
+                edges.append((at, found))
+            at = found
+        return at
+
+    for kind, path, to in rows:
+        if kind != "created" and (gone := walk(path, False)):
+            nodes[gone] = (nodes[gone][0], False)
+            edges[:] = [e for e in edges if gone not in e]
+        if kind != "removed":
+            walk(to if kind == "renamed" else path, True)
+    up = {b: a for a, b in edges}
+    return {(i, label, up.get(i)) for i, (label, there) in enumerate(nodes) if there}
+
+
+def test_file_events(spark):
+    import random
+
+    rng = random.Random(5)
+    pick = lambda: "/".join(rng.choice("abc") for _ in range(rng.randint(1, 3)))
+    logs = {r: [(rng.choice(["created", "created", "removed", "renamed"]), pick(), pick()) for _ in range(60)] for r in range(3)}
+    logs[3] = [("created", "a\\b//", None), ("removed", "", None), ("removed", "x", None)]
+    df = spark.createDataFrame([(r, k, *e) for r, log in logs.items() for k, e in enumerate(log)], "root long, seq long, kind string, path string, to string").repartition(3)
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    for n in ("1000", "7"):
+        spark.conf.set(size, n)
+        got = {}
+        for r in edits.apply_events(df).collect():
+            got.setdefault(r.root, set()).add((r.id, r.label, r.parent))
+        assert got == {r: events_by_hand(log) for r, log in logs.items()}
+    spark.conf.set(size, before)
