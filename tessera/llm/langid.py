@@ -17,6 +17,8 @@ from .common import CHUNK_BYTES, fold, hash_bound, hash_value, id_type, map_text
 
 #: Training texts of each language, and the longest of them in characters: the bound of the sample.
 SAMPLE, SAMPLE_CHARS = 500, 20_000
+#: Training texts of all languages together, about: with more languages each has fewer, one at least.
+SAMPLE_ALL = 32_000
 CELLS_BITS, PROBES = 20, 3
 #: An n-gram belongs to a language where its rate is at least this share of its highest rate in any language.
 SHARE, LEAST_COUNT = 0.5, 3
@@ -62,13 +64,14 @@ class Filters:
             keys = grams(b"".join(map(padded, samples[lang]))).reshape(-1)
             counts.append(np.unique(keys, return_counts=True))
         every = np.unique(np.concatenate([k for k, _ in counts])) if counts else np.empty(0, np.uint64)
-        rates = np.zeros((len(counts), len(every)))
-        for i, (k, n) in enumerate(counts):
-            rates[i, np.searchsorted(every, k)] = np.where(n >= LEAST_COUNT, n / n.sum(), 0)
-        belongs = (rates >= SHARE * rates.max(axis=0, initial=0)) & (rates > 0)
+        top = np.zeros(len(every))  # the highest rate of each n-gram in any language
+        rates = [np.where(n >= LEAST_COUNT, n / n.sum(), 0) for _, n in counts]
+        for (k, _), r in zip(counts, rates):
+            at = np.searchsorted(every, k)
+            top[at] = np.maximum(top[at], r)
         self.tables = [np.zeros(1 << CELLS_BITS, kind) for _ in range(max(1, -(-len(counts) // WORD)))]
-        for i in range(len(counts)):
-            for at in cells(every[belongs[i]]):
+        for i, ((k, _), r) in enumerate(zip(counts, rates)):
+            for at in cells(k[(r > 0) & (r >= SHARE * top[np.searchsorted(every, k)])]):
                 self.tables[i // WORD][at] |= kind(1 << i % WORD)
         fill = np.array([((self.tables[i // WORD] >> kind(i % WORD)) & kind(1)).mean() for i in range(len(counts))])
         self.wrong = fill**PROBES
@@ -121,7 +124,7 @@ def has_ascii_letter(text: bytes) -> bool:
 
 
 def train(docs: DataFrame, keep: Column | None = None, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> Filters:
-    """Filters from about 1.2 * ``sample`` whole texts of each language at most, of which ``sample`` are taken, picked by hash
+    """Filters from about 1.2 * ``sample`` whole texts of each language at most (SAMPLE_ALL of all), of which ``sample`` are taken, picked by hash
     among texts of up to ``sample_chars`` characters; a language that has only longer ones is learnt from its shortest text.
     ``keep``: which rows may be learnt from.  Rows with null text, language or id are not; rows that repeat an id and text count once."""
     spark = docs.sparkSession
@@ -130,6 +133,7 @@ def train(docs: DataFrame, keep: Column | None = None, text: str = "text", lang:
     short = F.length("text") <= sample_chars
     found = rows.groupBy("lang").agg(F.count_if(short).alias("n")).collect()  # a row a language
     out: dict[str, list[bytes]] = {r.lang: [] for r in found}
+    sample = max(1, min(sample, SAMPLE_ALL // max(1, len(found))))
     shares = [(r.lang, hash_bound(r.n, sample)) for r in found if r.n]
     if shares:
         chosen = rows.filter(short).join(F.broadcast(spark.createDataFrame(shares, "lang string, bound long")), "lang").filter(hash_value("id", "text") < F.col("bound"))
