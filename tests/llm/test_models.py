@@ -1,5 +1,3 @@
-import json
-import os
 import random
 
 import numpy as np
