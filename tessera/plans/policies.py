@@ -107,9 +107,12 @@ _REPORTS_SQL = f"{TICKS_SQL.strip()}, r AS (SELECT batch_id, count(*) FILTER (WH
 
 
 def reports(spark, sf_dir) -> DataFrame:
-    """What the other brains report of each agent."""
-    t = ticks(spark, sf_dir).groupBy("batch_id")
-    return t.agg(F.count_if("alarm").alias("rollbacks"), F.avg("utility").alias("routing"), F.avg("drop_rate").alias("risk"), (1 - F.avg("safety")).alias("drift"), (F.avg("quarantine") * 2).alias("load"), ((F.max_by("utility", "tick") - F.min_by("utility", "tick")) / F.count(F.lit(1))).alias("trend"), F.bool_or(F.col("event_type") == "purchase").alias("structural"), F.avg("coverage").alias("consensus"))
+    """What the other brains report of each agent.  Means are of sums in order of ticks, so that they do not depend on how rows arrive."""
+    so_far = Window.partitionBy("batch_id").orderBy("tick").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = ("utility", "drop_rate", "safety", "quarantine", "coverage")
+    t = ticks(spark, sf_dir).withColumns({f"sum_{c}": F.sum(c).over(so_far) for c in summed}).groupBy("batch_id")
+    mean = {c: F.max_by(f"sum_{c}", "tick") / F.count(F.lit(1)) for c in summed}
+    return t.agg(F.count_if("alarm").alias("rollbacks"), mean["utility"].alias("routing"), mean["drop_rate"].alias("risk"), (1 - mean["safety"]).alias("drift"), (mean["quarantine"] * 2).alias("load"), ((F.max_by("utility", "tick") - F.min_by("utility", "tick")) / F.count(F.lit(1))).alias("trend"), F.bool_or(F.col("event_type") == "purchase").alias("structural"), mean["coverage"].alias("consensus"))
 
 
 @query("governance_alignment", f"WITH {_REPORTS_SQL} SELECT batch_id, round(CASE WHEN rollbacks > 0 THEN 0.95::DOUBLE ELSE 1 END * CASE WHEN routing < 0.7 THEN 0.90::DOUBLE ELSE 1 END * CASE WHEN risk > 0.1 THEN 0.92::DOUBLE ELSE 1 END, 6) AS alignment FROM r")
@@ -140,9 +143,9 @@ def exported_policies(spark, sf_dir):
 
 @query("perception", f"WITH {_REPORTS_SQL}, h AS (SELECT batch_id, least(1, greatest(0, drift * 0.6::DOUBLE + load * 0.4::DOUBLE)) AS stress, least(1, greatest(0, routing)) AS growth, least(1, greatest(0, consensus)) AS coordination FROM r) SELECT batch_id, round(stress, 6) AS stress, round(growth, 6) AS growth, round(CASE WHEN stress > 0.5 THEN stress * 0.8::DOUBLE ELSE 0.1 END, 6) AS repair, round(coordination, 6) AS coordination, CASE WHEN stress > 0.7 THEN 'stressed' WHEN growth > 0.6 THEN 'improving' WHEN stress > 0.4 AND growth < 0.3 THEN 'exploring' ELSE 'normal' END AS label, CASE WHEN stress > 0.7 THEN 1 WHEN growth > 0.6 THEN 2 WHEN growth > 0.3 THEN 3 ELSE 0 END AS code FROM h")
 def perception(spark, sf_dir):
-    """Hormones and regime of each agent's cluster, by label and by code."""
+    """Hormones and regime of each agent's cluster, by label and by code.  Many means are halves of the last digit, which are rounded in binary as SQL does."""
     p = policies.perception(F.col("routing"), F.col("drift"), F.col("load"), F.col("consensus"))
-    numbers = [F.round(p[k], 6).alias(k) for k in ("stress", "growth", "repair", "coordination")]
+    numbers = [(F.round(p[k] * 1e6) / 1e6).alias(k) for k in ("stress", "growth", "repair", "coordination")]
     return reports(spark, sf_dir).select("batch_id", *numbers, p["label"].alias("label"), policies.regime_code(p["stress"], p["growth"]).alias("code"))
 
 
