@@ -70,7 +70,7 @@ def packed(genotypes: DataFrame) -> DataFrame:
 
     Codes other than 0, 1 and 2, and null ones, are missing.  A row without an array has no samples.
     """
-    if "lo" in genotypes.columns:
+    if "n_ref" in genotypes.columns:
         return genotypes
 
     def run(batches):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scores as S
 from ..functions import statistics as st
 from ..operators import graph, linkage, planes
-from .domain import GENOTYPES_SQL, genotypes, header, read
+from .domain import GENOTYPES_SQL, calls, genotypes, header, read, variants
 
 WINDOW = 50
 QUERIES: dict = {}
@@ -72,7 +72,7 @@ _CHI_P_SQL = f"CASE WHEN chi2 <= 0 THEN 1.0::DOUBLE WHEN chi2 >= 10 THEN 0.001::
 
 
 def _loci(spark, sf_dir) -> DataFrame:
-    return linkage.loci(genotypes(spark, sf_dir))
+    return linkage.loci(variants(spark, sf_dir))
 
 
 @query(
@@ -137,9 +137,10 @@ def genotype_summary(spark, sf_dir):
 
 @query("prs", f"WITH {GENOTYPES_SQL} SELECT (row_number() OVER (ORDER BY k) - 1)::INTEGER AS sample_idx, CAST(sum(coalesce(g, 0) * p_size) AS BIGINT) AS score FROM g JOIN part ON p_partkey = i GROUP BY k")
 def prs(spark, sf_dir):
-    """Polygenic scores with integer weights."""
+    """Polygenic scores with integer weights, which are summed over variants that are alike."""
     w = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("snp_idx"), F.col("p_size").cast("long").alias("weight"))
-    return linkage.scores(genotypes(spark, sf_dir), w).select("sample_idx", F.col("score").cast("long").alias("score"))
+    w = variants(spark, sf_dir).join(w, "snp_idx").groupBy(F.col("alike").alias("snp_idx")).agg(F.sum("weight").alias("weight"))
+    return linkage.scores(calls(spark, sf_dir), w).select("sample_idx", F.col("score").cast("long").alias("score"))
 
 
 COMPONENTS_SQL = f"""
