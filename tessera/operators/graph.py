@@ -15,7 +15,7 @@ from ..ship import ensure
 
 
 #: Edges that one task contracts together; what is left of all edges is finished by one task, if it is no more.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 22
 
 
 def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,9 +98,10 @@ def haplotype_blocks(genotypes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(block_id, first_snp, n_snps, mean_r_squared, start_position, end_position): components of linked variants.
 
     Singletons are blocks.  Blocks are numbered by their smallest member; the mean is over links that exist (null without).
-    Links are written once: they are read for the components and for the means.
+    Links are written once, if they are not yet: they are read for the components and for the means.
     """
-    pairs = Rounds(pairs.sparkSession, "links").cut(pairs.select("snp1_idx", "snp2_idx", "r_squared"))
+    if not hasattr(pairs, "_round_path"):
+        pairs = Rounds(pairs.sparkSession, "links").cut(pairs.select("snp1_idx", "snp2_idx", "r_squared"))
     found = components(genotypes.select(F.col("snp_idx").alias("id")), pairs.select(F.col("snp1_idx").alias("src"), F.col("snp2_idx").alias("dst")))
     placed = genotypes.select("chr", F.col("snp_idx").alias("id"), "position").join(found, "id")
     size = placed.groupBy("component").agg(F.count(F.lit(1)).alias("n_snps"), F.min("position").alias("start_position"), F.max("position").alias("end_position"))

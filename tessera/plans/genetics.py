@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scores as S
 from ..functions import statistics as st
 from ..operators import graph, linkage, planes
-from .domain import GENOTYPES_SQL, calls, genotypes, header, read, variants
+from .domain import GENOTYPES_SQL, calls, genotypes, header, kept, read, shared, variants
 
 WINDOW = 50
 QUERIES: dict = {}
@@ -34,13 +34,21 @@ all_pairs AS (SELECT i AS snp1_idx, j AS snp2_idx, n, (n * sxy - sx * sy)::DOUBL
 p AS (SELECT snp1_idx, snp2_idx, n, r2 FROM all_pairs WHERE r2::FLOAT > 0.5::FLOAT)"""
 
 
+def linked(spark: SparkSession, sf_dir: str, threshold: float | None = 0.5) -> DataFrame:
+    """``linkage.pairs`` of the genotype table."""
+    if shared(spark, sf_dir):
+        return linkage.shared_pairs(variants(spark, sf_dir), calls(spark, sf_dir), WINDOW, threshold=threshold)
+    return linkage.pairs(calls(spark, sf_dir), WINDOW, threshold=threshold)
+
+
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linkage.pairs(genotypes(spark, sf_dir), WINDOW)
+    """Linked pairs; written once an application, as most queries read them more than once."""
+    return kept(spark, sf_dir, "links", lambda: linked(spark, sf_dir))
 
 
 @query("ld_pairs", f"WITH {PAIRS_SQL} SELECT snp1_idx, snp2_idx, round(r2, 6) AS r_squared, snp1_idx * 1000 AS position1, snp2_idx * 1000 AS position2 FROM p")
 def ld_pairs(spark, sf_dir):
-    return _pairs(spark, sf_dir).select("snp1_idx", "snp2_idx", F.round("r_squared", 6).alias("r_squared"), "position1", "position2")
+    return linked(spark, sf_dir).select("snp1_idx", "snp2_idx", F.round("r_squared", 6).alias("r_squared"), "position1", "position2")
 
 
 @query("ld_top20", f"WITH {PAIRS_SQL} SELECT snp1_idx, snp2_idx, round(r2, 6) AS r_squared FROM p ORDER BY round(r2, 9) DESC, snp1_idx, snp2_idx LIMIT 20")
@@ -50,15 +58,12 @@ def ld_top20(spark, sf_dir):
 
 @query("ld_decay", f"WITH {PAIRS_SQL} SELECT (snp2_idx - snp1_idx) * 1000 // 10000 * 10000 AS distance, count(*) AS n_pairs, round(avg(r2), 6) AS mean_r2 FROM all_pairs GROUP BY 1")
 def ld_decay(spark, sf_dir):
-    every = linkage.pairs(genotypes(spark, sf_dir), WINDOW, threshold=None)
-    return linkage.decay(every).withColumn("mean_r2", F.round("mean_r2", 6))
+    return linkage.decay(linked(spark, sf_dir, None)).withColumn("mean_r2", F.round("mean_r2", 6))
 
 
 @query("ld_clusters", f"WITH {PAIRS_SQL} SELECT p_partkey AS snp_idx, coalesce(string_agg(snp2_idx::VARCHAR, ',' ORDER BY snp2_idx), '') AS partners FROM part LEFT JOIN p ON snp1_idx = p_partkey GROUP BY 1")
 def ld_clusters(spark, sf_dir):
-    g = genotypes(spark, sf_dir)
-    found = linkage.pairs(g, WINDOW)
-    return linkage.clusters(g, found).select("snp_idx", F.array_join(F.transform("partners", lambda x: x.cast("string")), ",").alias("partners"))
+    return linkage.clusters(variants(spark, sf_dir), _pairs(spark, sf_dir)).select("snp_idx", F.array_join(F.transform("partners", lambda x: x.cast("string")), ",").alias("partners"))
 
 
 LOCI_SQL = f"""
@@ -154,8 +159,7 @@ blocks AS (SELECT row_number() OVER (ORDER BY first_snp) - 1 AS block_id, first_
 
 
 def _blocks(spark, sf_dir):
-    g = genotypes(spark, sf_dir)
-    return graph.haplotype_blocks(g, linkage.pairs(g, WINDOW))
+    return kept(spark, sf_dir, "blocks", lambda: graph.haplotype_blocks(variants(spark, sf_dir), _pairs(spark, sf_dir)))
 
 
 @query("haplotype_blocks", f"WITH RECURSIVE {COMPONENTS_SQL} SELECT block_id, first_snp, n_snps, round(mean_r_squared, 6) AS mean_r_squared, start_position, end_position FROM blocks")

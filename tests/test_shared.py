@@ -44,3 +44,47 @@ def test_scores_of_many_samples_take_little_memory():
     linkage.weighted(lo, hi, np.ones(2000))
     assert tracemalloc.get_traced_memory()[1] < 100e6
     tracemalloc.stop()
+
+
+def repeated(spark, rng, samples):
+    """(packed table, variants, calls) of two chromosomes with gaps, whose variants are drawn from a few."""
+    few = rng.integers(0, 3, (14, samples))
+    few = np.where(rng.random(few.shape) < 0.1, 3, few)
+    few[3], few[4] = 1, 3
+    rows, first = [], {}
+    for chromosome in "12":
+        for i in np.flatnonzero(rng.random(150) < 0.8).tolist():
+            kind = int(rng.integers(len(few)))
+            rows.append((chromosome, i, 10 * i, few[kind].tolist(), first.setdefault((chromosome, kind), i)))
+    t = spark.createDataFrame(rows, "chr string, snp_idx long, position long, g array<int>, alike long")
+    packed = planes.packed(t)
+    v = packed.drop("lo", "hi").join(t.select("chr", "snp_idx", "alike"), ["chr", "snp_idx"])
+    return packed, v, packed.join(v.filter("snp_idx = alike").select("chr", "snp_idx"), ["chr", "snp_idx"], "left_semi")
+
+
+@pytest.mark.parametrize("threshold,samples,window", [(None, 70, 7), (0.05, 130, 40)])
+def test_pairs_of_shared_calls(spark, monkeypatch, threshold, samples, window):
+    monkeypatch.setattr(linkage, "LIGHT", 32)
+    monkeypatch.setattr(linkage, "BLOCK", 16)
+    monkeypatch.setattr(linkage, "CHUNK", 1)
+    packed, variants, calls = repeated(spark, np.random.default_rng(samples), samples)
+    columns = ["chr", "snp1_idx", "snp2_idx", F.round("r_squared", 12), F.round("r", 12), "n", "position1", "position2"]
+    got = linkage.shared_pairs(variants, calls, window, threshold=threshold).select(*columns).collect()
+    want = linkage.pairs(packed, window, threshold=threshold).select(*columns).collect()
+    assert len(want) > 100 and sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def reads_links_once(spark, monkeypatch, query):
+    """Whether a query makes the linked pairs once, however often it reads them, and its rows."""
+    made = []
+    for name in ("pairs", "shared_pairs"):
+        monkeypatch.setattr(linkage, name, lambda *a, f=getattr(linkage, name), **b: made.append(1) or f(*a, **b))
+    for held in ("_tessera_kept", "_tessera_shared"):
+        monkeypatch.setattr(spark.sparkContext, held, {}, raising=False)
+    assert query(spark, SF).count() and len(made) == 1
+
+
+def test_haplotype_blocks_make_links_once(spark, monkeypatch):
+    from tessera.plans import genetics
+
+    reads_links_once(spark, monkeypatch, lambda *a: genetics.haplotype_blocks(*a).unionByName(genetics.haplotype_blocks(*a)))
