@@ -153,6 +153,30 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int = 5) -> DataFrame:
     return seen
 
 
+def within(edges: DataFrame, starts: DataFrame, depth: int = 5, most: int = 3) -> DataFrame:
+    """(id) of all nodes within ``depth`` undirected steps of any of ``starts`` (id) that reaches more than ``most`` nodes, itself included.
+
+    Each step that is not the last reaches a node more, so with ``depth`` of ``most`` or more a start reaches more than ``most`` if its
+    component has them.  The nodes around all such starts are found together, without a row for each start and node.
+    """
+    if depth < most:
+        raise ValueError(f"depth {depth} under {most}")
+    rounds = Rounds(edges.sparkSession, "within")
+    component = stars(edges)
+    large = component.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most)
+    in_large = component.join(large, "component", "left_semi").select("id")
+    chosen = starts.select("id").distinct()
+    seen = front = rounds.cut(chosen.join(in_large, "id", "left_semi") if most else chosen)
+    both = edges.select("src", "dst").union(edges.select("dst", "src"))
+    for _ in range(depth):
+        step = both.join(front.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
+        front = rounds.cut(step.join(seen, "id", "left_anti"))
+        if front.isEmpty():
+            break
+        seen = seen.union(front)
+    return seen
+
+
 def topological_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(graph_id, id, place) by Kahn's rule, smallest id first; one task a graph, as order within a graph is sequential.
 

@@ -405,9 +405,7 @@ def injection_reach(spark, sf_dir):
 )
 def injection_chains(spark, sf_dir):
     """Distinct neurons within five synapses of a variant asked about, from the starts that reach more than three."""
-    found = graph.reach(synapses(spark, sf_dir).select("src", "dst"), _asked(spark, sf_dir).select("id").distinct(), 5)
-    far = found.groupBy("start").agg(F.count(F.lit(1)).alias("n")).filter("n > 3")
-    return found.join(far, "start", "left_semi").select("id").distinct()
+    return graph.within(synapses(spark, sf_dir).select("src", "dst"), _asked(spark, sf_dir).select("id"), 5, 3)
 
 
 @query("elite_selection", "SELECT p_brand, p_partkey, p_retailprice FROM (SELECT p_brand, p_partkey, p_retailprice, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS rk, count(*) OVER (PARTITION BY p_brand) AS n FROM part) WHERE rk <= greatest(1, n // 4)")

@@ -88,3 +88,17 @@ def test_haplotype_blocks_make_links_once(spark, monkeypatch):
     from tessera.plans import genetics
 
     reads_links_once(spark, monkeypatch, lambda *a: genetics.haplotype_blocks(*a).unionByName(genetics.haplotype_blocks(*a)))
+
+
+def test_nodes_within_steps(spark):
+    from tessera.operators import graph
+
+    rng = np.random.default_rng(8)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 150, (80, 2))] + [(k, k + 1) for k in range(200, 230)] + [(300, 301), (301, 302), (310, 311), (320, 320)]
+    starts = [(int(x),) for x in rng.integers(0, 150, 12)] + [(205,), (300,), (310,), (320,), (999,)]
+    edges, starts = spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame(starts, "id long")
+    every = graph.reach(edges, starts.distinct(), 5)
+    far = every.groupBy("start").agg(F.count(F.lit(1)).alias("n")).filter("n > 3")
+    want = {r.id for r in every.join(far, "start", "left_semi").select("id").distinct().collect()}
+    got = [r.id for r in graph.within(edges, starts, 5, 3).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and 210 in want and 211 not in want and 300 not in want
