@@ -480,5 +480,5 @@ def genomic_task(spark, sf_dir):
 )
 def ld_dense(spark, sf_dir):
     """All pairs by marginal statistics, counted by strength."""
-    r = linkage.dense(genotypes(spark, sf_dir))
-    return r.groupBy(F.floor(F.round(F.abs("r"), 9) * 10).alias("tenth")).agg(F.count(F.lit(1)).alias("n"))
+    copies = variants(spark, sf_dir).groupBy(F.col("alike").alias("snp_idx")).agg(F.count(F.lit(1)).alias("copies"))
+    return linkage.tally(calls(spark, sf_dir), copies)

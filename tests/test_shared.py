@@ -102,3 +102,13 @@ def test_nodes_within_steps(spark):
     want = {r.id for r in every.join(far, "start", "left_semi").select("id").distinct().collect()}
     got = [r.id for r in graph.within(edges, starts, 5, 3).collect()]
     assert len(got) == len(set(got)) and set(got) == want and 210 in want and 211 not in want and 300 not in want
+
+
+def test_tally_of_shared_calls(spark, monkeypatch):
+    for name, value in (("GRID", 5), ("TILE", 2), ("TOGETHER", 1)):
+        monkeypatch.setattr(linkage, name, value)
+    packed, variants, calls = (t.filter("chr = 1") for t in repeated(spark, np.random.default_rng(21), 70))
+    copies = variants.groupBy(F.col("alike").alias("snp_idx")).agg(F.count(F.lit(1)).alias("copies"))
+    want = linkage.dense(packed, block=40).groupBy(F.floor(F.round(F.abs("r"), 9) * 10).alias("tenth")).agg(F.count(F.lit(1)).alias("n"))
+    got = linkage.tally(calls, copies).collect()
+    assert len(got) > 3 and sorted(map(tuple, got)) == sorted(map(tuple, want.collect()))
