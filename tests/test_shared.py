@@ -112,3 +112,27 @@ def test_tally_of_shared_calls(spark, monkeypatch):
     want = linkage.dense(packed, block=40).groupBy(F.floor(F.round(F.abs("r"), 9) * 10).alias("tenth")).agg(F.count(F.lit(1)).alias("n"))
     got = linkage.tally(calls, copies).collect()
     assert len(got) > 3 and sorted(map(tuple, got)) == sorted(map(tuple, want.collect()))
+
+
+def scans_only(spark, name):
+    """A query that reads what is written of links and blocks, and makes none of them again."""
+    from tessera.plans.queries import QUERIES
+
+    df = QUERIES[name](spark, SF)
+    assert "InArrow" not in df._jdf.queryExecution().executedPlan().toString()
+    assert df.count()
+
+
+def blocks_once(spark, monkeypatch, name):
+    """A query that is asked twice, and has its blocks made once."""
+    from tessera.operators import graph
+    from tessera.plans.queries import QUERIES
+
+    made = []
+    monkeypatch.setattr(graph, "haplotype_blocks", lambda *a, f=graph.haplotype_blocks: made.append(1) or f(*a))
+    monkeypatch.setattr(spark.sparkContext, "_tessera_kept", {}, raising=False)
+    assert QUERIES[name](spark, SF).count() == QUERIES[name](spark, SF).count() and len(made) == 1
+
+
+def test_diagnoses_scans_what_is_written(spark):
+    scans_only(spark, "diagnoses")
