@@ -136,3 +136,7 @@ def blocks_once(spark, monkeypatch, name):
 
 def test_diagnoses_scans_what_is_written(spark):
     scans_only(spark, "diagnoses")
+
+
+def test_code_quality_scans_what_is_written(spark):
+    scans_only(spark, "code_quality")
