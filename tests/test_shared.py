@@ -140,3 +140,7 @@ def test_diagnoses_scans_what_is_written(spark):
 
 def test_code_quality_scans_what_is_written(spark):
     scans_only(spark, "code_quality")
+
+
+def test_genomic_task_scans_what_is_written(spark):
+    scans_only(spark, "genomic_task")
