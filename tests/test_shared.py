@@ -144,3 +144,7 @@ def test_code_quality_scans_what_is_written(spark):
 
 def test_genomic_task_scans_what_is_written(spark):
     scans_only(spark, "genomic_task")
+
+
+def test_motif_activation_makes_blocks_once(spark, monkeypatch):
+    blocks_once(spark, monkeypatch, "motif_activation")
