@@ -148,3 +148,7 @@ def test_genomic_task_scans_what_is_written(spark):
 
 def test_motif_activation_makes_blocks_once(spark, monkeypatch):
     blocks_once(spark, monkeypatch, "motif_activation")
+
+
+def test_signature_activation_makes_blocks_once(spark, monkeypatch):
+    blocks_once(spark, monkeypatch, "signature_activation")
