@@ -152,3 +152,7 @@ def test_motif_activation_makes_blocks_once(spark, monkeypatch):
 
 def test_signature_activation_makes_blocks_once(spark, monkeypatch):
     blocks_once(spark, monkeypatch, "signature_activation")
+
+
+def test_working_set_scans_what_is_written(spark):
+    scans_only(spark, "working_set")
