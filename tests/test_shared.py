@@ -156,3 +156,7 @@ def test_signature_activation_makes_blocks_once(spark, monkeypatch):
 
 def test_working_set_scans_what_is_written(spark):
     scans_only(spark, "working_set")
+
+
+def test_structure_metrics_scans_what_is_written(spark):
+    scans_only(spark, "structure_metrics")
