@@ -16,12 +16,19 @@ from ..ship import ensure
 
 #: Edges that one task contracts together; what is left of all edges is finished by one task, if it is no more.
 TOGETHER = 1 << 22
+#: Ids whose edges are contracted in one task, if they are not too many.
+NEAR = 1 << 14
 
 
 def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The components of edges as stars around their smallest ids."""
-    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
-    u, v = at[: len(u)], at[len(u) :]
+    ids = np.concatenate([u, v])
+    least, most = (int(ids.min()), int(ids.max())) if len(ids) else (0, -1)
+    if most - least < 2 * len(ids):  # dense: each id is its own place, without a sort
+        ids, u, v = np.arange(least, most + 1), u - least, v - least
+    else:
+        ids, at = np.unique(ids, return_inverse=True)
+        u, v = at[: len(u)], at[len(u) :]
     top = np.arange(len(ids))
     while (apart := top[u] != top[v]).any():
         x, y = top[u[apart]], top[v[apart]]
@@ -54,13 +61,15 @@ def contracted(batches):
 def stars(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id that each id of ``edges`` (src, dst) reaches over them, undirected; an id that has only an edge to itself is left out.
 
-    Each task first puts a spanning star in place of each component of its edges, which leaves fewer edges than nodes a task.  If no more than
+    Edges are dealt by ranges of ids, as near ids are often linked.  Each task then puts a spanning star in place of each component of its edges,
+    which leaves fewer edges than nodes a task.  If no more than
     TOGETHER are left, one task does the same with them, and that is all; else large-star and small-star rounds follow until nothing changes.
     Each step is written, so lineage stays short.
     """
     rounds = Rounds(edges.sparkSession, "components")
     ensure(edges.sparkSession)
     pairs = edges.filter("src <> dst").select(F.col("src").cast("long").alias("u"), F.col("dst").cast("long").alias("v"))
+    pairs = pairs.withColumn("near", F.floor(F.col("u") / NEAR)).hint("rebalance", "near").select("u", "v")
     now = rounds.cut(pairs.mapInArrow(contracted, "u long, v long").distinct())
     if now.count() <= TOGETHER:
         return labelled(rounds.cut(now.coalesce(1).mapInArrow(contracted, "u long, v long")))
@@ -105,7 +114,8 @@ def haplotype_blocks(genotypes: DataFrame, pairs: DataFrame) -> DataFrame:
     found = components(genotypes.select(F.col("snp_idx").alias("id")), pairs.select(F.col("snp1_idx").alias("src"), F.col("snp2_idx").alias("dst")))
     placed = genotypes.select("chr", F.col("snp_idx").alias("id"), "position").join(found, "id")
     size = placed.groupBy("component").agg(F.count(F.lit(1)).alias("n_snps"), F.min("position").alias("start_position"), F.max("position").alias("end_position"))
-    r2 = pairs.join(found.withColumnRenamed("id", "snp1_idx"), "snp1_idx").groupBy("component").agg(F.avg("r_squared").alias("mean_r_squared"))
+    each = pairs.groupBy(F.col("snp1_idx").alias("id")).agg(F.sum("r_squared").alias("total"), F.count("r_squared").alias("links"))  # before the join: fewer rows
+    r2 = each.join(found, "id").groupBy("component").agg((F.sum("total") / F.sum("links")).alias("mean_r_squared"))
     # Numbered without one task for all: ranks within ranges of the first member, offset by the ranges' counts.
     return numbered(size.join(r2, "component", "left").withColumnRenamed("component", "first_snp"), "first_snp", "block_id")
 

@@ -206,3 +206,32 @@ def test_pairs_of_a_course_that_repeats_are_found_once(spark, monkeypatch):
     assert len(want) == 600 * 6 - 21 and sorted(map(tuple, got)) == sorted(map(tuple, want))
     # Forty courses, and six that the end cuts short.
     assert max(n for c, n in Counted.seen if "other" in c) <= 46 * 6 and any("gap" in c for c, _ in Counted.seen)
+
+
+def test_edges_in_any_order_leave_few(spark, monkeypatch):
+    from tessera.operators import graph
+
+    edges = [(i, i + 1 + k) for i in range(3000) if i % 30 < 20 for k in range(8)]
+    edges = spark.createDataFrame(edges, "src long, dst long").repartition(16)
+    monkeypatch.setattr(graph, "NEAR", 256)
+    monkeypatch.setattr(graph, "Rounds", Counted)
+    monkeypatch.setattr(Counted, "seen", [])
+    found = dict(map(tuple, graph.stars(edges).collect()))
+    assert found == {i: i // 30 * 30 for i in range(3000) if i % 30 < 28}
+    assert Counted.seen[0][1] < 3100  # a star's edge a node, and few more
+
+
+@pytest.mark.parametrize("far", [1, 1 << 40])
+def test_forest_of_near_and_far_ids(far):
+    from tessera.operators import graph
+
+    rng = np.random.default_rng(11)
+    for _ in range(20):
+        u, v = (far * rng.integers(-40, 40, 30) for _ in range(2))
+        least = {int(x): int(x) for x in np.concatenate([u, v])}
+        for _ in range(60):
+            for a, b in zip(u.tolist(), v.tolist()):
+                least[a] = least[b] = min(least[a], least[b])
+        ids, top = graph.forest(u, v)
+        assert dict(zip(ids.tolist(), top.tolist())) == {a: b for a, b in least.items() if a != b}
+    assert all(len(x) == 0 for x in graph.forest(*(np.empty(0, np.int64),) * 2))
