@@ -235,3 +235,20 @@ def test_forest_of_near_and_far_ids(far):
         ids, top = graph.forest(u, v)
         assert dict(zip(ids.tolist(), top.tolist())) == {a: b for a, b in least.items() if a != b}
     assert all(len(x) == 0 for x in graph.forest(*(np.empty(0, np.int64),) * 2))
+
+
+def no_joins_of_links(spark, name):
+    """Links are read without a look at the neurons of their ends; what is joined is one row."""
+    from tessera.plans.queries import QUERIES
+
+    assert QUERIES[name](spark, SF).count()
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(kind in line for line in plan.splitlines() for kind in ("Join Inner", "Join Left"))
+
+
+def test_code_quality_joins_no_links(spark):
+    no_joins_of_links(spark, "code_quality")
+
+
+def test_diagnoses_joins_no_links(spark):
+    no_joins_of_links(spark, "diagnoses")
