@@ -43,7 +43,7 @@ def linked(spark: SparkSession, sf_dir: str, threshold: float | None = 0.5) -> D
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Linked pairs; written once an application, as most queries read them more than once."""
-    return kept(spark, sf_dir, "links", lambda: linked(spark, sf_dir))
+    return kept(spark, sf_dir, "links", lambda: linked(spark, sf_dir).select("snp1_idx", "snp2_idx", "r_squared"))
 
 
 @query("ld_pairs", f"WITH {PAIRS_SQL} SELECT snp1_idx, snp2_idx, round(r2, 6) AS r_squared, snp1_idx * 1000 AS position1, snp2_idx * 1000 AS position2 FROM p")

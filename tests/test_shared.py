@@ -252,3 +252,10 @@ def test_code_quality_joins_no_links(spark):
 
 def test_diagnoses_joins_no_links(spark):
     no_joins_of_links(spark, "diagnoses")
+
+
+def test_structure_metrics_reads_links_of_three_columns(spark):
+    from tessera.plans import genetics
+
+    no_joins_of_links(spark, "structure_metrics")
+    assert genetics._pairs(spark, SF).columns == ["snp1_idx", "snp2_idx", "r_squared"]
