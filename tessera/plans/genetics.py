@@ -463,11 +463,12 @@ def phenotypes(spark, sf_dir):
 def genomic_task(spark, sf_dir):
     """.4 risk of the eight most varied variants, .25 rare share, .35 connectivity."""
     n, s = neurons(spark, sf_dir), synapses(spark, sf_dir)
-    ends = s.select(F.col("src").alias("id"), "weight").unionAll(s.select(F.col("dst").alias("id"), "weight")).groupBy("id").agg(F.sum("weight").alias("w"))
+    ends = s.select(F.col("src").alias("id"), "weight").unionAll(s.select(F.col("dst").alias("id"), "weight"))
     top = n.orderBy(F.desc(F.round("maf", 9)), "id").limit(8).select("id")
-    risk = top.join(ends, "id", "left").agg(F.least(F.lit(1.0), F.sum(0.15 + 0.01 * F.coalesce("w", F.lit(0.0))) / 2).alias("risk"))
+    weights = ends.join(F.broadcast(top), "id").groupBy("id").agg(F.sum("weight").alias("w"))  # of the eight only
+    risk = top.join(weights, "id", "left").agg(F.least(F.lit(1.0), F.sum(0.15 + 0.01 * F.coalesce("w", F.lit(0.0))) / 2).alias("risk"))
     pop = n.agg((F.count_if("is_rare") / (F.count(F.lit(1)) + 1)).alias("pop"), F.count(F.lit(1)).alias("n"))
-    touched = ends.agg(F.count(F.lit(1)).alias("touched"))
+    touched = ends.select("id").distinct().agg(F.count(F.lit(1)).alias("touched"))
     return risk.join(pop, how="cross").join(touched, how="cross").select(F.round(0.4 * F.col("risk") + 0.25 * F.col("pop") + 0.35 * F.col("touched") / F.col("n"), 5).alias("score"))
 
 

@@ -259,3 +259,12 @@ def test_structure_metrics_reads_links_of_three_columns(spark):
 
     no_joins_of_links(spark, "structure_metrics")
     assert genetics._pairs(spark, SF).columns == ["snp1_idx", "snp2_idx", "r_squared"]
+
+
+def test_genomic_task_adds_weights_of_the_eight_only(spark):
+    from tessera.plans.queries import QUERIES
+
+    assert QUERIES["genomic_task"](spark, SF).count() == 1
+    plan = QUERIES["genomic_task"](spark, SF)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    sums = [k for k, line in enumerate(plan) if "Aggregate [id" in line and "sum(" in line]
+    assert sums and all(any("Join Inner" in line for line in plan[k + 1 : k + 4]) for k in sums)
