@@ -182,10 +182,11 @@ def activate_signatures(questions: DataFrame, motifs: DataFrame, capacity: int)
     """(question, chr, block_id, score, place): for each question (question, signature of FEATURES values) the first ``capacity`` motifs by cosine.
 
     A signature whose fourth value is over .02 names a chromosome, 22 times that; motifs of others count only where it has none.  Where the best cosine is
-    poor, all motifs are ranked by mean r^2.  Questions are a stated set, broadcast; motifs are scored in the scan.
+    poor, all motifs are ranked by mean r^2.  Questions are a stated set, broadcast; motifs are few bytes and many scores, so they are dealt to all cores first.
     """
     place = F.get("signature", F.lit(3))
     named = F.when(place > 0.02, F.greatest(F.lit(1), F.least(F.lit(22), F.floor(place * 22 + 0.5))).cast("string"))
+    motifs = motifs.repartition(2 * motifs.sparkSession.sparkContext.defaultParallelism)
     both = motifs.join(F.broadcast(questions.select("question", "signature", named.alias("named"))), how="cross")
     features = F.array(*[F.col(f"f{i}") for i in range(FEATURES)])
     size = lambda a: F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x))

@@ -268,3 +268,12 @@ def test_genomic_task_adds_weights_of_the_eight_only(spark):
     plan = QUERIES["genomic_task"](spark, SF)._jdf.queryExecution().optimizedPlan().toString().splitlines()
     sums = [k for k, line in enumerate(plan) if "Aggregate [id" in line and "sum(" in line]
     assert sums and all(any("Join Inner" in line for line in plan[k + 1 : k + 4]) for k in sums)
+
+
+def test_signatures_are_scored_by_all_cores(spark):
+    from tessera.plans.queries import QUERIES
+
+    df = QUERIES["signature_activation"](spark, SF)
+    assert df.count()
+    dealt = f"Repartition {2 * spark.sparkContext.defaultParallelism}, true"
+    assert dealt in df._jdf.queryExecution().optimizedPlan().toString()
