@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from . import graph
-from .folds import last_rows
+from .folds import last_rows, perhaps_last
 
 #: Motif features, heaviest synapses that an activation starts from, cosine below which strength ranks motifs instead.
 FEATURES, HEAVIEST, POOR = 8, 8, 0.05
@@ -56,7 +56,9 @@ def working_set(motifs: DataFrame, synapses: DataFrame, neurons: DataFrame, quer
     if best.isEmpty():
         chrs = synapses.groupBy("chr").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "chr").limit(1).select("chr", F.lit(1).alias("turn"))
     near = lambda t: t.join(F.broadcast(chrs), "chr")  # at most capacity chromosomes
-    heavy = last_rows(near(synapses).select("chr", "turn", "src", "dst", F.round("weight", 9).alias("weight"), (-F.col("src")).alias("a"), (-F.col("dst")).alias("b")), "chr", ["weight", "a", "b"], HEAVIEST)
+    heavy = near(synapses).select("chr", "turn", "src", "dst", F.round("weight", 9).alias("weight"), (-F.col("src")).alias("a"), (-F.col("dst")).alias("b"))
+    # Few synapses are as heavy as the lightest that is wanted may be, and of variants as early: only these are sorted.
+    heavy = last_rows(perhaps_last(heavy, "chr", ["weight", "a"], HEAVIEST), "chr", ["weight", "a", "b"], HEAVIEST)
     rank = F.row_number().over(Window.partitionBy("chr").orderBy(F.desc("weight"), "src", "dst"))  # HEAVIEST rows a chromosome
     heavy = heavy.withColumn("k", rank * 2)
     first = last_rows(near(neurons).select("chr", "turn", "id", (-F.col("id")).alias("a")), "chr", ["a"], capacity)

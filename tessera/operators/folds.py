@@ -300,6 +300,27 @@ def last_rows(df: DataFrame, key: str, order: list[str], n: int) -> DataFrame:
     return some.withColumn("back__", F.row_number().over(Window.partitionBy(key).orderBy(*back))).filter(F.col("back__") <= n).drop("back__", "hash__", "slice__")
 
 
+def least_of_last(df: DataFrame, key: str, value: str, n: int) -> DataFrame:
+    """(key, least): what each of the last ``n`` rows of a group by ``value`` has at least, in one aggregation without a sort: the ``n``-th of the
+    largest values of SLICES slices.  Groups whose rows are in fewer slices are left out: any row may be among their last ones."""
+    slices = df.groupBy(key, F.pmod(F.xxhash64(*df.columns), F.lit(SLICES)).alias("slice__")).agg(F.max(value).alias("least"))
+    back = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("least")))  # a row a slice
+    return slices.filter(F.col("least").isNotNull()).withColumn("back__", back).filter(F.col("back__") == n).select(key, "least")
+
+
+def perhaps_last(df: DataFrame, key: str, order: list[str], n: int) -> DataFrame:
+    """Rows that may be among the last ``n`` of their group in ``order``, so that few are left to sort: by ``least_of_last`` of the first column,
+    of the next where that ties, and so on.  Groups are few, as each has a row in a broadcast."""
+    columns, tied, kept = df.columns, F.lit(True), F.lit(False)
+    for k, c in enumerate(order):
+        least = least_of_last(df.filter(tied).select(*columns), key, c, n).withColumnRenamed("least", f"least{k}__")
+        df = df.join(F.broadcast(least), key, "left")
+        bound = F.col(f"least{k}__")
+        kept = kept | (tied & (bound.isNull() | (F.col(c) > bound)))
+        tied = tied & bound.isNotNull() & (F.col(c) == bound)
+    return df.filter(kept | tied).select(*columns)
+
+
 def rolling_mean(value: str, key: str, order: list[str], rows: int) -> Column:
     return F.avg(value).over(frame(key, order, rows))
 

@@ -277,3 +277,26 @@ def test_signatures_are_scored_by_all_cores(spark):
     assert df.count()
     dealt = f"Repartition {2 * spark.sparkContext.defaultParallelism}, true"
     assert dealt in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("kinds", [3, 100000])
+def test_least_of_the_heaviest(spark, kinds):
+    from tessera.operators import folds
+
+    rng = np.random.default_rng(kinds)
+    rows = [("a", i, float(w)) for i, w in enumerate(rng.integers(0, kinds, 3000))] + [("b", i, float(i)) for i in range(4)] + [("a", 5000 + i, None) for i in range(5)]
+    df = spark.createDataFrame(rows, "chr string, id long, weight double")
+    df = df.withColumn("a", -F.col("id"))
+    few = folds.perhaps_last(df, "chr", ["weight", "a"], 8)
+    last = [sorted(map(tuple, folds.last_rows(t, "chr", ["weight", "a"], 8).collect())) for t in (df, few)]
+    assert few.columns == df.columns and last[0] == last[1] and len(last[0]) == 12
+    # All that weigh the most tie where there are three weights.
+    assert few.filter("chr = 'b'").count() == 4 and few.count() < 100
+
+
+def test_working_set_sorts_few_synapses(spark):
+    from tessera.plans.queries import QUERIES
+
+    df = QUERIES["working_set"](spark, SF)
+    assert df.count()
+    assert "least0__#" in df._jdf.queryExecution().optimizedPlan().toString()
