@@ -58,18 +58,19 @@ def contracted(batches):
     yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], names=["u", "v"])
 
 
-def stars(edges: DataFrame) -> DataFrame:
+def stars(edges: DataFrame, near: bool = False) -> DataFrame:
     """(id, component): the smallest id that each id of ``edges`` (src, dst) reaches over them, undirected; an id that has only an edge to itself is left out.
 
-    Edges are dealt by ranges of ids, as near ids are often linked.  Each task then puts a spanning star in place of each component of its edges,
-    which leaves fewer edges than nodes a task.  If no more than
+    Where near ids are linked (``near``), edges are first dealt by ranges of ids.  Each task puts a spanning star in place of each component of its
+    edges, which leaves fewer edges than nodes a task.  If no more than
     TOGETHER are left, one task does the same with them, and that is all; else large-star and small-star rounds follow until nothing changes.
     Each step is written, so lineage stays short.
     """
     rounds = Rounds(edges.sparkSession, "components")
     ensure(edges.sparkSession)
     pairs = edges.filter("src <> dst").select(F.col("src").cast("long").alias("u"), F.col("dst").cast("long").alias("v"))
-    pairs = pairs.withColumn("near", F.floor(F.col("u") / NEAR)).hint("rebalance", "near").select("u", "v")
+    if near:
+        pairs = pairs.withColumn("near", F.floor(F.col("u") / NEAR)).hint("rebalance", "near").select("u", "v")
     now = rounds.cut(pairs.mapInArrow(contracted, "u long, v long").distinct())
     if now.count() <= TOGETHER:
         return labelled(rounds.cut(now.coalesce(1).mapInArrow(contracted, "u long, v long")))
@@ -95,12 +96,12 @@ def labelled(found: DataFrame) -> DataFrame:
     return found.select(F.col("u").alias("id"), F.col("v").alias("component")).union(found.select("v", "v").distinct())
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame, near: bool = False) -> DataFrame:
     """(id, component): the smallest id that each of ``nodes`` (id) reaches over undirected ``edges`` (src, dst).
 
     Every node has a component, one without edges its own.
     """
-    return nodes.select("id").join(stars(edges), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    return nodes.select("id").join(stars(edges, near), "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
 def haplotype_blocks(genotypes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -111,7 +112,7 @@ def haplotype_blocks(genotypes: DataFrame, pairs: DataFrame) -> DataFrame:
     """
     if not hasattr(pairs, "_round_path"):
         pairs = Rounds(pairs.sparkSession, "links").cut(pairs.select("snp1_idx", "snp2_idx", "r_squared"))
-    found = components(genotypes.select(F.col("snp_idx").alias("id")), pairs.select(F.col("snp1_idx").alias("src"), F.col("snp2_idx").alias("dst")))
+    found = components(genotypes.select(F.col("snp_idx").alias("id")), pairs.select(F.col("snp1_idx").alias("src"), F.col("snp2_idx").alias("dst")), near=True)
     placed = genotypes.select("chr", F.col("snp_idx").alias("id"), "position").join(found, "id")
     size = placed.groupBy("component").agg(F.count(F.lit(1)).alias("n_snps"), F.min("position").alias("start_position"), F.max("position").alias("end_position"))
     each = pairs.groupBy(F.col("snp1_idx").alias("id")).agg(F.sum("r_squared").alias("total"), F.count("r_squared").alias("links"))  # before the join: fewer rows
@@ -172,7 +173,7 @@ def within(edges: DataFrame, starts: DataFrame, depth: int = 5, most: int = 3) -
     if depth < most:
         raise ValueError(f"depth {depth} under {most}")
     rounds = Rounds(edges.sparkSession, "within")
-    component = stars(edges)
+    component = stars(edges, near=True)
     large = component.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most)
     in_large = component.join(large, "component", "left_semi").select("id")
     chosen = starts.select("id").distinct()
