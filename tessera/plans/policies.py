@@ -107,11 +107,11 @@ _REPORTS_SQL = f"{TICKS_SQL.strip()}, r AS (SELECT batch_id, count(*) FILTER (WH
 
 
 def reports(spark, sf_dir) -> DataFrame:
-    """What the other brains report of each agent.  Means are of sums in order of ticks, so that they do not depend on how rows arrive."""
+    """What the other brains report of each agent.  Means are of sums in order of ticks, so that they do not depend on how rows arrive, over the values that are there."""
     so_far = Window.partitionBy("batch_id").orderBy("tick").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     summed = ("utility", "drop_rate", "safety", "quarantine", "coverage")
     t = ticks(spark, sf_dir).withColumns({f"sum_{c}": F.sum(c).over(so_far) for c in summed}).groupBy("batch_id")
-    mean = {c: F.max_by(f"sum_{c}", "tick") / F.count(F.lit(1)) for c in summed}
+    mean = {c: F.max_by(f"sum_{c}", "tick") / F.count(c) for c in summed}
     return t.agg(F.count_if("alarm").alias("rollbacks"), mean["utility"].alias("routing"), mean["drop_rate"].alias("risk"), (1 - mean["safety"]).alias("drift"), (mean["quarantine"] * 2).alias("load"), ((F.max_by("utility", "tick") - F.min_by("utility", "tick")) / F.count(F.lit(1))).alias("trend"), F.bool_or(F.col("event_type") == "purchase").alias("structural"), mean["coverage"].alias("consensus"))
 
 

@@ -22,3 +22,15 @@ def test_means_are_of_sums_in_order_of_ticks(spark, tmp_path):
     want = {u: tuple(np.add.accumulate(g[c].to_numpy())[-1] / len(g) for c in ("utility", "coverage")) for u, g in events.groupby("user_id")}
     got = policies.reports(spark, str(tmp_path)).select("batch_id", "routing", "consensus").collect()
     assert {r.batch_id: (r.routing, r.consensus) for r in got} == want
+
+
+def test_means_are_over_the_values_that_are_there(spark, tmp_path):
+    n, users = 1200, 20
+    ids = pd.array([None if i % 3 == 0 or i % users == 7 else i for i in range(n)], dtype="Int64")  # user 7 has none
+    events = pd.DataFrame({"event_id": ids, "ts": pd.Timestamp("2024-01-01") + pd.to_timedelta(np.arange(n), unit="s"), "user_id": np.arange(n) % users, "event_type": "view", "value": 1.0})
+    events.to_parquet(tmp_path / "events.parquet", coerce_timestamps="us")
+    con = duckdb.connect(config={"threads": 1})
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet')")
+    want = con.execute(policies.ORACLES["perception"]).fetchall()
+    got = policies.perception(spark, str(tmp_path)).select("batch_id", "stress", "growth", "repair", "coordination", "label", "code").collect()
+    assert {r[0]: tuple(r) for r in got} == {r[0]: r for r in want}
