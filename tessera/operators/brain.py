@@ -164,18 +164,24 @@ def fuse(responses: DataFrame, query_type: str, width: int = 32, most: int = 16)
     return t.select(F.lit(query_type).alias("question"), F.size("r").cast("long").alias("n"), mean.alias("mean"), F.when(who == "", "none").otherwise(who).alias("contributors"), fused.alias("signal"))
 
 
-def build(genotypes: DataFrame, window: int = 500, start: float = 0.1, plasticity: float = 0.1, steps: int = 0) -> dict[str, DataFrame]:
-    """All tables of one chromosome from its genotypes: loci, pairs, blocks, neurons, synapses and motifs.  Pairs are written once."""
+def build(genotypes: DataFrame, window: int = 500, start: float = 0.1, plasticity: float = 0.1, steps: int = 0, pairs: DataFrame | None = None, blocks: DataFrame | None = None) -> dict[str, DataFrame]:
+    """All tables of one chromosome from its genotypes: loci, pairs, blocks, neurons, synapses and motifs.  Pairs are written once.
+
+    Pairs and blocks that are there already are taken as they are; with pairs, genotypes need no calls but only their counts.
+    """
     from ..functions import statistics as st
     from ..scratch import Rounds
     from . import linkage, planes
 
     genotypes = planes.packed(genotypes)
-    pairs = Rounds(genotypes.sparkSession, "pairs").cut(linkage.pairs(genotypes, window))
+    if pairs is None:
+        pairs = Rounds(genotypes.sparkSession, "pairs").cut(linkage.pairs(genotypes, window))
     loci = linkage.loci(genotypes)
     neurons = loci.select("chr", F.col("snp_idx").alias("id"), F.col("position").alias("position_bp"), F.coalesce("alt_freq", F.lit(0.5)).alias("af")).withColumn("maf", st.maf(F.col("af"))).withColumn("is_rare", F.col("maf") < 0.05)
     synapses = pairs.select("chr", F.col("snp1_idx").alias("src"), F.col("snp2_idx").alias("dst"), F.col("r_squared").alias("ld_r2")).withColumn("weight", S.hebbian(F.lit(start), F.col("ld_r2"), F.lit(plasticity), F.lit(steps)))
-    blocks = graph.haplotype_blocks(genotypes, pairs).join(genotypes.select("chr", F.col("snp_idx").alias("first_snp")), "first_snp")
+    if blocks is None:
+        blocks = graph.haplotype_blocks(genotypes, pairs)
+    blocks = blocks.join(genotypes.select("chr", F.col("snp_idx").alias("first_snp")), "first_snp")
     motifs = blocks.filter("mean_r_squared >= 0.5 AND n_snps >= 2")
     return {"loci": loci, "pairs": pairs, "blocks": blocks, "neurons": neurons, "synapses": synapses, "motifs": motifs}
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import statistics as st
 from ..operators import brain, linkage
-from .domain import GENOTYPES_SQL, genotypes, read
+from .domain import GENOTYPES_SQL, genotypes, read, variants
 from .genetics import COMPONENTS_SQL, HWE_SQL, LOCI_SQL, NEURONS_SQL, PAIRS_SQL, RISK_SQL, SYNAPSES_SQL, WINDOW, _CHI_P_SQL, _blocks, _loci, _pairs, neurons, synapses
 
 QUERIES: dict = {}
@@ -217,7 +217,7 @@ def fused_signal(spark, sf_dir):
 @query("chromosome_build", f"WITH RECURSIVE {COMPONENTS_SQL} SELECT (SELECT count(*) FROM part) AS n_loci, (SELECT count(*) FROM p) AS n_pairs, (SELECT count(*) FROM blocks) AS n_blocks, (SELECT count(*) FROM blocks WHERE n_snps >= 2 AND mean_r_squared >= 0.5) AS n_motifs, (SELECT max(n_snps) FROM blocks) AS largest, (SELECT round(avg(r2), 6) FROM p) AS mean_r2")
 def chromosome_build(spark, sf_dir):
     """The whole build of a chromosome, summed up."""
-    t = brain.build(genotypes(spark, sf_dir), WINDOW)
+    t = brain.build(variants(spark, sf_dir), WINDOW, pairs=_pairs(spark, sf_dir).withColumn("chr", F.lit("1")), blocks=_blocks(spark, sf_dir))
     one = t["loci"].agg(F.count(F.lit(1)).alias("n_loci"))
     for part in (t["pairs"].agg(F.count(F.lit(1)).alias("n_pairs"), F.round(F.avg("r_squared"), 6).alias("mean_r2")), t["blocks"].agg(F.count(F.lit(1)).alias("n_blocks"), F.max("n_snps").alias("largest")), t["motifs"].agg(F.count(F.lit(1)).alias("n_motifs"))):
         one = one.join(part, how="cross")  # one row each

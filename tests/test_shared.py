@@ -2,6 +2,7 @@
 
 import tracemalloc
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -85,6 +86,13 @@ def reads_links_once(spark, monkeypatch, query):
     assert query(spark, SF).count() and len(made) == 1
 
 
+def sql(query):
+    con = duckdb.connect()
+    for name in ("part", "supplier"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{SF}/{name}.parquet')")
+    return con.execute(query).fetchall()
+
+
 def test_haplotype_blocks_make_links_once(spark, monkeypatch):
     from tessera.plans import genetics
 
@@ -300,3 +308,12 @@ def test_working_set_sorts_few_synapses(spark):
     df = QUERIES["working_set"](spark, SF)
     assert df.count()
     assert "least0__#" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_chromosome_build_takes_links_and_blocks_that_are_written(spark, monkeypatch):
+    from tessera.plans import brain, genetics
+
+    monkeypatch.setattr(domain, "SHARE", 1)
+    monkeypatch.setattr(domain, "LARGE", 0)
+    reads_links_once(spark, monkeypatch, lambda *a: brain.chromosome_build(*a).select("n_loci").unionAll(genetics.haplotype_blocks(*a).select("n_snps")))
+    assert domain.shared(spark, SF) and [tuple(r) for r in brain.chromosome_build(spark, SF).collect()] == sql(brain.ORACLES["chromosome_build"])
