@@ -101,3 +101,33 @@ def subset(genotypes: DataFrame, chosen: np.ndarray) -> DataFrame:
 
     ensure(genotypes.sparkSession)
     return packed(genotypes).select("chr", "snp_idx", "position", "lo", "hi", *COUNTS).mapInArrow(run, PACKED)
+
+
+#: Words of a plane that ``parts`` takes at once: a word is 64 bytes there.
+SLICE = 1 << 16
+
+
+def parts(genotypes: DataFrame, chosen: list[np.ndarray]) -> DataFrame:
+    """(chr, snp_idx, lo0, hi0, lo1, hi1, and so on): of each variant of a packed table, the planes of the samples at places where each of
+    ``chosen`` (a flag a sample) is true."""
+    shared = genotypes.sparkSession.sparkContext.broadcast([np.flatnonzero(c) for c in chosen])  # a number a sample, as a row has
+
+    def pick(plane: np.ndarray, at: np.ndarray) -> np.ndarray:
+        bits = np.unpackbits(np.ascontiguousarray(plane).view(np.uint8), axis=1, bitorder="little")
+        out = np.ones((len(plane), -(-len(at) // WORD) * WORD), np.uint8)
+        there = at[at < bits.shape[1]]
+        out[:, : len(there)] = bits[:, there]
+        return np.packbits(out, axis=1, bitorder="little").reshape(len(plane), out.shape[1] // 8).view("<i8")
+
+    def run(batches):
+        for b in batches:
+            both = [words(b.column(k)) for k in (2, 3)]
+            step = max(1, SLICE // (both[0].shape[1] + 1))
+            for first in range(0, b.num_rows, step):
+                part = b.slice(first, step)
+                made = [lists(pick(plane[first : first + step], at)) for at in shared.value for plane in both]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *made], names=["chr", "snp_idx", *names])
+
+    ensure(genotypes.sparkSession)
+    names = [f"{plane}{k}" for k in range(len(chosen)) for plane in ("lo", "hi")]
+    return packed(genotypes).select("chr", "snp_idx", "lo", "hi").mapInArrow(run, "chr string, snp_idx long, " + ", ".join(f"{c} array<long>" for c in names))

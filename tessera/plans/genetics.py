@@ -281,10 +281,6 @@ def compare_allele_frequencies(spark, sf_dir):
     return t.agg(F.count(F.lit(1)).alias("n"), F.round(F.sqrt(F.sum(gap * gap) / (2 * F.count(F.lit(1)))), 6).alias("rmse"), F.round(F.max(F.abs(gap)), 6).alias("largest"))
 
 
-def half_pairs(spark, sf_dir, side: int) -> DataFrame:
-    return linkage.pairs(_half(spark, sf_dir, side), WINDOW, threshold=None)
-
-
 _SIDE = lambda s: f"SELECT a.i AS i, b.i AS j, count(*) AS n, sum(a.g) AS sx, sum(b.g) AS sy, sum(a.g * a.g) AS sxx, sum(b.g * b.g) AS syy, sum(a.g * b.g) AS sxy FROM g a JOIN g b ON a.k = b.k AND b.i > a.i AND b.i < a.i + {WINDOW} WHERE a.g IS NOT NULL AND b.g IS NOT NULL AND a.k % 2 = {s} GROUP BY a.i, b.i"
 _R2 = "SELECT i, j, (n * sxy - sx * sy)::DOUBLE ** 2 / ((n * sxx - sx * sx)::DOUBLE * (n * syy - sy * sy)::DOUBLE) AS r2 FROM {m} WHERE n >= 10 AND n * sxx > sx * sx AND n * syy > sy * sy"
 
@@ -296,18 +292,10 @@ _R2 = "SELECT i, j, (n * sxy - sx * sy)::DOUBLE ** 2 / ((n * sxx - sx * sx)::DOU
 )
 def compare_ld(spark, sf_dir):
     """Correlation of r^2 on both sides, distance 1 - |r|, and the share of the reference's r^2 that the other side covers."""
-    a = half_pairs(spark, sf_dir, 0).select("snp1_idx", "snp2_idx", F.col("r_squared").alias("x"))
-    b = half_pairs(spark, sf_dir, 1).select("snp1_idx", "snp2_idx", F.col("r_squared").alias("y"))
-    t = a.join(b, ["snp1_idx", "snp2_idx"], "left")
-    both = F.col("y").isNotNull()
-    n = F.count(F.when(both, 1))
-    s = lambda e: F.sum(F.when(both, e))
-    x, y = F.col("x"), F.col("y")
-    t = t.agg(n.alias("n"), s(x).alias("sx"), s(y).alias("sy"), s(x * x).alias("sxx"), s(y * y).alias("syy"), s(x * y).alias("sxy"), F.sum(F.when(x > 0.5, x)).alias("held"), F.sum(F.when((x > 0.5) & (y > 0.5), x).otherwise(0.0)).alias("covered"))
-    spread = F.sqrt((F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")) * (F.col("n") * F.col("syy") - F.col("sy") * F.col("sy")))
-    r = F.try_divide(F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy"), spread)  # undefined: correlation and distance are 0
-    zero = F.lit(0.0)
-    return t.select("n", F.round(F.coalesce(r, zero), 5).alias("correlation"), F.round(F.coalesce(1 - F.abs(r), zero), 5).alias("distance"), F.round(F.coalesce(F.try_divide("covered", "held"), F.lit(1.0)), 5).alias("coverage"))
+    odd = header(spark, sf_dir) % 2 == 1
+    t = linkage.agreement(calls(spark, sf_dir), (~odd, odd), WINDOW, variants=variants(spark, sf_dir) if shared(spark, sf_dir) else None)
+    r, zero = F.col("correlation"), F.lit(0.0)  # undefined: correlation and distance are 0
+    return t.select("n", F.round(F.coalesce(r, zero), 5).alias("correlation"), F.round(F.coalesce(1 - F.abs(r), zero), 5).alias("distance"), F.round(F.coalesce("coverage", F.lit(1.0)), 5).alias("coverage"))
 
 
 def _probit_sql(p: float) -> str:

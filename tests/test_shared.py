@@ -317,3 +317,42 @@ def test_chromosome_build_takes_links_and_blocks_that_are_written(spark, monkeyp
     monkeypatch.setattr(domain, "LARGE", 0)
     reads_links_once(spark, monkeypatch, lambda *a: brain.chromosome_build(*a).select("n_loci").unionAll(genetics.haplotype_blocks(*a).select("n_snps")))
     assert domain.shared(spark, SF) and [tuple(r) for r in brain.chromosome_build(spark, SF).collect()] == sql(brain.ORACLES["chromosome_build"])
+
+
+@pytest.mark.parametrize("samples,window", [(70, 7), (130, 40)])
+def test_agreement_of_two_sides(spark, monkeypatch, samples, window):
+    for name, value in (("LIGHT", 32), ("BLOCK", 16), ("CHUNK", 1)):
+        monkeypatch.setattr(linkage, name, value)
+    monkeypatch.setattr(planes, "SLICE", 4)
+    rng = np.random.default_rng(samples)
+    packed, variants, calls = repeated(spark, rng, samples)
+    chosen = (some := rng.permutation(samples) >= 12), ~some  # on the other side some pairs have too few
+    x, y = (linkage.pairs(planes.subset(packed, side), window, threshold=None).toPandas().set_index(["chr", "snp1_idx", "snp2_idx"])["r_squared"] for side in chosen)
+    both = x.to_frame("x").join(y.to_frame("y"))
+    strong = both[both["x"] > 0.5]
+    want = both["y"].count(), both["x"].corr(both["y"]), strong.loc[strong["y"] > 0.5, "x"].sum() / strong["x"].sum()
+    assert want[0] > 100 and 0 < want[2] < 1
+    for row in (linkage.agreement(packed, chosen, window).first(), linkage.agreement(calls, chosen, window, variants=variants).first()):
+        assert tuple(row) == pytest.approx(want, abs=1e-9)
+    none = linkage.agreement(packed.limit(0), chosen, window).first()
+    assert tuple(none) == (0, None, None)
+
+
+def test_r_squared_on_a_limit_stays_there():
+    codes = np.random.default_rng(2).integers(0, 3, (400, 12)).astype(np.uint8)
+    rows = planes.pack(codes)
+    _, a, b, c = linkage.moments(rows, rows)
+    half = (2 * a * a == b * c) & (b * c > 0)
+    assert half.sum() > 100 and (linkage.squared(rows, rows, 10)[half] == 0.5).all()
+    assert (linkage.correlation(rows, rows, 10)[1][half] ** 2 > 0.5).any()
+
+
+def test_compare_ld_makes_calls_of_different_variants_only(spark, monkeypatch):
+    from tessera.plans import genetics
+
+    monkeypatch.setattr(domain, "SHARE", 1)
+    monkeypatch.setattr(domain, "LARGE", 0)
+    for held in ("_tessera_kept", "_tessera_shared"):
+        monkeypatch.setattr(spark.sparkContext, held, {}, raising=False)
+    monkeypatch.setattr(genetics, "genotypes", None)
+    assert [tuple(r) for r in genetics.compare_ld(spark, SF).collect()] == sql(genetics.ORACLES["compare_ld"]) and domain.shared(spark, SF)
